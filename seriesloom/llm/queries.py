@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pattern_packing, sstable
+from . import fm_decontam, pattern_packing, sstable
 
 
 def tokenizer_path() -> str:
@@ -27,8 +27,14 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
 
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm_decontam.scan(docs, table(spark, sf_dir, "benchmark")).drop("text", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_tables": op3_token_tables,
     "op7_pattern_packing": op7_pattern_packing,
+    "op10_fm_decontamination": op10_fm_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
