@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_decontam, pattern_packing, sstable
+from . import fm_decontam, pattern_packing, sstable, winnowing
 
 
 def tokenizer_path() -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -33,6 +37,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_winnowing": op2_winnowing,
     "op3_token_tables": op3_token_tables,
     "op7_pattern_packing": op7_pattern_packing,
     "op10_fm_decontamination": op10_fm_decontamination,
