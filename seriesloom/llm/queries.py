@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_decontam, pattern_packing, sstable, winnowing
+from . import byte_cnn, fm_decontam, pattern_packing, quality_rules, sstable, winnowing
 
 
 def tokenizer_path() -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -31,15 +35,21 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
 
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fm_decontam.scan(docs, table(spark, sf_dir, "benchmark")).drop("text", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_winnowing": op2_winnowing,
     "op3_token_tables": op3_token_tables,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_byte_cnn": op8_byte_cnn,
     "op10_fm_decontamination": op10_fm_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
