@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, fm_decontam, pattern_packing, quality_rules, sstable, winnowing
+from . import byte_cnn, fm_decontam, html_blocks, pattern_packing, quality_rules, sstable, winnowing
 
 
 def tokenizer_path() -> str:
@@ -31,6 +31,10 @@ def op3_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_winnowing": op2_winnowing,
     "op3_token_tables": op3_token_tables,
+    "op5_html_blocks": op5_html_blocks,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_byte_cnn": op8_byte_cnn,
     "op10_fm_decontamination": op10_fm_decontamination,
