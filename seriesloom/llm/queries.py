@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, fm_decontam, html_blocks, pattern_packing, quality_rules, sstable, winnowing
+from . import byte_cnn, fm_decontam, html_blocks, jaccard_join, pattern_packing, quality_rules, sstable, winnowing
 
 
 def tokenizer_path() -> str:
@@ -43,6 +43,10 @@ def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fm_decontam.scan(docs, table(spark, sf_dir, "benchmark")).drop("text", "spans")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_blocks": op5_html_blocks,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_byte_cnn": op8_byte_cnn,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_fm_decontamination": op10_fm_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
