@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, fm_decontam, html_blocks, jaccard_join, pattern_packing, quality_rules, sstable, winnowing
+from . import byte_cnn, fm_decontam, html_blocks, jaccard_join, pattern_packing, quality_rules, sstable, suffix_dedup, winnowing
 
 
 def tokenizer_path() -> str:
@@ -35,6 +35,10 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.trim(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op3_token_tables": op3_token_tables,
     "op5_html_blocks": op5_html_blocks,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_byte_cnn": op8_byte_cnn,
     "op9_jaccard_join": op9_jaccard_join,
