@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_cnn, fm_decontam, html_blocks, jaccard_join, pattern_packing, quality_rules, sstable, suffix_dedup, winnowing
+from . import byte_cnn, fm_decontam, html_blocks, jaccard_join, license_scan, pattern_packing, quality_rules, sstable, suffix_dedup, winnowing
 
 
 def tokenizer_path() -> str:
@@ -31,6 +32,15 @@ def op3_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_matches, licenses (names of matched templates, sorted, comma-joined) and best containment."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.col("matches.template")))
+    return found.select(
+        "doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_max("matches.containment").alias("best")
+    )
+
+
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_winnowing": op2_winnowing,
     "op3_token_tables": op3_token_tables,
+    "op4_license_scan": op4_license_scan,
     "op5_html_blocks": op5_html_blocks,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pattern_packing": op7_pattern_packing,
