@@ -4,8 +4,8 @@ Statistics of each whole text feed small boosted trees; every path from a root t
 conjunction of bounds on statistics. A lasso logistic regression weighs the rules, most to zero, and
 the rest is compiled into one Spark column expression over the statistics' columns.
 
-Fitting takes labelled rows in an order drawn from their statistics, up to the bound ``most_rows``;
-the statistics cover every row and whole texts.
+Fitting takes labelled rows up to the bound ``most_rows``; which ones, a hash of the identifier draws.
+The statistics cover every row and whole texts.
 
 Cases: a null text is empty; an empty text has statistics of zero and is scored like others; labels
 that repeat are averaged and count as 1 from a half on; null labels are left out; without labels of
@@ -195,8 +195,10 @@ def fit(stats: DataFrame, labels: DataFrame, *, most_rows: int = 20_000) -> Ense
     """Fit to the rows of stats (doc_id and statistics) that have a label, outside the held-out fold."""
     named = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y")).where("y is not null")
     names = [f"st_{s}" for s in STATISTICS]
-    rows = stats.where(~held_out()).join(named, "doc_id").select("y", *names)
-    found = rows.orderBy(F.xxhash64(*names), "y").limit(most_rows).toPandas().to_numpy(np.float64)  # bounded by the parameter
+    rows = stats.where(~held_out()).join(named, "doc_id").select("y", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("turn"), *names)
+    share = most_rows / max(1, rows.count())  # so that no task or driver holds more than the sample
+    drawn = rows.where(F.col("turn") < int(min(1.0, share) * (1 << 30)))
+    found = drawn.orderBy("turn", *names).limit(most_rows).drop("turn").toPandas().to_numpy(np.float64)  # bounded by the parameter
     return fit_rules(found[:, 1:], found[:, 0])
 
 
