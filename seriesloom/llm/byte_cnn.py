@@ -4,8 +4,8 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, e
 maximum, and a softmax layer over these gives languages. A document's windows cover its whole text;
 their probabilities are averaged by the bytes that they hold.
 
-Training takes windows of labelled documents, in an order drawn from their bytes, up to the bound
-``most_windows``; everything else covers all rows.
+Training takes windows of labelled documents up to the bound ``most_windows``; which ones, a hash of
+the identifier and the window's number draws. Everything else covers all rows.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; a text shorter than a window
 is padded; without training rows every text is ``und``; equal texts have equal predictions; labels
@@ -146,22 +146,29 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sample(labelled: DataFrame, most_windows: int, *, a_text: int = 4) -> tuple[np.ndarray, list[str]]:
-    """Up to most_windows windows with their languages, a few spread over each text, drawn by their bytes."""
+    """Up to most_windows windows of (id, lang, text) with their languages, a few spread over each text.
+
+    A window is drawn where its hash is below a share of all hashes, so that no task or driver holds
+    more than the sample.
+    """
+    share = most_windows / max(1, labelled.count() * a_text)
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary()), ("turn", pa.int64())])
 
     def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in rows:
-                langs = batch.column(0).to_pylist()
-                for i, _, data, offsets in chunks(batch.column(1)):
+                ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for i, _, data, offsets in chunks(batch.column(2)):
                     for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                        for s in {a + (b - a - WINDOW) * j // max(1, a_text - 1) for j in range(a_text)} if b - a > WINDOW else {a}:
-                            x = data[s : min(s + WINDOW, b)].tobytes()
-                            yield langs[i + d], x, zlib.crc32(x)
+                        for j in range(a_text if b - a > WINDOW else 1):
+                            turn = zlib.crc32(f"{ids[i + d]}/{j}".encode())
+                            if turn < share * (1 << 32):
+                                s = a + (b - a - WINDOW) * j // max(1, a_text - 1) if b - a > WINDOW else a
+                                yield langs[i + d], data[s : min(s + WINDOW, b)].tobytes(), turn
 
         yield from batches(each(), schema)
 
-    drawn = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(windows, "lang string, window binary, turn long")
+    drawn = labelled.select(F.col("id").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(windows, "lang string, window binary, turn long")
     found = drawn.orderBy("turn", "window", "lang").limit(most_windows).collect()  # bounded by the parameter
     held = np.zeros((len(found), WINDOW), np.uint8)
     for i, r in enumerate(found):
@@ -170,7 +177,7 @@ def sample(labelled: DataFrame, most_windows: int, *, a_text: int = 4) -> tuple[
 
 
 def fit(labelled: DataFrame, most_windows: int = 8000) -> Network | None:
-    """Train on rows (lang, text); None without any."""
+    """Train on rows (id, lang, text); None without any."""
     has = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     windows, names = sample(has, most_windows)
     if not names:
@@ -220,6 +227,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, most_windows: int = 8000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text, learned from the other folds."""
-    net = fit(docs.where(~held_out()).select("lang", "text"), most_windows)
+    net = fit(docs.where(~held_out()).select(F.col("doc_id").alias("id"), "lang", "text"), most_windows)
     table = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("text"))
     return predict(table, net).drop("text")
