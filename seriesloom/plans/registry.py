@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, series_queries
+from . import catalog_queries, report_queries, series_queries
 
 FLAGSHIP = "heatmap_trailing"
-ALL = series_queries.QUERIES | catalog_queries.QUERIES
+ALL = series_queries.QUERIES | catalog_queries.QUERIES | report_queries.QUERIES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, (f, _) in ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in ALL.items() if sql}
