@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist blocks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +38,62 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return place
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, cutting its lineage there."""
+def input_bytes(docs: DataFrame) -> int:
+    """The size of what docs reads, as the optimizer estimates it."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def part_count(docs: DataFrame, target: int = 4 << 20) -> int:
+    """How many parts a packed exchange over docs has: one for each target bytes, at least two for each core.
+
+    Blocks number as the square of the parts, so there are never more than the session's shuffle partitions.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(partitions(docs.sparkSession), max(2 * cores, -(-input_bytes(docs) // target))))
+
+
+def file_count(docs: DataFrame, target: int = 64 << 20) -> int:
+    """How many files a result over docs is worth: twice the cores, or one for each target bytes of input."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return int(min(1 << 20, max(2 * cores, -(-input_bytes(docs) // target))))
+
+
+def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write df to the shared checkpoint folder, in at most so many files, cutting its lineage there.
+
+    Tasks that share a file run one partition after another.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    return (df.coalesce(files) if files else df).checkpoint()
+
+
+TIDY = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # a job's shuffle files go when it ends
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",  # whole texts and packed blocks make large records
+}
+
+
+def tidy(f):
+    """f under the settings above: what comes after a job reads checkpoints, not its shuffle files."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = {k: conf.get(k, None) for k in TIDY}
+        for k, v in TIDY.items():
+            conf.set(k, v)
+        try:
+            return f(docs, *args, **kwargs)
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    conf.unset(k)
+                else:
+                    conf.set(k, v)
+
+    return run
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +135,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def begin_end(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Where each run begins and ends, of n entries."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)) if len(starts) else []
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 

@@ -23,15 +23,15 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None, most_rounds: int = 50) -> DataFrame:
     """(node, root) of every node of edges (u, v), but for the roots; the root is a component's smallest node.
 
-    Each round is written to the checkpoint folder. Node sets stay distributed; the driver sees counts.
+    Each round is written to the checkpoint folder, in at most so many files. Node sets stay distributed; the driver sees counts.
     """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), files)
     sign = None
     for _ in range(most_rounds):
-        now = checkpointed(small_star(large_star(now)))
+        now = checkpointed(small_star(large_star(now)), files)
         new = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if new == sign:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

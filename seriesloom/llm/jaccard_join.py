@@ -1,7 +1,7 @@
 """Exact self-join of documents on word-shingle sets by Jaccard similarity, and its components.
 
 1. *Extended prefixes.* Shingles have one global order, that of their hashes. Of a set of n, the first
-   n - ceil(t n) + K tokens (K = 1 + n/16) contain at least K tokens of any similar set. Documents with
+   n - ceil(t n) + K tokens (K = 1 + n/SHARE) contain at least K tokens of any similar set. Documents with
    fewer tokens that occur in another document's prefix cannot have a partner and leave.
 2. *Copies.* Equal sets become one.
 3. *Frequencies.* Over the sets left, tokens are counted exactly; sets whose tokens of two or more sets
@@ -11,9 +11,12 @@
    within a prefix of n/2 + 2 tokens: two similar sets that share no rare token there share such a
    pair. (Of the first n/2 + 2 tokens of the set whose prefix ends first, a are not shared; each breaks
    at most two pairs, each of the b unshared tokens of the other set at most one, and 2a + b <= n/2.)
-5. *Verification.* In each list of sets under a key, sets are compared with the list's leader, round
-   after round with other leaders, while components grow; then all pairs of a list that are still in
-   different components are compared. Pairs inside a component need no comparison.
+5. *Verification.* Each set goes to a few of its longest lists, which ones a hash of the lists' keys
+   draws, and the sets of a list are compared as bit rows, in blocks of bounded size: a set that is
+   linked is not looked for again. Components follow. Components that still share a list make groups: the sets of a
+   group of bounded size are compared by pairs of blocks, and in a larger group each set is compared
+   with the whole of each larger component that it shares a list with, again in blocks. One link joins
+   components. Sets inside one component are not compared.
 
 Cases: null and empty texts, and texts without words, have no shingles and stand alone; a text of
 fewer than k words has one, of all its words; repeated rows are all returned; other columns are
@@ -22,25 +25,24 @@ ignored; an empty table gives no rows. A null identifier's component is the smal
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import batches, by_part, checkpoint_dir, checkpointed, chunks, dealt, expand, id_part, mix, pack, partitions, shingle_sets, squeeze, unpack, unpack_all
+from ._arrays import batches, begin_end, by_part, checkpoint_dir, checkpointed, chunks, dealt, expand, file_count, id_part, mix, pack, part_of, part_count, shingle_sets, squeeze, tidy, unpack, unpack_all
 from ._components import components
 
 U64 = np.uint64
 ROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("sid", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 TYPES = "part int, kind int, sid long, a binary, b binary"
-TOKENS, VOTES, TEXT, SET, REPLY, LISTS, LABELS, PAIRS = range(8)
-NONE, MOST_DOCS, MOST_TOKENS = 65535, 60_000, 4_000_000
-RARE, STAR_ROUNDS = 16, 3
+TOKENS, VOTES, TEXT, SET, REPLY, LISTS, LABELS, QUERY, MEMBER, NESTED = range(10)
+NONE, MOST_DOCS, MOST_TOKENS = 65535, 60_000, 1_000_000
+SHARE, RARE, ROUNDS, BLOCK, NESTED_BLOCKS = 8, 16, 3, 512, 8
 
 
 def need(n: np.ndarray | int, percent: int):
@@ -90,7 +92,7 @@ def prefix_blocks(rows: Iterator[pa.RecordBatch], n: int, k: int, percent: int)
             for d, found in enumerate(shingle_sets(data, offsets, k)):
                 if m := len(found):
                     ids.append(doc_ids[i + d] or 0)
-                    tokens.append(found[: m - need(m, percent) + 1 + m // 16])
+                    tokens.append(found[: m - need(m, percent) + 1 + m // SHARE])
                     size += len(tokens[-1])
             if size >= MOST_TOKENS or len(ids) >= MOST_DOCS - 10_000:
                 yield from flush()
@@ -157,7 +159,7 @@ def select_sets(rows: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
             for found in shingle_sets(data, offsets, k):
                 doc_id, m = part[at][0], len(found)
                 at += 1
-                if m and total.get(doc_id or 0, 0) > need(m, percent) // 16:
+                if m and total.get(doc_id or 0, 0) > need(m, percent) // SHARE:
                     tokens = found.tobytes()
                     yield doc_id, m, set_id(tokens), tokens
                 else:
@@ -185,7 +187,7 @@ def token_counts(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     if found:
         tokens, counts = np.unique(np.concatenate(found), return_counts=True)
         for p, (t, c) in by_part(low_part(tokens, n), n, tokens, counts.astype(np.int64)):
-            yield p, TOKENS, origin, pack(t, c, c), None
+            yield p, TOKENS, origin, squeeze(pack(t, c, c)), None
 
 
 def answer(rows: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[tuple]:
@@ -193,7 +195,7 @@ def answer(rows: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[tuple]:
     keys, first, second, origins = [], [], [], []
     for batch in rows:
         for origin, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            t, x, y = unpack(a, U64, np.int64, np.int64)
+            t, x, y = unpack(expand(a), U64, np.int64, np.int64)
             keys.append(t)
             first.append(x)
             second.append(y)
@@ -210,7 +212,7 @@ def answer(rows: Iterator[pa.RecordBatch], judge: Callable) -> Iterator[tuple]:
     key, origin, value = key[matters], origin[matters], value[matters]
     for p in np.unique(origin).tolist():
         mine = origin == p
-        yield p, REPLY, None, pack(key[mine], value[mine]), None
+        yield p, REPLY, None, squeeze(pack(key[mine], value[mine])), None
 
 
 def shared_by_two(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +238,7 @@ def gathered(rows: Iterator[pa.RecordBatch]) -> tuple[dict[int, list[tuple]], in
 def index_sets(rows: Iterator[pa.RecordBatch], percent: int, rare: int) -> Iterator[tuple]:
     """Shared tokens of the sets that can have a partner, and the lists' keys: rare tokens, pairs of frequent ones."""
     found, part = gathered(rows)
-    tokens, counts = unpack_all([a for _, a, _ in found.get(REPLY, [])], U64, np.int64)
+    tokens, counts = unpack_all([expand(a) for _, a, _ in found.get(REPLY, [])], U64, np.int64)
     order = np.argsort(tokens, kind="stable")
     tokens, counts = tokens[order], counts[order]
     keys, owners, sizes = [], [], []
@@ -262,22 +264,22 @@ def index_sets(rows: Iterator[pa.RecordBatch], percent: int, rare: int) -> Itera
         owners += [np.full(len(single) + len(pair), sid, np.int64)]
         sizes += [np.full(len(single) + len(pair), n, np.int64)]
     if keys:
-        yield part, LISTS, None, pack(np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)), None
+        yield part, LISTS, None, squeeze(pack(np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes))), None
 
 
 def labelled_lists(found: dict[int, list[tuple]]) -> tuple[np.ndarray, ...]:
-    """Keys, sets, sizes and components of a part's lists, sorted by key and set."""
-    key, sid, size = unpack_all([a for _, a, _ in found.get(LISTS, [])], U64, np.int64, np.int64)
-    nodes, roots = unpack_all([a for _, a, _ in found.get(LABELS, [])], np.int64, np.int64)
-    comp = sid.copy()
+    """Keys, sets, sizes, components and their numbers of sets of a part's lists, sorted by key and set."""
+    key, sid, size = unpack_all([expand(a) for _, a, _ in found.get(LISTS, [])], U64, np.int64, np.int64)
+    nodes, roots, members = unpack_all([a for _, a, _ in found.get(LABELS, [])], np.int64, np.int64, np.int64)
+    comp, many = sid.copy(), np.ones(len(sid), np.int64)
     if len(nodes):
         order = np.argsort(nodes, kind="stable")
-        nodes, roots = nodes[order], roots[order]
+        nodes, roots, members = nodes[order], roots[order], members[order]
         at = np.minimum(np.searchsorted(nodes, sid), len(nodes) - 1)
         known = nodes[at] == sid
-        comp[known] = roots[at[known]]
+        comp[known], many[known] = roots[at[known]], members[at[known]]
     order = np.lexsort((sid, key))
-    return key[order], sid[order], size[order], comp[order]
+    return key[order], sid[order], size[order], comp[order], many[order]
 
 
 def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -285,113 +287,257 @@ def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(a, b) * 100 >= percent * np.maximum(a, b)
 
 
-def star(key: np.ndarray, sid: np.ndarray, size: np.ndarray, comp: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Places of each list's leader, and pairs (leader, other set) of different components with votes."""
-    turn = mix(sid.view(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    order = np.lexsort((turn, key))
-    starts = run_starts(key[order])
-    leader_of = np.repeat(order[starts], np.diff(np.append(starts, len(key))))
-    ok = (comp[order] != comp[leader_of]) & fits(size[order], size[leader_of], percent)
-    a, b = sid[leader_of][ok], sid[order][ok]
-    pairs, votes = np.unique(np.stack([b, a], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    return order[starts], (pairs[:, 0], pairs[:, 1], votes)
+LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-PAIR = pa.schema([("b", pa.int64()), ("a", pa.int64()), ("votes", pa.int64())])
-
-
-def local_stars(rows: Iterator[pa.RecordBatch], n: int, percent: int, seed: int) -> Iterator[tuple]:
-    """Stars inside a part, and each list's leader for the star over parts."""
-    lists = labelled_lists(gathered(rows)[0])
-    if not len(lists[0]):
+def chosen_lists(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """Each set on its way to a few of its longest lists; a list with many sets of the part is dealt to several blocks."""
+    found, _ = gathered(rows)
+    key, sid, _ = unpack_all([expand(a) for _, a, _ in found.get(LISTS, [])], U64, np.int64, np.int64)
+    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+    popular = np.log2(count[place]).astype(np.int64)
+    chosen: dict[int, list[int]] = {}
+    for turn in range(1, ROUNDS + 1):
+        drawn = mix(key ^ U64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        order = np.lexsort((drawn, -popular, sid))
+        first = order[run_starts(sid[order])]
+        keys, back, counts = np.unique(key[first], return_inverse=True, return_counts=True)
+        blocks = np.where(counts[back] > 1, -(-counts[back] * n // BLOCK), 1)
+        block = mix(sid[first].view(U64) ^ U64(turn)) % blocks.astype(U64)
+        for s, name in zip(sid[first].tolist(), (key[first] + block * U64(0x9E3779B97F4A7C15)).tolist(), strict=True):
+            chosen.setdefault(s, []).append(name)
+    for s, a, b in found.get(SET, []):
+        for name in dict.fromkeys(chosen.get(s, ())):
+            yield int(part_of(mix(np.array([name], U64)), n)[0]), SET, s, a, b + name.to_bytes(8, "little")
+
+
+def bit_rows(token_sets: list[np.ndarray], universe: np.ndarray) -> np.ndarray:
+    """A row of bits for each set over the sorted universe; tokens outside it are left out."""
+    out = np.zeros((len(token_sets), -(-len(universe) // 8)), np.uint8)
+    for k in range(0, len(token_sets), 64):
+        part = token_sets[k : k + 64]
+        row = np.zeros((len(part), len(universe)), bool)
+        for i, x in enumerate(part):
+            at = np.minimum(np.searchsorted(universe, x), len(universe) - 1)
+            row[i, at[universe[at] == x]] = True
+        out[k : k + 64] = np.packbits(row, axis=1)
+    return out
+
+
+def similar(row: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others' bit rows are similar to a bit row."""
+    same = np.bitwise_count(others & row).sum(1, dtype=np.int64)
+    return 100 * same >= percent * (size + sizes - same)
+
+
+def links_in_block(sids: list[int], token_sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join the block's similar sets, found from one set to those not yet reached."""
+    tokens, counts = np.unique(np.concatenate(token_sets), return_counts=True)
+    universe = tokens[counts > 1]
+    if not len(universe):
         return
-    leaders, pairs = star(*lists, percent, seed)
-    yield 0, PAIRS, None, pack(*pairs), None
-    for p, block in by_part(low_part(lists[0][leaders], n), n, *(x[leaders] for x in lists)):
-        yield p, LISTS, None, pack(*block), None
-
-
-def wide_stars(rows: Iterator[pa.RecordBatch], percent: int, seed: int) -> Iterator[tuple]:
-    blocks = []
-    for batch in rows:
-        blocks += batch.column(3).to_pylist()
-    lists = unpack_all(blocks, U64, np.int64, np.int64, np.int64)
-    if len(lists[0]):
-        yield from zip(*(x.tolist() for x in star(*lists, percent, seed)[1]), strict=True)
-
-
-def unpacked_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in rows:
-        for a in batch.column(3).to_pylist():
-            yield from zip(*(x.tolist() for x in unpack(a, np.int64, np.int64, np.int64)), strict=True)
+    bits = bit_rows(token_sets, universe)
+    left = np.arange(len(sids))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = similar(bits[x], sizes[x], bits[left], sizes[left], percent)
+            for y in left[hit].tolist():
+                yield sids[x], sids[y]
+                queue.append(y)
+            left = left[~hit]
+
+
+def links_of_lists(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
+    """Links among the sets that chose the same list, in blocks."""
+    lists: dict[bytes, list[tuple]] = {}
+    for sid, a, b in gathered(rows)[0].get(SET, []):
+        lists.setdefault(b[8:], []).append((sid, np.frombuffer(a, U64), int.from_bytes(b[:8], "little")))
+    for members in lists.values():
+        for i in range(0, len(members), BLOCK):
+            sids, token_sets, sizes = zip(*members[i : i + BLOCK], strict=True)
+            if len(sids) > 1:
+                yield from links_in_block(list(sids), list(token_sets), np.array(sizes), percent)
 
 
 def components_of_lists(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     """The smallest and largest component of each list of a part."""
     found, part = gathered(rows)
-    key, _, _, comp = labelled_lists(found)
+    key, _, _, comp, _ = labelled_lists(found)
     starts = run_starts(key)
     if len(starts):
         low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
         for p, block in by_part(low_part(key[starts], n), n, key[starts], low, high):
-            yield p, TOKENS, part, pack(*block), None
+            yield p, TOKENS, part, squeeze(pack(*block)), None
 
 
 def open_lists(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     """Entries of the lists that hold several components."""
     found, _ = gathered(rows)
     lists = labelled_lists(found)
-    wanted = np.sort(unpack_all([a for _, a, _ in found.get(REPLY, [])], U64, np.int64)[0])
+    wanted = np.sort(unpack_all([expand(a) for _, a, _ in found.get(REPLY, [])], U64, np.int64)[0])
     if len(wanted) and len(lists[0]):
         at = np.minimum(np.searchsorted(wanted, lists[0]), len(wanted) - 1)
         mine = wanted[at] == lists[0]
         for p, block in by_part(low_part(lists[0][mine], n), n, *(x[mine] for x in lists)):
-            yield p, LISTS, None, pack(*block), None
+            yield p, LISTS, None, squeeze(pack(*block)), None
+
 
+def distinct_lists(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """Whole lists under a name made of their sets, one for each name: lists of the same sets ask the same."""
+    key, sid, size, comp, many = list_blocks(rows)
+    starts = run_starts(key)
+    if not len(starts):
+        return
+    count = np.diff(np.append(starts, len(key)))
+    name = mix(np.add.reduceat(mix(sid.view(U64)), starts) ^ count.astype(U64))
+    _, first = np.unique(name, return_index=True)
+    kept = np.zeros(len(starts), bool)
+    kept[first] = True
+    mine = np.repeat(kept, count)
+    names = np.repeat(name, count)[mine]
+    for p, block in by_part(low_part(names, n), n, names, *(x[mine] for x in (sid, size, comp, many))):
+        yield p, LISTS, None, squeeze(pack(*block)), None
+
+
+def list_blocks(rows: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """Entries of a part's lists, sorted by key, components in ascending order of their sets, and set."""
+    blocks = []
+    for batch in rows:
+        blocks += batch.column(3).to_pylist()
+    key, sid, size, comp, many = unpack_all([expand(b) for b in blocks], U64, np.int64, np.int64, np.int64, np.int64)
+    order = np.lexsort((sid, comp, many, key))
+    return key[order], sid[order], size[order], comp[order], many[order]
 
-def all_open_pairs(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple]:
-    """Pairs of a list in different components, each once for the part."""
+
+PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("mu", pa.int64()), ("mv", pa.int64())])
+PAIR_TYPES = "u long, v long, mu long, mv long"
+
+
+def told_once(pairs: np.ndarray, n: int) -> Iterator[tuple]:
+    """Rows of four numbers, each once, packed for the part of the first."""
+    once = np.unique(pairs, axis=0)
+    for p, block in by_part(id_part(once[:, 0].copy(), n), n, *(x.copy() for x in once.T)):
+        yield p, LISTS, None, squeeze(pack(*block)), None
+
+
+def pairs_told(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of four numbers that any part told, each once."""
     blocks = []
     for batch in rows:
         blocks += batch.column(3).to_pylist()
-    key, sid, size, comp = unpack_all(blocks, U64, np.int64, np.int64, np.int64)
-    order = np.argsort(key, kind="stable")
-    key, sid, size, comp = key[order], sid[order], size[order], comp[order]
+    if blocks:
+        yield from map(tuple, np.unique(np.stack(unpack_all([expand(b) for b in blocks], *[np.int64] * 4), 1), axis=0).tolist())
+
+
+def hub_links(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """(component, the list's largest, numbers of sets of both) of each list: what shares lists hangs together."""
+    key, _, _, comp, many = list_blocks(rows)
     starts = run_starts(key)
-    told: set[tuple[int, int]] = set()
-    for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
-        for i in range(s, e - 1):
-            ok = np.flatnonzero((comp[i + 1 : e] != comp[i]) & fits(size[i + 1 : e], size[i], percent)) + i + 1
-            for other in sid[ok].tolist():
-                pair = (int(sid[i]), other) if sid[i] > other else (other, int(sid[i]))
-                if pair not in told:
-                    told.add(pair)
-                    yield *pair, 1
-        if len(told) > 1_000_000:
-            told.clear()
+    if len(starts):
+        count = np.diff(np.append(starts, len(key)))
+        hub = np.repeat(starts + count - 1, count)
+        yield from told_once(np.stack([comp, comp[hub], many, many[hub]], 1)[comp != comp[hub]], n)
+
+
+def open_questions(rows: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[tuple]:
+    """(set, component, 0, the component's number of sets) for sets that share a list with a larger component."""
+    key, sid, size, comp, many = list_blocks(rows)
+    found: list[np.ndarray] = []
+    held = 0
+    for s, e in begin_end(run_starts(key), len(key)):
+        at = s + np.flatnonzero(np.concatenate([[True], sid[s + 1 : e] != sid[s : e - 1]]))  # the same list can come from several parts
+        for i, x in enumerate(at[:-1].tolist()):
+            rest = at[i + 1 :]  # components stand in ascending order of their sets
+            ok = rest[(comp[rest] != comp[x]) & fits(size[rest], size[x], percent)]
+            if len(ok):
+                found.append(np.stack([np.full(len(ok), sid[x]), comp[ok], np.zeros(len(ok), np.int64), many[ok]], 1))
+                held += len(ok)
+        if held > 2_000_000:
+            yield from told_once(np.concatenate(found), n)
+            found, held = [], 0
+    if found:
+        yield from told_once(np.concatenate(found), n)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, as edges (u, v)."""
-    one = sets.select(F.col("sid").alias("a"), F.col("a").alias("ta"), F.col("b").alias("na"))
-    two = sets.select(F.col("sid").alias("b"), F.col("a").alias("tb"), F.col("b").alias("nb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def named(*numbers: int) -> int:
+    """One 64-bit name for some numbers."""
+    out = 0
+    for x in numbers:
+        out = int(mix(np.array([(out + x) & (1 << 64) - 1], U64))[0])
+    return out
 
-    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links() -> Iterator[tuple]:
-            for batch in rows:
-                for a, b, na, nb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    joint = np.concatenate([np.frombuffer(ta, U64), np.frombuffer(tb, U64)])
-                    joint.sort()
-                    same = int((joint[1:] == joint[:-1]).sum())
-                    total = int.from_bytes(na, "little") + int.from_bytes(nb, "little") - same
-                    if 100 * same >= percent * total:
-                        yield a, b
 
-        yield from batches(links(), schema)
+def asked(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """Tokens of the asking sets to every block of the component, those of its members to one block each.
+
+    Sets of a dense group of components go to every pair of blocks of the group that theirs is in.
+    """
+    found, _ = gathered(rows)
+    own = {sid: (a, b) for sid, a, b in found.get(SET, [])}
+    for kind in (QUERY, MEMBER):
+        for sid, a, _ in found.get(kind, []):
+            for root, members in zip(*(x.tolist() for x in unpack(a, np.int64, np.int64)), strict=True):
+                count = -(-members // BLOCK)
+                for block in range(count) if kind == QUERY else [sid % count]:
+                    name = named(root, block)
+                    yield int(part_of(np.array([name], U64), n)[0]), kind, sid, own[sid][0], own[sid][1] + name.to_bytes(8, "little")
+    for sid, a, _ in found.get(NESTED, []):
+        group, comp, members = (int(x[0]) for x in unpack(a, np.int64, np.int64, np.int64))
+        count = -(-members // BLOCK)
+        mine = named(sid) % count
+        for other in range(count):
+            name = named(group, min(mine, other), max(mine, other))
+            side = (0 if mine <= other else 1).to_bytes(1, "little") + comp.to_bytes(8, "little", signed=True)
+            yield int(part_of(np.array([name], U64), n)[0]), NESTED, sid, own[sid][0], own[sid][1] + name.to_bytes(8, "little") + side
+
+
+def nested_links(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components of a pair of blocks, one for each pair of components."""
+    members.sort(key=lambda x: x[3])
+    sids, token_sets, sizes, sides, comps = zip(*members, strict=True)
+    tokens, counts = np.unique(np.concatenate(token_sets), return_counts=True)
+    universe = tokens[counts > 1]
+    if not len(universe):
+        return
+    bits, sizes, sides, comps = bit_rows(list(token_sets), universe), np.array(sizes), np.array(sides), np.array(comps)
+    across, told = sides[-1] == 1, set()
+    for x in range(len(sids)):
+        begin = max(x + 1, int((sides == 0).sum())) if across else x + 1
+        if across and sides[x] == 1 or begin >= len(sids):
+            break
+        rest = np.flatnonzero(comps[begin:] != comps[x]) + begin
+        if len(rest):
+            for y in rest[similar(bits[x], sizes[x], bits[rest], sizes[rest], percent)].tolist():
+                pair = (int(comps[x]), int(comps[y]))
+                if pair not in told:
+                    told.add(pair)
+                    yield sids[x], sids[y]
+
 
-    return both.mapInArrow(compare, "u long, v long")
+def answered(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
+    """One link for each asking set and block with a similar member."""
+    found, _ = gathered(rows)
+    blocks: dict[bytes, tuple[list, list]] = {}
+    for kind in (QUERY, MEMBER):
+        for sid, a, b in found.get(kind, []):
+            blocks.setdefault(b[8:], ([], []))[kind == MEMBER].append((sid, np.frombuffer(a, U64), int.from_bytes(b[:8], "little")))
+    nested: dict[bytes, list[tuple]] = {}
+    for sid, a, b in found.get(NESTED, []):
+        nested.setdefault(b[8:16], []).append((sid, np.frombuffer(a, U64), int.from_bytes(b[:8], "little"), b[16], int.from_bytes(b[17:], "little", signed=True)))
+    for members in nested.values():
+        yield from nested_links(members, percent)
+    for queries, members in blocks.values():
+        if not queries or not members:
+            continue
+        sids, token_sets, sizes = zip(*members, strict=True)
+        universe, sizes = np.unique(np.concatenate(token_sets)), np.array(sizes)
+        bits = bit_rows(list(token_sets), universe)
+        for sid, tokens, size in queries:
+            hit = np.flatnonzero(similar(bit_rows([tokens], universe)[0], size, bits, sizes, percent))
+            if len(hit):
+                yield sid, sids[hit[0]]
 
 
 def step(df: DataFrame, f: Callable, *args, types: str = TYPES, schema: pa.Schema = ROW) -> DataFrame:
@@ -399,26 +545,87 @@ def step(df: DataFrame, f: Callable, *args, types: str = TYPES, schema: pa.Schem
     return df.mapInArrow(lambda rows: batches(f(rows, *args), schema), types)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+def label_rows(members: DataFrame, n: int) -> DataFrame:
+    """Blocks of (node, root, number of nodes) for the nodes' parts."""
 
-def label_rows(labels: DataFrame, n: int) -> DataFrame:
     def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows:
-            node, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for p, block in by_part(id_part(node, n), n, node, root):
+            node, root, many = (batch.column(i).to_numpy() for i in range(3))
+            for p, block in by_part(id_part(node, n), n, node, root, many):
                 yield p, LABELS, None, pack(*block), None
 
-    return step(labels, blocks)
+    return step(members.select("node", "root", "members"), blocks)
+
+
+def request_rows(asks: DataFrame, n: int, kind: int) -> DataFrame:
+    """(set, component, its number of sets) for the sets' parts, packed by set."""
+
+    def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in rows:
+            sid, root, many = (batch.column(i).to_numpy() for i in range(3))
+            part = id_part(sid, n)
+            order = np.argsort(sid, kind="stable")
+            starts = run_starts(sid[order])
+            for s, e in begin_end(starts, len(sid)):
+                mine = order[s:e]
+                yield int(part[mine[0]]), kind, int(sid[mine[0]]), pack(root[mine], many[mine]), None
+
+    return step(asks.select("sid", "root", "members"), blocks)
 
 
+def nested_rows(wanted: DataFrame, n: int) -> DataFrame:
+    """(set, its component, group, number of sets in the group) for the sets' parts."""
+
+    def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in rows:
+            sid, comp, group, many = (batch.column(i).to_numpy() for i in range(4))
+            for p, s, *x in zip(id_part(sid, n).tolist(), sid.tolist(), group, comp, many, strict=True):
+                yield p, NESTED, s, pack(*(np.array([v], np.int64) for v in x)), None
+
+    return step(wanted.select("sid", "comp", "grp", "many"), blocks)
+
+
+def with_members(labels: DataFrame) -> DataFrame:
+    """node, root and members of every node of a component, its root too."""
+    nodes = labels.union(labels.select("root", "root").distinct())
+    return nodes.join(labels.groupBy("root").agg((F.count("*") + 1).alias("members")), "root").select("node", "root", "members")
+
+
+def requests(lists: DataFrame, members: DataFrame, n: int, percent: int, files: int) -> DataFrame:
+    """Which sets' tokens go where, for the sets' parts.
+
+    Components that share lists make groups. The sets of a group of up to NESTED_BLOCKS blocks are
+    compared by pairs of blocks; in larger groups each set asks the components that it shares a list
+    with.
+    """
+
+    def still(labels: DataFrame) -> DataFrame:
+        two = step(dealt(step(dealt(lists.union(labels), n), components_of_lists, n), n), answer, of_two_components)
+        return dealt(step(dealt(step(dealt(lists.union(labels).union(two), n), open_lists, n), n), distinct_lists, n), n)
+
+    hubs = checkpointed(step(dealt(step(still(label_rows(members, n)), hub_links, n), n), pairs_told, types=PAIR_TYPES, schema=PAIR).distinct(), files)
+    groups = components(hubs.select("u", "v"), files)
+    groups = groups.union(groups.select("root", "root").distinct()).toDF("comp", "grp")
+    sizes = hubs.select(F.col("u").alias("comp"), F.col("mu").alias("m")).union(hubs.select("v", "mv")).distinct().join(groups, "comp")
+    many = sizes.groupBy("grp").agg(F.sum("m").alias("many"))
+    comps = checkpointed(sizes.join(many, "grp").withColumn("dense", F.col("many") <= BLOCK * NESTED_BLOCKS), files)
+    inside = comps.where("dense").join(members.select(F.col("root").alias("comp"), "node"), "comp", "left").select(F.coalesce("node", "comp").alias("sid"), "comp", "grp", "many")
+    nested = nested_rows(inside, n)
+    if comps.where("not dense").isEmpty():
+        return nested
+    as_one = inside.select(F.col("sid").alias("node"), F.col("grp").alias("root"), F.col("many").alias("members"))  # a dense group asks nothing here
+    rest = members.join(as_one.select("node"), "node", "left_anti").select("node", "root", "members")
+    told = step(dealt(step(still(label_rows(rest.union(as_one), n)), open_questions, n, percent), n), pairs_told, types=PAIR_TYPES, schema=PAIR)
+    questions = checkpointed(told.select(F.col("u").alias("sid"), F.col("v").alias("root"), F.col("mv").alias("members")), files)
+    wanted = questions.select("root").distinct().join(members, "root", "left").select(F.coalesce("node", "root").alias("sid"), "root", F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+    return nested.union(request_rows(questions, n, QUERY)).union(request_rows(wanted, n, MEMBER))
+
+
+@tidy
 def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = part_count(docs)
     folder = f"{checkpoint_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -431,36 +638,22 @@ def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id
 
     votes = step(dealt(step(table, prefix_blocks, n, k, percent), n), count_votes, n)
     joined = dealt(votes.union(step(table, texts)), n)
-    step(joined, select_sets, k, percent, types="doc_id long, n long, sid long, tokens binary", schema=FOUND).write.parquet(f"{folder}/found")
-    del votes, joined
-    release(spark)
+    files = file_count(table)
+    step(joined, select_sets, k, percent, types="doc_id long, n long, sid long, tokens binary", schema=FOUND).coalesce(files).write.parquet(f"{folder}/found")
     found = spark.read.schema("doc_id long, n long, sid long, tokens binary").parquet(f"{folder}/found")
 
     copies = step(found.where("sid is not null").select("sid", "n", "tokens"), one_of_copies, n)
-    unique = step(dealt(copies, n), lambda rows: one_each(rows))
-    reps = checkpointed(unique)
+    reps = step(dealt(copies, n), one_each)
     replies = step(dealt(step(reps, token_counts, n), n), answer, shared_by_two)
-    indexed = checkpointed(step(dealt(reps.union(replies), n), index_sets, percent, rare))
-    release(spark)
+    indexed = checkpointed(step(dealt(reps.union(replies), n), index_sets, percent, rare), files)
     sets, lists = indexed.where(F.col("kind") == SET), indexed.where(F.col("kind") == LISTS)
 
-    edges, labels = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = lists if labels is None else dealt(lists.union(label_rows(labels, n)), n)
-        if turn < STAR_ROUNDS:
-            stars = checkpointed(step(placed, local_stars, n, percent, turn))
-            near = step(stars.where(F.col("kind") == PAIRS), unpacked_pairs, types="b long, a long, votes long", schema=PAIR)
-            far = step(dealt(stars.where(F.col("kind") == LISTS), n), wide_stars, percent, turn, types="b long, a long, votes long", schema=PAIR)
-            counted = near.union(far).groupBy("b", "a").agg(F.sum("votes").alias("votes"))
-            pairs = counted.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-        else:
-            replies = step(dealt(step(placed, components_of_lists, n), n), answer, of_two_components)
-            again = lists.union(replies) if labels is None else lists.union(label_rows(labels, n)).union(replies)
-            pairs = step(dealt(step(dealt(again, n), open_lists, n), n), all_open_pairs, percent, types="b long, a long, votes long", schema=PAIR).select("b", "a").distinct()
-        new = verified(pairs, sets, percent)
-        known = new if labels is None else new.union(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        labels = components(known)
-        release(spark)
+    links = "u long, v long"
+    near = step(dealt(step(indexed, chosen_lists, n), n), links_of_lists, percent, types=links, schema=LINK)
+    edges = checkpointed(near.distinct(), files)
+    members = checkpointed(with_members(components(edges, files)), files)
+    late = step(dealt(step(dealt(sets.union(requests(lists, members, n, percent, files)), n), asked, n), n), answered, percent, types=links, schema=LINK)
+    labels = components(edges.union(late), files)
 
     by_set = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
     rooted = by_set.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

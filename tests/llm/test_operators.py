@@ -269,6 +269,21 @@ def test_links_of_a_large_group_of_near_copies(spark):
     assert {r.doc_id: tuple(r)[1:] for r in jaccard_join.link(frame(spark, docs)).collect()} == linked(docs)
 
 
+def test_links_of_groups_too_large_to_nest(spark, texts, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "NESTED_BLOCKS", 0)
+    assert {r.doc_id: tuple(r)[1:] for r in jaccard_join.link(texts).collect()} == linked(rows)
+    draw = np.random.default_rng(5)
+    docs = []
+    for i in range(80):
+        w = [f"word{j}" for j in range(90)]
+        for j in draw.choice(90, int(draw.integers(0, 8)), replace=False):
+            w[j] = f"new{draw.integers(10**6)}"
+        docs.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    assert {r.doc_id: tuple(r)[1:] for r in jaccard_join.link(frame(spark, docs)).collect()} == linked(docs)
+
+
 def test_links_empty(spark):
     assert jaccard_join.link(frame(spark, AWKWARD).limit(0)).count() == 0
 
