@@ -14,11 +14,12 @@ decide every repeat. The steps:
    from the shared prefix on.
 4. In merged order, equal keys are neighbours: all but the first are covered whole. Keys of one gram
    that differ are compared for how far they agree before and after the anchor. Grams that reach
-   over a range's border, or have very many different keys, send each of their LENGTH-byte strings
-   on, by hash, the first of a task only, and all but the earliest are covered.
+   over a range's border send each of their LENGTH-byte strings on, by hash, the first of a task only,
+   and all but the earliest are covered.
 5. Covered spans meet their documents, are joined and cut out.
 
-Strings sent on in step 4 are told apart by 128-bit hashes; everything else compares bytes.
+Strings of grams with more than FEW different keys are told apart by 128 bits of hashes; everything
+else compares bytes.
 
 Cases: a null text is empty; texts under LENGTH bytes keep all; rows that repeat an identifier count
 as documents in order of their texts; a null identifier comes first; an empty table gives no rows;
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import batches, by_part, checkpointed, chunks, dealt, expand, id_part, mix, pack, part_of, partitions, prefix_hash, span_hash, squeeze, unpack, unpack_all
+from ._arrays import BYTE_CODE, batches, begin_end, by_part, checkpointed, chunks, dealt, expand, file_count, id_part, mix, pack, part_of, part_count, prefix_hash, span_hash, squeeze, tidy, unpack, unpack_all
 
 U64 = np.uint64
 LENGTH, GRAM = 100, 32
@@ -43,9 +44,10 @@ BEFORE = LENGTH - GRAM
 ROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("sid", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 TYPES = "part int, kind int, sid long, a binary, b binary"
 GRAMS, PLACES, TEXT, RUN, SAMPLE, SPANS, STRINGS = range(7)
-NONE, MOST_DOCS, MOST_ANCHORS = 65535, 60_000, 3_000_000
+NONE, MOST_DOCS, MOST_ANCHORS = 65535, 60_000, 700_000
 PIECE = 4 << 20
-SAMPLES, MANY = 24, 2000
+SAMPLES, FEW, MOST_STRINGS = 24, 6, 2_000_000
+OTHER_CODE = mix(BYTE_CODE ^ U64(0xA5A5A5A5A5A5A5A5))
 LOWEST = -(1 << 63)
 
 
@@ -76,15 +78,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, grams[found]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, bytes, offsets, base) of chunks; a very long text comes in pieces that overlap by a string."""
+def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, bool]]:
+    """(first row, bytes, offsets, base, whether more of the text follows) of chunks.
+
+    A very long text comes in pieces that overlap by a string.
+    """
     for i, _, data, offsets in chunks(column):
         if len(data) <= PIECE:
-            yield i, data, offsets, 0
+            yield i, data, offsets, 0, False
         else:  # one text
-            for base in range(0, len(data), PIECE - LENGTH):
+            step = PIECE - LENGTH
+            for base in range(0, len(data), step):
                 part = data[base : base + PIECE]
-                yield i, part, np.array([0, len(part)]), base
+                yield i, part, np.array([0, len(part)]), base, base + step < len(data)
 
 
 def gram_blocks(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
@@ -109,7 +115,7 @@ def gram_blocks(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             yield p, PLACES, None, squeeze(pack(d, x)), None
         who, where = np.where(count > 1, NONE, doc[starts]).astype(np.uint16), place[starts]
         first = gram[starts]
-        for p, (g, w, x) in by_part(part_of(first, n), n, first, who, where):
+        for p, (g, w, x) in by_part(part_of(mix(first), n), n, first, who, where):  # anchors have small hashes, so mix them
             own = np.unique(w[w != NONE])
             turn = np.full(NONE + 1, NONE, np.uint16)
             turn[own] = np.arange(len(own), dtype=np.uint16)
@@ -119,7 +125,7 @@ def gram_blocks(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     for batch in rows:
         own = batch.column(0).fill_null(LOWEST).to_numpy()
         before = 0
-        for i, data, offsets, base in pieces(batch.column(1)):
+        for i, data, offsets, base, more in pieces(batch.column(1)):
             found, gram = anchors(data, offsets)
             if base == 0 and i >= before:
                 count = len(offsets) - 1
@@ -132,13 +138,10 @@ def gram_blocks(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             places.append((found - offsets[of] + base).astype(np.uint32))
             hashes.append(gram)
             state["anchors"] += len(found)
-            whole = base == 0 or base + PIECE >= len(data) + base
-            if whole and (state["anchors"] >= MOST_ANCHORS or state["docs"] >= MOST_DOCS - 10_000):
+            if not more and (state["anchors"] >= MOST_ANCHORS or state["docs"] >= MOST_DOCS - 10_000):
                 yield from flush()
                 ids, docs, places, hashes = [], [], [], []
                 state.update(docs=0, anchors=0)
-                if len(batch) > before or base:
-                    ids, state["docs"] = ([own[i : i + 1]], 1) if base else ([], 0)
     yield from flush()
 
 
@@ -227,16 +230,27 @@ class SpanList:
 
     def __init__(self) -> None:
         self.held: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
+        self.blocks: list[tuple[np.ndarray, ...]] = []
 
     def add(self, doc: int, turn: int, span: tuple[int, int] | None) -> None:
         if span:
             for x, v in zip(self.held, (doc, turn, *span), strict=True):
                 x.append(v)
 
+    def add_starts(self, docs: np.ndarray, turns: np.ndarray, starts: np.ndarray) -> None:
+        """Strings that begin at these places, neighbouring ones as one span."""
+        if len(docs):
+            order = np.lexsort((starts, turns, docs))
+            d, t, s = docs[order], turns[order], starts[order].astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + LENGTH)]))
+            last = np.append(new[1:], len(d)) - 1
+            self.blocks.append((d[new], t[new], s[new], s[last] + LENGTH))
+
     def rows(self, n: int) -> Iterator[tuple]:
-        docs = np.array(self.held[0], np.int64)
-        rest = [np.array(x, k) for x, k in zip(self.held[1:], (np.int32, np.uint32, np.uint32), strict=True)]
-        for p, block in by_part(id_part(docs, n), n, docs, *rest):
+        blocks = [*self.blocks, tuple(np.array(x, np.int64) for x in self.held)]
+        docs, *rest = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        rest = [x.astype(k) for x, k in zip(rest, (np.int32, np.uint32, np.uint32), strict=True)]
+        for p, block in by_part(id_part(docs, n), n, docs.astype(np.int64), *rest):
             yield p, SPANS, None, squeeze(pack(*block)), None
 
 
@@ -271,7 +285,7 @@ def sorted_runs(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     docs, places = docs[order], places[order]
     starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
     items: list[Item] = []
-    for s, e in zip(starts.tolist(), np.append(starts[1:], len(docs)).tolist(), strict=True):
+    for s, e in begin_end(starts, len(docs)):
         doc = int(docs[s])
         own = np.unique(places[s:e]).tolist()
         for turn, (_, text) in enumerate(in_turn(texts[doc])):
@@ -370,38 +384,46 @@ class LoserTree:
                 node >>= 1
 
 
-def resolve(group: list[Item], wide: bool, spans: SpanList, strings: dict[bytes, tuple[int, int, int]]) -> None:
+def first_places(one: np.ndarray, two: np.ndarray, docs: np.ndarray, turns: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each string's earliest place, and rows of its other places. A place can come more than once."""
+    order = np.lexsort((starts, turns, docs, two, one))
+    a, b, d, t, s = (x[order] for x in (one, two, docs, turns, starts))
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    first = np.repeat(begin, np.diff(np.append(begin, len(a))))
+    later = (d != d[first]) | (t != t[first]) | (s != s[first])
+    return order[begin], order[later]
+
+
+def resolve(group: list[Item], wide: bool, spans: SpanList, strings: list[tuple[np.ndarray, ...]]) -> None:
     """Cover what keys of one gram repeat of each other; keys of a wide group also go on as strings."""
     group.sort(key=lambda x: x[1:])
-    if not wide and len(group) <= 6:
-        parts = [sides(x[0]) for x in group]
+    parts = [sides(x[0]) for x in group]
+    if not wide and len(group) <= FEW:
         for i in range(1, len(group)):
             right, left = parts[i]
             _, doc, turn, place = group[i]
             for j in range(i):
                 spans.add(doc, turn, reach(common_prefix(right, parts[j][0]), common_prefix(left, parts[j][1]), place))
         return
-    seen: dict[bytes, tuple[int, int, int]] = {}
-    for key, doc, turn, place in group:
-        right, left = sides(key)
-        whole = left[::-1] + right
-        start = place - len(left)
-        run = None
-        for s in range(len(whole) - LENGTH + 1):
-            if s > len(left):
-                break
-            x = whole[s : s + LENGTH]
-            if seen.setdefault(x, (doc, turn, start + s)) != (doc, turn, start + s):
-                if run is not None and run[1] == start + s + LENGTH - 1:
-                    run = (run[0], run[1] + 1)
-                else:
-                    spans.add(doc, turn, run)
-                    run = (start + s, start + s + LENGTH)
-        spans.add(doc, turn, run)
-    if wide:
-        for x, first in seen.items():
-            name = hashlib.blake2b(x, digest_size=16).digest()
-            strings[name] = min(first, strings.get(name, first))
+    left = np.array([len(x) for _, x in parts])
+    size = left + np.array([len(x) for x, _ in parts])
+    text = np.frombuffer(b"".join(x[::-1] + y for y, x in parts), np.uint8)
+    begin = np.cumsum(size) - size
+    count = np.maximum(0, np.minimum(left, size - LENGTH) + 1)
+    item = np.repeat(np.arange(len(group)), count)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    docs, turns, places = (np.array(x, np.int64) for x in list(zip(*group, strict=True))[1:])
+    starts = (places - left)[item] + nth
+    at = begin[item] + nth
+    one, two = (span_hash(prefix_hash(text, codes), at, at + LENGTH) for codes in (BYTE_CODE, OTHER_CODE))
+    passes = 1 + len(item) // MOST_STRINGS
+    for k in range(passes):  # strings of like hash stay together
+        mine = np.flatnonzero(one % U64(passes) == k) if passes > 1 else np.arange(len(item))
+        block = one[mine], two[mine], docs[item[mine]], turns[item[mine]], starts[mine]
+        first, later = first_places(*block)
+        spans.add_starts(*(x[later] for x in block[2:]))
+        if wide:
+            strings.append(tuple(x[first] for x in block))
 
 
 def merged(rows: Iterator[pa.RecordBatch], cuts: list[Item], n: int) -> Iterator[tuple]:
@@ -414,11 +436,11 @@ def merged(rows: Iterator[pa.RecordBatch], cuts: list[Item], n: int) -> Iterator
     if not runs:
         return
     edges = {c[0][:GRAM] for c in cuts[max(0, part - 1) : part + 1]}
-    spans, strings = SpanList(), {}
+    spans, strings = SpanList(), []
     group: list[Item] = []
 
     def finish() -> None:
-        wide = group[0][0][:GRAM] in edges or len(group) > MANY
+        wide = group[0][0][:GRAM] in edges
         if wide or len(group) > 1:
             resolve(group, wide, spans, strings)
 
@@ -436,10 +458,11 @@ def merged(rows: Iterator[pa.RecordBatch], cuts: list[Item], n: int) -> Iterator
     finish()
     yield from spans.rows(n)
     if strings:
-        names = np.frombuffer(b"".join(strings), U64).reshape(-1, 2)
-        docs, turns, starts = (np.array(x, k) for x, k in zip(zip(*strings.values(), strict=True), (np.int64, np.int32, np.uint32), strict=True))
-        for p, block in by_part(part_of(mix(names[:, 0].copy()), n), n, names[:, 0], names[:, 1], docs, turns, starts):
-            yield p, STRINGS, None, pack(*block), None
+        one, two, docs, turns, starts = (np.concatenate(x) for x in zip(*strings, strict=True))
+        first, _ = first_places(one, two, docs, turns, starts)
+        block = one[first], two[first], docs[first], turns[first].astype(np.int32), starts[first].astype(np.uint32)
+        for p, x in by_part(part_of(mix(one[first]), n), n, *block):
+            yield p, STRINGS, None, pack(*x), None
 
 
 def repeated_strings(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
@@ -448,14 +471,10 @@ def repeated_strings(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     for batch in rows:
         blocks += batch.column(3).to_pylist()
     one, two, docs, turns, starts = unpack_all(blocks, U64, U64, np.int64, np.int32, np.uint32)
-    order = np.lexsort((starts, turns, docs, two, one))
-    one, two, docs, turns, starts = (x[order] for x in (one, two, docs, turns, starts))
-    begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
-    first = np.repeat(begin, np.diff(np.append(begin, len(one))))
-    again = np.flatnonzero((docs != docs[first]) | (turns != turns[first]) | (starts != starts[first]))  # a place can come more than once
-    docs, turns, starts = docs[again], turns[again], starts[again]
-    for p, block in by_part(id_part(docs, n), n, docs, turns, starts, starts + np.uint32(LENGTH)):
-        yield p, SPANS, None, squeeze(pack(*block)), None
+    _, later = first_places(one, two, docs, turns, starts)
+    spans = SpanList()
+    spans.add_starts(docs[later], turns[later], starts[later])
+    yield from spans.rows(n)
 
 
 def step(df: DataFrame, f, *args) -> DataFrame:
@@ -480,13 +499,14 @@ def kept_text(data: np.ndarray, gone: np.ndarray) -> str:
     return data[stays[point]].tobytes().decode() if len(point) else ""
 
 
+@tidy
 def trim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """docs without the text, with n_bytes, n_removed, n_spans and kept_sha256 of each whole text.
 
     with_text adds the text again, without the code points whose bytes are all covered.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = part_count(docs)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([text_col] if with_text else [])]
     kept = [c for c in docs.columns if c not in (text_col, *added)]
     table = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *[F.col(c).alias(f"__{c}") for c in kept])
@@ -503,11 +523,12 @@ def trim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
 
     places = step(dealt(step(short, gram_blocks, n), n), repeated_places, n)
     plain = short.mapInArrow(lambda rows: texts_only(texts(rows)), TYPES)
-    runs = checkpointed(step(dealt(places.union(plain), n), sorted_runs, n))
+    files = file_count(short)
+    runs = checkpointed(step(dealt(places.union(plain), n), sorted_runs, n), files)
     samples = [(r.sid, bytes(r.a)) for r in runs.where(F.col("kind") == SAMPLE).select("sid", "a").collect()]  # SAMPLES keys of each part
     cuts = spark.sparkContext.broadcast(borders(samples, n))
     pieces_ = step(runs.where(F.col("kind") == RUN), lambda rows: cut_runs(rows, cuts.value))
-    ranged = checkpointed(step(dealt(pieces_, n), lambda rows: merged(rows, cuts.value, n)))
+    ranged = checkpointed(step(dealt(pieces_, n), lambda rows: merged(rows, cuts.value, n)), files)
     strings = step(dealt(ranged.where(F.col("kind") == STRINGS), n), repeated_strings, n)
     spans = runs.where(F.col("kind") == SPANS).union(ranged.where(F.col("kind") == SPANS)).union(strings)
 
