@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet, in files
+of a size worth having, and read again as the next stage's docs. All but the last keep the columns of documents.
 
 Rejected by the quality classifier, a document goes; of documents linked by shingle similarity the one
 with the smallest doc_id stays (those alone stay too, and so do rows that repeat a kept doc_id); bytes
@@ -17,30 +17,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import fm_decontam, jaccard_join, pattern_packing, quality_rules, suffix_dedup
-from seriesloom.llm._arrays import checkpoint_dir
+from seriesloom.llm._arrays import checkpoint_dir, file_count
 from seriesloom.llm.queries import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kept.coalesce(file_count(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = jaccard_join.link(docs)
     others = linked.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(others, docs["doc_id"] == others["__gone"], "left_anti")
+    return docs.join(others, docs["doc_id"] == others["__gone"], "left_anti").coalesce(file_count(docs))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.trim(docs, with_text=True)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
     length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return left.withColumn("n_chars", length.cast("long")).select(*docs.columns)
+    return left.withColumn("n_chars", length.cast("long")).select(*docs.columns).coalesce(file_count(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = fm_decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    return judged.where(~F.col("contaminated")).select(*docs.columns).coalesce(file_count(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

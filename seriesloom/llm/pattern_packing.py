@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrays import batches, checkpointed
+from ._arrays import batches, checkpointed, file_count
 from ._tokens import encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -139,10 +139,10 @@ def plan(counts: np.ndarray, capacity: int, *, slack: int = 8, most: int = 1500,
     return runs
 
 
-def pack_pieces(found: DataFrame, capacity: int) -> DataFrame:
+def pack_pieces(found: DataFrame, capacity: int, files: int | None = None) -> DataFrame:
     """found with sequence_id and offset; it is written once, then counted and read again."""
     spark = found.sparkSession
-    held = checkpointed(found).withColumn("salt", F.spark_partition_id())
+    held = checkpointed(found, files).withColumn("salt", F.spark_partition_id())
     counts = np.zeros(capacity + 1, np.int64)
     by_salt = held.groupBy("length", "salt").agg(F.count("*").alias("n"))
     for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
@@ -175,4 +175,4 @@ def pack_pieces(found: DataFrame, capacity: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """Pack every whole text: one row for each piece with its sequence and place there."""
-    return pack_pieces(pieces(docs, tokenizer, end_id, capacity), capacity)
+    return pack_pieces(pieces(docs, tokenizer, end_id, capacity), capacity, file_count(docs))

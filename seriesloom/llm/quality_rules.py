@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import checkpointed, text_buffer
+from ._arrays import checkpointed, file_count, text_buffer, tidy
 from .byte_cnn import held_out
 
 STATISTICS = (
@@ -66,7 +66,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     table = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in (b.slice(i, 1000) for b in rows for i in range(0, len(b), 1000)):
             column = batch.column(len(keep))
             data, offsets = text_buffer(column)
             found = [statistics(t or "", np.bincount(data[a:b], minlength=256)) for t, a, b in zip(column.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -202,16 +202,18 @@ def fit(stats: DataFrame, labels: DataFrame, *, most_rows: int = 20_000) -> Ense
     return fit_rules(found[:, 1:], found[:, 0])
 
 
+@tidy
 def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    stats = checkpointed(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
+    stats = checkpointed(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), file_count(docs))
     model = fit(stats, labels, most_rows=most_rows)
     scored = stats.select("doc_id", held_out().alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+@tidy
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = 20_000) -> DataFrame:
     """The rows of docs that score at least the threshold."""
-    stats = checkpointed(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
+    stats = checkpointed(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), file_count(docs))
     model = fit(stats, labels, most_rows=most_rows)
     return with_statistics(docs, docs.columns).where(model.column() >= threshold).select(*docs.columns)
