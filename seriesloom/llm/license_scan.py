@@ -57,17 +57,14 @@ NOTICES = {
 }
 
 
-def signatures(shingles: np.ndarray, window: int) -> np.ndarray:
-    """Band keys of every window of so many shingles: one row for each window."""
-    out = np.empty((len(shingles) - window + 1, BANDS), U64)
-    for band in range(BANDS):
-        key = np.zeros(len(out), U64)
-        for row in range(ROWS):
-            h = mix(shingles ^ SEEDS[band * ROWS + row])
-            least = np.lib.stride_tricks.sliding_window_view(h, window).min(1)
-            key = mix(key * U64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = key
-    return out
+def band_keys(shingles: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    """Band keys of the windows of so many shingles that begin at the starts: one row for each window."""
+    hashed = mix(shingles[None, :] ^ SEEDS[:, None])
+    least = np.lib.stride_tricks.sliding_window_view(hashed, window, axis=1)[:, starts].min(-1)
+    out = np.zeros((BANDS, len(starts)), U64)
+    for row in range(ROWS):
+        out = mix(out * U64(0x9E3779B97F4A7C15) + least[row::ROWS])
+    return out.T
 
 
 @dataclass
@@ -79,6 +76,7 @@ class Templates:
     sets: list[np.ndarray] = field(default_factory=list)
     lengths: dict[int, dict[tuple[int, int], list[int]]] = field(default_factory=dict)
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # by words in a shingle
+    by_length: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, notices: dict[str, str]) -> Templates:
@@ -94,9 +92,10 @@ class Templates:
             out.sets.append(np.unique(grams))
             if n:
                 bands = out.lengths.setdefault(n, {})
-                for band, key in enumerate(signatures(grams, len(grams))[0].tolist()):
+                for band, key in enumerate(band_keys(grams, len(grams), np.zeros(1, np.int64))[0].tolist()):
                     bands.setdefault((band, key), []).append(i)
                 out.shingles[k] = np.union1d(out.shingles.get(k, grams[:0]), grams)
+                out.by_length[n] = np.union1d(out.by_length.get(n, grams[:0]), grams)
         return out
 
 
@@ -107,16 +106,16 @@ def matches(words: np.ndarray, templates: Templates) -> list[tuple[int, int, int
     hits = {k: np.flatnonzero(np.isin(g, templates.shingles[k])) for k, g in grams.items()}
     for n, bands in templates.lengths.items():
         k = min(SHINGLE, n)
-        if k not in hits or not len(hits[k]):
+        own_hits = hits[k][np.isin(grams[k][hits[k]], templates.by_length[n])] if k in hits else ()
+        if not len(own_hits):
             continue
-        step, window = max(1, n // 8), n - k + 1
-        starts = {max(0, s) // step * step for h in hits[k].tolist() for s in range(h - window + 1 - step, h + step, step)}
-        for s in sorted(starts):
-            piece = grams[k][s : s + window]
-            if not len(piece):
-                continue
-            candidates = {t for band, key in enumerate(signatures(piece, len(piece))[0].tolist()) for t in bands.get((band, key), ())}
-            for t in candidates:
+        step, window, size = max(1, n // 8), n - k + 1, len(grams[k])
+        last = max(0, size - window)
+        near = np.unique(np.clip(((own_hits[:, None] - np.arange(0, window + step, step)) // step) * step, 0, last))
+        lo, hi = int(near[0]), min(size, int(near[-1]) + window)
+        width = min(window, size)
+        for s, keys in zip(near.tolist(), band_keys(grams[k][lo:hi], width, near - lo).tolist(), strict=True):
+            for t in {t for band, key in enumerate(keys) for t in bands.get((band, key), ())}:
                 a, b = max(0, s - step), s + window + step
                 own = np.isin(grams[k][a:b], templates.sets[t])
                 share = len(np.unique(grams[k][a:b][own])) / len(templates.sets[t])
