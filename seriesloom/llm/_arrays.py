@@ -7,16 +7,21 @@ and sends a block as one binary cell. A block is bounded by the task's own input
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _files
+
 U64 = np.uint64
 CHUNK = 1 << 20
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -61,12 +66,43 @@ def file_count(docs: DataFrame, target: int = 64 << 20) -> int:
 def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df to the shared checkpoint folder, in at most so many files, cutting its lineage there.
 
-    Tasks that share a file run one partition after another.
+    Tasks that share a file run one partition after another. Where the folder is a mounted file system,
+    the Python workers write Arrow files, each under a name of its attempt; the driver sees their names.
+    Elsewhere it is Spark's own checkpoint.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return (df.coalesce(files) if files else df).checkpoint()
+    spark, place = df.sparkSession, checkpoint_dir(df.sparkSession)
+    df = df.coalesce(files) if files else df
+    if _files.local(place) is None:
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(place)
+        return df.checkpoint()
+    folder, schema = f"{_files.local(place)}/blocks-{uuid.uuid4().hex}", df.schema
+
+    def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, writer = TaskContext.get(), None
+        path = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
+        for batch in rows:
+            if writer is None:
+                os.makedirs(folder, exist_ok=True)
+                writer = pa.ipc.new_file(f"{path}.writing", batch.schema)
+            writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            os.replace(f"{path}.writing", path)
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for path in batch.column(1).to_pylist():
+                with pa.OSFile(path) as f:
+                    table = pa.ipc.open_file(f)
+                    for i in range(table.num_record_batches):
+                        yield table.get_batch(i)
+
+    paths = sorted(r.path for r in df.mapInArrow(write, "path string").collect())  # a name for each file
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.createDataFrame(list(enumerate(paths)), "part int, path string").repartitionById(len(paths), F.col("part")).mapInArrow(read, schema)
 
 
 TIDY = {
