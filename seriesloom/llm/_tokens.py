@@ -16,7 +16,7 @@ import struct
 from functools import cache
 from string import punctuation
 
-MOST_HELD, LONGEST_HELD = 500_000, 32
+MOST_HELD, LONGEST_HELD = 200_000, 32
 SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
 PLAIN_END, DOTTED_I = "ɐ", "İ"  # Latin letters below the first are whole and lower-case alone, but for the second
 
