@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import intervals, revisions, series
 from . import bindings as b
 from .bindings import AS_OF, MEMBER_SQL, NAV_SQL, PAYOUT_SQL
-from .series_queries import endpoints_sql, rounded
+from .series_queries import endpoints_sql, rounded, sql_round
 
 
 def scheme_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +308,9 @@ PROVIDER_SQL = "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = '
 
 def return_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price, gross and net observations of each order as rows; a missing one gives none."""
-    li = b.table(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
-    wide = li.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"), F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")), 2).alias("gross"), F.when(F.col("l_discount") > 0, F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)).alias("net"))
-    return wide.unpivot(["l_orderkey", "l_linenumber"], ["price", "gross", "net"], "basis", "value").where("value is not null").groupBy("l_orderkey", "basis").agg(F.count("*").alias("n"), F.round(F.max("value"), 2).alias("most"))
+    li = b.table(spark, sf_dir, "lineitem")
+    wide = li.select("l_orderkey", "l_linenumber", sql_round(F.col("l_extendedprice"), 2).alias("price"), sql_round(F.col("l_extendedprice") * (1 + F.col("l_tax")), 2).alias("gross"), F.when(F.col("l_discount") > 0, sql_round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)).alias("net"))
+    return wide.unpivot(["l_orderkey", "l_linenumber"], ["price", "gross", "net"], "basis", "value").where("value is not null").groupBy("l_orderkey", "basis").agg(F.count("*").alias("n"), sql_round(F.max("value"), 2).alias("most"))
 
 
 BASES_SQL = """WITH w AS (SELECT l_orderkey, round(l_extendedprice, 2) AS price, round(l_extendedprice * (1 + l_tax), 2) AS gross, CASE WHEN l_discount > 0 THEN round(l_extendedprice * (1 - l_discount), 2) END AS net FROM lineitem WHERE l_orderkey <= 500),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
@@ -11,6 +11,11 @@ from . import bindings as b
 from .bindings import AS_OF, BENCH_SQL, MEMBER_SQL, NAV_SQL, PAYOUT_SQL
 
 
+def sql_round(x: Column, places: int) -> Column:
+    """x rounded as the SQL does: a product of doubles, not its decimal text, decides what is a half."""
+    return F.round(x * 10**places) / 10**places
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles at the output's precision; minus zero is zero."""
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
