@@ -29,3 +29,10 @@ def test_return_bases_of_late_orders(spark, tmp_path):
     rows = lines(l_orderkey=[500, 501, 100_000], l_discount=[0.5, 0.25, 0.0])
     found, wanted = both(spark, tmp_path, catalog_queries.return_bases, catalog_queries.BASES_SQL, " WHERE l_orderkey <= 500", lineitem=rows)
     assert found == wanted and {r[0] for r in found} == {500, 501, 100_000}
+
+
+def test_alias_versions_of_all_users(spark, tmp_path):
+    rows = pd.DataFrame({"user_id": [50, 51, 51, 51, 900], "event_id": [1, 2, 3, 4, 5], "event_type": ["x", "x", "x", "y", "z"]})
+    query, sql = report_queries.alias_versions, report_queries.VERSIONS_SQL
+    found, wanted = (sorted(map(str, x)) for x in both(spark, tmp_path, query, sql, " WHERE user_id <= 50", events=rows))
+    assert found == wanted and len(found) == 4
