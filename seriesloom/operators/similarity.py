@@ -5,13 +5,15 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions import text
 
+HALF_DIGIT = 5e-7  # scores are rounded to six places, so one that is less than the threshold by this can reach it
+
 
 @pandas_udf(DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -19,11 +21,29 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def numbered_characters(label: Column) -> Column:
+    """The characters of a label, each with how often it came before: as a set, what the label has of each."""
+    chars = F.when(F.length(label) > 0, F.transform(F.sequence(F.lit(1), F.length(label)), lambda i: F.substring(label, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).cast("string")))
+
+
 def proposals(labels: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """a, b, score of the distinct labels that share a word and are alike by words or by blocks."""
-    words = labels.select("label").distinct().withColumn("t", text.tokens(F.col("label")))
+    """a, b, score of the distinct labels that are alike by words or by blocks.
+
+    Candidates are the pairs that share a word, and those whose lengths and common characters, which
+    matching blocks cannot exceed, let the block ratio reach the threshold.
+    """
+    least = threshold - HALF_DIGIT
+    words = labels.select("label").where("label is not null").distinct().withColumn("t", text.tokens(F.col("label")))
     each = words.select("label", "t", F.explode("t").alias("w"))
     left, right = each.select(F.col("label").alias("a"), F.col("t").alias("ta"), "w"), each.select(F.col("label").alias("b"), F.col("t").alias("tb"), "w")
-    pairs = left.join(right, "w").where("a < b").select("a", "b", "ta", "tb").distinct()
+    by_word = left.join(right, "w").where("a < b").select("a", "b", "ta", "tb")
+    long = words.select("label", "t", F.length("label").alias("n"), numbered_characters(F.col("label")).alias("c"))
+    sizes = long.select("n").distinct()
+    near = sizes.select(F.col("n").alias("na")).crossJoin(sizes.select(F.col("n").alias("nb"))).where(2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb")))
+    left, right = (long.select(F.col("label").alias(x), F.col("t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+    enough = 2 * F.size(F.array_intersect("ca", "cb")) >= least * (F.col("na") + F.col("nb"))
+    by_block = left.join(near, "na").join(right, "nb").where((F.col("a") < F.col("b")) & enough).select("a", "b", "ta", "tb")
+    pairs = by_word.union(by_block).dropDuplicates(["a", "b"])
     score = F.round(F.greatest(text.jaccard(F.col("ta"), F.col("tb")), block_ratio("a", "b")), 6)
     return pairs.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "score")
