@@ -278,7 +278,7 @@ def ordered_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by exact (day, value) evidence: mapped, ambiguous or unresolved."""
     nav = b.nav(spark, sf_dir)
-    left = nav.where("code <= 20").select((F.col("code") + 1000).alias("candidate"), "code", "d", F.when((F.col("code") % 5 == 0) & (F.dayofmonth("d") == 1), F.col("v") + 1).otherwise(F.col("v")).alias("value"))
+    left = nav.select((F.col("code") + 1000).alias("candidate"), "code", "d", F.when((F.col("code") % 5 == 0) & (F.dayofmonth("d") == 1), F.col("v") + 1).otherwise(F.col("v")).alias("value"))
     return revisions.mapping_state(revisions.identity_evidence(left, nav))
 
 

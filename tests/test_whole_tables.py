@@ -36,3 +36,11 @@ def test_alias_versions_of_all_users(spark, tmp_path):
     query, sql = report_queries.alias_versions, report_queries.VERSIONS_SQL
     found, wanted = (sorted(map(str, x)) for x in both(spark, tmp_path, query, sql, " WHERE user_id <= 50", events=rows))
     assert found == wanted and len(found) == 4
+
+
+def test_identity_mapping_of_all_series(spark, tmp_path):
+    days = [D(2000, m, 2) for m in (1, 2, 3)]
+    rows = lines(l_suppkey=[20] * 3 + [21] * 3 + [900] * 3, l_shipdate=days * 3, l_orderkey=range(9))
+    query, sql = catalog_queries.identity_mapping, catalog_queries.IDENTITY_SQL
+    found, wanted = both(spark, tmp_path, query, sql, " WHERE code <= 20", lineitem=rows)
+    assert found == wanted == [(1020, 1, "mapped", 20), (1021, 1, "mapped", 21), (1900, 1, "mapped", 900)]
