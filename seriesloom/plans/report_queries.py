@@ -9,7 +9,7 @@ from ..functions import labels
 from ..operators import ledgers, payouts, series, similarity
 from . import bindings as b
 from .bindings import AS_OF, BENCH_SQL, MEMBER_SQL, NAV_SQL, PAYOUT_SQL
-from .series_queries import YIELD_SQL, rolling_sql, rounded
+from .series_queries import YIELD_SQL, rolling_sql, rounded, sql_round
 
 
 def label_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def label_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scheme_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest 50 payout days of some series, with revisions and every source beside each."""
-    obs = b.observations(spark, sf_dir).where("code <= 5 and l_returnflag = 'R'").withColumn("amount", F.round(F.col("l_discount") * F.col("v"), 6))
+    """The latest 50 payout days of each series, with revisions and every source beside each."""
+    obs = b.observations(spark, sf_dir).where("l_returnflag = 'R'").withColumn("amount", sql_round(F.col("l_discount") * F.col("v"), 6))
     source = F.concat_ws(":", F.lpad(F.col("seq1").cast("string"), 12, "0"), F.col("seq2").cast("string"), F.col("l_linestatus"))
     days = obs.groupBy("code", "d").agg(F.count("*").alias("revisions"), F.max_by("amount", F.struct("seq1", "seq2")).alias("amount"), F.array_join(F.sort_array(F.collect_list(source)), "|").alias("provenance"))
     latest = Window.partitionBy("code").orderBy(F.desc("d"))

@@ -44,3 +44,11 @@ def test_identity_mapping_of_all_series(spark, tmp_path):
     query, sql = catalog_queries.identity_mapping, catalog_queries.IDENTITY_SQL
     found, wanted = both(spark, tmp_path, query, sql, " WHERE code <= 20", lineitem=rows)
     assert found == wanted == [(1020, 1, "mapped", 20), (1021, 1, "mapped", 21), (1900, 1, "mapped", 900)]
+
+
+def test_scheme_distributions_of_all_series(spark, tmp_path):
+    days = [D(2000, 1, 1) + datetime.timedelta(i) for i in range(60)]
+    rows = lines(l_suppkey=[5] * 60 + [6] * 60 + [900], l_shipdate=[*days, *days, days[0]], l_orderkey=range(121))
+    query, sql = report_queries.scheme_distributions, report_queries.DISTRIBUTIONS_SQL
+    found, wanted = both(spark, tmp_path, query, sql, "code <= 5 AND ", lineitem=rows)
+    assert found == wanted and [sum(r[0] == c for r in found) for c in (5, 6, 900)] == [50, 50, 1]
