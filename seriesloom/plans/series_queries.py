@@ -218,8 +218,8 @@ FROM supplier LEFT JOIN t ON t.code = s_suppkey LEFT JOIN g ON g.code = s_suppke
 
 
 def nearest_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For payouts of a few series, the nearest index point within a week."""
-    marks = b.payouts(spark, sf_dir).where("code <= 3").select(F.concat_ws("-", "code", "d").alias("id"), F.lit("1-URGENT").alias("code"), F.col("d").alias("t"))
+    """For each payout, the nearest index point within a week."""
+    marks = b.payouts(spark, sf_dir).select(F.concat_ws("-", "code", "d").alias("id"), F.lit("1-URGENT").alias("code"), F.col("d").alias("t"))
     out = series.nearest(marks, b.benchmark(spark, sf_dir), 7)
     return rounded(out).withColumn("off_days", F.col("off_days").cast("long"))
 

@@ -52,3 +52,11 @@ def test_scheme_distributions_of_all_series(spark, tmp_path):
     query, sql = report_queries.scheme_distributions, report_queries.DISTRIBUTIONS_SQL
     found, wanted = both(spark, tmp_path, query, sql, "code <= 5 AND ", lineitem=rows)
     assert found == wanted and [sum(r[0] == c for r in found) for c in (5, 6, 900)] == [50, 50, 1]
+
+
+def test_nearest_markers_of_all_series(spark, tmp_path):
+    rows = lines(l_suppkey=[3, 4, 900, 901], l_shipdate=[D(2000, 1, 1), D(2000, 1, 2), D(2000, 1, 6), D(2001, 1, 1)])
+    index = pd.DataFrame({"o_orderkey": [1, 2], "o_orderpriority": "1-URGENT", "o_orderdate": [D(2000, 1, 1), D(2000, 1, 3)], "o_totalprice": [10.0, 20.0]})
+    query, sql = series_queries.nearest_markers, series_queries.NEAREST_SQL
+    found, wanted = both(spark, tmp_path, query, sql, " WHERE code <= 3", lineitem=rows, orders=index)
+    assert found == wanted and [(r[0], r[2], r[4]) for r in found] == [("3-2000-01-01", 0, 10.0), ("4-2000-01-02", 1, 10.0), ("900-2000-01-06", 3, 20.0)]
