@@ -3,10 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet, in files
 of a size worth having, and read again as the next stage's docs. All but the last keep the columns of documents.
 
-Rejected by the quality classifier, a document goes; of documents linked by shingle similarity the one
-with the smallest doc_id stays (those alone stay too, and so do rows that repeat a kept doc_id); bytes
-that repeat an earlier 100-byte string are cut, code points whole, and documents of which nothing but
-white space is left go; contaminated documents go; the rest is packed.
+Rejected by the quality classifier, a document goes; of rows linked by shingle similarity one with the
+smallest doc_id stays, a null counting as the largest (those alone stay too); bytes that repeat an
+earlier 100-byte string are cut, code points whole, and documents of which nothing but white space is
+left go; contaminated documents go; the rest is packed.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_join.link(docs)
-    others = linked.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(others, docs["doc_id"] == others["__gone"], "left_anti").coalesce(file_count(docs))
+    folder = f"{checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"  # a key that is drawn anew could name another row
+    docs.withColumn("__key", F.monotonically_increasing_id()).coalesce(file_count(docs)).write.parquet(folder)
+    keyed = spark.read.parquet(folder)
+    linked = jaccard_join.link(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key"))
+    kept = keyed.select("__key", "doc_id").join(linked, "__key").groupBy("component_id").agg(first.alias("x")).select(F.col("x.__key").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns).coalesce(file_count(docs))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
