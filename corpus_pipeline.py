@@ -13,14 +13,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import fm_decontam, jaccard_join, pattern_packing, quality_rules, suffix_dedup
-from seriesloom.llm._arrays import checkpoint_dir, file_count
+from seriesloom.llm._arrays import checkpoint_dir, file_count, fresh
 from seriesloom.llm.queries import tokenizer_path
 
 
+def veiled(docs: DataFrame) -> DataFrame:
+    """docs with names of our own for all columns but doc_id and text, so that none meets an operator's."""
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
+
+
+def unveiled(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """df with the columns of docs under their own names, but for replaced ones."""
+    return df.select(*[(replaced[c] if c in replaced else F.col(c if c in ("doc_id", "text") else f"__c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return kept.coalesce(file_count(docs))
@@ -28,24 +38,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"  # a key that is drawn anew could name another row
-    docs.withColumn("__key", F.monotonically_increasing_id()).coalesce(file_count(docs)).write.parquet(folder)
+    key = fresh(docs.columns, "__key")
+    docs.withColumn(key, F.monotonically_increasing_id()).coalesce(file_count(docs)).write.parquet(folder)
     keyed = spark.read.parquet(folder)
-    linked = jaccard_join.link(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key"))
-    kept = keyed.select("__key", "doc_id").join(linked, "__key").groupBy("component_id").agg(first.alias("x")).select(F.col("x.__key").alias("__key"))
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns).coalesce(file_count(docs))
+    linked = jaccard_join.link(keyed, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key))
+    kept = keyed.select(key, "doc_id").join(linked, key).groupBy("component_id").agg(first.alias("x")).select(F.col("x").getField(key).alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns).coalesce(file_count(docs))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.trim(docs, with_text=True)
+    cut = suffix_dedup.trim(veiled(docs), with_text=True)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
-    length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return left.withColumn("n_chars", length.cast("long")).select(*docs.columns).coalesce(file_count(docs))
+    new = {}
+    if "n_chars" in docs.columns:
+        own = F.col(f"__c{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("n_removed") == 0, own).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return unveiled(left, docs, **new).coalesce(file_count(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = fm_decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns).coalesce(file_count(docs))
+    judged = fm_decontam.scan(veiled(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unveiled(judged.where(~F.col("contaminated")), docs).coalesce(file_count(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

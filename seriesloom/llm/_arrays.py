@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import wraps
 
 import numpy as np
@@ -30,16 +30,20 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def partitions(spark: SparkSession) -> int:
-    """The number of partitions that exchanges use: spark.sql.shuffle.partitions."""
+    """The number of partitions that Spark's own exchanges use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is set only where none is named (tests)."""
+    """The shared folder that the session names. In local mode one is chosen where none is named; a cluster has to name it."""
     place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext._jsc.sc().conf().get("spark.checkpoint.dir", "")
     if not place:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = set_before.get() if set_before.isDefined() else "/tmp/checkpoints"
+        if set_before.isDefined():
+            return set_before.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = "/tmp/checkpoints"
     return place
 
 
@@ -48,90 +52,132 @@ def input_bytes(docs: DataFrame) -> int:
     return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+UNKNOWN = 1 << 50
+MOST_PARTITIONS = 1 << 14  # of one exchange; more parts than that share partitions, where Spark's sort keeps them apart
+
+
 def part_count(docs: DataFrame, target: int = 4 << 20) -> int:
-    """How many parts a packed exchange over docs has: one for each target bytes, at least two for each core.
+    """How many parts a packed exchange over docs has: one for each target bytes of input, at least two for each core.
 
-    Blocks number as the square of the parts, so there are never more than the session's shuffle partitions.
+    An input whose size the optimizer cannot tell, or puts beyond a petabyte, gets as many as Spark's exchanges.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(partitions(docs.sparkSession), max(2 * cores, -(-input_bytes(docs) // target))))
+    spark, size = docs.sparkSession, input_bytes(docs)
+    parts = -(-size // target) if size < UNKNOWN else partitions(spark)
+    return int(min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, parts)))
 
 
-def file_count(docs: DataFrame, target: int = 64 << 20) -> int:
-    """How many files a result over docs is worth: twice the cores, or one for each target bytes of input."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return int(min(1 << 20, max(2 * cores, -(-input_bytes(docs) // target))))
+def file_count(docs: DataFrame, target: int = 32 << 20) -> int:
+    """How many files a result over docs is worth: one for each target bytes of input, at least one for each core."""
+    spark, size = docs.sparkSession, input_bytes(docs)
+    files = -(-size // target) if size < UNKNOWN else partitions(spark)
+    return int(min(1 << 20, max(spark.sparkContext.defaultParallelism, files)))
 
 
-def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Write df to the shared checkpoint folder, in at most so many files, cutting its lineage there.
+def checkpointed(df: DataFrame, last: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, types: str = "") -> DataFrame:
+    """A table in the shared checkpoint folder with the rows of df, or of last over df, whose columns are types.
 
-    Tasks that share a file run one partition after another. Where the folder is a mounted file system,
-    the Python workers write Arrow files, each under a name of its attempt; the driver sees their names.
-    Elsewhere it is Spark's own checkpoint.
+    Where the folder is a mounted file system, last and the writing are one pass of the Python workers:
+    each task writes a Parquet file under a name of its attempt, a row group for each record batch, and
+    the driver sees the names. Elsewhere Spark writes the table. discard() removes it.
     """
     spark, place = df.sparkSession, checkpoint_dir(df.sparkSession)
-    df = df.coalesce(files) if files else df
+    schema = spark.createDataFrame([], types).schema if last else df.schema
+    last = last or (lambda rows: rows)
+    folder = f"{_files.local(place) or place}/blocks-{uuid.uuid4().hex}"
     if _files.local(place) is None:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(place)
-        return df.checkpoint()
-    folder, schema = f"{_files.local(place)}/blocks-{uuid.uuid4().hex}", df.schema
+        df.mapInArrow(last, schema).write.parquet(folder)
+        stored = spark.read.schema(schema).parquet(folder)
+        stored.stored_in = folder
+        return stored
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet
+
         task, writer = TaskContext.get(), None
-        path = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
-        for batch in rows:
+        path = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}.parquet"
+        for batch in last(rows):
             if writer is None:
                 os.makedirs(folder, exist_ok=True)
-                writer = pa.ipc.new_file(f"{path}.writing", batch.schema)
+                writer = pyarrow.parquet.ParquetWriter(f"{path}.writing", batch.schema, compression="zstd", use_dictionary=False, write_statistics=False)
             writer.write_batch(batch)
         if writer is not None:
             writer.close()
             os.replace(f"{path}.writing", path)
             yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
-    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for path in batch.column(1).to_pylist():
-                with pa.OSFile(path) as f:
-                    table = pa.ipc.open_file(f)
-                    for i in range(table.num_record_batches):
-                        yield table.get_batch(i)
-
     paths = sorted(r.path for r in df.mapInArrow(write, "path string").collect())  # a name for each file
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(list(enumerate(paths)), "part int, path string").repartitionById(len(paths), F.col("part")).mapInArrow(read, schema)
+    stored = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    stored.stored_in = folder
+    return stored
 
 
-TIDY = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # a job's shuffle files go when it ends
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",  # whole texts and packed blocks make large records
+def discard(*tables: DataFrame) -> None:
+    """Remove checkpointed tables that nothing reads any more."""
+    for df in tables:
+        if folder := df.__dict__.get("stored_in"):
+            _files.remove(folder)
+
+
+WORKERS = {  # of the Python workers: freed memory goes back to the system at once
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": "262144",
+    "MALLOC_TRIM_THRESHOLD_": "1048576",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
 }
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a job's shuffle files go when it ends
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound what a Python worker holds: small record batches, memory given back.
+
+    These settings stay, since results are computed after the operator returned.
+    """
+    spark.sparkContext.environment.update(WORKERS)
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
 
 
 def tidy(f):
-    """f under the settings above: what comes after a job reads checkpoints, not its shuffle files."""
+    """f with bounded workers; what comes after a job inside f reads stored tables, not the job's shuffle files."""
 
     @wraps(f)
     def run(docs: DataFrame, *args, **kwargs):
-        conf = docs.sparkSession.conf
-        before = {k: conf.get(k, None) for k in TIDY}
-        for k, v in TIDY.items():
-            conf.set(k, v)
+        spark = docs.sparkSession
+        bounded(spark)
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
         try:
             return f(docs, *args, **kwargs)
         finally:
-            for k, v in before.items():
-                if v is None:
-                    conf.unset(k)
-                else:
-                    conf.set(k, v)
+            if before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
 
     return run
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """Inner join of many with one, which has a row for each key, where a key can hold a large share of many.
+
+    The rows of a key are dealt by a hash of another column; each pair of key and salt that occurs gets
+    its own row of one, so that a task meets a part of a hot key only.
+    """
+    salted = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    pairs = salted.select(key, "__salt").distinct().join(one, key)
+    return salted.join(pairs, [key, "__salt"]).drop("__salt")
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and its n+1 offsets; a null is empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
@@ -302,8 +348,40 @@ def id_part(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def dealt(df: DataFrame, n: int, column: str = "part") -> DataFrame:
-    """df with the rows of part i in partition i."""
-    return df.repartitionById(n, F.col(column))
+    """df with each part in one partition; parts that share one stand one after another there."""
+    if n <= MOST_PARTITIONS:
+        return df.repartitionById(n, F.col(column))
+    return df.repartitionById(MOST_PARTITIONS, F.pmod(F.col(column), F.lit(MOST_PARTITIONS)).cast("int")).sortWithinPartitions(column)
+
+
+def by_parts(rows: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The record batches of each part of a partition, whose first column is the part's number."""
+    waiting: list[pa.RecordBatch] = []
+
+    def pieces() -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+    source = pieces()
+
+    def one(first: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        part = first.column(0)[0].as_py()
+        yield first
+        for batch in source:
+            if batch.column(0)[0].as_py() != part:
+                waiting.append(batch)
+                return
+            yield batch
+
+    for batch in source:
+        waiting.append(batch)
+        while waiting:
+            group = one(waiting.pop())
+            yield group
+            for _ in group:  # what the receiver left unread
+                pass
 
 
 SQUEEZE, EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()

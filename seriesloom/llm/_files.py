@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import shutil
 from urllib.parse import unquote, urlparse
 
 
@@ -43,3 +44,15 @@ def open_seekable(uri: str):
 
     system, path = pyarrow.fs.FileSystem.from_uri(uri)
     return system.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    """Remove a folder, if it is there."""
+    if (path := local(uri)) is not None:
+        shutil.rmtree(path, ignore_errors=True)
+        return
+    import pyarrow.fs
+
+    system, path = pyarrow.fs.FileSystem.from_uri(uri)
+    if system.get_file_info(path).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(path)

@@ -26,7 +26,6 @@ ignored; an empty table gives no rows. A null identifier's component is the smal
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import batches, begin_end, by_part, checkpoint_dir, checkpointed, chunks, dealt, expand, file_count, id_part, mix, pack, part_of, part_count, shingle_sets, squeeze, tidy, unpack, unpack_all
+from ._arrays import batches, begin_end, by_part, by_parts, checkpointed, chunks, dealt, discard, expand, id_part, mix, pack, part_count, part_of, shingle_sets, spread_join, squeeze, tidy, unpack, unpack_all
 from ._components import components
 
 U64 = np.uint64
@@ -540,9 +539,19 @@ def answered(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int
                 yield sid, sids[hit[0]]
 
 
-def step(df: DataFrame, f: Callable, *args, types: str = TYPES, schema: pa.Schema = ROW) -> DataFrame:
+def step(df: DataFrame, f: Callable, *args) -> DataFrame:
     """f over each partition's record batches."""
-    return df.mapInArrow(lambda rows: batches(f(rows, *args), schema), types)
+    return df.mapInArrow(lambda rows: batches(f(rows, *args), ROW), TYPES)
+
+
+def received(f: Callable, *args, schema: pa.Schema = ROW) -> Callable:
+    """A pass over the record batches of a partition: f over those of each part."""
+    return lambda rows: (batch for part in by_parts(rows) for batch in batches(f(part, *args), schema))
+
+
+def exchange(df: DataFrame, n: int, f: Callable, *args, types: str = TYPES, schema: pa.Schema = ROW) -> DataFrame:
+    """f over the rows of each of the n parts."""
+    return dealt(df, n).mapInArrow(received(f, *args, schema=schema), types)
 
 
 def label_rows(members: DataFrame, n: int) -> DataFrame:
@@ -588,11 +597,11 @@ def nested_rows(wanted: DataFrame, n: int) -> DataFrame:
 def with_members(labels: DataFrame) -> DataFrame:
     """node, root and members of every node of a component, its root too."""
     nodes = labels.union(labels.select("root", "root").distinct())
-    return nodes.join(labels.groupBy("root").agg((F.count("*") + 1).alias("members")), "root").select("node", "root", "members")
+    return spread_join(nodes, labels.groupBy("root").agg((F.count("*") + 1).alias("members")), "root", "node").select("node", "root", "members")
 
 
-def requests(lists: DataFrame, members: DataFrame, n: int, percent: int, files: int) -> DataFrame:
-    """Which sets' tokens go where, for the sets' parts.
+def requests(lists: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Which sets' tokens go where, for the sets' parts, and the stored tables that this reads.
 
     Components that share lists make groups. The sets of a group of up to NESTED_BLOCKS blocks are
     compared by pairs of blocks; in larger groups each set asks the components that it shares a list
@@ -600,33 +609,36 @@ def requests(lists: DataFrame, members: DataFrame, n: int, percent: int, files:
     """
 
     def still(labels: DataFrame) -> DataFrame:
-        two = step(dealt(step(dealt(lists.union(labels), n), components_of_lists, n), n), answer, of_two_components)
-        return dealt(step(dealt(step(dealt(lists.union(labels).union(two), n), open_lists, n), n), distinct_lists, n), n)
+        two = exchange(exchange(lists.union(labels), n, components_of_lists, n), n, answer, of_two_components)
+        return exchange(exchange(lists.union(labels).union(two), n, open_lists, n), n, distinct_lists, n)
 
-    hubs = checkpointed(step(dealt(step(still(label_rows(members, n)), hub_links, n), n), pairs_told, types=PAIR_TYPES, schema=PAIR).distinct(), files)
-    groups = components(hubs.select("u", "v"), files)
-    groups = groups.union(groups.select("root", "root").distinct()).toDF("comp", "grp")
+    told = exchange(still(label_rows(members, n)), n, hub_links, n)
+    hubs = checkpointed(exchange(told, n, pairs_told, types=PAIR_TYPES, schema=PAIR).distinct())
+    labels = components(hubs.select("u", "v"))
+    groups = labels.union(labels.select("root", "root").distinct()).toDF("comp", "grp")
     sizes = hubs.select(F.col("u").alias("comp"), F.col("mu").alias("m")).union(hubs.select("v", "mv")).distinct().join(groups, "comp")
     many = sizes.groupBy("grp").agg(F.sum("m").alias("many"))
-    comps = checkpointed(sizes.join(many, "grp").withColumn("dense", F.col("many") <= BLOCK * NESTED_BLOCKS), files)
+    comps = checkpointed(spread_join(sizes, many, "grp", "comp").withColumn("dense", F.col("many") <= BLOCK * NESTED_BLOCKS))
+    discard(hubs, labels)
     inside = comps.where("dense").join(members.select(F.col("root").alias("comp"), "node"), "comp", "left").select(F.coalesce("node", "comp").alias("sid"), "comp", "grp", "many")
     nested = nested_rows(inside, n)
     if comps.where("not dense").isEmpty():
-        return nested
+        return nested, [comps]
     as_one = inside.select(F.col("sid").alias("node"), F.col("grp").alias("root"), F.col("many").alias("members"))  # a dense group asks nothing here
     rest = members.join(as_one.select("node"), "node", "left_anti").select("node", "root", "members")
-    told = step(dealt(step(still(label_rows(rest.union(as_one), n)), open_questions, n, percent), n), pairs_told, types=PAIR_TYPES, schema=PAIR)
-    questions = checkpointed(told.select(F.col("u").alias("sid"), F.col("v").alias("root"), F.col("mv").alias("members")), files)
-    wanted = questions.select("root").distinct().join(members, "root", "left").select(F.coalesce("node", "root").alias("sid"), "root", F.coalesce("members", F.lit(1)).cast("long").alias("members"))
-    return nested.union(request_rows(questions, n, QUERY)).union(request_rows(wanted, n, MEMBER))
+    told = exchange(still(label_rows(rest.union(as_one), n)), n, open_questions, n, percent)
+    found = exchange(told, n, pairs_told, types=PAIR_TYPES, schema=PAIR)
+    questions = checkpointed(found.select(F.col("u").alias("sid"), F.col("v").alias("root"), F.col("mv").alias("members")))
+    roots = questions.select("root").distinct()
+    alone = roots.join(members, "root", "left_anti").select(F.col("root").alias("sid"), "root", F.lit(1).cast("long").alias("members"))
+    wanted = spread_join(members, roots, "root", "node").select(F.col("node").alias("sid"), "root", "members").union(alone)
+    return nested.union(request_rows(questions, n, QUERY)).union(request_rows(wanted, n, MEMBER)), [comps, questions]
 
 
 @tidy
 def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    spark = docs.sparkSession
     n = part_count(docs)
-    folder = f"{checkpoint_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def texts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -636,31 +648,34 @@ def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id
             for p, doc_id, text in zip(part, ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield p, TEXT, doc_id or 0, squeeze((text or "").encode()), b"null" if doc_id is None else None
 
-    votes = step(dealt(step(table, prefix_blocks, n, k, percent), n), count_votes, n)
+    votes = exchange(step(table, prefix_blocks, n, k, percent), n, count_votes, n)
     joined = dealt(votes.union(step(table, texts)), n)
-    files = file_count(table)
-    step(joined, select_sets, k, percent, types="doc_id long, n long, sid long, tokens binary", schema=FOUND).coalesce(files).write.parquet(f"{folder}/found")
-    found = spark.read.schema("doc_id long, n long, sid long, tokens binary").parquet(f"{folder}/found")
+    found = checkpointed(joined, received(select_sets, k, percent, schema=FOUND), "doc_id long, n long, sid long, tokens binary")
 
     copies = step(found.where("sid is not null").select("sid", "n", "tokens"), one_of_copies, n)
-    reps = step(dealt(copies, n), one_each)
-    replies = step(dealt(step(reps, token_counts, n), n), answer, shared_by_two)
-    indexed = checkpointed(step(dealt(reps.union(replies), n), index_sets, percent, rare), files)
+    reps = checkpointed(dealt(copies, n), received(one_each), TYPES)
+    replies = exchange(exchange(reps, n, token_counts, n), n, answer, shared_by_two)
+    indexed = checkpointed(dealt(reps.union(replies), n), received(index_sets, percent, rare), TYPES)
+    discard(reps)
     sets, lists = indexed.where(F.col("kind") == SET), indexed.where(F.col("kind") == LISTS)
 
     links = "u long, v long"
-    near = step(dealt(step(indexed, chosen_lists, n), n), links_of_lists, percent, types=links, schema=LINK)
-    edges = checkpointed(near.distinct(), files)
-    members = checkpointed(with_members(components(edges, files)), files)
-    late = step(dealt(step(dealt(sets.union(requests(lists, members, n, percent, files)), n), asked, n), n), answered, percent, types=links, schema=LINK)
-    labels = components(edges.union(late), files)
-
-    by_set = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
+    near = exchange(exchange(indexed, n, chosen_lists, n), n, links_of_lists, percent, types=links, schema=LINK)
+    edges = checkpointed(near.distinct())
+    first = components(edges)
+    members = checkpointed(with_members(first))
+    asks, used = requests(lists, members, n, percent)
+    late = checkpointed(dealt(exchange(sets.union(asks), n, asked, n), n), received(answered, percent, schema=LINK), links)
+    labels = components(edges.union(late))
+    discard(indexed, edges, first, members, late, *used)
+
+    known = found.where("sid is not null")
+    by_set = known.groupBy("sid").agg(F.min("doc_id").alias("low"))
     rooted = by_set.join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    placed = rooted.join(lowest, "root").select("sid", "component_id")
+    placed = spread_join(rooted.select("sid", "root"), lowest, "root", "sid").select("sid", "component_id")
     alone = found.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.where("sid is not null").join(placed, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    return spread_join(known.select("doc_id", "n", "sid"), placed, "sid", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
 def one_each(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

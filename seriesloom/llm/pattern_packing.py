@@ -15,21 +15,24 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrays import batches, checkpointed, file_count
+from ._arrays import batches, checkpointed, tidy
 from ._tokens import encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every whole text."""
+PIECE_TYPES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def cutter(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass from record batches of (identifier, text) to those of their pieces."""
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
@@ -47,8 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, id_co
 
         yield from batches(each(), PIECE)
 
-    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return table.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return cut
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
@@ -139,10 +141,10 @@ def plan(counts: np.ndarray, capacity: int, *, slack: int = 8, most: int = 1500,
     return runs
 
 
-def pack_pieces(found: DataFrame, capacity: int, files: int | None = None) -> DataFrame:
-    """found with sequence_id and offset; it is written once, then counted and read again."""
+def pack_pieces(found: DataFrame, capacity: int) -> DataFrame:
+    """Stored pieces with sequence_id and offset."""
     spark = found.sparkSession
-    held = checkpointed(found, files).withColumn("salt", F.spark_partition_id())
+    held = found.withColumn("salt", F.spark_partition_id())
     counts = np.zeros(capacity + 1, np.int64)
     by_salt = held.groupBy("length", "salt").agg(F.count("*").alias("n"))
     for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
@@ -173,6 +175,8 @@ def pack_pieces(found: DataFrame, capacity: int, files: int | None = None) -> Da
     return ranked.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
+@tidy
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every whole text: one row for each piece with its sequence and place there."""
-    return pack_pieces(pieces(docs, tokenizer, end_id, capacity), capacity, file_count(docs))
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return pack_pieces(checkpointed(table, cutter(tokenizer, end_id, capacity), PIECE_TYPES), capacity)

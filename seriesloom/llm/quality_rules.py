@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import checkpointed, file_count, text_buffer, tidy
+from ._arrays import bounded, fresh, text_buffer
 from .byte_cnn import held_out
 
 STATISTICS = (
@@ -60,21 +60,23 @@ def statistics(text: str, counts: np.ndarray) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns of docs with a column for each statistic, prefixed with st_."""
-    names = [f"st_{s}" for s in STATISTICS]
-    table = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+def with_statistics(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with one more column, the array of the statistics of each whole text."""
+    names = docs.columns
+    at = names.index(text_col)
+    table = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1000) for b in rows for i in range(0, len(b), 1000)):
-            column = batch.column(len(keep))
+        for batch in (b.slice(i, 500) for b in rows for i in range(0, len(b), 500)):
+            column = batch.column(at)
             data, offsets = text_buffer(column)
             found = [statistics(t or "", np.bincount(data[a:b], minlength=256)) for t, a, b in zip(column.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            values = np.array(found, np.float64).reshape(len(batch), len(STATISTICS)).round(6)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(v) for v in values.T)], names=[*keep, *names])
+            values = pa.array(np.array(found, np.float64).reshape(-1).round(6))
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, values)], names=[*names, name])
 
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1]] + [f"{n} double" for n in names]
-    return table.mapInArrow(run, ", ".join(types))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields]
+    return table.mapInArrow(run, ", ".join([*types, f"`{name}` array<double>"]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above the bound, bound), all of which must hold
@@ -87,9 +89,11 @@ class Ensemble:
     intercept: float
     rules: list[tuple[float, Rule]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, statistics: str) -> Column:
+        """The score, from the column that has the array of statistics."""
+
         def holds(rule: Rule) -> Column:
-            return reduce(lambda a, b: a & b, (F.col(f"st_{STATISTICS[s]}") > b if above else F.col(f"st_{STATISTICS[s]}") <= b for s, above, b in rule))
+            return reduce(lambda a, b: a & b, (F.col(statistics)[s] > b if above else F.col(statistics)[s] <= b for s, above, b in rule))
 
         total = F.lit(self.intercept)
         for i in range(0, len(self.rules), 16):
@@ -191,29 +195,33 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3,
     return Ensemble(intercept, [(float(v), rules[j]) for v, j in zip(w, kept, strict=True) if v])
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, most_rows: int = 20_000) -> Ensemble:
-    """Fit to the rows of stats (doc_id and statistics) that have a label, outside the held-out fold."""
-    named = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y")).where("y is not null")
-    names = [f"st_{s}" for s in STATISTICS]
-    rows = stats.where(~held_out()).join(named, "doc_id").select("y", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("turn"), *names)
-    share = most_rows / max(1, rows.count())  # so that no task or driver holds more than the sample
-    drawn = rows.where(F.col("turn") < int(min(1.0, share) * (1 << 30)))
-    found = drawn.orderBy("turn", *names).limit(most_rows).drop("turn").toPandas().to_numpy(np.float64)  # bounded by the parameter
-    return fit_rules(found[:, 1:], found[:, 0])
+def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000) -> Ensemble:
+    """Fit to the rows of docs that have a label, outside the held-out fold.
+
+    Identifiers are drawn first, so that only the texts of the sample are read by Python.
+    """
+    named = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y")).where("y is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out())
+    ids = texts.select("doc_id").distinct().join(named, F.col("doc_id") == F.col("id")).select("id", "y", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("turn"))
+    share = most_rows / max(1, ids.count())  # so that no task or driver holds more than the sample
+    drawn = ids.where(F.col("turn") < int(min(1.0, share) * (1 << 30))).orderBy("turn", "id").limit(most_rows)  # bounded by the parameter, 24 bytes a row
+    sample = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).withColumn("key", F.xxhash64("text"))
+    rows = with_statistics(sample.select("turn", "key", "y", "text"), "st").select("turn", "key", "y", "st").orderBy("turn", "key", "st").limit(most_rows).collect()
+    x = np.array([r.st for r in rows], np.float64).reshape(-1, len(STATISTICS))
+    return fit_rules(x, np.array([r.y for r in rows], np.float64))
 
 
-@tidy
 def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    stats = checkpointed(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), file_count(docs))
-    model = fit(stats, labels, most_rows=most_rows)
-    scored = stats.select("doc_id", held_out().alias("held_out"), model.column().alias("score"))
+    bounded(docs.sparkSession)
+    model = fit(docs, labels, most_rows=most_rows)
+    stats = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "st").drop("text")
+    scored = stats.select("doc_id", held_out().alias("held_out"), model.column("st").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-@tidy
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = 20_000) -> DataFrame:
-    """The rows of docs that score at least the threshold."""
-    stats = checkpointed(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), file_count(docs))
-    model = fit(stats, labels, most_rows=most_rows)
-    return with_statistics(docs, docs.columns).where(model.column() >= threshold).select(*docs.columns)
+    """The rows of docs that score at least the threshold, with all their columns."""
+    bounded(docs.sparkSession)
+    model, name = fit(docs, labels, most_rows=most_rows), fresh(docs.columns, "__statistics")
+    return with_statistics(docs, name).where(model.column(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import BYTE_CODE, batches, begin_end, by_part, checkpointed, chunks, dealt, expand, file_count, id_part, mix, pack, part_of, part_count, prefix_hash, span_hash, squeeze, tidy, unpack, unpack_all
+from ._arrays import BYTE_CODE, batches, begin_end, by_part, by_parts, checkpointed, chunks, dealt, expand, id_part, mix, pack, part_count, part_of, prefix_hash, span_hash, squeeze, tidy, unpack, unpack_all
 
 U64 = np.uint64
 LENGTH, GRAM = 100, 32
@@ -46,7 +46,7 @@ TYPES = "part int, kind int, sid long, a binary, b binary"
 GRAMS, PLACES, TEXT, RUN, SAMPLE, SPANS, STRINGS = range(7)
 NONE, MOST_DOCS, MOST_ANCHORS = 65535, 60_000, 700_000
 PIECE = 4 << 20
-SAMPLES, FEW, MOST_STRINGS = 24, 6, 2_000_000
+SAMPLES, MOST_SAMPLED, FEW, MOST_STRINGS = 24, 200_000, 6, 2_000_000
 OTHER_CODE = mix(BYTE_CODE ^ U64(0xA5A5A5A5A5A5A5A5))
 LOWEST = -(1 << 63)
 
@@ -482,6 +482,16 @@ def step(df: DataFrame, f, *args) -> DataFrame:
     return df.mapInArrow(lambda rows: batches(f(rows, *args), ROW), TYPES)
 
 
+def received(f, *args):
+    """A pass over the record batches of a partition: f over those of each part."""
+    return lambda rows: (batch for part in by_parts(rows) for batch in batches(f(part, *args), ROW))
+
+
+def exchange(df: DataFrame, n: int, f, *args) -> DataFrame:
+    """f over the rows of each of the n parts."""
+    return dealt(df, n).mapInArrow(received(f, *args), TYPES)
+
+
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which bytes the spans cover."""
     edge = np.zeros(size + 1, np.int32)
@@ -521,15 +531,15 @@ def trim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
             rest = [pa.array([TEXT] * len(batch), pa.int32()), ids, blobs, pa.nulls(len(batch), pa.binary())]
             yield pa.RecordBatch.from_arrays([part, *rest, *batch.columns[2:]], names=[*ROW.names, *batch.schema.names[2:]])
 
-    places = step(dealt(step(short, gram_blocks, n), n), repeated_places, n)
+    places = exchange(step(short, gram_blocks, n), n, repeated_places, n)
     plain = short.mapInArrow(lambda rows: texts_only(texts(rows)), TYPES)
-    files = file_count(short)
-    runs = checkpointed(step(dealt(places.union(plain), n), sorted_runs, n), files)
-    samples = [(r.sid, bytes(r.a)) for r in runs.where(F.col("kind") == SAMPLE).select("sid", "a").collect()]  # SAMPLES keys of each part
+    runs = checkpointed(dealt(places.union(plain), n), received(sorted_runs, n), TYPES)
+    sampled = runs.where((F.col("kind") == SAMPLE) & (F.rand(7) < MOST_SAMPLED / max(MOST_SAMPLED, SAMPLES * n)))
+    samples = [(r.sid, bytes(r.a)) for r in sampled.select("sid", "a").collect()]  # MOST_SAMPLED keys or so, which only balance the ranges
     cuts = spark.sparkContext.broadcast(borders(samples, n))
     pieces_ = step(runs.where(F.col("kind") == RUN), lambda rows: cut_runs(rows, cuts.value))
-    ranged = checkpointed(step(dealt(pieces_, n), lambda rows: merged(rows, cuts.value, n)), files)
-    strings = step(dealt(ranged.where(F.col("kind") == STRINGS), n), repeated_strings, n)
+    ranged = checkpointed(dealt(pieces_, n), received(lambda rows: merged(rows, cuts.value, n)), TYPES)
+    strings = exchange(ranged.where(F.col("kind") == STRINGS), n, repeated_strings, n)
     spans = runs.where(F.col("kind") == SPANS).union(ranged.where(F.col("kind") == SPANS)).union(strings)
 
     whole = table.mapInArrow(texts, ", ".join([TYPES, *extra]))
@@ -568,7 +578,7 @@ def trim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
                 yield pa.RecordBatch.from_arrays([*batch.columns[len(ROW.names) :], *columns], names=[*kept, *added])
 
     types = [x.replace("`__", "`", 1) for x in extra] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + [f"`{text_col}` string"] * with_text
-    return both.mapInArrow(cut, ", ".join(types))
+    return both.mapInArrow(lambda rows: (batch for part in by_parts(rows) for batch in cut(part)), ", ".join(types))
 
 
 def texts_only(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -350,8 +350,7 @@ def test_rules_fit_and_compile(spark):
     y = ((x[:, 3] > 0.2) & (x[:, 5] < 0.5)).astype(float)
     model = quality_rules.fit_rules(x, y)
     assert 0 < len(model.rules) <= 64
-    names = [f"st_{s}" for s in quality_rules.STATISTICS]
-    scores = np.array([r[0] for r in spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names)).select(model.column()).collect()])
+    scores = np.array([r[0] for r in spark.createDataFrame([(row,) for row in x.tolist()], "st array<double>").select(model.column("st")).collect()])
     assert ((scores > 0.5) == (y > 0.5)).mean() > 0.97
 
 
