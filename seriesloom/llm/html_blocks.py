@@ -6,9 +6,18 @@ by length and stop-word density; short blocks stay open. Pass two gives an open
 the nearest decided block, one inside its own container before one outside it, the block before it
 at equal distance.
 
+The names of classes and identifiers count in full inside an article: there a container is left out
+only if its whole name says so ("comments", "related-posts"), and a heading or paragraph never is.
+Elsewhere one part of a name is enough.
+
+Scanning takes time in proportion to the page, however malformed: a quoted value ends at the next
+such quote, and a tag whose quotes never close ends at the next ">".
+
 Cases: a null or empty page has an empty text; so has a page without blocks of main text; unclosed
 and stray tags end where their container ends; an unclosed comment, script or style takes the rest
-of the page; equal pages have equal texts; other columns are kept.
+of the page; a "<" that opens no tag is text; a very long page is scanned whole, as one row; equal and
+repeated pages have equal texts; other columns are kept, one of the name text or n_chars under a new
+name with an underscore before it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import fresh
+
 # HTML element names by their role.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "math", "xmp", "noembed", "noframes", "title"}
 NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "fieldset", "datalist", "label", "audio", "video", "map"}
@@ -42,6 +53,16 @@ BESIDE = {
     "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags",
     "toolbar", "widget", "contentinfo", "complementary", "alert", "feedback", "discussion",
 }
+# Words that mark a container inside an article, and words that may stand beside these in its name.
+STRONG = {
+    "ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "form", "gdpr", "login",
+    "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "paywall", "popup", "promo", "promoted", "recommended", "related", "replies",
+    "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription",
+}
+FILLER = {
+    "area", "article", "articles", "banner", "bar", "block", "box", "button", "buttons", "container", "form", "group", "icons", "inner", "list", "links", "main", "message", "outer", "page",
+    "panel", "post", "posts", "reader", "section", "site", "slot", "stories", "thread", "unit", "user", "widget", "wrap", "wrapper",
+}
 # Common function words of English, German, French and Spanish.
 STOP_WORDS = set(
     "a an and are as at be but by for from had has have he in is it its not of on or she that the this to was were which with you "
@@ -49,9 +70,11 @@ STOP_WORDS = set(
     "au aux avec ce dans de des du elle en est et il la le les leur mais ne ou par pas plus pour que qui sa se son sur un une "
     "al como con de del el en es esta ha la las lo los más no para pero por que se sin su sus un una y".split()
 )
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_STOP = re.compile(r">|=[\t\n\f\r ]*([\"'])")  # a tag's end, or where a quoted value begins
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 LONG, DENSE, SPARSE, LINKED = 40, 0.25, 0.12, 0.5
 
 
@@ -66,93 +89,165 @@ class Block:
     label: int = field(default=0)  # 1 main text, -1 not, 0 open
 
 
+def says_beside(name: str, in_main: bool) -> bool:
+    """Whether a class name, identifier or role marks a container beside the main text."""
+    parts = [x.lower() for x in PARTS.findall(name)]
+    if in_main:
+        return any(x in STRONG for x in parts) and all(x in STRONG or x in FILLER for x in parts)
+    return any(x in BESIDE for x in parts)
+
+
 def is_beside(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether the element holds no main text, by its name and attributes."""
     if tag in NEVER or tag == "header" and not in_main:
         return True
     if "=" not in attributes and "hidden" not in attributes:
         return False
-    if tag in ("html", "body", *MAIN, *HEADINGS, "p"):
-        names = ("hidden",)
-    else:
-        names = ("class", "id", "role", "hidden")
+    names = () if tag in ("html", "body", *MAIN, *HEADINGS, "p") else ("class", "id", "role")
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in names and any(x.lower() in BESIDE for x in PARTS.findall(value)):
+        if name in names and any(says_beside(x, in_main) for x in value.split()):
             return True
     return False
 
 
+class Tags:
+    """Finds where tags end. A failed search leaves marks, so that no later one walks the same way again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()  # places outside quotes from which no end is found
+
+    def end(self, at: int) -> int:
+        """The place after the tag whose name ends at this place."""
+        page, i, walked = self.page, at, []
+        while i not in self.dead:
+            walked.append(i)
+            m = TAG_STOP.search(page, i)
+            if m is None:
+                break
+            if m[1] is None:
+                return m.end()
+            close = page.find(m[1], m.end())
+            if close < 0:
+                break
+            i = close + 1
+        self.dead.update(walked)
+        return page.find(">", at) + 1 or len(page)
+
+
+@dataclass
+class Open:
+    """An element that is open, with what it takes from those around it."""
+
+    tag: str
+    beside: bool
+    main: bool
+    container: int
+    depth: int  # of blocks
+    block: tuple[str, bool, int]  # the nearest block's tag, whether main, container
+
+
+class Stack:
+    """Open elements, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.items: list[Open] = [Open("", False, False, 0, 0, ("", False, 0))]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, item: Open) -> None:
+        self.places.setdefault(item.tag, []).append(len(self.items))
+        self.items.append(item)
+
+    def pop(self) -> None:
+        self.places[self.items.pop().tag].pop()
+
+    def close(self, tag: str) -> None:
+        """End the last open element of this name, with all inside it; an inline one never ends a block."""
+        if places := self.places.get(tag):
+            at = places[-1]
+            if tag in BLOCK or self.items[-1].depth == self.items[at].depth:
+                while len(self.items) > at:
+                    self.pop()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, beside, main, number of its container
+    stack, tags = Stack(), Tags(page)
     text: list[str] = []
-    state = {"links": 0, "anchors": 0, "containers": 0}
-
-    def add(raw: str) -> None:
-        if raw:
-            text.append(raw)
-            if state["anchors"]:
-                state["links"] += len(raw.strip())
+    links = containers = 0
+    in_link = False
 
     def finish() -> None:
-        joined = " ".join(unescape("".join(text)).split())
+        nonlocal links
+        joined = " ".join("".join(text).split())
         if joined:
-            tag, beside, main, container = next((x for x in reversed(stack) if x[0] in BLOCK), ("", False, False, 0))
-            beside = beside or any(x[1] for x in stack)
-            out.append(Block(joined, tag, state["links"], beside, main, container))
+            tag, main, container = stack.items[-1].block
+            out.append(Block(joined, tag, links, stack.items[-1].beside, main, container))
         text.clear()
-        state["links"] = 0
+        links = 0
 
     at, size = 0, len(page)
     while at < size:
-        m = MARKUP.search(page, at)
-        if m is None:
-            add(page[at:])
+        begin = page.find("<", at)
+        after = page[begin + 1 : begin + 3] if begin >= 0 else ""
+        while begin >= 0 and not (after[:1] in ("!", "?") or after[:1].isascii() and after[:1].isalpha() or after[:1] == "/"):
+            begin = page.find("<", begin + 1)
+            after = page[begin + 1 : begin + 3] if begin >= 0 else ""
+        raw = page[at : begin if begin >= 0 else size]
+        if raw:
+            text.append(unescape(raw) if "&" in raw else raw)
+            if in_link:
+                links += len(raw.strip())
+        if begin < 0:
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if after[0] in "!?":
+            close = "-->" if page.startswith("<!--", begin) else "]]>" if page.startswith("<![CDATA[", begin) else ">"
+            end = page.find(close, begin + (4 if close == "-->" else 2))
+            at = end + len(close) if end >= 0 else size
             continue
-        closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
+        closing = after[0] == "/"
+        name = NAME.match(page, begin + 1 + closing)
+        if name is None:  # "</" before anything but a letter
+            at = page.find(">", begin) + 1 or size
+            continue
+        tag, at = name[0].lower(), tags.end(name.end())
         if tag == "br":
-            add(" ")
+            text.append(" ")
             continue
+        attributes = page[name.end() : at].removesuffix(">")
         if tag in RAW and not closing:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                end = RAW_END[tag].search(page, at)
+                at = page.find(">", end.end()) + 1 or size if end else size
             continue
         if tag in BLOCK:
             finish()
         if tag == "a":
-            state["anchors"] = 0 if closing else 1
+            in_link = not closing
         if tag in VOID:
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and (tag in BLOCK or not any(x[0] in BLOCK for x in stack[depth + 1 :])):
-                del stack[depth:]
+            stack.close(tag)
             continue
         if tag in BLOCK:
-            state["anchors"] = 0
-            while stack and stack[-1][0] not in BLOCK:  # unclosed inline elements end with their block
-                if stack[-1][1]:
-                    break
+            in_link = False
+            while len(stack.items) > 1 and stack.items[-1].tag not in BLOCK and not stack.items[-1].beside:  # unclosed inline elements end with their block
                 stack.pop()
-            if stack and stack[-1][0] == "p" or tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
+            if stack.items[-1].tag == "p" or tag in CLOSES_ITSELF and stack.items[-1].tag == tag:
                 stack.pop()
-        above = stack[-1] if stack else ("", False, False, 0)
-        main = above[2] or tag in MAIN or 'role="main"' in attributes
-        beside = above[1] or is_beside(tag, attributes, main)
-        container = above[3]
-        if tag in BLOCK and (tag in MAIN or beside and not above[1] or tag in ("section", "div", "ul", "ol", "table")):
-            state["containers"] += 1
-            container = state["containers"]
-        stack.append((tag, beside, main, container))
+        above = stack.items[-1]
+        main = above.main or tag in MAIN or 'role="main"' in attributes
+        beside = above.beside or is_beside(tag, attributes, main)
+        container = above.container
+        if tag in BLOCK and (tag in MAIN or beside and not above.beside or tag in ("section", "div", "ul", "ol", "table")):
+            containers += 1
+            container = containers
+        inside = tag in BLOCK
+        stack.push(Open(tag, beside, main, container, above.depth + inside, (tag, main, container) if inside else above.block))
     finish()
     return out
 
@@ -175,27 +270,45 @@ def decide(block: Block, has_main: bool) -> int:
     return 0
 
 
+def nearest_decided(found: list[Block]) -> list[int | None]:
+    """For each block the nearest decided one: inside its container before outside, the one before at equal distance."""
+    out: list[int | None] = [None] * len(found)
+    best = [(2, 0)] * len(found)
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: int | None = None
+        inside: dict[int, int] = {}
+        for i in order:
+            for far, j in ((0, inside.get(found[i].container)), (1, last)):
+                if j is not None and (far, abs(i - j)) < best[i]:
+                    best[i], out[i] = (far, abs(i - j)), j
+            if found[i].label:
+                last = inside[found[i].container] = i
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text: its blocks joined by line ends."""
     found = blocks(page) if page else []
     has_main = any(b.main and not b.beside for b in found)
     for b in found:
         b.label = decide(b, has_main)
-    decided = [i for i, b in enumerate(found) if b.label]
-    labels = {}
-    for i, b in enumerate(found):
-        if b.label == 0:
-            near = min(decided, key=lambda j: (found[j].container != b.container, abs(i - j), j > i), default=None)
-            labels[i] = 1 if b.main else found[near].label if near is not None else 1
-            if b.main and near is not None and found[near].container == b.container and found[near].main:
-                labels[i] = found[near].label
-    return "\n".join(b.text for i, b in enumerate(found) if (b.label or labels[i]) == 1)
+    kept = []
+    for b, near in zip(found, nearest_decided(found), strict=True):
+        label = b.label
+        if not label:
+            label = 1 if near is None else found[near].label
+            if b.main and not (near is not None and found[near].container == b.container and found[near].main):
+                label = 1
+        if label == 1:
+            kept.append(b.text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """pages without the html, with text and n_chars."""
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    table = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))
+    own = {c: fresh([x for x in pages.columns if x != c] + ["text", "n_chars"], c) for c in pages.columns if c != html_col}
+    kept = list(own.values())
+    table = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col(f"`{html_col}`").cast("string").alias("__html"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
