@@ -9,11 +9,13 @@ Jaccard similarity of 0.52 at least, so that a band agrees with probability 1 -
 0.9999. Windows that hold no shingle of any template are passed over, as no band could agree.
 A template found is verified over the window and one step around it by exact containment.
 
-Templates are a parameter of bounded size (MOST_TEMPLATE_BYTES); texts are scanned whole.
+Templates are a parameter, a dictionary or a table of any size: it is searched in blocks of
+BLOCK_BYTES, of which a task holds one. Texts are scanned whole.
 
-Cases: a null or empty text has no words and no match; templates that repeat a text each count;
-overlapping matches of one template are one; an empty list of templates matches nothing; repeated
-rows are scanned each; other columns are kept.
+Cases: a null or empty text has no words and no match, and so has a null or empty template; templates
+that repeat a text each count; overlapping matches of one template are one; an empty list of templates
+matches nothing; repeated rows are scanned each, as is a very long text; an empty table gives no rows;
+other columns are kept, one of the name n_words or matches under a new name with an underscore before it.
 """
 
 from __future__ import annotations
@@ -26,36 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import chunks, gram_hash, mix
+from ._arrays import chunks, fresh, gram_hash, mix
+from ._blocks import Blocks
 from .fm_decontam import words_of
+from .license_texts import NOTICES, TEXTS
 
 U64 = np.uint64
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 2, 0.75
-MOST_TEMPLATE_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
-# Notices of public licences.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "MIT": "Released under the MIT License.",
-    "MIT-licensed": "Licensed under the MIT License.",
-    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "reserved": "All rights reserved.",
-}
-
 
 def band_keys(shingles: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
     """Band keys of the windows of so many shingles that begin at the starts: one row for each window."""
@@ -79,12 +61,10 @@ class Templates:
     by_length: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, notices: dict[str, str]) -> Templates:
-        if sum(len(x.encode()) for x in notices.values()) > MOST_TEMPLATE_BYTES:
-            raise ValueError("the templates are larger than the bound; scan them in parts")
-        out = cls(list(notices))
-        for i, text in enumerate(notices.values()):
-            raw = text.encode()
+    def of(cls, notices: list[tuple[str | None, str | None]]) -> Templates:
+        out = cls([name for name, _ in notices])
+        for i, (_, text) in enumerate(notices):
+            raw = (text or "").encode()
             words, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             n, k = len(words), min(SHINGLE, len(words))
             grams = gram_hash(words, k) if n else words
@@ -138,32 +118,47 @@ def matches(words: np.ndarray, templates: Templates) -> list[tuple[int, int, int
 FOUND = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("containment", pa.float64())]))
 
 
-def scan(docs: DataFrame, notices: dict[str, str] | None = None, *, text_col: str = "text") -> DataFrame:
-    """docs without the text, with n_words and matches: an array of template, first_word, end_word, containment."""
-    templates = docs.sparkSession.sparkContext.broadcast(Templates.of(NOTICES if notices is None else notices))  # within the bound
-    kept = [c for c in docs.columns if c not in (text_col, "n_words", "matches")]
-    table = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Templates = templates.value
-        for batch in rows:
-            counts, out = [], []
-            for _, _, data, offsets in chunks(batch.column(len(kept))):
-                words, of = words_of(data, offsets)
-                near = np.zeros(len(words), bool)  # words where some template's shingle begins
-                for k, shingles in known.shingles.items():
-                    if len(words) >= k:
-                        grams = gram_hash(words, k)
-                        low = np.zeros(1 << 16, bool)
-                        low[(shingles & U64(0xFFFF)).astype(np.int64)] = True
-                        maybe = np.flatnonzero(low[(grams & U64(0xFFFF)).astype(np.int64)])
-                        near[maybe[np.isin(grams[maybe], shingles)]] = True
-                some = np.concatenate([[0], np.cumsum(near)])
-                for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
-                    counts.append(b - a)
-                    found = matches(words[a:b], known) if some[b] > some[a] else []
-                    out.append([{"template": known.names[t], "first_word": x, "end_word": y, "containment": c} for t, x, y, c in found])
+def matches_of(data: np.ndarray, offsets: np.ndarray, known: Templates) -> Iterator[tuple[int, list[dict]]]:
+    """The number of words and the matches of each text."""
+    words, of = words_of(data, offsets)
+    near = np.zeros(len(words), bool)  # words where some template's shingle begins
+    for k, shingles in known.shingles.items():
+        if len(words) >= k:
+            grams = gram_hash(words, k)
+            low = np.zeros(1 << 16, bool)
+            low[(shingles & U64(0xFFFF)).astype(np.int64)] = True
+            maybe = np.flatnonzero(low[(grams & U64(0xFFFF)).astype(np.int64)])
+            near[maybe[np.isin(grams[maybe], shingles)]] = True
+    some = np.concatenate([[0], np.cumsum(near)])
+    for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
+        found = matches(words[a:b], known) if some[b] > some[a] else []
+        yield b - a, [{"template": known.names[t], "first_word": x, "end_word": y, "containment": c} for t, x, y, c in found]
+
+
+def scan(docs: DataFrame, notices: dict[str, str] | DataFrame | None = None, *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the text, with n_words and matches: an array of template, first_word, end_word, containment.
+
+    notices has the templates' texts by name, or is a table of (name, text).
+    """
+    if not isinstance(notices, DataFrame):
+        known = NOTICES | TEXTS if notices is None else notices
+        notices = docs.sparkSession.createDataFrame(list(known.items()), "name string, text string")
+    table = notices.select(F.col(notices.columns[0]).cast("string").alias("name"), F.col(notices.columns[1]).cast("string").alias("text"))
+    size = F.lit(16) + F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("name"), F.lit(0))
+    blocks = Blocks(table, size, Templates.of, block_bytes)
+    own = {c: fresh([x for x in docs.columns if x != c] + ["n_words", "matches"], c) for c in docs.columns if c != text_col}
+    kept = list(own.values())
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.shards(batches):
+            counts, out = [0] * len(batch), [[] for _ in range(len(batch))]
+            for known in blocks:
+                for i, _, data, offsets in chunks(batch.column(len(kept))):
+                    for d, (n, found) in enumerate(matches_of(data, offsets, known)):
+                        counts[i + d] = n
+                        out[i + d] += found
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(out, FOUND)], names=[*kept, "n_words", "matches"])
 
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1]]
-    return table.mapInArrow(run, ", ".join([*types, "n_words long", "matches array<struct<template: string, first_word: int, end_word: int, containment: double>>"]))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*types, "n_words long", "matches array<struct<template: string, first_word: int, end_word: int, containment: double>>"]))
