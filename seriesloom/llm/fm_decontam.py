@@ -7,27 +7,28 @@ The index is a suffix array's Burrows-Wheeler transform in a wavelet matrix; all
 searched backward at once, occurrences are located by sampled suffix positions, and their spans are
 merged into removal spans.
 
-The benchmark is broadcast in blocks of bounded bytes; a larger benchmark makes more blocks, which a
-task loads one after another.
+Words are told apart by 64 bits of hashes. A benchmark within BLOCK_BYTES is broadcast; a larger one
+makes blocks, which a task loads one after another from the shared folder.
 
 Cases: a null or empty text has no words; an item without words has no window; items that repeat a
-text or a window each count; repeated documents are judged each; an empty benchmark finds nothing;
-other columns are ignored.
+text or a window each count; repeated documents and identifiers are judged each; a very long text is
+searched whole; an empty benchmark finds nothing; an empty table gives no rows; other columns are kept,
+one with the name of a result under a new name with an underscore before it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import LOWER, batches, chunks, prefix_hash, span_hash, word_spans
+from ._arrays import LOWER, batches, chunks, fresh, prefix_hash, span_hash, word_spans
+from ._blocks import Blocks
 
 U64 = np.uint64
 ALNUM_WORD = np.ones(256, bool)  # words are runs of anything but these bytes
@@ -214,13 +215,12 @@ RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items",
 TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>"
 
 
-def judge(words: np.ndarray, of: np.ndarray, blocks: list[Broadcast], share: int) -> Iterator[tuple]:
+def judge(words: np.ndarray, of: np.ndarray, blocks: Iterable[Phrases], share: int) -> Iterator[tuple]:
     """A row for each document of the shard."""
     n_docs = len(of) - 1
     edge = np.zeros(len(words) + 1, np.int32)
     items: dict[int, set[str]] = {}
-    for block in blocks:
-        phrases: Phrases = block.value
+    for phrases in blocks:
         symbols = phrases.symbols(words)
         for first, length, names, which in phrases.occurrences(symbols, of):
             np.add.at(edge, first, 1)
@@ -228,8 +228,6 @@ def judge(words: np.ndarray, of: np.ndarray, blocks: list[Broadcast], share: int
             docs = np.searchsorted(of, first, "right") - 1
             for d, w in {*zip(docs.tolist(), which.tolist(), strict=True)}:
                 items.setdefault(d, set()).update(names[w])
-        if len(blocks) > 1:
-            del block._value  # hold one block at a time
     hit = np.cumsum(edge[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     for d in range(n_docs):
@@ -242,25 +240,31 @@ def judge(words: np.ndarray, of: np.ndarray, blocks: list[Broadcast], share: int
         yield b - a, n_hit, len(items.get(d, ())), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and share * n_hit >= b - a, spans
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_words(text: str, spans: list[int]) -> str:
+    """The text without the spans (first word and end, one after another) and what parts them from the next word."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM_WORD)
+    stays = np.ones(len(data), bool)
+    for first, end in zip(spans[::2], spans[1::2], strict=True):
+        stays[starts[first] : starts[end] if end < len(starts) else ends[end - 1]] = False
+    return data[stays].tobytes().decode()
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words) and spans.
 
-    spans has the first word and the end of each removal span, one after another.
+    spans has the first word and the end of each removal span, one after another; cut removes them from the text.
     """
-    spark = docs.sparkSession
     test = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
-    size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // block_bytes
-    blocks = []
-    for i in range(n):  # each block is bounded; nearly always there is one
-        part = test if n == 1 else test.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        blocks.append(spark.sparkContext.broadcast(Phrases.of([(r.item, r.text) for r in part.collect()], width)))
-    at = docs.columns.index(text_col)
+    size = F.lit(16) + F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length(F.col("item").cast("string")), F.lit(0))
+    blocks = Blocks(test, size, lambda rows: Phrases.of(rows, width), block_bytes)
     added = [f.name for f in RESULT]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c if c == text_col else fresh([x for x in docs.columns if x != c] + added, c) for c in docs.columns]
+    at = docs.columns.index(text_col)
+    table = docs.select(*[(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`")).alias(n) for c, n in zip(docs.columns, kept, strict=True)])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in blocks.shards(rows):
             words, ofs, n = [], [np.zeros(1, np.int64)], 0
             for _, _, data, offsets in chunks(batch.column(at)):
                 h, of = words_of(data, offsets)
@@ -270,8 +274,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int =
             found = judge(np.concatenate(words) if words else np.zeros(0, U64), np.concatenate(ofs), blocks, share)
             result = list(batches(found, RESULT, most_rows=len(batch) + 1, most_bytes=1 << 40))
             if result:
-                own = [batch.column(c) for c in kept]
+                own = list(batch.columns)
+                if cut:
+                    spans = result[0].column(len(added) - 1).to_pylist()
+                    texts = batch.column(at).to_pylist()
+                    own[at] = pa.array([without_words(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*own, *result[0].columns], names=[*kept, *added])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
-    return docs.mapInArrow(run, f"{types}, {TYPES}")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+    return table.mapInArrow(run, f"{types}, {TYPES}")
