@@ -3,7 +3,7 @@
 1. *Extended prefixes.* Shingles have one global order, that of their hashes. Of a set of n, the first
    n - ceil(t n) + K tokens (K = 1 + n/SHARE) contain at least K tokens of any similar set. Documents with
    fewer tokens that occur in another document's prefix cannot have a partner and leave.
-2. *Copies.* Equal sets become one.
+2. *Copies.* Equal sets become one; sets are told apart by 128 bits.
 3. *Frequencies.* Over the sets left, tokens are counted exactly; sets whose tokens of two or more sets
    fall short of ceil(t n) leave.
 4. *Token combinations.* Tokens are ordered rare first. Rare tokens of the plain prefix are indexed
@@ -19,8 +19,9 @@
    components. Sets inside one component are not compared.
 
 Cases: null and empty texts, and texts without words, have no shingles and stand alone; a text of
-fewer than k words has one, of all its words; repeated rows are all returned; other columns are
-ignored; an empty table gives no rows. A null identifier's component is the smallest one linked, or null.
+fewer than k words has one, of all its words; repeated rows are all returned; a very long text is one
+set like others; other columns are ignored; an empty table gives no rows. A null identifier's component
+is the smallest one linked, or null; rows that share an identifier are rows of their own.
 """
 
 from __future__ import annotations
@@ -129,14 +130,16 @@ def count_votes(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
         yield p, VOTES, None, pack(d, v), None
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("tokens", pa.binary())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("more", pa.int64()), ("tokens", pa.binary())])
 
 
-def set_id(tokens: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens, digest_size=8).digest(), "little", signed=True)
+def set_id(tokens: bytes, bits: int) -> tuple[int, int]:
+    """A name of so many bits for a set, and 64 bits more that tell sets of one name apart."""
+    digest = hashlib.blake2b(tokens, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True) >> 64 - bits, int.from_bytes(digest[8:], "little", signed=True)
 
 
-def select_sets(rows: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[tuple]:
+def select_sets(rows: Iterator[pa.RecordBatch], k: int, percent: int, bits: int) -> Iterator[tuple]:
     """doc_id and set size of every document; set id and tokens of those with votes enough."""
     votes, texts = [], []
     for batch in rows:
@@ -160,9 +163,9 @@ def select_sets(rows: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                 at += 1
                 if m and total.get(doc_id or 0, 0) > need(m, percent) // SHARE:
                     tokens = found.tobytes()
-                    yield doc_id, m, set_id(tokens), tokens
+                    yield doc_id, m, *set_id(tokens, bits), tokens
                 else:
-                    yield doc_id, m, None, None
+                    yield doc_id, m, None, None, None
 
 
 def one_of_copies(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
@@ -635,8 +638,20 @@ def requests(lists: DataFrame, members: DataFrame, n: int, percent: int) -> tupl
     return nested.union(request_rows(questions, n, QUERY)).union(request_rows(wanted, n, MEMBER)), [comps, questions]
 
 
+def told_apart(found: DataFrame) -> DataFrame:
+    """found with a new sid for each of different sets that share one."""
+    names = found.where("sid is not null").groupBy("sid").agg(F.min("more").alias("lo"), F.max("more").alias("hi"))
+    shared = names.where("lo <> hi").select("sid", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return found
+    sid = F.when(F.col("shared"), F.xxhash64("sid", "more")).otherwise(F.col("sid")).alias("sid")
+    out = checkpointed(found.join(shared, "sid", "left").select("doc_id", "n", sid, "more", "tokens"))
+    discard(found)
+    return out
+
+
 @tidy
-def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     n = part_count(docs)
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -650,7 +665,8 @@ def link(docs: DataFrame, *, k: int = 5, percent: int = 75, rare: int = RARE, id
 
     votes = exchange(step(table, prefix_blocks, n, k, percent), n, count_votes, n)
     joined = dealt(votes.union(step(table, texts)), n)
-    found = checkpointed(joined, received(select_sets, k, percent, schema=FOUND), "doc_id long, n long, sid long, tokens binary")
+    found = checkpointed(joined, received(select_sets, k, percent, id_bits, schema=FOUND), "doc_id long, n long, sid long, more long, tokens binary")
+    found = told_apart(found)
 
     copies = step(found.where("sid is not null").select("sid", "n", "tokens"), one_of_copies, n)
     reps = checkpointed(dealt(copies, n), received(one_each), TYPES)
