@@ -92,3 +92,8 @@ def encoder(path: str) -> Chunked:
     """One encoder for each worker and vocabulary."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Chunked(path)
+
+
+def id_count(path: str) -> int:
+    """One more than the largest id of a vocabulary."""
+    return 1 + max(encoder(path).held.tokenizer.get_vocab(with_added_tokens=True).values())

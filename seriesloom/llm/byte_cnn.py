@@ -4,12 +4,15 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, e
 maximum, and a softmax layer over these gives languages. A document's windows cover its whole text;
 their probabilities are averaged by the bytes that they hold.
 
-Training takes windows of labelled documents up to the bound ``most_windows``; which ones, a hash of
-the identifier and the window's number draws. Everything else covers all rows.
+Training takes windows of labelled documents up to the bound ``most_windows``, in equal parts from all
+languages as far as they have them; which ones, a hash of the identifier and the window's number draws.
+Everything else covers all rows.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; a text shorter than a window
-is padded; without training rows every text is ``und``; equal texts have equal predictions; labels
-that repeat count each; rows without a label are not learned from.
+is padded, a very long one cut to windows that cover it whole; without training rows every text is
+``und``; equal texts have equal predictions, repeated rows are predicted each; labels that repeat count
+each; rows without a label are not learned from; an empty table gives no rows; other columns are kept by
+``predict``, one of the name lang_pred or score under a new name with an underscore before it.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import batches, chunks
+from ._arrays import batches, chunks, fresh
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 WIDEST = max(WIDTHS)
@@ -149,9 +152,16 @@ def sample(labelled: DataFrame, most_windows: int, *, a_text: int = 4) -> tuple[
     """Up to most_windows windows of (id, lang, text) with their languages, a few spread over each text.
 
     A window is drawn where its hash is below a share of all hashes, so that no task or driver holds
-    more than the sample.
+    more than the sample. Languages have equal parts of it, and what a rare one leaves goes to the others.
     """
-    share = most_windows / max(1, labelled.count() * a_text)
+    each = F.when(F.octet_length(F.col("text").cast("string")) > WINDOW, a_text).otherwise(1)
+    found = labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.sum(each).alias("n"))
+    sizes = {r.lang: r.n for r in found.collect()}  # a row for each class of the model
+    shares, room = {}, most_windows
+    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        part = min(sizes[lang], room / (len(sizes) - i))
+        shares[lang] = part / sizes[lang]
+        room -= part
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary()), ("turn", pa.int64())])
 
     def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +172,9 @@ def sample(labelled: DataFrame, most_windows: int, *, a_text: int = 4) -> tuple[
                     for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                         for j in range(a_text if b - a > WINDOW else 1):
                             turn = zlib.crc32(f"{ids[i + d]}/{j}".encode())
-                            if turn < share * (1 << 32):
+                            if turn < shares[langs[i + d]] * (1 << 32):
                                 s = a + (b - a - WINDOW) * j // max(1, a_text - 1) if b - a > WINDOW else a
-                                yield langs[i + d], data[s : min(s + WINDOW, b)].tobytes(), turn
+                                yield langs[i + d], data[s : min(s + WINDOW, b)].tobytes(), int(turn / shares[langs[i + d]])
 
         yield from batches(each(), schema)
 
@@ -194,7 +204,8 @@ def has_letter(text: Column) -> Column:
 
 def predict(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c if c == text_col else fresh([x for x in docs.columns if x != c] + ["lang_pred", "score"], c) for c in docs.columns]
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, kept, strict=True)])
     if net is None:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # the weights, of fixed size

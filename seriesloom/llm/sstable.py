@@ -11,8 +11,8 @@ index, the numbers of documents and ids, and a magic number. ``Table`` looks ide
 filter, index and restarts, reading one block.
 
 Cases: a null text is an empty document; a null identifier sorts first; rows that repeat an
-identifier are all kept, in order of their texts; an empty table gives no shard; other columns are
-ignored. Shards follow ranges of the identifier, so tables of any size give shards of like counts.
+identifier are all kept, in order of their texts; a very long text is one entry; an empty table gives no
+shard; other columns are ignored. An id takes two bytes, or four where the vocabulary needs them. Shards follow ranges of the identifier, so tables of any size give shards of like counts.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _files
 from ._arrays import batches, checkpoint_dir, expand, mix, partitions, squeeze
-from ._tokens import encoder
+from ._tokens import encoder, id_count
 
 MAGIC = 0x5353_5442_4944_5331
 RESTART, BLOCK_BYTES, BITS_A_KEY, PROBES = 16, 1 << 16, 10, 7
@@ -200,13 +200,14 @@ class Table:
 MANIFEST = pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode the texts, append end_id to each, write shards under folder and return the manifest, in order.
 
     The manifest has one row for each shard. A task that is run again writes under another name, and
     the manifest names one file for each range.
     """
     spark = docs.sparkSession
+    width = 2 if max(end_id + 1, id_count(tokenizer)) <= 1 << 16 else 4
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], f"<u{width}").tobytes()

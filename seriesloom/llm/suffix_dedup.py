@@ -22,8 +22,9 @@ Strings of grams with more than FEW different keys are told apart by 128 bits of
 else compares bytes.
 
 Cases: a null text is empty; texts under LENGTH bytes keep all; rows that repeat an identifier count
-as documents in order of their texts; a null identifier comes first; an empty table gives no rows;
-other columns are kept.
+as documents in order of their texts; a null identifier comes first; a very long text is taken in
+pieces; an empty table gives no rows; other columns are kept, one with the name of a result under a
+new name with an underscore before it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import BYTE_CODE, batches, begin_end, by_part, by_parts, checkpointed, chunks, dealt, expand, id_part, mix, pack, part_count, part_of, prefix_hash, span_hash, squeeze, tidy, unpack, unpack_all
+from ._arrays import BYTE_CODE, batches, begin_end, by_part, by_parts, checkpointed, chunks, dealt, expand, fresh, id_part, mix, pack, part_count, part_of, prefix_hash, span_hash, squeeze, tidy, unpack, unpack_all
 
 U64 = np.uint64
 LENGTH, GRAM = 100, 32
@@ -518,10 +519,11 @@ def trim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
     spark = docs.sparkSession
     n = part_count(docs)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([text_col] if with_text else [])]
-    kept = [c for c in docs.columns if c not in (text_col, *added)]
-    table = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *[F.col(c).alias(f"__{c}") for c in kept])
+    kept = [c for c in docs.columns if c != text_col]
+    shown = [fresh([x for x in docs.columns if x != c] + added, c) for c in kept]
+    table = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *[F.col(f"`{c}`").alias(f"__{n}") for c, n in zip(kept, shown, strict=True)])
     short = table.select(F.col(id_col), F.col(text_col))
-    extra = [f"`__{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
+    extra = [f"`__{n}` {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, shown, strict=True)]
 
     def texts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -575,7 +577,7 @@ def trim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
                     out.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *([kept_text(data, gone)] if with_text else [])))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[len(ROW.names) :], *columns], names=[*kept, *added])
+                yield pa.RecordBatch.from_arrays([*batch.columns[len(ROW.names) :], *columns], names=[*shown, *added])
 
     types = [x.replace("`__", "`", 1) for x in extra] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + [f"`{text_col}` string"] * with_text
     return both.mapInArrow(lambda rows: (batch for part in by_parts(rows) for batch in cut(part)), ", ".join(types))

@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, with built-in column functions alone.
 
-A text's words (runs without white space) give rolling hashes of K neighbouring words; of each WINDOW
+A text's words (runs without white space) give hashes of K neighbouring words, each taken afresh, since
+built-in functions carry no state from one place to the next; of each WINDOW
 neighbouring hashes the smallest is chosen, the rightmost of equals, with its position. Two texts
 that share any run of WINDOW + K - 1 words therefore share a chosen hash, and the positions say where.
 Choosing costs one pass: a number that joins the hash's upper bits with the inverted position has
@@ -8,8 +9,10 @@ its minimum where the rule wants it.
 
 Cases: a null text is empty; a text without words has no hashes, one of fewer than K words has one,
 of all its words; a text of fewer hashes than a window has one choice; equal texts have equal
-fingerprints; two texts without hashes are alike (1.0), one without and one with are not (0.0).
-Positions below 2^27 words are told apart.
+fingerprints; two texts without hashes are alike (1.0), one without and one with are not (0.0); rows that
+repeat an identifier follow each other in descending order of their texts, a null identifier after all
+others; a table of one row is its own next; other columns are ignored; an empty table gives no rows.
+Positions have 30 bits, more than the words that a string can have; ties are judged by the hashes' upper 33.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from ._arrays import partitions
 
 K, WINDOW = 4, 4
-POSITION_BITS = 27
+POSITION_BITS = 30
 LOWEST = -(1 << 63)
 
 
@@ -99,7 +102,7 @@ def with_next(docs: DataFrame, columns: list[str], prepare) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, digests of the text's and the edited text's fingerprints, and their likeness.
+    """doc_id, n_chars, digests of the text's and the edited text's fingerprints, their likeness, and both fingerprints.
 
     The edited text has the last third of the code points replaced by the beginning of the next
     document's, in descending doc_id.
@@ -118,4 +121,8 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
         digest(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("fp.hash").alias("hashes"),
+        F.col("fp.position").alias("positions"),
+        F.col("edited_fp.hash").alias("edited_hashes"),
+        F.col("edited_fp.position").alias("edited_positions"),
     )
