@@ -6,7 +6,13 @@ of a size worth having, and read again as the next stage's docs. All but the las
 Rejected by the quality classifier, a document goes; of rows linked by shingle similarity one with the
 smallest doc_id stays, a null counting as the largest (those alone stay too); bytes that repeat an
 earlier 100-byte string are cut, code points whole, and documents of which nothing but white space is
-left go; contaminated documents go; the rest is packed.
+left go; contaminated documents go, and from others the words of benchmark windows are cut; the rest is
+packed.
+
+Cases, for every stage: a null or empty text is a document like others, scored, linked with nothing,
+uncut, and packed as its end id alone (the suffix stage drops what it leaves blank, not what came so);
+rows without or with a repeated doc_id are rows of their own; ties keep the smallest doc_id; texts of any
+length are taken whole; columns with names that operators use are kept; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +37,14 @@ def unveiled(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
     return df.select(*[(replaced[c] if c in replaced else F.col(c if c in ("doc_id", "text") else f"__c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
+def recounted(docs: DataFrame, changed: Column) -> dict[str, Column]:
+    """The column n_chars, where docs has one, of texts that a stage has changed."""
+    if "n_chars" not in docs.columns:
+        return {}
+    own = F.col(f"__c{docs.columns.index('n_chars')}")
+    return {"n_chars": F.when(changed, F.length("text")).otherwise(own).cast(docs.schema["n_chars"].dataType)}
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return kept.coalesce(file_count(docs))
@@ -50,16 +64,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.trim(veiled(docs), with_text=True)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("\\S"))
-    new = {}
-    if "n_chars" in docs.columns:
-        own = F.col(f"__c{docs.columns.index('n_chars')}")
-        new["n_chars"] = F.when(F.col("n_removed") == 0, own).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return unveiled(left, docs, **new).coalesce(file_count(docs))
+    return unveiled(left, docs, **recounted(docs, F.col("n_removed") > 0)).coalesce(file_count(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = fm_decontam.scan(veiled(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return unveiled(judged.where(~F.col("contaminated")), docs).coalesce(file_count(docs))
+    judged = fm_decontam.scan(veiled(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
+    return unveiled(judged.where(~F.col("contaminated")), docs, **recounted(docs, F.col("n_hit") > 0)).coalesce(file_count(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
