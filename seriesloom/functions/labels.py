@@ -1,36 +1,74 @@
-"""Which payout options a label may be trusted for: gates over the words that follow a scheme's name."""
+"""What a payout row's labels and value allow: the kind of option that a label states, and the gate of the row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import collapsed, folded
+from .text import collapsed
 
-# The gates in the order in which they are tried, each with the pattern of its words.
+# Patterns of the words that state an option.
+IDCW = "(?i)\\bidcw\\b|\\bincome\\s+distribution\\s+cum\\s+capital\\s+withdrawal\\b"
+DIVIDEND = "(?i)\\b(dividend|div)\\b"
+BONUS = "(?i)\\bbonus\\b"
+GROWTH = "(?i)\\b(growth|cumulative)\\b"
+ENDS_IN_DIVIDEND = "(?i)(?:\\bdiv(?:idend)?|\\bidcw)(?:\\s+(?:opt(?:ion)?|payout|reinvestment))?\\s*$"
+ENDS_IN_BONUS = "(?i)\\bbonus(?:\\s+option)?\\s*$"
+ENDS_IN_GROWTH = "(?i)\\b(?:growth|cumulative)(?:\\s+option)?\\s*$"
+PAIR = "(?i)\\bbonus\\b\\s*/\\s*(?:\\bdividend\\b|\\bidcw\\b)"
+DIVIDEND_OPTION = "(?i)\\bdividend\\s+(?:opt(?:ion)?|plan|payout|reinvestment)\\b"
+EDGE = "[ \\-:;/()\\[\\]]+"
+# The gate of each kind of label; and all gates in order.
+GATE_OF = {
+    "distribution": "cash_amount_candidate",
+    "bonus": "explicit_bonus_option",
+    "growth_or_cumulative": "explicit_growth_or_cumulative_option",
+    "bonus_or_distribution": "ambiguous_bonus_or_distribution_option",
+    "conflicting": "conflicting_option_labels",
+    "unknown": "unknown_option_label",
+}
 GATES = (
-    ("bonus", "\\bbonus\\b"),
-    ("growth", "\\b(growth|cumulative|appreciation)\\b"),
-    ("reinvestment", "\\bre-?invest(ment|ed)?\\b"),
-    ("payout_and_reinvestment", "\\bpayout\\b.*\\bre-?invest"),
-    ("payout", "\\b(payout|pay out)\\b"),
-    ("idcw", "\\b(idcw|income distribution)\\b"),
-    ("dividend", "\\bdividend\\b"),
-    ("frequency_only", "\\b(daily|weekly|fortnightly|monthly|quarterly|annual|half yearly)\\b"),
-)
-
-
-def descriptor(scheme: Column, label: Column) -> Column:
-    """What a label says after its scheme's name, or the whole label where it begins otherwise."""
-    low, name = folded(label), folded(scheme)
-    return F.when(low.startswith(name), F.trim(F.substring(low, F.length(name) + 1, F.length(low)))).otherwise(low)
-
-
-def gate(scheme: Column, label: Column) -> Column:
-    """The first gate whose words the descriptor has; blank for none of its own, ambiguous for growth beside a payout."""
-    words = descriptor(scheme, label)
-    both = words.rlike(GATES[1][1]) & words.rlike("\\b(payout|idcw|dividend)\\b")
-    out = F.when(collapsed(label) == "", "missing").when(words == "", "blank").when(both, "ambiguous").when(words.rlike(GATES[3][1]), GATES[3][0])
-    for name, pattern in GATES:
-        out = out.when(words.rlike(pattern), name)
-    return out.otherwise("unrecognised")
+    "cash_amount_candidate", "unmatched_option_identifier", "non_positive_scalar", "percentage_source_value", "ratio_source_value", "explicit_bonus_option",
+    "explicit_growth_or_cumulative_option", "ambiguous_bonus_or_distribution_option", "conflicting_option_labels", "unknown_option_label",
+)
+
+
+# The kind by whether growth, payout and bonus are stated, as a number of three bits.
+KINDS = ("unknown", "bonus", "distribution", "bonus_or_distribution", "growth_or_cumulative", "conflicting", "conflicting", "conflicting")
+
+
+def with_option_kind(rows: DataFrame, scheme: str, label: str, kind: str = "kind") -> DataFrame:
+    """rows with the kind of option that a label states, and its descriptor.
+
+    The descriptor is what the label says after its scheme's whole name; null where the name does not
+    stand before it, or ends inside a word. Words of the scheme's own name count only where no descriptor
+    can be told apart, and then only in forms that no proper name has: at the label's end, as a pair, or
+    beside the word option. Each step is a projection of its own, so that no pattern is matched twice.
+    """
+    name, whole, end, own = (F.col(f"__{x}") for x in ("name", "whole", "end", "own"))
+    rows = rows.withColumns({"__name": collapsed(F.col(scheme)), "__whole": collapsed(F.col(label))})
+    after = F.substring(whole, F.length(name) + 1, F.length(whole))
+    stands = (name != "") & (whole != "") & F.lower(whole).startswith(F.lower(name)) & ~after.rlike("^[\\p{L}\\p{N}]")
+    rows = rows.withColumns({"__own": F.when(stands, F.regexp_replace(F.regexp_replace(after, f"^{EDGE}", ""), f"{EDGE}$", "")), "__end": F.regexp_replace(whole, f"{EDGE}$", ""), "__pair": whole.rlike(PAIR)})
+    told = F.coalesce(own != "", F.lit(False))
+    payout = F.when(told, own.rlike(IDCW) | own.rlike(DIVIDEND)).otherwise(
+        whole.rlike(IDCW) | (whole.rlike(DIVIDEND) & ~name.rlike(DIVIDEND)) | end.rlike(ENDS_IN_DIVIDEND) | F.col("__pair") | whole.rlike(DIVIDEND_OPTION)
+    )
+    bonus = F.when(told, own.rlike(BONUS)).otherwise((whole.rlike(BONUS) & ~name.rlike(BONUS)) | end.rlike(ENDS_IN_BONUS) | F.col("__pair"))
+    growth = F.when(told, own.rlike(GROWTH)).otherwise((whole.rlike(GROWTH) & ~name.rlike(GROWTH)) | end.rlike(ENDS_IN_GROWTH))
+    bit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    place = bit(growth) * 4 + bit(payout) * 2 + bit(bonus) + 1
+    out = rows.withColumns({kind: F.element_at(F.array(*map(F.lit, KINDS)), place), "descriptor": F.when(own != "", own)})
+    return out.drop("__name", "__whole", "__own", "__end", "__pair")
+
+
+def gate(known: Column, unit: Column, value: Column, kind: Column) -> Column:
+    """The first gate that holds a row of a known or unknown option back, or cash_amount_candidate.
+
+    A scalar without a value, or of a unit other than amount and percentage, has no gate: null.
+    """
+    by_label = F.element_at(F.create_map(*[F.lit(x) for pair in GATE_OF.items() for x in pair]), kind)
+    return (
+        F.when(~known, "unmatched_option_identifier").when(unit == "ratio", "ratio_source_value").when(value.isNull(), None)
+        .when(value <= 0, "non_positive_scalar").when(unit == "percentage", "percentage_source_value").when(unit == "amount", by_label)
+    )

@@ -1,4 +1,4 @@
-"""Text rules: white space, canonical labels, classifiers by words, value grammars, hashes and output forms."""
+"""Text rules: white space, classification labels, plans and options, value grammars, hashes and output forms."""
 
 from __future__ import annotations
 
@@ -20,33 +20,78 @@ def folded(text: Column) -> Column:
     return F.lower(collapsed(text))
 
 
+# Presentation drift of classification labels and the form that counts, in the order of use.
+BRACKETS = (("\\s*\\(\\s*", " ( "), ("\\s*\\)\\s*", " )"))
+TERMS = (("(?i)\\b(Equity|Hybrid) Schemes(?=\\s*-)", "$1 Scheme"), ("(?i)\\bMidcap\\b", "Mid Cap"), ("(?i)\\bLarge\\s+and\\s+Mid\\s+Cap\\b", "Large & Mid Cap"))
+TERM_MARKS = ("equity schemes -", "hybrid schemes -", "midcap", " large and mid cap")
+# How labels of each structure begin, and what marks a product.
+STRUCTURES = {"open_ended": "open ended schemes", "close_ended": "close ended schemes", "interval": "interval fund schemes"}
+ETF_MARKS = ("exchange traded fund", "gold etf", "other etf", "other  etf")
+
+
+def replaced(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda x, r: F.regexp_replace(x, *r), rules, text)
+
+
 def canonical_label(text: Column) -> Column:
-    """A classification label with like spelling for like meaning."""
-    rules = (("\\(\\s+", "("), ("\\s+\\)", ")"), ("\\bschemes\\b", "scheme"), ("\\bmid cap\\b", "midcap"), ("\\band\\b", "&"))
-    return reduce(lambda x, r: F.regexp_replace(x, *r), rules, folded(text))
+    """A classification label without drift of white space, brackets and known terms; its case stays."""
+    return replaced(collapsed(replaced(collapsed(text), BRACKETS)), TERMS)
+
+
+def label_key(text: Column) -> Column:
+    """What labels of one classification have in common."""
+    return F.lower(canonical_label(text))
+
+
+def label_id(text: Column) -> Column:
+    """The classification's identifier; null for a blank label."""
+    return F.when(collapsed(text) != "", F.concat(F.lit("amfi-"), F.substring(F.sha2(label_key(text), 256), 1, 32)))
+
+
+def label_match(text: Column) -> Column:
+    """How a raw label comes to its canonical form: exact, terminology or formatting."""
+    shown = canonical_label(text)
+    marked = reduce(lambda a, b: a | b, (F.lower(x).contains(m) for x in (text, shown) for m in TERM_MARKS))
+    return F.when(collapsed(text) == "", None).when(text == shown, "exact").when(marked, "terminology").otherwise("formatting")
 
 
 def structure_of(label: Column) -> Column:
-    low = folded(label)
-    return F.when(low.startswith("open ended"), "open").when(low.startswith("close ended"), "close").when(low.startswith("interval fund"), "interval").otherwise("other")
+    key = label_key(label)
+    return reduce(lambda c, x: c.when(key.startswith(x[1]), x[0]), list(STRUCTURES.items())[1:], F.when(key.startswith(STRUCTURES["open_ended"]), "open_ended")).otherwise("other")
 
 
 def product_of(label: Column) -> Column:
-    low = folded(label)
-    return F.when(low.rlike("\\betfs?\\b"), "etf").when(low.contains("index fund"), "index_fund").otherwise("mutual_fund")
+    key = label_key(label)
+    etf = reduce(lambda a, b: a | b, (key.contains(m) for m in ETF_MARKS))
+    return F.when(etf, "etf").when(key.contains("index fund"), "index_fund").otherwise("mutual_fund")
+
+
+def spaced(text: Column) -> Column:
+    """Lower-cased words apart by one blank, hyphens as blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "-", " "), "\\s+", " "))
 
 
 def plan_of(name: Column) -> Column:
-    return F.when(name.rlike("(?i)\\bdirect\\b"), "direct").when(name.rlike("(?i)\\bregular\\b"), "regular").otherwise("unknown")
+    words = spaced(name)
+    return F.when(words.rlike("\\bdirect\\b"), "direct").when(words.rlike("\\bregular\\b"), "regular").otherwise("unknown")
 
 
-def option_of(name: Column) -> Column:
-    return F.when(name.rlike("(?i)\\b(idcw|dividend|payout|income distribution)\\b"), "idcw").when(name.rlike("(?i)\\b(growth|cumulative)\\b"), "growth").otherwise("unknown")
+def option_of(name: Column, *, stated: bool = False) -> Column:
+    """The payout option that a scheme's name implies, or that a feed states in a field of its own."""
+    words = spaced(name)
+    idcw = words.rlike("\\b(idcw|idwc|dcw|dividend)\\b") | words.contains("income distribution") if stated else words.rlike("\\b(idcw|dividend)\\b")
+    return F.when(idcw, "idcw").when(words.rlike("\\bgrowth\\b"), "growth").when(words.rlike("\\bbonus\\b"), "bonus").otherwise("unknown")
 
 
-def frequency_of(name: Column) -> Column:
-    words = (("daily", "daily"), ("weekly", "weekly"), ("fortnightly", "fortnightly"), ("monthly", "monthly"), ("quarterly", "quarterly"), ("half[- ]?yearly", "half_yearly"), ("annual(ly)?|yearly", "annual"))
-    return reduce(lambda c, w: c.when(name.rlike(f"(?i)\\b({w[0]})\\b"), w[1]), words[1:], F.when(name.rlike(f"(?i)\\b({words[0][0]})\\b"), words[0][1])).otherwise("unspecified")
+def plan_and_option(name: Column, plan: Column, option: Column) -> Column:
+    """struct(plan, option, method): what the feed states counts before what the name implies."""
+    how = lambda c: F.when(c.isNotNull(), "explicit").otherwise("name_heuristic")
+    method = F.concat(F.lit("amfi_plan_"), how(plan), F.lit("_option_"), how(option), F.lit("_v1"))
+    return F.struct(
+        F.when(plan.isNotNull(), plan_of(plan)).otherwise(plan_of(name)).alias("plan"),
+        F.when(option.isNotNull(), option_of(option, stated=True)).otherwise(option_of(name)).alias("option"),
+        method.alias("method"),
+    )
 
 
 def tokens(text: Column) -> Column:
@@ -54,16 +99,6 @@ def tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")))
 
 
-def core_name(text: Column, stop: list[str], synonyms: dict[str, str] | None = None) -> Column:
-    """A name's words without stop words and with synonyms as one, in order; what a former name adds is cut."""
-    kept = F.regexp_replace(F.lower(text), "\\(?\\s*formerly.*$", "")
-    words = F.filter(F.split(F.regexp_replace(kept, "\\+", " plus "), "[^a-z0-9]+"), lambda t: t != "")
-    if synonyms:
-        table = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
-        words = F.transform(words, lambda t: F.coalesce(F.try_element_at(table, t), t))
-    return F.array_join(F.filter(words, lambda t: ~t.isin(stop)), " ")
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two token arrays; two empty ones are not alike."""
     union = F.size(F.array_union(a, b))
@@ -84,19 +119,33 @@ def is_isin(text: Column) -> Column:
     return text.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$")
 
 
+NUMBER = "(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)"
+# The two forms of a percentage beside an amount.
+ANNOTATED = (f"(?i)^({NUMBER})%\\s+\\(Rs\\s+({NUMBER})/-\\s+Per Unit\\)?$", f"(?i)^({NUMBER})%\\s*-\\s*Rs\\s+({NUMBER})\\s+Per Unit$")
+RATIO = "^([1-9][0-9]*):([1-9][0-9]*)$"
+SCALAR = f"^\\+?({NUMBER}(?:[eE][+-]?[0-9]+)?)\\s*%?$"
+
+
 def value_grammar(text: Column) -> Column:
-    """struct(kind, amount, percent, ratio_from, ratio_to) of a payout text: scalar, percent, ratio or both forms."""
-    number = "([0-9]+(?:\\.[0-9]+)?)"
-    t = collapsed(text)
-    ratio, both, percent, scalar = f"^{number}\\s*:\\s*{number}$", f"(?i)^{number}\\s*%\\s*(?:\\(|-)\\s*Rs\\.?\\s*{number}.*$", f"^{number}\\s*%$", f"^{number}$"
-    part = lambda p, i: F.regexp_extract(t, p, i).try_cast("double")
-    kind = F.when(t.rlike(ratio), "ratio").when(t.rlike(both), "annotated").when(t.rlike(percent), "percent").when(t.rlike(scalar), "scalar").otherwise("invalid")
+    """struct(kind, value, annotated, ratio_from, ratio_to) of a payout text.
+
+    kind is annotated (a percentage beside an amount above zero), ratio, percent, scalar or invalid.
+    """
+    t = F.trim(text)
+    part = lambda p, i: F.regexp_extract(t, p, i).try_cast("decimal(28,10)")
+    both = t.rlike(ANNOTATED[0]) | t.rlike(ANNOTATED[1])
+    beside = F.coalesce(part(ANNOTATED[0], 2), part(ANNOTATED[1], 2))
+    number = part(SCALAR, 1)
+    kind = (
+        F.when(both, F.when(beside > 0, "annotated").otherwise("invalid")).when(t.rlike(RATIO), "ratio")
+        .when(t.rlike(SCALAR) & number.isNotNull(), F.when(t.endswith("%"), "percent").otherwise("scalar")).otherwise("invalid")
+    )
     return F.struct(
         kind.alias("kind"),
-        F.when(kind == "annotated", part(both, 2)).when(kind == "scalar", part(scalar, 1)).alias("amount"),
-        F.when(kind == "annotated", part(both, 1)).when(kind == "percent", part(percent, 1)).alias("percent"),
-        F.when(kind == "ratio", part(ratio, 1)).alias("ratio_from"),
-        F.when(kind == "ratio", part(ratio, 2)).alias("ratio_to"),
+        F.when(kind == "annotated", F.coalesce(part(ANNOTATED[0], 1), part(ANNOTATED[1], 1))).when(kind.isin("percent", "scalar"), number).alias("value"),
+        F.when(kind == "annotated", beside).alias("annotated"),
+        F.when(kind == "ratio", F.regexp_extract(t, RATIO, 1).try_cast("long")).alias("ratio_from"),
+        F.when(kind == "ratio", F.regexp_extract(t, RATIO, 2).try_cast("long")).alias("ratio_to"),
     )
 
 
@@ -123,7 +172,7 @@ def row_hash(*columns: Column) -> Column:
 def trimmed_number(value: Column, places: int = 6) -> Column:
     """A number with at most so many decimals and no trailing zeros."""
     text = F.format_string(f"%.{places}f", value)
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", ""))
 
 
 def safe_cell(text: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..functions.text import frequency_of
 
-# Months of 60 that a cadence needs, and the least in any of five yearly blocks.
+# Months with payouts that a frequency needs in all and in any year, the days of its median gap, and words that state one.
 MONTHLY, QUARTERLY = (48, 8), (16, 3)
+MONTHLY_GAP, QUARTERLY_GAP = (20, 45), (60, 120)
+SAYS_MONTH, SAYS_QUARTER = "(?i)\\bmonth(?:ly)?\\b", "(?i)\\bquarter(?:ly)?\\b"
+SAYS_OTHER = "(?i)\\b(?:daily|weekly|fortnightly|annual|annually|half[ -]?yearly|semi[ -]?annual)\\b"
 
 
 def trailing_yield(payouts: DataFrame, nav: DataFrame, as_of: str, tolerance: int = 7) -> DataFrame:
@@ -45,22 +49,36 @@ def composite_rank(rows: DataFrame, scope: list[str] | None = None) -> DataFrame
     return scored.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def cadence(payouts: DataFrame, codes: DataFrame, as_of: str) -> DataFrame:
-    """months, least months of a yearly block, and the cadence that 60 months of payouts support.
+def payout_frequency(payouts: DataFrame, codes: DataFrame, start: str, end: str) -> DataFrame:
+    """codes (code, name, ...) with months, blocks, events, median_gap, frequency and basis of the payouts from start to end.
 
-    codes has code and name; a name that states another frequency rules a cadence out. Blocks without
-    any payout count as empty.
+    blocks has the months with payouts of each year from start on, years without any too. A name that
+    states a month or quarter needs a steady history of it; any other stated frequency rules both out;
+    a name that states none needs steady gaps beside it.
     """
-    start = calendar.frequency_start(as_of)
-    inside = payouts.where((F.col("d") >= start) & (F.col("d") <= calendar.date(as_of)))
-    block = F.floor(F.months_between(F.trunc("d", "MM"), start) / 12).cast("int")
-    months = inside.select("code", F.trunc("d", "MM").alias("m"), block.alias("block")).distinct()
-    per_block = months.groupBy("code", "block").agg(F.count("*").alias("n"))
-    total = per_block.groupBy("code").agg(F.sum("n").alias("months"), F.when(F.count("*") == 5, F.min("n")).otherwise(0).alias("least_block"))
-    own = Window.partitionBy("code").orderBy("d")
-    gap = inside.select("code", "d").distinct().withColumn("g", F.datediff("d", F.lag("d").over(own))).groupBy("code").agg(F.median("g").alias("median_gap"))
-    rows = codes.join(total, "code", "left").join(gap, "code", "left").fillna(0, ["months", "least_block"])
-    fits = lambda limits: (F.col("months") >= limits[0]) & (F.col("least_block") >= limits[1])
-    named = frequency_of(F.col("name"))
-    found = F.when(~named.isin("monthly", "quarterly", "unspecified"), "other").when(fits(MONTHLY) & (named != "quarterly") & F.col("median_gap").between(20, 45), "monthly").when(fits(QUARTERLY) & (named != "monthly") & F.col("median_gap").between(60, 120), "quarterly")
-    return rows.withColumn("cadence", found)
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    if last < first:
+        raise ValueError("the period ends before it starts")
+    n_blocks = 1 + ((last.year - first.year) * 12 + last.month - first.month - (last.day < first.day)) // 12
+    inside = payouts.where(F.col("d").between(F.lit(first), F.lit(last))).select("code", "d").distinct()
+    block = F.floor(F.months_between("d", F.lit(first)) / 12).cast("int")
+    per_block = inside.groupBy("code", block.alias("block")).agg(F.count_distinct(F.trunc("d", "MM")).alias("n"))
+    held = F.map_from_entries(F.collect_list(F.struct("block", "n")))  # at most a pair for each year
+    blocks = per_block.groupBy("code").agg(held.alias("m")).select("code", F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("blocks"))
+    gap = F.datediff("d", F.lag("d").over(Window.partitionBy("code").orderBy("d")))
+    total = inside.withColumn("gap", gap).groupBy("code").agg(F.count_distinct(F.trunc("d", "MM")).alias("months"), F.count("*").alias("events"), F.median("gap").alias("median_gap"))
+    rows = codes.join(total, "code", "left").join(blocks, "code", "left").fillna(0, ["months", "events"])
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.array_repeat(F.lit(0).cast("long"), n_blocks)))
+    steady = lambda limits: (F.col("months") >= limits[0]) & (F.array_min("blocks") >= limits[1])
+    name, monthly, quarterly = F.col("name"), steady(MONTHLY), steady(QUARTERLY)
+    basis = (
+        F.when(name.rlike(SAYS_MONTH), F.when(monthly, "scheme_name_monthly").otherwise("monthly_consistency_failed"))
+        .when(name.rlike(SAYS_QUARTER), F.when(quarterly, "scheme_name_quarterly").otherwise("quarterly_consistency_failed"))
+        .when(name.rlike(SAYS_OTHER), "explicit_other_frequency")
+        .when(monthly & F.col("median_gap").between(*MONTHLY_GAP), "observed_monthly_cadence")
+        .when(quarterly & F.col("median_gap").between(*QUARTERLY_GAP), "observed_quarterly_cadence")
+        .otherwise("no_supported_monthly_or_quarterly_cadence")
+    )
+    rows = rows.withColumn("basis", basis)
+    kinds = {"monthly": ("scheme_name_monthly", "observed_monthly_cadence"), "quarterly": ("scheme_name_quarterly", "observed_quarterly_cadence")}
+    return rows.withColumn("frequency", F.when(F.col("basis").isin(*kinds["monthly"]), "monthly").when(F.col("basis").isin(*kinds["quarterly"]), "quarterly"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,56 +57,29 @@ def tier_of(source: str) -> F.Column:
     return F.try_element_at(table, F.col(source))
 
 
-FOLDED = "code long, d date, amount double, tier int, revision int, state string, events int"
-
-
-class Fold:
-    """What the rows of one event, in order of arrival, leave: the amount, its tier, revisions and state.
+def reconcile(rows: DataFrame) -> DataFrame:
+    """What the rows (code, d, amount, tier, seq) of each event leave, in order of arrival: code, d, amount, tier, revision, state, events.
 
     A row of a higher tier replaces the amount; a lower one never does. Rows of the current tier that
     disagree retire the amount, and rows of that tier or lower stay blocked from then on; a higher tier
     settles the conflict. Days before the oldest plausible one leave no amount.
-    """
 
-    def __init__(self, code: int, day: object) -> None:
-        self.code, self.day, self.amount, self.tier, self.revision, self.events = code, day, None, None, 0, 0
-        self.state = "implausible_date" if str(day) < OLDEST_DAY else "none"
-
-    def add(self, value: float, tier: int) -> None:
-        self.events += 1
-        if self.state == "implausible_date":
-            return
-        if self.tier is None or tier < self.tier:
-            if self.amount is None or value != self.amount or self.state == "conflict":
-                self.revision += 1
-            self.amount, self.tier, self.state = value, tier, "current"
-        elif tier == self.tier and self.state == "current" and value != self.amount:
-            self.amount, self.state = None, "conflict"
-
-    def row(self) -> tuple:
-        return self.code, self.day, self.amount, self.tier, self.revision, self.state, self.events
-
-
-def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Folds rows that come sorted by event and arrival; an event's rows pass by one after another."""
-    names, now = [c.split()[0] for c in FOLDED.split(", ")], None
-    for batch in batches:
-        done = []
-        for code, day, amount, tier in zip(batch["code"], batch["d"], batch["amount"], batch["tier"], strict=True):
-            if now is None or (now.code, now.day) != (code, day):
-                if now is not None:
-                    done.append(now.row())
-                now = Fold(code, day)
-            now.add(amount, tier)
-        yield pd.DataFrame(done, columns=names).astype({"tier": "Int32", "amount": "float64"})
-    if now is not None:
-        yield pd.DataFrame([now.row()], columns=names).astype({"tier": "Int32", "amount": "float64"})
-
-
-def reconcile(rows: DataFrame) -> DataFrame:
-    """The fold of every (code, d) of rows (code, d, amount, tier, seq), one sorted pass over each partition."""
-    ordered = rows.repartition("code", "d").sortWithinPartitions("code", "d", "seq")
-    return ordered.select("code", "d", "amount", "tier").mapInPandas(fold_sorted, FOLDED)
+    A row counts while no higher tier has come. The rows of a tier that count agree with its first or do
+    not, so an event is a step for each tier: its first row, its amount, and whether it stayed whole.
+    """
+    event = Window.partitionBy("code", "d")
+    sure = F.col("d") >= F.lit(OLDEST_DAY).cast("date")
+    told = rows.withColumns({"__n": F.count("*").over(event), "__top": F.min("tier").over(event.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))})
+    counts = told.where(F.col("tier") == F.col("__top"))
+    first = F.first_value("amount").over(Window.partitionBy("code", "d", "tier").orderBy("seq"))
+    steps = counts.withColumn("__first", first).groupBy("code", "d", "tier").agg(F.min("seq").alias("s"), F.min_by("amount", "seq").alias("a"), F.max(F.col("amount") != F.col("__first")).alias("clash"), F.max("__n").alias("n"))
+    along = event.orderBy("s")
+    new = F.lag("a").over(along).isNull() | F.lag("clash").over(along) | (F.lag("a").over(along) != F.col("a"))
+    last = steps.withColumn("new", new).groupBy("code", "d").agg(F.max_by(F.struct("a", "tier", "clash"), "s").alias("x"), F.count_if("new").cast("int").alias("revision"), F.max("n").alias("events"))
+    state = F.when(~sure, "implausible_date").when(F.col("x.clash"), "conflict").otherwise("current")
+    return last.select(
+        "code", "d", F.when(state == "current", F.col("x.a")).alias("amount"), F.when(sure, F.col("x.tier")).alias("tier"), F.when(sure, F.col("revision")).otherwise(0).alias("revision"), state.alias("state"), "events"
+    )
 
 
 def quality_counts(issues: DataFrame, keys: list[str], observation: list[str], scheme: str, day: str) -> DataFrame:

@@ -6,6 +6,8 @@ aggregates by it, so that work spreads with the number of series.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +20,27 @@ def current(revisions: DataFrame, keys: list[str], order: list[str], values: lis
     return revisions.groupBy(*keys).agg(latest).select(*keys, "__latest.*")
 
 
-def endpoints(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7) -> DataFrame:
-    """code, start and end day and value, days, staleness and status of each series that has any value.
+def horizon_points(nav: DataFrame, as_of: str, horizons: list[str], tolerance: int = 7, *, recent: bool = False) -> DataFrame:
+    """code, e (last d and v up to as_of), and for each horizon s_<horizon>: the first d and v within the tolerance from its start on.
 
-    The end is the last value up to as_of, the start the first from the horizon's beginning on, within
-    the tolerance. One aggregation finds both.
+    One aggregation finds all of them, over no day after as_of. With recent only days that can count
+    are read: a stale series then has no end at all.
     """
     if not 0 <= tolerance <= 31:
         raise ValueError("tolerance is 0 to 31 days")
-    day, target = calendar.date(as_of), calendar.horizon_start(as_of, horizon)
-    d = F.col("d")
-    early = d.between(target, F.date_add(target, tolerance))
-    ends = nav.groupBy("code").agg(
-        F.max(F.when(d <= day, F.struct("d", "v"))).alias("e"),
-        F.min(F.when(early, F.struct("d", "v"))).alias("s"),
-    )
-    ends = ends.select("code", F.col("s.d").alias("start_day"), F.col("s.v").alias("start_value"), F.col("e.d").alias("end_day"), F.col("e.v").alias("end_value"))
-    return ends.withColumns(
+    day, d = calendar.date(as_of), F.col("d")
+    starts = {h: d.between(calendar.horizon_start(as_of, h), F.date_add(calendar.horizon_start(as_of, h), tolerance)) for h in horizons}
+    rows = nav.where(d <= day)
+    if recent:
+        rows = rows.where(reduce(lambda a, b: a | b, starts.values(), d >= F.date_sub(day, tolerance)))
+    end = F.struct("d", "v") if not recent else F.when(d >= F.date_sub(day, tolerance), F.struct("d", "v"))
+    return rows.groupBy("code").agg(F.max(end).alias("e"), *[F.min(F.when(c, F.struct("d", "v"))).alias(f"s_{h}") for h, c in starts.items()])
+
+
+def with_status(points: DataFrame, as_of: str, tolerance: int) -> DataFrame:
+    """points (code, start_day, start_value, end_day, end_value, ...) with days, stale_days and status."""
+    day = calendar.date(as_of)
+    return points.withColumns(
         {
             "days": F.datediff("end_day", "start_day"),
             "stale_days": F.datediff(day, F.col("end_day")),
@@ -43,9 +49,33 @@ def endpoints(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7) -> D
     )
 
 
-def trailing(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7) -> DataFrame:
+def endpoints(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, recent: bool = False) -> DataFrame:
+    """code, start and end day and value, days, staleness and status of each series that has any value.
+
+    The end is the last value up to as_of, the start the first from the horizon's beginning on, within
+    the tolerance. recent is as for ``horizon_points``.
+    """
+    found = horizon_points(nav, as_of, [horizon], tolerance, recent=recent).withColumn("s", F.col(f"s_{horizon}"))
+    return with_status(found.select("code", F.col("s.d").alias("start_day"), F.col("s.v").alias("start_value"), F.col("e.d").alias("end_day"), F.col("e.v").alias("end_value")), as_of, tolerance)
+
+
+def trailing_horizons(nav: DataFrame, as_of: str, horizons: list[str], tolerance: int = 7, *, recent: bool = False) -> DataFrame:
+    """endpoints and trailing return of each series and horizon, from one pass over the values."""
+    found = horizon_points(nav, as_of, horizons, tolerance, recent=recent)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"s_{h}").alias("s")) for h in horizons]))
+    points = found.select("code", "e", each.alias("x")).select(
+        "code", "x.horizon", F.col("x.s.d").alias("start_day"), F.col("x.s.v").alias("start_value"), F.col("e.d").alias("end_day"), F.col("e.v").alias("end_value")
+    )
+    rows = with_status(points, as_of, tolerance)
+    args = F.col("start_value"), F.col("end_value"), F.col("days")
+    annual = [h for h in horizons if calendar.is_annualised(h)]
+    value = F.when(F.col("horizon").isin(annual), returns.trailing_return(*args, True)).otherwise(returns.trailing_return(*args, False))
+    return rows.withColumn("return_pct", F.when(F.col("status") == "available", value))
+
+
+def trailing(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, recent: bool = False) -> DataFrame:
     """endpoints with the trailing return, null unless available."""
-    found = endpoints(nav, as_of, horizon, tolerance)
+    found = endpoints(nav, as_of, horizon, tolerance, recent=recent)
     value = returns.trailing_return(F.col("start_value"), F.col("end_value"), F.col("days"), calendar.is_annualised(horizon))
     return found.withColumn("return_pct", F.when(F.col("status") == "available", value))
 
@@ -56,14 +86,21 @@ def rolling(nav: DataFrame, years: int, *, month_ends: bool = False, tolerance:
     Each end takes the first value on or after its anniversary, by a range frame over days. With
     month_ends only a month's last value ends a window; starts may be any day.
     """
-    rows = nav.withColumn("__s", F.expr(f"min(struct(d, v)) over (partition by code order by d range between interval {years} year preceding and current row)"))
+    return rolling_years(nav, (years,), month_ends=month_ends, tolerance=tolerance).drop("years")
+
+
+def rolling_years(nav: DataFrame, lengths: tuple[int, ...], *, month_ends: bool = False, tolerance: int = 7) -> DataFrame:
+    """years, code, start_day, end_day, r of the windows of several lengths, from one sort of each series."""
+    frame = "min(struct(d, v)) over (partition by code order by d range between interval {} year preceding and current row)"
+    rows = nav.withColumns({f"__s{y}": F.expr(frame.format(y)) for y in lengths})
     if month_ends:
         last = Window.partitionBy("code", F.trunc("d", "MM"))
         rows = rows.withColumn("__last", F.max("d").over(last)).where("d = __last")
-    target = calendar.anniversary(F.col("d"), years)
-    ok = (F.col("__s.d") < F.col("d")) & (F.col("__s.d") >= target) & (F.col("__s.d") <= F.date_add(target, tolerance))
-    days = F.datediff("d", F.col("__s.d"))
-    return rows.where(ok).select("code", F.col("__s.d").alias("start_day"), F.col("d").alias("end_day"), returns.annual_return(F.col("__s.v"), F.col("v"), days).alias("r")).where("r is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("years"), calendar.anniversary(F.col("d"), y).alias("target"), F.col(f"__s{y}").alias("s")) for y in lengths]))
+    found = rows.select("code", "d", "v", each.alias("x")).select("code", "d", "v", "x.years", "x.target", F.col("x.s.d").alias("start_day"), F.col("x.s.v").alias("start_value"))
+    ok = (F.col("start_day") < F.col("d")) & (F.col("start_day") >= F.col("target")) & (F.col("start_day") <= F.date_add("target", tolerance))
+    value = returns.annual_return(F.col("start_value"), F.col("v"), F.datediff("d", "start_day"))
+    return found.where(ok).select("years", "code", "start_day", F.col("d").alias("end_day"), value.alias("r")).where("r is not null")
 
 
 def rolling_summary(windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,11 +148,18 @@ def month_ends(nav: DataFrame) -> DataFrame:
     return nav.groupBy("code", month).agg(F.max(F.struct("d", "v")).alias("x")).select("code", "month", F.col("x.d").alias("d"), F.col("x.v").alias("v"))
 
 
-def gaps(nav: DataFrame) -> DataFrame:
-    """Days between neighbouring dates: their count, median and largest by series, and whether dates rise."""
+def gaps(points: DataFrame, order: str | None = None) -> DataFrame:
+    """Days between neighbouring dates: their count, median and largest by series, and whether dates rise in the source's order.
+
+    order is the column that the source orders its rows by; dates that stand still or fall in it do not rise.
+    """
     before = F.lag("d").over(Window.partitionBy("code").orderBy("d"))
-    steps = nav.select("code", "d").distinct().withColumn("gap", F.datediff("d", before))
-    return steps.groupBy("code").agg(F.count("gap").alias("steps"), F.median("gap").alias("median_gap"), F.max("gap").alias("largest_gap"), F.min(F.coalesce(F.col("gap") > 0, F.lit(True))).alias("rising"))
+    steps = points.select("code", "d").distinct().withColumn("gap", F.datediff("d", before))
+    out = steps.groupBy("code").agg(F.count("gap").alias("steps"), F.median("gap").alias("median_gap"), F.max("gap").alias("largest_gap"))
+    if order is None:
+        return out
+    told = points.withColumn("__up", F.col("d") > F.lag("d").over(Window.partitionBy("code").orderBy(order)))
+    return out.join(told.groupBy("code").agg(F.min(F.coalesce("__up", F.lit(True))).alias("rising")), "code")
 
 
 def even_sample(rows: DataFrame, key: str, order: list[str], most: int = 12) -> DataFrame:
@@ -127,7 +171,15 @@ def even_sample(rows: DataFrame, key: str, order: list[str], most: int = 12) ->
 
 
 def nearest(left: DataFrame, right: DataFrame, days: int) -> DataFrame:
-    """For each row (id, code, t) of left, the point of right (code, d, v) nearest to t within so many days, the earlier of two."""
-    both = left.join(right, (left["code"] == right["code"]) & (right["d"] >= F.date_sub(left["t"], days)) & (right["d"] <= F.date_add(left["t"], days)))
-    near = F.min(F.struct(F.abs(F.datediff(right["d"], left["t"])).alias("off"), right["d"], right["v"])).alias("n")
-    return both.groupBy(left["id"], left["t"]).agg(near).select("id", "t", F.col("n.off").alias("off_days"), F.col("n.d").alias("d"), F.col("n.v").alias("v"))
+    """For each row (id, code, t) of left, the point of right (code, d, v) nearest to t within so many days, the earlier of two.
+
+    Days fall into stretches of so many days; a row meets the points of its own stretch and its
+    neighbours', so that a series which many rows name is dealt out by time.
+    """
+    stretch = lambda c: F.floor(F.unix_date(c) / days)
+    marks = left.select("id", F.col("code").alias("__c"), "t", F.explode(F.array(*[stretch("t") + i for i in (-1, 0, 1)])).alias("__k"))
+    points = right.select(F.col("code").alias("__c"), stretch("d").alias("__k"), "d", "v")
+    off = F.abs(F.datediff("d", "t"))
+    both = marks.join(points, ["__c", "__k"]).where(off <= days)
+    near = F.min(F.struct(off.alias("off"), "d", "v")).alias("n")
+    return both.groupBy("id", "t").agg(near).select("id", "t", F.col("n.off").alias("off_days"), F.col("n.d").alias("d"), F.col("n.v").alias("v"))

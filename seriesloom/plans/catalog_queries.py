@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import intervals, revisions, series
+from ..functions import calendar, names, text
+from ..operators import classification, intervals, payouts, revisions, series
 from . import bindings as b
 from .bindings import AS_OF, MEMBER_SQL, NAV_SQL, PAYOUT_SQL
-from .series_queries import endpoints_sql, rounded, sql_round
+from .series_queries import FREQUENCY_SQL, endpoints_sql, rolling_sql, rounded, sql_round
 
 
 def scheme_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,17 +45,18 @@ FACETS_SQL = f"WITH {MEMBER_SQL} SELECT class, product, count(*) AS n, count(DIS
 
 
 def fund_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every house with its number of series, of those with payouts, and whether all have one."""
-    houses = b.table(spark, sf_dir, "nation").select(F.col("n_name").alias("house"))
-    m = b.members(spark, sf_dir).select("code", "house")
-    paid = b.payouts(spark, sf_dir).select("code").distinct().withColumn("paid", F.lit(1))
-    counts = m.join(paid, "code", "left").groupBy("house").agg(F.count("*").alias("series"), F.count("paid").alias("with_payouts"))
-    out = houses.join(counts, "house", "left").fillna(0)
-    return out.withColumn("fully_covered", (F.col("series") > 0) & (F.col("series") == F.col("with_payouts")))
+    """Every house with its number of series, its last checkpoint, and whether it is fully covered; houses without any too."""
+    houses = b.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("house"))
+    counts = b.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("series"))
+    c = b.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"))
+    checkpoints = c.agg(F.max("c_custkey").alias("checkpoint"), F.count_if(F.col("c_acctbal") < 0).alias("open_items"))
+    covered = checkpoints.where("open_items = 0").select("n_nationkey", F.lit(True).alias("covered"))
+    out = houses.join(counts, "n_nationkey", "left").join(checkpoints.drop("open_items"), "n_nationkey", "left").join(covered, "n_nationkey", "left")
+    return out.select("house", F.coalesce("series", F.lit(0)).alias("series"), "checkpoint", F.col("covered").isNotNull().alias("fully_covered"))
 
 
-HOUSES_SQL = f"""WITH {NAV_SQL}, {PAYOUT_SQL}, {MEMBER_SQL}, c AS (SELECT house, count(*) AS series, count(p.code) AS with_payouts FROM mem LEFT JOIN (SELECT DISTINCT code FROM pay) p USING (code) GROUP BY house)
-SELECT n_name AS house, coalesce(series, 0) AS series, coalesce(with_payouts, 0) AS with_payouts, coalesce(series > 0 AND series = with_payouts, false) AS fully_covered FROM nation LEFT JOIN c ON house = n_name"""
+HOUSES_SQL = """WITH c AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), p AS (SELECT c_nationkey AS k, max(c_custkey) AS checkpoint, count(*) FILTER (WHERE c_acctbal < 0) AS o FROM customer GROUP BY 1)
+SELECT n_name AS house, coalesce(n, 0) AS series, checkpoint, coalesce(o = 0, false) AS fully_covered FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN p ON p.k = n_nationkey"""
 
 
 def classifications_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +117,12 @@ ISSUES_SQL = "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 5
 
 
 def left_anti_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that no order names."""
-    c, o = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "orders")
+    """Customers none of whose orders is pending."""
+    c, o = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
-ANTI_SQL = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+ANTI_SQL = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"
 
 
 def semi_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,22 +188,58 @@ p AS (SELECT a.label AS a, b.label AS b, len(list_intersect(a.t, b.t)) AS same,
 SELECT a, b, round(same / (na + nb - same), 6) AS score FROM p WHERE round(same / (na + nb - same), 6) >= 0.3"""
 
 
+# classification labels of the sample, around a part's name, by turns
+LABELS = ["Open Ended Schemes(Equity Schemes - Midcap {})", " open ended Schemes ( Equity Scheme -  Large and  mid cap {} )", "Close Ended Schemes ( Debt Scheme - {} Index Fund )", "Interval Fund Schemes( Other ETF {} )", "Hybrid schemes - {} (Growth)", "Open Ended Schemes ( Other Scheme - Gold ETF )"]
+
+
+def classification_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = b.table(spark, sf_dir, "part")
+    form = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return p.select(F.replace(form, F.lit("{}"), F.col("p_name")).alias("label"))
+
+
 def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with canonical text, token count, plan and option by words, and a hash."""
+    """Each raw classification label with its identifier, canonical form, kind of match, structure, product and short name."""
+    found = classification.labelled(classification_labels(spark, sf_dir))
+    return found.withColumn("short", names.short_name(F.col("shown")))
+
+
+LABELLED_SQL = f"""l AS (SELECT DISTINCT replace({LABELS}[p_partkey % 6 + 1], '{{}}', p_name) AS label FROM part), w AS (SELECT label, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS t FROM l),
+x AS (SELECT label, trim(regexp_replace(regexp_replace(regexp_replace(t, '\\s*\\(\\s*', ' ( ', 'g'), '\\s*\\)\\s*', ' )', 'g'), '\\s+', ' ', 'g')) AS t FROM w),
+c AS (SELECT label, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\\b(Equity|Hybrid) Schemes(\\s*-)', '\\1 Scheme\\2', 'g'), '(?i)\\bMidcap\\b', 'Mid Cap', 'g'), '(?i)\\bLarge\\s+and\\s+Mid\\s+Cap\\b', 'Large & Mid Cap', 'g') AS shown FROM x),
+k AS (SELECT label, shown, lower(shown) AS key FROM c),
+d AS (SELECT label, 'amfi-' || substr(sha256(key), 1, 32) AS classification, shown,
+  CASE WHEN label = shown THEN 'exact' WHEN regexp_matches(lower(label) || '#' || key, 'equity schemes -|hybrid schemes -|midcap| large and mid cap') THEN 'terminology' ELSE 'formatting' END AS "match",
+  CASE WHEN starts_with(key, 'open ended schemes') THEN 'open_ended' WHEN starts_with(key, 'close ended schemes') THEN 'close_ended' WHEN starts_with(key, 'interval fund schemes') THEN 'interval' ELSE 'other' END AS structure,
+  CASE WHEN regexp_matches(key, 'exchange traded fund|gold etf|other  ?etf') THEN 'etf' WHEN contains(key, 'index fund') THEN 'index_fund' ELSE 'mutual_fund' END AS product FROM k)"""
+SHORT_SQL = """CASE WHEN regexp_matches(shown, '^(?i)(open ended schemes|close ended schemes|interval fund schemes)\\s*\\(.*\\)$') THEN trim(regexp_extract(shown, '\\((.*)\\)$', 1)) ELSE shown END"""
+LABEL_SQL = f"""WITH {LABELLED_SQL}, i AS (SELECT *, {SHORT_SQL} AS inn FROM d),
+j AS (SELECT *, regexp_replace(inn, '^.*?\\)\\s*-\\s*', '') AS r FROM i)
+SELECT label, classification, shown, "match", structure, product, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(lower(inn), '^(debt scheme|equity scheme|hybrid scheme|other scheme)') THEN CASE WHEN r <> inn THEN r ELSE regexp_replace(inn, '^[^-]+\\s+-\\s+', '') END ELSE inn END, '\\s*\\(\\s*', ' (', 'g'), '\\s*\\)\\s*', ')', 'g'), '\\s+', ' ', 'g')) AS short FROM j"""
+
+
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw labels by kind of match, structure and product, with the classifications that they make."""
+    found = classification.labelled(classification_labels(spark, sf_dir))
+    return found.groupBy("match", "structure", "product").agg(F.count("*").alias("labels"), F.count_distinct("classification").alias("classifications"))
+
+
+CLASSES_SQL = f'WITH {LABELLED_SQL} SELECT "match", structure, product, count(*) AS labels, count(DISTINCT classification) AS classifications FROM d GROUP BY ALL'
+
+
+def plan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan and option of names with stated qualifiers beside some of them."""
     p = b.table(spark, sf_dir, "part")
-    name = F.concat_ws(" ", "p_name", "p_type")
-    return p.select(
-        "p_partkey", text.canonical_label(name).alias("canonical"), F.size(text.tokens(name)).cast("long").alias("words"),
-        text.option_of(name).alias("option"), text.structure_of(F.col("p_type")).alias("structure"), F.concat(F.lit("id-"), F.substring(F.sha2(text.folded(name), 256), 1, 32)).alias("key"),
-    )
+    tail = F.element_at(F.array(*map(F.lit, [" - Direct Plan-Growth", " Regular  IDCW", "-DIRECT-Dividend payout", " Bonus", " Growth Dividend", ""])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    plan = F.when(F.col("p_partkey") % 5 == 0, "Regular Plan").when(F.col("p_partkey") % 5 == 1, "Institutional")
+    option = F.when(F.col("p_partkey") % 7 == 0, "IDCW-Re-investment").when(F.col("p_partkey") % 7 == 1, "Income Distribution cum").when(F.col("p_partkey") % 7 == 2, "Other")
+    return p.select("p_partkey", text.plan_and_option(F.concat("p_name", tail), plan, option).alias("x")).select("p_partkey", "x.*")
 
 
-LABEL_SQL = """WITH n AS (SELECT p_partkey, p_type, p_name || ' ' || p_type AS name FROM part), f AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS folded FROM n)
-SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(folded, '\\bschemes\\b', 'scheme', 'g'), '\\bmid cap\\b', 'midcap', 'g'), '\\band\\b', '&', 'g') AS canonical,
-  len(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> ''))) AS words,
-  CASE WHEN regexp_matches(name, '(?i)\\b(idcw|dividend|payout|income distribution)\\b') THEN 'idcw' WHEN regexp_matches(name, '(?i)\\b(growth|cumulative)\\b') THEN 'growth' ELSE 'unknown' END AS option,
-  CASE WHEN starts_with(lower(p_type), 'open ended') THEN 'open' WHEN starts_with(lower(p_type), 'close ended') THEN 'close' WHEN starts_with(lower(p_type), 'interval fund') THEN 'interval' ELSE 'other' END AS structure,
-  'id-' || substr(sha256(folded), 1, 32) AS key FROM f"""
+PLAN_SQL = """WITH n AS (SELECT p_partkey, replace(lower(p_name || [' - Direct Plan-Growth', ' Regular  IDCW', '-DIRECT-Dividend payout', ' Bonus', ' Growth Dividend', ''][p_partkey % 6 + 1]), '-', ' ') AS w, p_partkey % 5 AS a, p_partkey % 7 AS o FROM part)
+SELECT p_partkey, CASE a WHEN 0 THEN 'regular' WHEN 1 THEN 'unknown' ELSE CASE WHEN regexp_matches(w, '\\bdirect\\b') THEN 'direct' WHEN regexp_matches(w, '\\bregular\\b') THEN 'regular' ELSE 'unknown' END END AS plan,
+  CASE o WHEN 0 THEN 'idcw' WHEN 1 THEN 'idcw' WHEN 2 THEN 'unknown' ELSE CASE WHEN regexp_matches(w, '\\b(idcw|dividend)\\b') THEN 'idcw' WHEN regexp_matches(w, '\\bgrowth\\b') THEN 'growth' WHEN regexp_matches(w, '\\bbonus\\b') THEN 'bonus' ELSE 'unknown' END END AS option,
+  'amfi_plan_' || CASE WHEN a < 2 THEN 'explicit' ELSE 'name_heuristic' END || '_option_' || CASE WHEN o < 3 THEN 'explicit' ELSE 'name_heuristic' END || '_v1' AS method FROM n"""
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,10 +310,18 @@ TIERS_SQL = f"WITH {NAV_SQL} SELECT code, d, CAST(min(CASE l_returnflag WHEN 'R'
 def ordered_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every payout day keeps after its rows, in order of arrival, are reconciled by tier."""
     source = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
-    rows = b.observations(spark, sf_dir).select("code", "d", F.round(F.col("v") * F.col("l_discount"), 2).alias("amount"), source.alias("tier"), (F.col("seq1") * 8 + F.col("seq2")).alias("seq"))
+    rows = b.observations(spark, sf_dir).select("code", "d", (F.floor(F.col("v") * F.col("l_discount") * 100 + 0.5) / 100).alias("amount"), source.alias("tier"), (F.col("seq1") * 8 + F.col("seq2")).alias("seq"))
     return revisions.reconcile(rows)
 
 
+RECONCILIATION_SQL = f"""WITH {NAV_SQL}, r AS (SELECT code, d, floor(v * l_discount * 100 + 0.5) / 100 AS amount, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS tier, l_orderkey * 8 + l_linenumber AS seq FROM obs),
+f AS (SELECT *, min(seq) FILTER (WHERE tier = 1) OVER e AS s1, min(seq) FILTER (WHERE tier = 2) OVER e AS s2, min(seq) FILTER (WHERE tier = 3) OVER e AS s3 FROM r WINDOW e AS (PARTITION BY code, d)),
+t AS (SELECT code, d, tier, min_by(amount, seq) AS a, min(seq) AS s, bool_or(amount <> first) AS clash FROM (SELECT *, first_value(amount) OVER (PARTITION BY code, d, tier ORDER BY seq) AS first FROM f WHERE seq < coalesce(CASE WHEN tier > 1 THEN s1 END, 9e18) AND seq < coalesce(CASE WHEN tier > 2 THEN s2 END, 9e18)) GROUP BY ALL),
+n AS (SELECT *, lag(a) OVER (PARTITION BY code, d ORDER BY s) AS pa, lag(clash) OVER (PARTITION BY code, d ORDER BY s) AS pc FROM t),
+g AS (SELECT code, d, CAST(count(*) FILTER (WHERE pa IS NULL OR pc OR pa <> a) AS INT) AS revision, max_by(a, s) AS a, max_by(tier, s) AS tier, max_by(clash, s) AS clash FROM n GROUP BY ALL)
+SELECT g.code, g.d, CASE WHEN NOT clash THEN a END AS amount, tier, revision, CASE WHEN clash THEN 'conflict' ELSE 'current' END AS state, (SELECT count(*) FROM r WHERE r.code = g.code AND r.d = g.d) AS events FROM g"""
+
+
 def identity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by exact (day, value) evidence: mapped, ambiguous or unresolved."""
     nav = b.nav(spark, sf_dir)
@@ -282,7 +329,7 @@ def identity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.mapping_state(revisions.identity_evidence(left, nav))
 
 
-IDENTITY_SQL = f"""WITH {NAV_SQL}, c AS (SELECT code + 1000 AS candidate, code, d, CASE WHEN code % 5 = 0 AND day(d) = 1 THEN v + 1 ELSE v END AS value FROM nav WHERE code <= 20),
+IDENTITY_SQL = f"""WITH {NAV_SQL}, c AS (SELECT code + 1000 AS candidate, code, d, CASE WHEN code % 5 = 0 AND day(d) = 1 THEN v + 1 ELSE v END AS value FROM nav),
 e AS (SELECT candidate, c.code, count(*) FILTER (WHERE value = v) AS m, count(*) FILTER (WHERE value <> v) AS x, date_diff('day', min(c.d) FILTER (WHERE value = v), max(c.d) FILTER (WHERE value = v)) AS span FROM c JOIN nav ON nav.code = c.code AND nav.d = c.d GROUP BY ALL),
 q AS (SELECT *, m >= 3 AND x = 0 AND coalesce(span, 0) >= 30 AS ok FROM e)
 SELECT candidate, count(*) FILTER (WHERE ok) AS qualified, CASE WHEN count(*) FILTER (WHERE ok) = 1 THEN 'mapped' WHEN count(*) FILTER (WHERE ok) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN count(*) FILTER (WHERE ok) = 1 THEN max(code) FILTER (WHERE ok) END AS code FROM q GROUP BY candidate"""
@@ -313,7 +360,7 @@ def return_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot(["l_orderkey", "l_linenumber"], ["price", "gross", "net"], "basis", "value").where("value is not null").groupBy("l_orderkey", "basis").agg(F.count("*").alias("n"), sql_round(F.max("value"), 2).alias("most"))
 
 
-BASES_SQL = """WITH w AS (SELECT l_orderkey, round(l_extendedprice, 2) AS price, round(l_extendedprice * (1 + l_tax), 2) AS gross, CASE WHEN l_discount > 0 THEN round(l_extendedprice * (1 - l_discount), 2) END AS net FROM lineitem WHERE l_orderkey <= 500),
+BASES_SQL = """WITH w AS (SELECT l_orderkey, round(l_extendedprice, 2) AS price, round(l_extendedprice * (1 + l_tax), 2) AS gross, CASE WHEN l_discount > 0 THEN round(l_extendedprice * (1 - l_discount), 2) END AS net FROM lineitem),
 u AS (SELECT l_orderkey, 'price' AS basis, price AS value FROM w UNION ALL SELECT l_orderkey, 'gross', gross FROM w UNION ALL SELECT l_orderkey, 'net', net FROM w) SELECT l_orderkey, basis, count(*) AS n, round(max(value), 2) AS most FROM u WHERE value IS NOT NULL GROUP BY ALL"""
 
 
@@ -328,8 +375,6 @@ LIFECYCLE_SQL = "SELECT p_brand, count(DISTINCT p_size) AS sizes, array_to_strin
 
 def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """90-day request windows that cover each series' days."""
-    from ..functions import calendar
-
     span = b.nav(spark, sf_dir).groupBy("code").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     return span.select("code", F.explode(calendar.fixed_windows(F.col("lo"), F.col("hi"), 90)).alias("w")).select("code", "w.*")
 
@@ -339,14 +384,34 @@ SELECT code, window_start, least(window_start + 89, hi) AS window_end FROM w"""
 
 
 def income_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row for each series: yield, cadence, rolling median and rank inputs, as text for a spreadsheet."""
-    from ..operators import payouts
-
+    """One wide row for each series: yields at five cut-offs, cadence and rolling medians, as text for a spreadsheet."""
     nav, pay, m = b.nav(spark, sf_dir), b.payouts(spark, sf_dir), b.members(spark, sf_dir)
-    paid = payouts.trailing_yield(pay, nav, AS_OF).select("code", "status", F.round("yield_pct", 6).alias("yield_pct"), "events")
-    roll = series.rolling_summary(series.rolling(nav, 1, month_ends=True), ["code"]).select("code", F.round("median", 6).alias("median"), "samples")
-    out = m.join(paid, "code", "left").join(roll, "code", "left")
-    return out.select("code", text.safe_cell(F.col("name")).alias("name"), "house", "status", text.trimmed_number(F.col("yield_pct")).alias("yield_text"), "events", text.trimmed_number(F.col("median")).alias("median_text"), "samples")
+    cuts = spark.range(1).select(F.posexplode(calendar.yearly_cutoffs(AS_OF)).alias("i", "cut"))
+    inside = pay.join(F.broadcast(cuts), (F.col("d") > F.add_months("cut", -12)) & (F.col("d") <= F.col("cut")))  # five rows
+    paid = inside.groupBy("code").pivot("i", [0, 1, 2, 3, 4]).agg(F.sum("amount")).select("code", *[F.col(str(i)).alias(f"p{i}") for i in range(5)])
+    day = lambda i: F.add_months(calendar.date(AS_OF), -12 * (4 - i))
+    ends = nav.groupBy("code").agg(*[F.max(F.when(F.col("d").between(F.date_sub(day(i), 7), day(i)), F.struct("d", "v"))).alias(f"e{i}") for i in range(5)])
+    wide = paid.join(ends, "code", "full")
+    yields = wide.select("code", *[text.trimmed_number(F.round(F.coalesce(F.col(f"p{i}"), F.lit(0.0)) / F.col(f"e{i}.v") * 100, 6)).alias(f"yield_{i}") for i in range(5)])
+    roll = series.rolling_years(nav, (1, 3, 5), month_ends=True).groupBy("code").pivot("years", [1, 3, 5]).agg(F.median("r"))
+    medians = roll.select("code", *[text.trimmed_number(F.round(str(y), 6)).alias(f"median_{y}y") for y in (1, 3, 5)])
+    start = (date.fromisoformat(AS_OF).replace(day=1) - timedelta(days=365 * 5 - 31)).replace(day=1).isoformat()
+    kind = payouts.payout_frequency(pay, m.select("code", "name"), start, AS_OF).select("code", "frequency", "basis", F.array_join(F.transform("blocks", lambda x: x.cast("string")), "|").alias("blocks"))
+    out = m.join(yields, "code", "left").join(medians, "code", "left").join(kind, "code", "left")
+    return out.select("code", text.safe_cell(F.concat(F.lit("="), F.col("name"))).alias("name"), "house", *[f"yield_{i}" for i in range(5)], *[f"median_{y}y" for y in (1, 3, 5)], "frequency", "basis", "blocks")
+
+
+def trimmed_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(printf('%.6f', round({x}, 6)), '0+$', ''), '\\.$', '')"
+
+
+EXPORT_SQL = f"""WITH {NAV_SQL}, {PAYOUT_SQL}, {MEMBER_SQL}, cu AS (SELECT i, (DATE '{AS_OF}' - to_years(4 - i))::DATE AS cut FROM (SELECT CAST(unnest(range(5)) AS INT) AS i)),
+py AS (SELECT code, i, sum(amount) AS p FROM pay JOIN cu ON d > (cut - INTERVAL 1 YEAR)::DATE AND d <= cut GROUP BY ALL), nv AS (SELECT code, i, max_by(v, d) AS v FROM nav JOIN cu ON d BETWEEN cut - 7 AND cut GROUP BY ALL),
+yl AS (SELECT nv.code, nv.i, {trimmed_sql("coalesce(p, 0) / v * 100")} AS y FROM nv LEFT JOIN py ON py.code = nv.code AND py.i = nv.i),
+{", ".join(rolling_sql(y, True, str(y)) for y in (1, 3, 5))},
+md AS (SELECT code, 1 AS y, median(r) AS m FROM roll1 GROUP BY 1 UNION ALL SELECT code, 3, median(r) FROM roll3 GROUP BY 1 UNION ALL SELECT code, 5, median(r) FROM roll5 GROUP BY 1), {FREQUENCY_SQL}
+SELECT mem.code, '''' || '=' || mem.name AS name, house, {", ".join(f"(SELECT y FROM yl WHERE yl.code = mem.code AND i = {i}) AS yield_{i}" for i in range(5))}, {", ".join(f"(SELECT {trimmed_sql('m')} FROM md WHERE md.code = mem.code AND y = {y}) AS median_{y}y" for y in (1, 3, 5))},
+  fq.frequency, fq.basis, fq.blocks FROM mem JOIN fq ON fq.code = mem.code"""
 
 
 QUERIES = {
@@ -374,12 +439,14 @@ QUERIES = {
     "nav_merge": (nav_merge, MERGE_SQL),
     "snapshot_changes": (snapshot_changes, CHANGES_SQL),
     "source_tiers": (source_tiers, TIERS_SQL),
-    "ordered_reconciliation": (ordered_reconciliation, ""),
+    "ordered_reconciliation": (ordered_reconciliation, RECONCILIATION_SQL),
+    "classification_report": (classification_report, CLASSES_SQL),
+    "plan_options": (plan_options, PLAN_SQL),
     "identity_mapping": (identity_mapping, IDENTITY_SQL),
     "backlog_top": (backlog_top, BACKLOG_SQL),
     "provider_summary": (provider_summary, PROVIDER_SQL),
     "return_bases": (return_bases, BASES_SQL),
     "lifecycle_conflicts": (lifecycle_conflicts, LIFECYCLE_SQL),
     "request_windows": (request_windows, WINDOWS_SQL),
-    "income_export": (income_export, ""),
+    "income_export": (income_export, EXPORT_SQL),
 }

@@ -5,28 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels
 from ..operators import ledgers, payouts, series, similarity
 from . import bindings as b
 from .bindings import AS_OF, BENCH_SQL, MEMBER_SQL, NAV_SQL, PAYOUT_SQL
 from .series_queries import YIELD_SQL, rolling_sql, rounded, sql_round
 
 
-def label_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of parts by gate, and how many there are in all."""
-    p = b.table(spark, sf_dir, "part")
-    words = F.element_at(F.array(*map(F.lit, ["Growth", "Payout", "IDCW Payout of it", "Reinvestment", "Payout Reinvestment", "Bonus", "Monthly", "Growth Payout", "", "Other"])), (F.col("p_partkey") % 10 + 1).cast("int"))
-    gates = p.select(labels.gate(F.col("p_name"), F.concat_ws(" ", "p_name", words)).alias("gate"))
-    return gates.groupBy("gate").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row for each gate
-
-
-GATES_SQL = """WITH w AS (SELECT ['growth', 'payout', 'idcw', 'reinvestment', 'payout_and_reinvestment', 'bonus', 'frequency_only', 'ambiguous', 'blank', 'unrecognised'][p_partkey % 10 + 1] AS g FROM part),
-x AS (SELECT CASE g WHEN 'idcw' THEN 'payout' ELSE g END AS gate FROM w) SELECT gate, count(*) AS n, (SELECT count(*) FROM part) AS total FROM x GROUP BY gate"""
-
-
 def label_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names alike by words or by blocks of characters."""
-    return similarity.proposals(b.table(spark, sf_dir, "part").select(F.col("p_name").alias("label")), 0.6)
+    return similarity.proposals(b.table(spark, sf_dir, "part").select(F.col("p_name").alias("label")), 0.82)
 
 
 def scheme_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,55 +25,11 @@ def scheme_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("n", F.row_number().over(latest)).where("n <= 50").drop("n")
 
 
-DISTRIBUTIONS_SQL = f"""WITH {NAV_SQL}, o AS (SELECT code, d, round(l_discount * v, 6) AS amount, l_orderkey, l_linenumber, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || ':' || l_linenumber || ':' || l_linestatus AS src FROM obs WHERE code <= 5 AND l_returnflag = 'R'),
+DISTRIBUTIONS_SQL = f"""WITH {NAV_SQL}, o AS (SELECT code, d, round(l_discount * v, 6) AS amount, l_orderkey, l_linenumber, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || ':' || l_linenumber || ':' || l_linestatus AS src FROM obs WHERE l_returnflag = 'R'),
 g AS (SELECT code, d, count(*) AS revisions, max_by(amount, l_orderkey * 100 + l_linenumber) AS amount, string_agg(src, '|' ORDER BY src) AS provenance FROM o GROUP BY ALL)
 SELECT code, d, revisions, amount, provenance FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS n FROM g) WHERE n <= 50"""
 
 
-def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of several kinds as rows of (section, item, n)."""
-    obs, e = b.observations(spark, sf_dir), b.table(spark, sf_dir, "events")
-    parts = [
-        obs.groupBy(F.lit("status").alias("section"), F.col("l_linestatus").alias("item")).count(),
-        e.groupBy(F.lit("issue").alias("section"), F.col("event_type").alias("item")).count(),
-        obs.where(F.col("v") <= 1000).groupBy(F.lit("low_value").alias("section"), F.col("l_returnflag").alias("item")).count(),
-        b.members(spark, sf_dir).groupBy(F.lit("product").alias("section"), F.col("product").alias("item")).count(),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("count", "n")
-
-
-REPORT_SQL = f"""WITH {NAV_SQL}, {MEMBER_SQL} SELECT 'status' AS section, l_linestatus AS item, count(*) AS n FROM obs GROUP BY ALL UNION ALL SELECT 'issue', event_type, count(*) FROM events GROUP BY ALL
-UNION ALL SELECT 'low_value', l_returnflag, count(*) FROM obs WHERE v <= 1000 GROUP BY ALL UNION ALL SELECT 'product', product, count(*) FROM mem GROUP BY ALL"""
-
-
-def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each series: present with payouts, blocked by small ones alone, else unverified, with counts and bounds."""
-    pay = b.payouts(spark, sf_dir)
-    found = pay.groupBy("code").agg(F.count_if(F.col("amount") >= 150).alias("events"), F.count_if(F.col("amount") < 150).alias("blocked"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
-    out = b.members(spark, sf_dir).select("code").join(found, "code", "left").fillna(0, ["events", "blocked"])
-    return out.withColumn("status", F.when(F.col("events") > 400, "present").when(F.col("blocked") > 0, "blocked").otherwise("unverified"))
-
-
-STATUS_SQL = f"""WITH {NAV_SQL}, {PAYOUT_SQL}, c AS (SELECT code, count(*) FILTER (WHERE amount >= 150) AS events, count(*) FILTER (WHERE amount < 150) AS blocked, min(d) AS first_day, max(d) AS last_day FROM pay GROUP BY code)
-SELECT s_suppkey AS code, coalesce(events, 0) AS events, coalesce(blocked, 0) AS blocked, first_day, last_day, CASE WHEN coalesce(events, 0) > 400 THEN 'present' WHEN coalesce(blocked, 0) > 0 THEN 'blocked' ELSE 'unverified' END AS status FROM supplier LEFT JOIN c ON c.code = s_suppkey"""
-
-
-def identity_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed events by reason, from their JSON evidence, with users and the share of all."""
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    reason = F.when(k.isNull(), "no_evidence").when(k < 25, "no_candidate").when(k < 60, "conflicts").otherwise("ambiguous")
-    e = b.table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("reason", reason)
-    out = e.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
-    return rounded(out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())))  # a row for each reason
-
-
-IDENTITY_BACKLOG_SQL = """WITH e AS (SELECT user_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events WHERE event_type = 'error'), r AS (SELECT user_id, CASE WHEN k IS NULL THEN 'no_evidence' WHEN k < 25 THEN 'no_candidate' WHEN k < 60 THEN 'conflicts' ELSE 'ambiguous' END AS reason FROM e)
-SELECT reason, count(*) AS n, count(DISTINCT user_id) AS users, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM r GROUP BY reason"""
-
-
 def scheme_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of each house with first and last day over their series."""
     last = b.nav(spark, sf_dir).groupBy("code").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
@@ -98,11 +41,8 @@ CATEGORIES_SQL = f"WITH {NAV_SQL}, {MEMBER_SQL}, l AS (SELECT code, min(d) AS lo
 
 def latest_rolling_by_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest rolling return of each series over one, three and five years, one column each."""
-    nav, out = b.nav(spark, sf_dir), b.members(spark, sf_dir).select("code")
-    for years in (1, 3, 5):
-        one = series.rolling(nav, years).groupBy("code").agg(F.max_by("r", "end_day").alias(f"r{years}"))
-        out = out.join(one, "code", "left")
-    return rounded(out)
+    each = series.rolling_years(b.nav(spark, sf_dir), (1, 3, 5)).groupBy("code").agg(*[F.max_by(F.when(F.col("years") == y, F.col("r")), F.when(F.col("years") == y, F.col("end_day"))).alias(f"r{y}") for y in (1, 3, 5)])
+    return rounded(b.members(spark, sf_dir).select("code").join(each, "code", "left"))
 
 
 LATEST_ROLLING_SQL = "SELECT s_suppkey AS code, " + ", ".join(f"r{y}" for y in (1, 3, 5)) + " FROM supplier " + " ".join(
@@ -133,7 +73,7 @@ def alias_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "event_type", F.col("revision").cast("long").alias("revision"), "valid_from", "valid_to")
 
 
-VERSIONS_SQL = """WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE user_id <= 50)
+VERSIONS_SQL = """WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
 SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision, event_id AS valid_from, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS valid_to FROM c WHERE p IS NULL OR p <> event_type"""
 
 
@@ -165,12 +105,8 @@ CLAIMS_SQL = "SELECT p_size, count(DISTINCT p_type) AS groups, array_to_string(l
 
 
 QUERIES = {
-    "label_gates": (label_gates, GATES_SQL),
     "label_proposals": (label_proposals, ""),
     "scheme_distributions": (scheme_distributions, DISTRIBUTIONS_SQL),
-    "quality_report": (quality_report, REPORT_SQL),
-    "coverage_status": (coverage_status, STATUS_SQL),
-    "identity_backlog": (identity_backlog, IDENTITY_BACKLOG_SQL),
     "scheme_categories": (scheme_categories, CATEGORIES_SQL),
     "latest_rolling_by_years": (latest_rolling_by_years, LATEST_ROLLING_SQL),
     "income_screener": (income_screener, INCOME_SCREENER_SQL),

@@ -1,58 +1,170 @@
-"""Daily price files of exchanges, in their layouts over time, as one table."""
+"""Daily files of exchanges: price files in their layouts over time, rosters of exchange-traded funds, identities.
+
+A file is a row (source, exchange, day, payload): the exchange and day that were asked for. Every row of
+a layout is typed and checked as its form demands; the first thing that breaks it is its error.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .feeds import checked_bar
+from .feeds import AMOUNT, blank
 
-UNIFIED_FROM = "2024-07-08"
-# The columns of each layout that carry a field, in the files' own names.
+UNIFIED_FROM, ISIN_FROM = "2024-07-08", "2011-06-22"
+# The columns of each layout, in the files' own names and order.
+LEGACY = ["SYMBOL", "SERIES", "OPEN", "HIGH", "LOW", "CLOSE", "LAST", "PREVCLOSE", "TOTTRDQTY", "TOTTRDVAL", "TIMESTAMP", "TOTALTRADES", "ISIN"]
 LAYOUTS = {
-    "unified": {"symbol": "TckrSymb", "series": "SctySrs", "isin": "ISIN", "open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "day": "TradDt"},
-    "nse": {"symbol": "SYMBOL", "series": "SERIES", "isin": "ISIN", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "day": "TIMESTAMP"},
-    "nse_old": {"symbol": "SYMBOL", "series": "SERIES", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "day": "TIMESTAMP"},
-    "bse": {"symbol": "SC_CODE", "series": "SC_GROUP", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE"},
+    "unified": (
+        "TradDt BizDt Sgmt Src FinInstrmTp FinInstrmId ISIN TckrSymb SctySrs XpryDt FininstrmActlXpryDt StrkPric OptnTp FinInstrmNm OpnPric HghPric LwPric ClsPric LastPric PrvsClsgPric "
+        "UndrlygPric SttlmPric OpnIntrst ChngInOpnIntrst TtlTradgVol TtlTrfVal TtlNbOfTxsExctd SsnId NewBrdLotQty Rmks Rsvd1 Rsvd2 Rsvd3 Rsvd4"
+    ).split(),
+    "nse": [*LEGACY, ""],
+    "nse_compact": LEGACY,
+    "nse_old": [*LEGACY[:-2], ""],
+    "bse": "SC_CODE SC_NAME SC_GROUP SC_TYPE OPEN HIGH LOW CLOSE LAST PREVCLOSE NO_TRADES NO_OF_SHRS NET_TURNOV TDCLOINDI".split(),
 }
-
-
-def layout_of(columns: list[str]) -> str | None:
-    """The first layout whose columns a header has."""
-    have = set(columns)
-    return next((k for k, fields in LAYOUTS.items() if set(fields.values()) <= have), None)
-
-
-def price_lines(files: DataFrame) -> DataFrame:
-    """source, columns and cells of CSV payloads, one row for each line after the header."""
-    lines = files.select("source", F.posexplode(F.filter(F.split("payload", "\\r?\\n"), lambda x: F.trim(x) != "")).alias("line", "raw"))
-    header = lines.where("line = 0").select("source", F.transform(F.split("raw", ","), lambda c: F.trim(c)).alias("columns"))
-    return lines.where("line > 0").join(header, "source").select("source", "line", "columns", F.transform(F.split("raw", ","), lambda c: F.trim(c)).alias("cells"))
+MASTER = ["Symbol", "Underlying Asset", "SecurityName", "DateofListing", "MarketLot", "ISINNumber", "FaceValue", "ETF Underlying", "Underlying Key"]
+DAILY = [
+    "MARKET", "SERIES", "SYMBOL", "SECURITY", "PREVIOUS CLOSE PRICE", "OPEN PRICE", "HIGH PRICE", "LOW PRICE", "CLOSE PRICE", "NET TRADED VALUE", "NET TRADED QTY", "TRADES", "52 WEEK HIGH",
+    "52 WEEK LOW", "UNDERLYING",
+]
+ISIN = "^[A-Z]{2}[A-Z0-9]{10}$"
+FIELDS = {  # of the common table: the column of each layout that has it
+    "unified": {"security_id": "FinInstrmId", "symbol": "TckrSymb", "series": "SctySrs", "name": "FinInstrmNm", "isin": "ISIN", "open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric",
+                "last": "LastPric", "previous": "PrvsClsgPric", "volume": "TtlTradgVol", "traded": "TtlTrfVal", "trades": "TtlNbOfTxsExctd", "day": "TradDt"},
+    "nse": {"security_id": "SYMBOL", "symbol": "SYMBOL", "series": "SERIES", "name": "SYMBOL", "isin": "ISIN", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "last": "LAST",
+            "previous": "PREVCLOSE", "volume": "TOTTRDQTY", "traded": "TOTTRDVAL", "trades": "TOTALTRADES", "day": "TIMESTAMP"},
+    "bse": {"security_id": "SC_CODE", "symbol": "SC_NAME", "series": "SC_GROUP", "name": "SC_NAME", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "last": "LAST",
+            "previous": "PREVCLOSE", "volume": "NO_OF_SHRS", "traded": "NET_TURNOV", "trades": "NO_TRADES"},
+}
+FIELDS["nse_compact"] = FIELDS["nse"]
+FIELDS["nse_old"] = {k: v for k, v in FIELDS["nse"].items() if k not in ("isin", "trades")}
+
+
+def csv_rows(files: DataFrame, columns: list[str]) -> DataFrame:
+    """files with line and row, a struct of the columns as c0, c1 and so on, of payloads under exactly this header."""
+    lines = files.select("*", F.posexplode(F.split(F.regexp_replace("payload", "^\\uFEFF", ""), "\\r?\\n")).alias("line", "raw")).drop("payload").where(~blank(F.col("raw")))
+    header = F.split(F.first_value("raw").over(Window.partitionBy("source").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)), ",")
+    own = lines.withColumn("fits", F.transform(header, lambda c: F.regexp_replace(c, '^"|"$', "")) == F.array(*map(F.lit, columns))).where("fits").drop("fits")
+    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
+    numbered = own.withColumn("first", F.min("line").over(Window.partitionBy("source")))
+    # the reader drops what is beyond the schema, so a row of another number of cells is told by a reader with one column more
+    return numbered.where("line > first").drop("first").withColumn("row", F.from_csv("raw", f"{schema}, more string", {"mode": "PERMISSIVE"}))
+
+
+def cell(columns: list[str], name: str) -> Column:
+    return F.trim(F.coalesce(F.col(f"row.c{columns.index(name)}"), F.lit("")))
+
+
+def number(c: Column) -> Column:
+    """A decimal from zero on, null for anything else."""
+    return F.when(c.rlike(AMOUNT), c.try_cast("double"))
+
+
+def whole(c: Column) -> Column:
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("long"))
+
+
+def first_of(*tests: tuple[Column, str]) -> Column:
+    """The name of the first test that holds."""
+    return reduce(lambda c, t: c.when(F.coalesce(t[0], F.lit(True)), t[1]), tests[1:], F.when(F.coalesce(tests[0][0], F.lit(True)), tests[0][1]))
+
+
+def prices_of(files: DataFrame, layout: str) -> DataFrame:
+    """The common table of the files of one layout."""
+    columns, fields = LAYOUTS[layout], FIELDS[layout]
+    rows = csv_rows(files, columns)
+    get = lambda k: cell(columns, fields[k]) if k in fields else F.lit(None).cast("string")
+    unified, bse = layout == "unified", layout == "bse"
+    day = F.col("day") if bse else F.try_to_date(get("day"), "yyyy-MM-dd") if unified else F.coalesce(F.when(get("day").rlike("^\\d{2}-[A-Za-z]{3}-\\d{4}$"), F.try_to_date(F.initcap(get("day")), "dd-MMM-yyyy")), F.when(get("day").rlike("^\\d{2}-[A-Za-z]{3}-\\d{2}$"), F.try_to_date(F.initcap(get("day")), "dd-MMM-yy")))
+    isin = F.upper(get("isin"))
+    known = F.when(isin.isin("DUMMY", "INE"), None).otherwise(isin) if layout.startswith("nse") and "isin" in fields else isin
+    price = {k: number(get(k)) for k in ("open", "high", "low", "close", "last", "previous")}
+    optional = lambda k: (get(k) == "") | price[k].isNotNull()
+    tests = [
+        (F.col("row.more").isNotNull() | F.col(f"row.c{len(columns) - 1 - (columns[-1] == '')}").isNull() & (F.size(F.split("raw", ",")) < len(columns)), "columns"),
+        (F.upper(cell(columns, "Src")) != F.col("exchange") if unified else F.lit(False), "exchange"),
+        (day.isNull() | (day != F.col("day")) | (cell(columns, "BizDt") != F.date_format("day", "yyyy-MM-dd") if unified else F.lit(False)), "day"),
+        (blank(get("security_id")) | blank(get("series")) | (blank(get("symbol")) if not bse else F.lit(False)) | (blank(get("name")) if unified else F.lit(False)), "no_name"),
+        (F.lit("isin" in fields) & known.isNotNull() & ~known.rlike(ISIN), "isin"),
+        (reduce(lambda a, b: a | b, (price[k].isNull() for k in ("open", "high", "low", "close"))) | (~optional("last") if unified else price["last"].isNull()) | (~optional("previous") if bse else price["previous"].isNull()), "price"),
+        (F.lit(unified) & ((price["open"] <= 0) | (price["high"] <= 0) | (price["low"] <= 0) | (price["close"] <= 0)), "price"),
+        (whole(get("volume")).isNull() | number(get("traded")).isNull() | (whole(get("trades")).isNull() if "trades" in fields else F.lit(False)), "volume"),
+    ]
+    text_or_null = lambda c: F.when(c != "", c)
+    return rows.select(
+        "source", "line", F.lit(layout).alias("layout"), "exchange", day.alias("d"), get("security_id").alias("security_id"), text_or_null(get("symbol")).alias("symbol"), get("series").alias("series"),
+        text_or_null(get("name")).alias("name"), known.alias("isin"), *[price[k].alias(k) for k in price], whole(get("volume")).alias("volume"), number(get("traded")).alias("traded"),
+        whole(get("trades")).alias("trades"), first_of(*tests).alias("error"),
+    )
 
 
 def prices(files: DataFrame) -> DataFrame:
-    """source, layout, symbol, series, isin, d, open, high, low, close, issue, error of all layouts."""
-    rows = price_lines(files)
-    has = {k: reduce(lambda a, b: a & b, (F.array_contains("columns", v) for v in fields.values())) for k, fields in LAYOUTS.items()}
-    layout = reduce(lambda c, k: c.when(has[k], k), list(LAYOUTS)[1:], F.when(has["unified"], "unified"))
-
-    def cell(name: str):
-        found = None
-        for k, fields in LAYOUTS.items():
-            if name in fields:
-                value = F.get("cells", F.array_position("columns", fields[name]).cast("int") - 1)
-                found = F.when(F.col("layout") == k, value) if found is None else found.when(F.col("layout") == k, value)
-        return found
-
-    rows = rows.withColumn("layout", layout)
-    number = lambda n: text.decimal_text(cell(n), "double").alias(n)
-    isin = F.when(text.is_isin(cell("isin")), cell("isin"))
-    day = F.coalesce(text.date_text(cell("day")), F.try_to_date(F.regexp_extract("source", "(\\d{4}-\\d{2}-\\d{2})", 1), "yyyy-MM-dd"))
-    error = F.when(F.col("layout").isNull(), "unknown_layout").when(F.size("cells") < F.size("columns"), "columns")
-    return checked_bar(rows.select("source", "line", "layout", cell("symbol").alias("symbol"), cell("series").alias("series"), isin.alias("isin"), day.alias("d"), number("open"), number("high"), number("low"), number("close"), error.alias("error")))
+    """All rows of price files of any layout, with bar_issue and close_issue; a file of no layout, or of one that its day does not have, is one row with an error.
+
+    A close of zero is no price: the row stays with its issue. Open, high and low that contradict each
+    other or the close are left out. Of rows of one security the first stays.
+    """
+    header = F.regexp_extract(F.regexp_replace("payload", "^\\uFEFF", ""), "^\\s*([^\\r\\n]*)", 1)
+    layout = F.lit(None).cast("string")
+    for name, columns in LAYOUTS.items():
+        layout = F.when(F.regexp_replace(header, '"', "") == ",".join(columns), name).otherwise(layout)
+    told = files.withColumn("layout", layout)
+    since = lambda day: F.col("day") >= F.lit(day).cast("date")
+    allowed = (
+        F.when(F.col("layout") == "unified", since(UNIFIED_FROM)).when(F.col("layout") == "bse", (F.col("exchange") == "BSE") & ~since(UNIFIED_FROM))
+        .when(F.col("layout") == "nse_old", (F.col("exchange") == "NSE") & ~since(ISIN_FROM)).otherwise((F.col("exchange") == "NSE") & ~since(UNIFIED_FROM))
+    )
+    told = told.withColumn("fits", F.col("layout").isNotNull() & F.coalesce(allowed, F.lit(False)))
+    rows = reduce(lambda a, b: a.unionByName(b), (prices_of(told.where("fits").where(F.col("layout") == name).drop("layout", "fits"), name) for name in LAYOUTS))
+    wrong = told.where("not fits").select("source", "layout", "exchange", F.col("day").alias("d"), F.when(F.col("layout").isNull(), "unknown_layout").otherwise("layout_of_another_day").alias("error"))
+    own = ["source", "security_id"] + ["series"]
+    again = F.row_number().over(Window.partitionBy(*own, F.col("error").isNull()).orderBy("line")) > 1
+    rows = rows.withColumn("error", F.coalesce("error", F.when(again, "repeated")))
+    zero = F.col("error").isNull() & (F.col("close") == 0)
+    bad = F.col("error").isNull() & ~zero & ((F.least("open", "high", "low") <= 0) | (F.col("high") < F.greatest("open", "low", "close")) | (F.col("low") > F.least("open", "high", "close")))
+    rows = rows.withColumns({"close_issue": F.when(zero, "zero_close"), "bar_issue": F.when(bad, "inconsistent_bar")})
+    rows = rows.withColumns({k: F.when(F.col("bar_issue").isNull(), F.col(k)) for k in ("open", "high", "low")})
+    return rows.unionByName(wrong, allowMissingColumns=True)
+
+
+def etf_master(files: DataFrame) -> DataFrame:
+    """symbol, underlying, name, listed, lot, isin, face of the listing file (source, payload); of rows of one isin the first stays."""
+    rows = csv_rows(files, MASTER)
+    get = lambda k: cell(MASTER, k)
+    listed, isin = F.try_to_date(get("DateofListing"), "dd-MMM-yy"), F.upper(get("ISINNumber"))
+    tests = [
+        (F.col("row.more").isNotNull(), "columns"), (~isin.rlike(ISIN), "isin"), (~F.coalesce(whole(get("MarketLot")) > 0, F.lit(False)), "lot"), (listed.isNull(), "day"),
+        (blank(get("Symbol")) | blank(get("Underlying Asset")) | blank(get("SecurityName")), "no_name"), (~F.coalesce(number(get("FaceValue")) > 0, F.lit(False)), "face"),
+    ]
+    out = rows.select("source", F.col("line").alias("position"), get("Symbol").alias("symbol"), get("Underlying Asset").alias("underlying"), get("SecurityName").alias("name"), listed.alias("listed"), whole(get("MarketLot")).alias("lot"), isin.alias("isin"), number(get("FaceValue")).alias("face"), first_of(*tests).alias("error"))
+    again = F.row_number().over(Window.partitionBy("source", "isin", F.col("error").isNull()).orderBy("position")) > 1
+    return out.withColumn("error", F.coalesce("error", F.when(again, "repeated")))
+
+
+def etf_daily(files: DataFrame) -> DataFrame:
+    """symbol, series, name, underlying of the daily membership file (source, payload); its figures are checked, not kept."""
+    rows = csv_rows(files, DAILY)
+    get = lambda k: cell(DAILY, k)
+    positive = [~F.coalesce(number(get(k)) > 0, F.lit(False)) for k in DAILY if k.endswith("PRICE") or k.startswith("52 ")]
+    tests = [
+        (F.col("row.more").isNotNull(), "columns"), (get("MARKET") != "N", "market"), (blank(get("SYMBOL")) | blank(get("SERIES")) | blank(get("SECURITY")) | blank(get("UNDERLYING")), "no_name"),
+        (reduce(lambda a, b: a | b, positive), "price"), (number(get("NET TRADED VALUE")).isNull() | whole(get("NET TRADED QTY")).isNull() | whole(get("TRADES")).isNull(), "volume"),
+    ]
+    out = rows.select("source", F.col("line").alias("position"), get("SYMBOL").alias("symbol"), get("SERIES").alias("series"), get("SECURITY").alias("name"), get("UNDERLYING").alias("underlying"), first_of(*tests).alias("error"))
+    again = F.row_number().over(Window.partitionBy("source", "symbol", "series", F.col("error").isNull()).orderBy("position")) > 1
+    return out.withColumn("error", F.coalesce("error", F.when(again, "repeated")))
+
+
+def resolved_by_membership(daily: DataFrame, prices: DataFrame) -> DataFrame:
+    """One exchange's day: daily (d, symbol, series, name) with the price row's isin and close; without a price or isin the identity is unresolved."""
+    own = prices.where("error is null").select("d", "symbol", "series", "isin", "close", "close_issue")
+    both = daily.join(own, ["d", "symbol", "series"], "left")
+    return both.withColumn("identity", F.when(F.col("isin").isNull(), "identity_unresolved").otherwise("official"))
 
 
 def resolved(prices: DataFrame, by_isin: DataFrame, by_symbol: DataFrame, roster: DataFrame) -> DataFrame:
@@ -66,3 +178,16 @@ def resolved(prices: DataFrame, by_isin: DataFrame, by_symbol: DataFrame, roster
     out = prices.join(by_isin.select("isin", F.col("instrument").alias("i1")), "isin", "left").join(one, ["symbol", "series"], "left").join(latest, "symbol", "left")
     identity = F.when(F.col("i1").isNotNull() | F.col("i2").isNotNull(), "official").when(F.col("i3").isNull(), "identity_unresolved").when(F.col("roster_day") == F.col("d"), "official").otherwise("provisional_current_mapping")
     return out.withColumn("instrument", F.coalesce("i1", "i2", "i3")).withColumn("identity", identity).drop("i1", "i2", "i3", "roster_day")
+
+
+def instruments(indices: DataFrame) -> DataFrame:
+    """The three instruments of each index (trading_name, display_name): price, gross and net, which never mix."""
+    kinds = F.explode(F.array(*map(F.lit, ("price_index", "gross_total_return_index", "net_total_return_index")))).alias("kind")
+    rows = indices.select("trading_name", "display_name", kinds)
+    return rows.withColumn("code", F.sha2(F.concat_ws("|", "trading_name", "kind"), 256))
+
+
+def identity_changes(listings: DataFrame) -> DataFrame:
+    """exchange, security_id and isins of securities that have been listed under more than one ISIN, with the first day of each."""
+    first = listings.where("isin is not null").groupBy("exchange", "security_id", "isin").agg(F.min("d").alias("since"))
+    return first.groupBy("exchange", "security_id").agg(F.count("*").alias("isins"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("since", "isin"))), lambda x: F.concat_ws(" ", x["since"], x["isin"])), "|").alias("history")).where("isins > 1")
