@@ -102,7 +102,7 @@ def value_feed(files: DataFrame) -> DataFrame:
 
 def isin_warnings(rows: DataFrame) -> DataFrame:
     """code, day and issue of identifiers that are not of the standard form."""
-    each = F.explode(F.array(F.struct(F.lit("INVALID_ISIN_PAYOUT_OR_GROWTH").alias("issue"), F.col("isin").alias("value")), F.struct(F.lit("INVALID_ISIN_REINVESTMENT"), F.col("isin2"))))
+    each = F.explode(F.array(F.struct(F.lit("INVALID_ISIN_PAYOUT_OR_GROWTH").alias("issue"), F.col("isin").alias("value")), F.struct(F.lit("INVALID_ISIN_REINVESTMENT").alias("issue"), F.col("isin2").alias("value"))))
     return rows.where("error is null").select("code", "day", each.alias("x")).where(F.col("x.value").isNotNull() & ~text.is_isin(F.col("x.value"))).select("code", "day", "x.*")
 
 
@@ -114,12 +114,12 @@ def json_rows(files: DataFrame, schema: str, keys: list[str], *, wrapper: str |
     """
     array = F.get_json_object("payload", f"$.{wrapper}") if wrapper else F.col("payload")
     items = F.from_json(array, "array<string>")
-    rows = files.select("source", F.posexplode_outer(items).alias("position", "raw"), F.get_json_object(array, "$[*]").alias("__all"))
+    bare = F.coalesce(F.regexp_replace(array, "\\s", "") == "[]", F.lit(False))
+    rows = files.select("source", F.posexplode_outer(items).alias("position", "raw"), bare.alias("__empty"))
     found = F.coalesce(F.sort_array(F.json_object_keys("raw")), F.array().cast("array<string>"))
     forms = [F.array(*map(F.lit, sorted(k))) for k in ([*keys], [*keys, *optional])[: 1 + bool(optional)]]
     parsed = rows.withColumn("__row", F.from_json("raw", schema))
-    empty = F.regexp_replace(F.coalesce("__all", F.lit("[]")), "\\s", "") == "[]"
-    error = F.when(F.col("raw").isNull() & ~empty, "no_array").when(F.col("raw").isNotNull() & ~reduce(lambda a, b: a | b, (found == f for f in forms)), "keys")
+    error = F.when(F.col("raw").isNull() & ~F.col("__empty"), "no_array").when(F.col("raw").isNotNull() & ~reduce(lambda a, b: a | b, (found == f for f in forms)), "keys")
     return parsed.select("source", "position", "__row.*", "raw", error.alias("error")).where("raw is not null or error is not null")
 
 
