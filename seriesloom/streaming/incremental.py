@@ -6,6 +6,7 @@ content, not by time, so a correction that comes late is a revision and a repeat
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,23 +21,38 @@ def signed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("signature", text.row_hash(F.col("code"), F.col("d"), F.col("v"), F.col("seq")))
 
 
-def append_batch(batch: DataFrame, store: str) -> None:
-    """Append the batch's rows whose signature the store lacks; a second run of a batch appends nothing."""
-    spark = batch.sparkSession
-    rows = signed(batch)
+STORED = f"{OBSERVATION}, signature string, month date"
+
+
+def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
+    """The store's rows, or None before the first batch."""
     try:
-        stored = spark.read.schema(f"{OBSERVATION}, signature string").parquet(store)
-        new = revisions.append_new(stored, rows, "signature")
-    except Exception as e:  # the first batch finds no store
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema(STORED).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+
+
+def append_batch(batch: DataFrame, store: str) -> None:
+    """Append the batch's rows whose signature the store lacks; a second run of a batch appends nothing.
+
+    The store is partitioned by month, and only the months that the batch names are read.
+    """
+    rows = signed(batch).withColumn("month", F.trunc("d", "MM")).persist()
+    stored = stored_rows(batch.sparkSession, store)
+    if stored is None:
         new = rows.dropDuplicates(["signature"])
-    new.write.mode("append").parquet(store)
+    else:
+        months = [r.month for r in rows.select("month").distinct().collect()]  # a value for each month of the batch
+        new = revisions.append_new(stored.where(F.col("month").isin(months)), rows, "signature")
+    new.write.mode("append").partitionBy("month").parquet(store)
+    rows.unpersist()
 
 
 def current_values(spark: SparkSession, store: str) -> DataFrame:
     """The latest revision of each (code, d) that is positive."""
-    rows = spark.read.schema(f"{OBSERVATION}, signature string").parquet(store).where("v > 0")
+    rows = spark.read.schema(STORED).parquet(store).where("v > 0")
     return rows.groupBy("code", "d").agg(F.max_by("v", F.struct("seq", "signature")).alias("v"), F.count("*").alias("revisions"))
 
 
