@@ -169,6 +169,12 @@ def row_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns]), 256)
 
 
+def json_hash(*columns: Column) -> Column:
+    """sha256 of the values as a compact JSON array of texts; null and empty differ."""
+    values = F.transform(F.array(*[c.cast("string") for c in columns]), lambda x: F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))))
+    return F.sha2(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), 256)
+
+
 def trimmed_number(value: Column, places: int = 6) -> Column:
     """A number with at most so many decimals and no trailing zeros."""
     text = F.format_string(f"%.{places}f", value)

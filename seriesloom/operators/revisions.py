@@ -46,6 +46,20 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, columns: list[s
     return old.join(new, key, "full").select(key, change.alias("change"))
 
 
+def snapshot_upsert(stored: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The stored table after a snapshot: what it has is active with its new columns, what it lacks stays as it was, inactive."""
+    old = stored.select(key, F.struct(*columns).alias("__old"))
+    new = incoming.select(key, F.struct(*columns).alias("__new"))
+    both = old.join(new, key, "full").withColumn("active", F.col("__new").isNotNull()).withColumn("__x", F.coalesce("__new", "__old"))
+    return both.select(key, "__x.*", "active")
+
+
+def option_bounds(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """code, first_day, last_day of the stored bounds and new rows (code, d) together."""
+    every = stored.unionByName(rows.groupBy("code").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day")))
+    return every.groupBy("code").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+
+
 def latest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of each key that comes last in the order."""
     top = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
