@@ -8,6 +8,11 @@ are tier 1, registrars' 2, third parties' 3.
 
 What a row meets depends on the rows before it, but in each case only on whether the amounts so far
 agree, so windows over (code, d) in order of seq express it, without a fold in Python.
+
+A row that stands behind a revision is *linked* to it, in a ledger (source, seq, code, d, revision) that
+outlives the run; seq is the row's identity there. A publisher that is given the links of earlier runs
+passes linked rows over as unchanged, with the revision in the column tied, so that a second run
+of the same rows changes nothing. ``new_links`` and ``new_issues`` are what a run adds to the ledgers.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ from ..functions import labels, names
 OLDEST_DAY = "1964-01-01"  # no fund paid before
 LEAST_MATCHES, LEAST_SPAN = 3, 30
 EVENT = "code long, d date, amount double, tier int, revision int"
+LINK = "source string, seq long, code long, d date, revision int"
+ISSUE = "source string, seq long, review string, issue string"
+REGULATOR, REGISTRAR, THIRD_PARTY = "regulator", "registrar", "third_party"
+ORIGIN = ("capture", "raw", "other_raw", "ex_nav", "cum_nav")  # what a registrar's row was read from; a table may have fewer
 
 
 def too_old(day: Column) -> Column:
@@ -48,50 +57,73 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("revision", (F.coalesce("was_revision", F.lit(0)) + new).cast("int"))
 
 
-def normalise(rows: DataFrame, known: DataFrame, events: DataFrame) -> DataFrame:
-    """The regulator's rows (code, d, seq, unit, value, scheme, label) with gate, action and revision.
+def tied_rows(rows: DataFrame, links: DataFrame | None, source: str, how: str = "left") -> DataFrame:
+    """rows with tied: the revision that an earlier run has linked a row to, else null."""
+    if links is None:
+        return rows.withColumn("tied", F.lit(None).cast("int"))
+    return rows.join(links.where(F.col("source") == source).select("seq", F.col("revision").alias("tied")), "seq", how)
+
+
+def normalise(rows: DataFrame, known: DataFrame, events: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """The regulator's rows (code, d, seq, unit, value, scheme, label), all that are stored, with gate, action, revision and tied.
 
     A row that passes the gate sets the event's amount, whatever tier it had: inserted, revised or
     unchanged; others are blocked. Where rows that pass and rows that do not meet in one event of a
-    known option, all are refused: their identity is in doubt.
+    known option, all are refused: their identity is in doubt. A row linked before is unchanged; one
+    that does not pass any more, or is gone, fails the job.
     """
+    rows = tied_rows(rows, links, REGULATOR, "full")
     gated = labels.with_option_kind(rows.join(known.select("code", F.lit(True).alias("known")), "code", "left"), "scheme", "label")
     gated = gated.withColumn("gate", labels.gate(F.coalesce("known", F.lit(False)), F.col("unit"), F.col("value"), F.col("kind")))
     passes = F.col("gate") == "cash_amount_candidate"
     whole = Window.partitionBy("code", "d")
     mixed = F.coalesce("known", F.lit(False)) & (F.max(F.coalesce(passes, F.lit(False))).over(whole)) & (F.max(~F.coalesce(passes, F.lit(False))).over(whole))
     met = against(gated.withColumn("mixed", mixed), events)
-    last = F.coalesce(F.last(F.when(passes, F.col("value")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.col("was"))
-    none_yet = ~F.col("there") & (F.sum(F.when(passes, 1).otherwise(0)).over(so_far()) == 1)
-    action = F.when(F.col("mixed"), "refused").when(passes, F.when(last == F.col("value"), "unchanged").when(none_yet, "inserted").otherwise("revised")).otherwise("blocked")
-    out = numbered(met.withColumn("action", action))
-    return out.withColumns({"amount": F.when(passes & ~F.col("mixed"), F.col("value")), "tier": F.lit(1)})
+    acts, tied = passes & F.col("tied").isNull(), F.col("tied").isNotNull()
+    last = F.coalesce(F.last(F.when(acts, F.col("value")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.col("was"))
+    none_yet = ~F.col("there") & (F.sum(F.when(acts, 1).otherwise(0)).over(so_far()) == 1)
+    lost = tied & ~F.coalesce(passes & F.col("code").isNotNull(), F.lit(False))
+    action = (
+        F.when(lost, F.raise_error(F.concat_ws(" ", F.lit("a linked row is no longer a cash amount candidate:"), "seq"))).when(F.col("mixed"), "refused").when(tied, "unchanged")
+        .when(passes, F.when(last == F.col("value"), "unchanged").when(none_yet, "inserted").otherwise("revised")).otherwise("blocked")
+    )
+    out = numbered(met.withColumn("action", action)).withColumn("revision", F.coalesce("tied", "revision"))
+    return out.withColumns({"amount": F.when(passes & ~F.col("mixed"), F.col("value")), "tier": F.lit(1), "issue": F.lit(None).cast("string")})
+
+
+def standing(rows: DataFrame, events: DataFrame, links: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """code, d and origin of the rows that are linked to the current revision and have its amount."""
+    every = rows if stored is None else rows.select("seq", "origin", "amount").unionByName(stored.select("seq", "origin", "amount"))
+    tied = links.where(F.col("source") == REGISTRAR).select("seq", "code", "d", "revision").join(every.select("seq", "origin", "amount"), "seq")
+    return tied.join(events.where("amount is not null").select("code", "d", "revision", "amount"), ["code", "d", "revision", "amount"]).select("code", "d", "origin").distinct()
 
 
-def publish_registrar(rows: DataFrame, events: DataFrame, linked: DataFrame | None = None) -> DataFrame:
-    """A registrar's rows (code, state, d, seq, capture, raw, amount) with action, issue and revision.
+def publish_registrar(rows: DataFrame, events: DataFrame, links: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """A registrar's rows (code, state, d, seq, amount, and ORIGIN) with action, issue, revision and tied.
 
     state is the mapping's: only mapped rows are published. A row that agrees with the current amount is
     linked to it; one that differs is a conflict, which retires an amount of the registrar's own tier, so
-    that no later row is published; a third party's amount is replaced. A row read anew from the raw
-    text of one that stands behind the current amount (linked has the capture and raw text of those
-    before, by code and d) is no conflict but a revision.
+    that no later row is published; a third party's amount is replaced. A row whose origin is that of one
+    behind the current amount was read anew: it is no conflict but a revision. Rows linked before are
+    unchanged; stored has those that are not among rows.
     """
-    issue = F.when(too_old(F.col("d")), "implausible_record_date").when(F.col("state") == "mapped", None).when(F.col("state") == "ambiguous", "ambiguous_scheme").otherwise("unmapped_scheme")
-    judged = rows.withColumn("issue", issue)
-    held = judged.where("issue is not null")
-    met = against(judged.where("issue is null"), events)
-    if linked is None:
+    issue = F.when(F.col("tied").isNotNull(), None).when(too_old(F.col("d")), "implausible_record_date").when(F.col("state") == "mapped", None).when(F.col("state") == "ambiguous", "ambiguous_scheme").otherwise("unmapped_scheme")
+    with_origin = lambda df: df.withColumn("origin", F.to_json(F.struct(*[c for c in ORIGIN if c in rows.columns])))
+    judged = with_origin(tied_rows(rows, links, REGISTRAR)).withColumn("issue", issue)
+    aside = judged.where("issue is not null or tied is not null")
+    met = against(judged.where("issue is null and tied is null"), events)
+    if links is None:
         met = met.withColumn("stands", F.lit(False))
     else:
-        met = met.join(linked.select("code", "d", "capture", "raw", F.lit(True).alias("stands")).distinct(), ["code", "d", "capture", "raw"], "left").withColumn("stands", F.coalesce("stands", F.lit(False)))
+        behind = standing(judged, events, links, None if stored is None else with_origin(stored))
+        met = met.join(behind.withColumn("stands", F.lit(True)), ["code", "d", "origin"], "left").withColumn("stands", F.coalesce("stands", F.lit(False)))
     own = F.coalesce(F.col("was_tier") == 2, F.lit(False)) & F.col("was").isNotNull()
     first = F.row_number().over(in_order()) == 1
     before = F.when(first, F.when(own, F.col("was"))).otherwise(F.lag("amount").over(in_order()))
     met = met.withColumns({"own": own, "first": first, "turns": F.coalesce(before != F.col("amount"), F.lit(False))})
     met = met.withColumn("part", F.sum(F.col("turns").cast("int")).over(so_far()))
-    same_raw = Window.partitionBy("code", "d", "capture", "raw").orderBy("seq")
-    again = F.col("turns") & (F.coalesce(F.lag("part").over(same_raw) == F.col("part") - 1, F.lit(False)) | ((F.col("part") == 1) & F.col("own") & F.col("stands")))
+    same = Window.partitionBy("code", "d", "origin").orderBy("seq")
+    again = F.col("turns") & (F.coalesce(F.lag("part").over(same) == F.col("part") - 1, F.lit(False)) | ((F.col("part") == 1) & F.col("own") & F.col("stands")))
     met = met.withColumn("again", again)
     broken = F.max(F.col("turns") & ~F.col("again")).over(so_far())
     primary = F.coalesce(F.col("was_tier") == 1, F.lit(False)) & F.col("was").isNotNull()
@@ -101,17 +133,35 @@ def publish_registrar(rows: DataFrame, events: DataFrame, linked: DataFrame | No
         .when(F.col("first") & ~F.col("own"), F.when(~F.col("there"), "inserted").when(F.col("was") == F.col("amount"), "linked").otherwise("revised")).otherwise("linked")
     )
     out = numbered(met.withColumn("action", action).withColumn("issue", F.when(F.col("action") == "conflict", "amount_conflict")))
-    kept = [*rows.columns, "issue", "action", "revision", "was_tier"]
-    out = out.select(*kept).unionByName(held.withColumns({"action": F.lit("blocked"), "revision": F.lit(None).cast("int"), "was_tier": F.lit(None).cast("int")}).select(*kept))
+    kept = [*rows.columns, "issue", "action", "revision", "tied", "was_tier"]
+    idle = aside.withColumns({"action": F.when(F.col("tied").isNull(), "blocked").otherwise("unchanged"), "revision": F.col("tied"), "was_tier": F.lit(None).cast("int")})
+    out = out.select(*kept).unionByName(idle.select(*kept))
     return out.withColumn("tier", F.lit(2)).withColumn("retires", (F.col("action") == "conflict") & (F.coalesce("was_tier", F.lit(2)) != 1)).drop("was_tier")
 
 
-def publish_third_party(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """A third party's rows (code, d, seq, amount) with action, issue and revision.
+def publish_third_party(rows: DataFrame, events: DataFrame, links: DataFrame | None = None, issues: DataFrame | None = None, most_options: int | None = None) -> DataFrame:
+    """A third party's rows (code, d, seq, amount, and review, the mapping's) with action, issue, revision and tied.
 
     Its rows of a day that disagree among themselves, or with the current amount, are all held back; a
     conflict with an amount of its own tier retires that. Where a conflict has left no amount, none comes.
+    Rows linked before are unchanged, and rows with an issue under the same review are skipped. Of
+    the others only the first most_options options' are published, if that is given; the rest wait.
     """
+    review = F.col("review").cast("string") if "review" in rows.columns else F.lit(None).cast("string")
+    judged = tied_rows(rows, links, THIRD_PARTY).withColumn("__review", F.coalesce(review, F.lit("")))
+    if issues is None:
+        judged = judged.withColumn("__told", F.lit(False))
+    else:
+        told = issues.where(F.col("source") == THIRD_PARTY).select("seq", F.coalesce("review", F.lit("")).alias("__review"), F.lit(True).alias("__told")).distinct()
+        judged = judged.join(told, ["seq", "__review"], "left").withColumn("__told", F.coalesce("__told", F.lit(False)))
+    idle = F.when(F.col("tied").isNotNull(), "unchanged").when(F.col("__told"), "skipped")
+    judged = judged.withColumn("__idle", idle).drop("__review", "__told")
+    if most_options is not None:
+        if most_options < 1:
+            raise ValueError("at least one option is published")
+        turn = judged.where("__idle is null").select("code").distinct().orderBy("code").limit(most_options).withColumn("__turn", F.lit(True))
+        judged = judged.join(turn, "code", "left").withColumn("__idle", F.when(F.col("__idle").isNull() & F.col("__turn").isNull(), "waiting").otherwise(F.col("__idle"))).drop("__turn")
+    rows, aside = judged.where("__idle is null").drop("__idle"), judged.where("__idle is not null")
     day = rows.groupBy("code", "d").agg(F.min("amount").alias("least"), F.max("amount").alias("most"))
     met = against(day, events)
     old, apart = too_old(F.col("d")), F.col("least") != F.col("most")
@@ -125,7 +175,29 @@ def publish_third_party(rows: DataFrame, events: DataFrame) -> DataFrame:
         "code", "d", issue.alias("issue"), F.when(issue.isNotNull(), "blocked").when(F.col("there"), "linked").otherwise("inserted").alias("action"), retires.alias("retires"),
         (F.coalesce("was_revision", F.lit(0)) + F.when(issue.isNull() & ~F.col("there"), 1).otherwise(0)).cast("int").alias("revision"),
     )
-    return rows.join(told, ["code", "d"]).withColumn("tier", F.lit(3))
+    done = rows.join(told, ["code", "d"])
+    rest = aside.withColumns({"issue": F.lit(None).cast("string"), "retires": F.lit(False), "revision": F.col("tied")}).withColumnRenamed("__idle", "action")
+    return done.unionByName(rest.select(*done.columns)).withColumn("tier", F.lit(3))
+
+
+def new_links(published: DataFrame, source: str) -> DataFrame:
+    """What a publisher's result adds to the ledger of links."""
+    took = F.col("action").isin("inserted", "revised", "linked", "unchanged") & F.col("tied").isNull()
+    return published.where(took).select(F.lit(source).alias("source"), "seq", "code", "d", F.col("revision").cast("int").alias("revision"))
+
+
+def new_issues(published: DataFrame, source: str) -> DataFrame:
+    """What a publisher's result adds to the ledger of issues."""
+    review = F.col("review").cast("string") if "review" in published.columns else F.lit(None).cast("string")
+    return published.where("issue is not null").select(F.lit(source).alias("source"), "seq", review.alias("review"), "issue")
+
+
+def require_stored(rows: DataFrame, stored: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """rows, once it is sure that all of them are stored, which resuming a publication or refreshing a mapping takes for granted."""
+    absent = rows.select(*keys).distinct().join(stored.select(*keys).distinct(), keys, "left_anti")
+    if few := absent.limit(3).collect():
+        raise ValueError(f"{what} has to be imported first: missing {absent.count()}, among them {[tuple(r) for r in few]}")
+    return rows
 
 
 def publish_notice(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -141,6 +213,8 @@ def publish_notice(rows: DataFrame, events: DataFrame) -> DataFrame:
 def after(events: DataFrame, rows: DataFrame) -> DataFrame:
     """The events that published rows leave: (code, d, amount, tier, revision)."""
     took = F.col("action").isin("inserted", "revised", "linked", "unchanged")
+    if "tied" in rows.columns:
+        took &= F.col("tied").isNull()  # what an earlier run has linked says nothing new
     retires = F.col("retires") if "retires" in rows.columns else F.lit(False)
     news = rows.groupBy("code", "d").agg(
         F.max(F.when(took, F.struct("seq", "amount"))).alias("last"), F.max(retires).alias("retired"), F.max("revision").alias("rev"), F.min(F.when(took, F.col("tier"))).alias("own"),

@@ -86,14 +86,19 @@ EVENTS_SQL = """ev AS (SELECT code, d, CASE WHEN code % 7 > 0 THEN amount END AS
   FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 5 <> 4 GROUP BY ALL))"""
 
 
-def registrar_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a registrar's rows do to these events, with issues and revisions."""
+def registrar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted lines as a registrar's rows; those of every third order arrive in a second batch."""
     state = F.when(F.col("l_suppkey") % 13 == 0, "ambiguous").when(F.col("l_suppkey") % 17 == 0, "unresolved").otherwise("mapped")
-    rows = b.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(
+    return b.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(
         F.col("l_suppkey").alias("code"), state.alias("state"), F.trunc("l_shipdate", "WEEK").alias("d"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         (F.col("l_partkey") % 2).alias("capture"), (F.col("l_linenumber") % 2).cast("string").alias("raw"), (F.floor(F.col("l_discount") * 40) / 100).alias("amount"),
+        F.when(F.col("l_orderkey") % 3 == 0, 2).otherwise(1).alias("batch"),
     )
-    out = publication.publish_registrar(rows, events_before(spark, sf_dir))
+
+
+def registrar_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a registrar's rows do to these events, with issues and revisions."""
+    out = publication.publish_registrar(registrar_rows(spark, sf_dir), events_before(spark, sf_dir))
     return out.select("code", "d", "seq", "action", "issue", F.col("revision").cast("long").alias("revision"), "retires")
 
 
@@ -109,12 +114,17 @@ SELECT code, d, seq, action, CASE WHEN action = 'conflict' THEN 'amount_conflict
 UNION ALL SELECT code, d, seq, 'blocked', CASE state WHEN 'ambiguous' THEN 'ambiguous_scheme' ELSE 'unmapped_scheme' END, NULL, false FROM s WHERE state <> 'mapped'"""
 
 
+def third_party_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New lines as a third party's rows under one review of each series; those of every third order arrive in a second batch."""
+    return b.table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(
+        F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "WEEK").alias("d"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.floor(F.col("l_discount") * 40) / 100).alias("amount"),
+        F.concat(F.lit("r"), F.col("l_suppkey")).alias("review"), F.when(F.col("l_orderkey") % 3 == 0, 2).otherwise(1).alias("batch"),
+    )
+
+
 def third_party_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a third party's rows do to these events."""
-    rows = b.table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(
-        F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "WEEK").alias("d"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.floor(F.col("l_discount") * 40) / 100).alias("amount")
-    )
-    out = publication.publish_third_party(rows, events_before(spark, sf_dir))
+    out = publication.publish_third_party(third_party_rows(spark, sf_dir), events_before(spark, sf_dir))
     return out.select("code", "d", "seq", "action", "issue", F.col("revision").cast("long").alias("revision"), F.coalesce("retires", F.lit(False)).alias("retires"))
 
 

@@ -74,12 +74,114 @@ def test_registrar_publication_is_the_rule_row_by_row(spark):
     wanted, left = registrar_by_row(rows, before, linked)
     df = spark.createDataFrame(rows, "code long, d date, seq long, capture string, raw string, amount double").withColumn("state", F.lit("mapped"))
     old = events(spark, [(*k, *v) for k, v in before.items()])
-    tied = spark.createDataFrame([(*k, *x) for k, xs in linked.items() for x in xs], "code long, d date, capture string, raw string")
-    done = publication.publish_registrar(df, old, tied)
+    behind = [(*k, -i, *x, before[k][0]) for i, (k, xs) in enumerate(sorted(linked.items()), 1) for x in xs]
+    stored = spark.createDataFrame(behind, "code long, d date, seq long, capture string, raw string, amount double")
+    links = spark.createDataFrame([("registrar", r[2], r[0], r[1], 1) for r in behind], publication.LINK)
+    done = publication.publish_registrar(df, old, links, stored)
     assert [(r.action, r.revision) for r in done.orderBy("seq").collect()] == wanted
     assert {(r.code, r.d): (r.amount, r.tier, r.revision) for r in publication.after(old, done).collect()} == left
 
 
+def runs(publish, rows, events_, links, batches):
+    """Actions of each run over its rows, and what all runs leave: rows of a run are those of its batch and before."""
+    told, issues = [], None
+    for upto in range(1, batches + 1):
+        done = publish(rows.where(F.col("batch") <= upto), events_, links, issues)
+        told.append({r.seq: (r.action, r.revision) for r in done.collect()})
+        own = {"normalise": "regulator", "publish_registrar": "registrar", "publish_third_party": "third_party"}[publish.__name__]
+        spark = rows.sparkSession
+        events_ = spark.createDataFrame(publication.after(events_, done).collect(), publication.EVENT)
+        links = spark.createDataFrame(links.unionByName(publication.new_links(done, own)).collect(), publication.LINK)
+        found = publication.new_issues(done, own)
+        issues = spark.createDataFrame((found if issues is None else issues.unionByName(found)).collect(), publication.ISSUE)
+    return told, {(r.code, r.d): (r.amount, r.tier, r.revision) for r in events_.collect()}, links
+
+
+def registrar_runs_by_row(rows, batches):
+    """The registrar's rule with its ledger, one row after another, run after run: over rows (code, seq, batch, origin, amount)."""
+    state, linked, told = {}, {}, []
+    for upto in range(1, batches + 1):
+        now = {}
+        for code, seq, batch, origin, amount in rows:
+            if batch > upto:
+                continue
+            if seq in linked:
+                now[seq] = ("unchanged", linked[seq])
+                continue
+            s = state.setdefault(code, {"cur": None, "tier": None, "rev": 0, "keys": set()})
+            again = s["cur"] is not None and s["cur"] != amount and origin in s["keys"]
+            if s["cur"] == amount:
+                now[seq], linked[seq] = ("linked", s["rev"]), s["rev"]
+                s["keys"].add(origin)
+            elif again or s["tier"] is None:
+                now[seq] = ("revised" if again else "inserted", s["rev"] + 1)
+                s.update(cur=amount, tier=2, rev=s["rev"] + 1, keys={origin})
+                linked[seq] = s["rev"]
+            else:
+                now[seq] = ("conflict", s["rev"])
+                s["cur"] = None
+        told.append(now)
+    return told, {(c, DAY): (s["cur"], s["tier"], s["rev"]) for c, s in state.items()}
+
+
+def test_registrar_runs_again(spark):
+    rng = random.Random(11)
+    rows = [(c, c * 10 + i, rng.randint(1, 3), ("k", str(rng.randint(0, 2)), rng.choice([None, "x"]), 1.0, None), float(rng.randint(1, 2))) for c in range(120) for i in range(rng.randint(1, 6))]
+    wanted, left = registrar_runs_by_row(rows, 4)
+    df = spark.createDataFrame([(c, s, b, *o, a) for c, s, b, o, a in rows], "code long, seq long, batch int, capture string, raw string, other_raw string, ex_nav double, cum_nav double, amount double").withColumns({"d": F.lit(DAY), "state": F.lit("mapped")})
+
+    def publish_registrar(rows, events_, links, _):
+        return publication.publish_registrar(rows, events_, links)
+
+    told, events_, links = runs(publish_registrar, df, events(spark, []), spark.createDataFrame([], publication.LINK), 4)
+    assert told == wanted and events_ == left
+    assert {x[0] for x in told[3].values()} == {"unchanged", "conflict"}
+    assert {s: x for s, x in told[3].items() if x[0] == "unchanged"}.keys() == {r.seq for r in links.collect()}
+
+
+def test_a_second_run_changes_nothing(spark):
+    known = spark.createDataFrame([(1,), (2,)], "code long")
+    rows = amfi(spark, [(1, "amount", 1.0, "IDCW"), (1, "amount", 1.5, "IDCW"), (2, "amount", 5.0, "IDCW"), (2, "amount", 5.0, "IDCW"), (9, "amount", 5.0, "IDCW")]).withColumn("batch", F.lit(1))
+
+    def normalise(rows, events_, links, _):
+        return publication.normalise(rows, known, events_, links)
+
+    told, events_, links = runs(normalise, rows, events(spark, []), spark.createDataFrame([], publication.LINK), 3)
+    assert told[0] == {0: ("inserted", 1), 1: ("revised", 2), 2: ("inserted", 1), 3: ("unchanged", 1), 4: ("blocked", 0)}
+    assert told[1] == told[2] == {0: ("unchanged", 1), 1: ("unchanged", 2), 2: ("unchanged", 1), 3: ("unchanged", 1), 4: ("blocked", 0)}
+    assert events_ == {(1, DAY): (1.5, 1, 2), (2, DAY): (5.0, 1, 1)} and links.count() == 4
+    late = amfi(spark, [(1, "amount", 1.0, "IDCW"), (1, "amount", 1.5, "IDCW"), (2, "amount", 5.0, "IDCW"), (2, "amount", 5.0, "IDCW"), (1, "amount", 1.0, "IDCW")])
+    now = publication.normalise(late, known, events(spark, [(*k, *v) for k, v in events_.items()]), links).where("seq = 4").first()
+    assert (now.action, now.revision) == ("revised", 3)
+    for broken in (rows.where("seq <> 0"), rows.withColumn("unit", F.when(F.col("seq") == 0, "ratio").otherwise(F.col("unit")))):
+        with pytest.raises(Exception, match="no longer a cash amount candidate"):
+            publication.normalise(broken, known, events(spark, []), links).collect()
+
+
+def test_third_party_runs_again(spark):
+    rows = [(1, 1.0, 1), (1, 1.0, 2), (2, 1.0, 1), (2, 2.0, 1), (3, 1.0, 1), (3, 2.0, 2), (4, 7.0, 2)]
+    df = spark.createDataFrame([(c, DAY, i, a, b, "r1") for i, (c, a, b) in enumerate(rows)], "code long, d date, seq long, amount double, batch int, review string")
+    told, events_, links = runs(publication.publish_third_party, df, events(spark, []), spark.createDataFrame([], publication.LINK), 3)
+    assert told[0] == {0: ("inserted", 1), 2: ("blocked", 0), 3: ("blocked", 0), 4: ("inserted", 1)}
+    assert told[1] == {0: ("unchanged", 1), 1: ("linked", 1), 2: ("skipped", None), 3: ("skipped", None), 4: ("unchanged", 1), 5: ("blocked", 1), 6: ("inserted", 1)}
+    assert told[2] == {0: ("unchanged", 1), 1: ("unchanged", 1), 2: ("skipped", None), 3: ("skipped", None), 4: ("unchanged", 1), 5: ("skipped", None), 6: ("unchanged", 1)}
+    assert events_ == {(1, DAY): (1.0, 3, 1), (3, DAY): (None, 3, 1), (4, DAY): (7.0, 3, 1)}
+    issues = publication.new_issues(publication.publish_third_party(df, events(spark, [])), "third_party")
+    other = publication.publish_third_party(df.withColumn("review", F.lit("r2")), events(spark, []), None, issues)
+    assert "skipped" not in {r.action for r in other.collect()}
+    first = publication.publish_third_party(df, events(spark, []), most_options=2)
+    assert {r.code for r in first.where("action <> 'waiting'").collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        publication.publish_third_party(df, events(spark, []), most_options=0)
+
+
+def test_what_is_resumed_has_to_be_stored(spark):
+    stored = spark.createDataFrame([("a", 1), ("b", 2)], "house string, payload int")
+    assert publication.require_stored(stored.limit(1), stored, ["house", "payload"], "a capture").count() == 1
+    with pytest.raises(ValueError, match="a capture has to be imported first: missing 1"):
+        publication.require_stored(spark.createDataFrame([("a", 1), ("b", 3)], "house string, payload int"), stored, ["house", "payload"], "a capture")
+
+
 def test_registrar_rows_that_are_held_back(spark):
     rows = spark.createDataFrame([(1, "mapped", D(1950, 1, 1), 1, "k", "r", 1.0), (1, "ambiguous", DAY, 2, "k", "r", 1.0), (None, "unresolved", DAY, 3, "k", "r", 1.0)], "code long, state string, d date, seq long, capture string, raw string, amount double")
     found = publication.publish_registrar(rows, events(spark, [])).orderBy("seq").collect()
