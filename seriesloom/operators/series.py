@@ -83,22 +83,31 @@ def trailing(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, re
 def rolling(nav: DataFrame, years: int, *, month_ends: bool = False, tolerance: int = 7) -> DataFrame:
     """code, start_day, end_day, r: the annual return of every window of so many years.
 
-    Each end takes the first value on or after its anniversary, by a range frame over days. With
-    month_ends only a month's last value ends a window; starts may be any day.
+    Each end takes the first value on or after its anniversary. With month_ends only a month's last
+    value ends a window; starts may be any day.
     """
     return rolling_years(nav, (years,), month_ends=month_ends, tolerance=tolerance).drop("years")
 
 
 def rolling_years(nav: DataFrame, lengths: tuple[int, ...], *, month_ends: bool = False, tolerance: int = 7) -> DataFrame:
-    """years, code, start_day, end_day, r of the windows of several lengths, from one sort of each series."""
-    frame = "min(struct(d, v)) over (partition by code order by d range between interval {} year preceding and current row)"
-    rows = nav.withColumns({f"__s{y}": F.expr(frame.format(y)) for y in lengths})
+    """years, code, start_day, end_day, r of the windows of several lengths.
+
+    A merge of points and targets: both stand in one order of days, the latest first, and a target takes
+    the last point that has gone by. One exchange by code and one running value, so the work grows with days, not
+    with the length of windows; with month_ends only a month's last days have targets.
+    """
+    d, v = F.col("d"), F.col("v")
+    goals = F.array(*[F.struct(calendar.anniversary(d, y).alias("day"), F.lit(y).alias("years"), d.alias("d"), v.alias("v")) for y in lengths])
     if month_ends:
-        last = Window.partitionBy("code", F.trunc("d", "MM"))
-        rows = rows.withColumn("__last", F.max("d").over(last)).where("d = __last")
-    each = F.explode(F.array(*[F.struct(F.lit(y).alias("years"), calendar.anniversary(F.col("d"), y).alias("target"), F.col(f"__s{y}").alias("s")) for y in lengths]))
-    found = rows.select("code", "d", "v", each.alias("x")).select("code", "d", "v", "x.years", "x.target", F.col("x.s.d").alias("start_day"), F.col("x.s.v").alias("start_value"))
-    ok = (F.col("start_day") < F.col("d")) & (F.col("start_day") >= F.col("target")) & (F.col("start_day") <= F.date_add("target", tolerance))
+        after = F.lead("d").over(Window.partitionBy("code").orderBy("d"))
+        nav = nav.withColumn("__last", after.isNull() | (F.trunc(after, "MM") != F.trunc("d", "MM")))
+        goals = F.when(F.col("__last"), goals).otherwise(F.slice(goals, 1, 0))
+    point = F.array(F.struct(d.alias("day"), F.lit(0).alias("years"), d.alias("d"), v.alias("v")))
+    rows = nav.select("code", F.inline(F.concat(point, goals)))
+    gone_by = Window.partitionBy("code").orderBy(F.desc("day"), F.col("years") > 0, F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.last(F.when(F.col("years") == 0, F.struct("d", "v")), ignorenulls=True).over(gone_by)
+    found = rows.withColumn("s", start).where("years > 0").select("years", "code", "d", "v", "day", F.col("s.d").alias("start_day"), F.col("s.v").alias("start_value"))
+    ok = (F.col("start_day") < F.col("d")) & (F.col("start_day") <= F.date_add("day", tolerance))
     value = returns.annual_return(F.col("start_value"), F.col("v"), F.datediff("d", "start_day"))
     return found.where(ok).select("years", "code", "start_day", F.col("d").alias("end_day"), value.alias("r")).where("r is not null")
 

@@ -23,24 +23,6 @@ CHANGES_SQL = """WITH f AS (SELECT l_linestatus AS exchange, CAST(l_suppkey AS V
 SELECT exchange, security_id, count(*) AS isins, string_agg(since || ' ' || isin, '|' ORDER BY since, isin) AS history FROM f GROUP BY ALL HAVING count(*) > 1"""
 
 
-def listing_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices by how their instrument is found: by identifier, by the only listing of a symbol, by a roster of the day or another."""
-    li = b.table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey") % 60
-    prices = li.select(F.concat(F.lit("S"), k).alias("symbol"), F.col("l_linestatus").alias("series"), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("I"), k)).alias("isin"), F.col("l_shipdate").cast("date").alias("d"))
-    n = spark.range(60)
-    by_isin = n.where("id % 2 = 0").select(F.concat(F.lit("I"), "id").alias("isin"), F.concat(F.lit("x"), "id").alias("instrument"))
-    by_symbol = n.where("id % 5 < 2").select(F.concat(F.lit("S"), "id").alias("symbol"), F.explode(F.array(F.lit("F"), F.lit("O"))).alias("series"), F.concat(F.lit("y"), "id").alias("instrument"))
-    by_symbol = by_symbol.unionByName(by_symbol.where("symbol like '%1'"))
-    roster = n.where("id % 3 > 0").select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit("1998-06-15").cast("date").alias("d"), F.concat(F.lit("z"), "id").alias("instrument"))
-    return exchange.resolved(prices, by_isin, by_symbol, roster).groupBy("identity", F.substring("instrument", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))
-
-
-RESOLUTION_SQL = """WITH p AS (SELECT l_partkey % 60 AS k, l_linestatus AS series, l_partkey % 3 = 0 AS has, CAST(l_shipdate AS DATE) AS d FROM lineitem),
-r AS (SELECT k, CASE WHEN has AND k % 2 = 0 THEN 'x' WHEN k % 5 < 2 AND k % 10 <> 1 THEN 'y' WHEN k % 3 > 0 THEN 'z' END AS kind, d FROM p)
-SELECT CASE WHEN kind IN ('x', 'y') THEN 'official' WHEN kind IS NULL THEN 'identity_unresolved' WHEN d = DATE '1998-06-15' THEN 'official' ELSE 'provisional_current_mapping' END AS identity, kind, count(*) AS n, count(DISTINCT k) AS symbols FROM r GROUP BY ALL"""
-
-
 def third_party_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third party's captures mapped to options by house, plan, qualifiers and sampled values."""
     m, nav = b.members(spark, sf_dir), b.nav(spark, sf_dir)
@@ -123,7 +105,6 @@ def alias_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "identity_changes": (identity_changes, CHANGES_SQL),
-    "listing_resolution": (listing_resolution, RESOLUTION_SQL),
     "third_party_mapping": (third_party_mapping, THIRD_MAPPING_SQL),
     "catalogue_snapshot": (catalogue_snapshot, SNAPSHOT_SQL),
     "metadata_versions": (metadata_versions, VERSIONS_SQL),

@@ -167,26 +167,6 @@ def resolved_by_membership(daily: DataFrame, prices: DataFrame) -> DataFrame:
     return both.withColumn("identity", F.when(F.col("isin").isNull(), "identity_unresolved").otherwise("official"))
 
 
-def resolved(prices: DataFrame, by_isin: DataFrame, by_symbol: DataFrame, roster: DataFrame) -> DataFrame:
-    """prices with instrument and identity: by ISIN, else by a symbol with one listing, else by the roster.
-
-    by_isin has (isin, instrument); by_symbol (symbol, series, instrument); roster (symbol, d, instrument).
-    A roster of another day gives a provisional identity.
-    """
-    one = by_symbol.groupBy("symbol", "series").agg(F.count("*").alias("n"), F.max("instrument").alias("i2")).where("n = 1").drop("n")
-    latest = roster.groupBy("symbol").agg(F.max_by("instrument", "d").alias("i3"), F.max("d").alias("roster_day"))
-    out = prices.join(by_isin.select("isin", F.col("instrument").alias("i1")), "isin", "left").join(one, ["symbol", "series"], "left").join(latest, "symbol", "left")
-    identity = F.when(F.col("i1").isNotNull() | F.col("i2").isNotNull(), "official").when(F.col("i3").isNull(), "identity_unresolved").when(F.col("roster_day") == F.col("d"), "official").otherwise("provisional_current_mapping")
-    return out.withColumn("instrument", F.coalesce("i1", "i2", "i3")).withColumn("identity", identity).drop("i1", "i2", "i3", "roster_day")
-
-
-def instruments(indices: DataFrame) -> DataFrame:
-    """The three instruments of each index (trading_name, display_name): price, gross and net, which never mix."""
-    kinds = F.explode(F.array(*map(F.lit, ("price_index", "gross_total_return_index", "net_total_return_index")))).alias("kind")
-    rows = indices.select("trading_name", "display_name", kinds)
-    return rows.withColumn("code", F.sha2(F.concat_ws("|", "trading_name", "kind"), 256))
-
-
 def identity_changes(listings: DataFrame) -> DataFrame:
     """exchange, security_id and isins of securities that have been listed under more than one ISIN, with the first day of each."""
     first = listings.where("isin is not null").groupBy("exchange", "security_id", "isin").agg(F.min("d").alias("since"))

@@ -221,15 +221,6 @@ def test_fund_lists(spark):
     assert {r.symbol: r.identity for r in exchange.resolved_by_membership(day, prices).collect()} == {"A": "official", "B": "identity_unresolved"}
 
 
-def test_identity_precedence(spark):
-    prices = spark.createDataFrame([("A", "EQ", "I1", "2025-01-01"), ("B", "EQ", None, "2025-01-01"), ("C", "EQ", None, "2025-01-01"), ("D", "EQ", None, "2025-01-01")], "symbol string, series string, isin string, d string")
-    got = exchange.resolved(
-        prices, spark.createDataFrame([("I1", "x")], "isin string, instrument string"), spark.createDataFrame([("B", "EQ", "y"), ("C", "EQ", "p"), ("C", "EQ", "q")], "symbol string, series string, instrument string"),
-        spark.createDataFrame([("C", "2025-01-02", "z")], "symbol string, d string, instrument string"),
-    )
-    assert {r.symbol: (r.instrument, r.identity) for r in got.collect()} == {"A": ("x", "official"), "B": ("y", "official"), "C": ("z", "provisional_current_mapping"), "D": (None, "identity_unresolved")}
-
-
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "=x", 1.5), (2, None, 2.0)], "k long, t string, v double")
     sinks.write_csv(df, str(tmp_path / "out"))
