@@ -252,23 +252,44 @@ def states(captures: DataFrame, qualified: DataFrame) -> DataFrame:
     return out.select("capture", state.alias("state"), F.when(F.col("n") == 1, F.col("one")).alias("code"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
-def third_party_candidates(captures: DataFrame, metadata: DataFrame) -> DataFrame:
-    """capture, code and exact of options of the same house whose plan and stated qualifiers do not contradict the capture's.
-
-    Candidates whose whole core agrees count alone where there are any.
-    """
-    meta = metadata.where("option = 'idcw'").select(
-        "code", names.house_core(F.col("house")).alias("house_core"), F.col("plan").alias("their_plan"), names.third_party_core(F.col("name")).alias("their_core"),
+def option_keys(metadata: DataFrame) -> DataFrame:
+    """code, house_core, core, plan, variant and frequency of payout options, as a third party's captures are compared with them."""
+    return metadata.where("option = 'idcw'").select(
+        "code", names.house_core(F.col("house")).alias("house_core"), names.third_party_core(F.col("name")).alias("core"), F.col("plan").alias("their_plan"),
         names.third_party_variant(F.col("name")).alias("their_variant"), names.third_party_frequency(F.col("name")).alias("their_frequency"),
     )
-    own = captures.select(
-        "capture", names.house_core(F.col("house")).alias("house_core"), names.third_party_plan(F.col("name")).alias("plan"), names.third_party_core(F.col("name")).alias("core"),
+
+
+def capture_keys(captures: DataFrame) -> DataFrame:
+    return captures.select(
+        "capture", names.house_core(F.col("house")).alias("house_core"), names.third_party_core(F.col("name")).alias("core"), names.third_party_plan(F.col("name")).alias("plan"),
         names.third_party_variant(F.col("name")).alias("variant"), names.third_party_frequency(F.col("name")).alias("frequency"),
     )
+
+
+def third_party_pairs(captures: DataFrame, sampled: DataFrame, metadata: DataFrame, nav: DataFrame) -> DataFrame:
+    """capture, code and exact of the options that can be a capture's: same house, no contradiction of plan or stated qualifiers.
+
+    Options whose whole core agrees are a capture's only ones where there are any. For the other captures an
+    option counts that has one of their sampled values on its day, since none qualifies without; so both
+    joins are on equal keys, and the options of a house are never paired off with its captures.
+    """
+    meta, own = option_keys(metadata), capture_keys(captures)
     fits = names.plans_agree(F.col("plan"), F.col("their_plan")) & names.qualifiers_agree(F.col("variant"), F.col("frequency"), F.col("their_variant"), F.col("their_frequency"))
-    pairs = own.join(meta, "house_core").where(fits).groupBy("capture", "code").agg(F.max(F.col("core") == F.col("their_core")).alias("exact"))
-    any_exact = pairs.groupBy("capture").agg(F.max("exact").alias("some"))
-    return pairs.join(any_exact, "capture").where(F.col("exact") | ~F.col("some")).select("capture", "code", "exact")
+    exact = own.join(meta, ["house_core", "core"]).where(fits).select("capture", "code").distinct()
+    others = own.join(exact, "capture", "left_anti").join(sampled.select("capture", "d", "value").distinct(), "capture").drop("core")
+    valued = nav.select("code", "d", F.col("v").alias("value")).join(meta.drop("core"), "code")
+    broad = others.join(valued, ["house_core", "d", "value"]).where(fits).select("capture", "code").distinct()
+    return exact.withColumn("exact", F.lit(True)).unionByName(broad.withColumn("exact", F.lit(False)))
+
+
+def compared(pairs: DataFrame, points: DataFrame, nav: DataFrame) -> DataFrame:
+    """pairs with matches, conflicts and span of the points (capture, d, value) against nav (code, d, v)."""
+    keys = pairs.columns
+    both = pairs.join(points, "capture").join(nav.select("code", "d", "v"), ["code", "d"])
+    same = F.col("value") == F.col("v")
+    span = F.datediff(F.max(F.when(same, F.col("d"))), F.min(F.when(same, F.col("d"))))
+    return both.groupBy(*keys).agg(F.count_if(same).alias("matches"), F.count_if(~same).alias("conflicts"), F.coalesce(span, F.lit(0)).alias("span"))
 
 
 def map_third_party(captures: DataFrame, sampled: DataFrame, metadata: DataFrame, nav: DataFrame) -> DataFrame:
@@ -277,15 +298,45 @@ def map_third_party(captures: DataFrame, sampled: DataFrame, metadata: DataFrame
     A candidate qualifies without any conflict, and with enough matches over enough days, or one match
     under exactly its name.
     """
-    points = third_party_candidates(captures, metadata).join(sampled, "capture").join(nav.select("code", "d", "v"), ["code", "d"])
-    same = F.col("value") == F.col("v")
-    found = points.groupBy("capture", "code", "exact").agg(
-        F.count_if(same).alias("matches"), F.count_if(~same).alias("conflicts"), F.datediff(F.max(F.when(same, F.col("d"))), F.min(F.when(same, F.col("d")))).alias("span")
-    )
+    found = compared(third_party_pairs(captures, sampled, metadata, nav), sampled, nav)
     enough = ((F.col("matches") >= LEAST_MATCHES) & (F.col("span") >= LEAST_SPAN)) | (F.col("exact") & (F.col("matches") >= 1))
     return states(captures, found.where((F.col("conflicts") == 0) & enough).select("capture", "code", "matches"))
 
 
+def pilot_report(captures: DataFrame, rows: DataFrame, metadata: DataFrame, nav: DataFrame) -> DataFrame:
+    """What a third party's captures would be mapped to, publishing nothing: a verdict for each.
+
+    captures has (capture, name, house, plan, source_frequency, display_frequency), name as displayed; rows
+    has (capture, d, value, positive), all of them compared. Candidates have the house and exactly the core of the
+    name and no other plan; one qualifies with enough matches over enough days and no conflict. A capture
+    whose names state different frequencies stays unresolved, whatever qualifies.
+
+    capture, source_rows, positive_rows, zero_rows, candidates, qualified, matches, conflicts, missing (of all
+    candidates together), state, code and reason.
+    """
+    meta = metadata.where("option = 'idcw'").select("code", "house", names.third_party_core(F.col("name")).alias("core"), F.col("plan").alias("their_plan"))
+    own = captures.select("capture", "house", "plan", names.third_party_core(F.col("name")).alias("core"))
+    pairs = own.join(meta, ["house", "core"]).where(names.plans_agree(F.col("plan"), F.col("their_plan"))).select("capture", "code").distinct()
+    points = rows.select("capture", "d", "value")
+    judged = pairs.join(compared(pairs, points, nav), ["capture", "code"], "left").fillna(0, ["matches", "conflicts", "span"])
+    good = (F.col("matches") >= LEAST_MATCHES) & (F.col("span") >= LEAST_SPAN) & (F.col("conflicts") == 0)
+    by = judged.groupBy("capture").agg(F.count("*").alias("candidates"), F.count_if(good).alias("qualified"), F.min(F.when(good, F.col("code"))).alias("one"), F.sum("matches").alias("matches"), F.sum("conflicts").alias("conflicts"))
+    had = rows.groupBy("capture").agg(F.count("*").alias("source_rows"), F.count_if("positive").alias("positive_rows"))
+    out = captures.join(had, "capture", "left").join(by, "capture", "left").fillna(0, ["source_rows", "positive_rows", "candidates", "qualified", "matches", "conflicts"])
+    stated = [F.col(c).isin("unknown", "multiple") for c in ("source_frequency", "display_frequency")]
+    at_odds = ~stated[0] & ~stated[1] & (F.col("source_frequency") != F.col("display_frequency"))
+    state = F.when(at_odds, "unresolved").when(F.col("qualified") == 1, "mapped").when(F.col("qualified") > 1, "ambiguous").otherwise("unresolved")
+    reason = (
+        F.when(at_odds, "frequency_conflict").when(F.col("qualified") == 1, "one_candidate_qualifies").when(F.col("qualified") > 1, "several_candidates_qualify").when(F.col("candidates") == 0, "no_name_and_plan_candidate")
+        .when(F.col("source_rows") < LEAST_MATCHES, "too_few_source_rows").otherwise("no_candidate_qualifies")
+    )
+    missing = F.col("candidates") * F.col("source_rows") - F.col("matches") - F.col("conflicts")
+    return out.select(
+        "capture", "source_rows", "positive_rows", (F.col("source_rows") - F.col("positive_rows")).alias("zero_rows"), "candidates", "qualified", "matches", "conflicts", missing.alias("missing"), state.alias("state"),
+        F.when(state == "mapped", F.col("one")).alias("code"), reason.alias("reason"),
+    )
+
+
 def coverage(options: DataFrame, sources: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
     """For every payout option (code): its source rows, those linked to events, events and bounds, and the status.
 

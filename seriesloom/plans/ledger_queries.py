@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import classification, publication, revisions
+from ..operators import classification, publication, revisions, series
 from ..sources import exchange
 from . import bindings as b
 from .catalog_queries import classification_labels
@@ -23,27 +23,61 @@ CHANGES_SQL = """WITH f AS (SELECT l_linestatus AS exchange, CAST(l_suppkey AS V
 SELECT exchange, security_id, count(*) AS isins, string_agg(since || ' ' || isin, '|' ORDER BY since, isin) AS history FROM f GROUP BY ALL HAVING count(*) > 1"""
 
 
-def third_party_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third party's captures mapped to options by house, plan, qualifiers and sampled values."""
-    m, nav = b.members(spark, sf_dir), b.nav(spark, sf_dir)
+def third_party_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures of a third party and the options' metadata: four series share a name, every sixth capture has another, every seventh another frequency."""
+    m = b.members(spark, sf_dir)
     group = F.floor(F.col("code") / 4).cast("string")
     kind = F.when(F.col("code") % 2 == 0, "Direct").otherwise("Regular")
     metadata = m.select("code", F.concat(F.lit("Gold Advantage "), group, F.lit(" "), kind, F.lit(" Plan IDCW Monthly Payout")).alias("name"), F.lit("One Mutual Fund").alias("house"), F.lower(kind).alias("plan"), F.lit("idcw").alias("option"))
     short = F.when(F.col("code") % 2 == 0, "Dir").otherwise("Reg")
-    captures = m.select(F.concat(F.lit("k"), "code").alias("capture"), F.concat(F.lit("Gold Advtg "), group, F.lit(" "), short, F.when(F.col("code") % 7 == 0, F.lit(" Qly")).otherwise(F.lit(" Mly"))).alias("name"), F.lit("One").alias("house"))
+    own = F.when(F.col("code") % 6 == 0, F.lit("Silver Advtg ")).otherwise(F.lit("Gold Advtg "))
+    captures = m.select("code", F.concat(F.lit("k"), "code").alias("capture"), F.concat(own, group, F.lit(" "), short, F.when(F.col("code") % 7 == 0, F.lit(" Qly")).otherwise(F.lit(" Mly"))).alias("name"), F.lit("One").alias("house"))
+    return captures, metadata
+
+
+def third_party_points(nav: DataFrame) -> DataFrame:
+    """capture, d, value: the captures' own values, those of every fifth off by one."""
     value = F.when(F.col("code") % 5 == 0, F.col("v") + 1).otherwise(F.col("v"))
-    sampled = nav.where("day(d) = 1").select(F.concat(F.lit("k"), "code").alias("capture"), "d", value.alias("value"))
-    return publication.map_third_party(captures, sampled, metadata, nav)
+    return nav.select(F.concat(F.lit("k"), "code").alias("capture"), "d", value.alias("value"))
+
+
+def third_party_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third party's captures mapped to options by house, plan, qualifiers and twelve evenly spaced values of each."""
+    captures, metadata = third_party_names(spark, sf_dir)
+    nav = b.nav(spark, sf_dir)
+    return publication.map_third_party(captures.drop("code"), series.even_sample(third_party_points(nav), "capture", ["d"]), metadata, nav)
 
 
-THIRD_MAPPING_SQL = f"""WITH {b.NAV_SQL}, m AS (SELECT s_suppkey AS code, s_suppkey // 4 AS g, s_suppkey % 2 AS p FROM supplier), c AS (SELECT a.code AS cap, m.code, a.g = m.g AS exact FROM m a JOIN m ON a.p = m.p WHERE a.code % 7 > 0),
+THIRD_MAPPING_SQL = f"""WITH {b.NAV_SQL}, nn AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM nav),
+sm AS (SELECT DISTINCT code, d, v FROM nn, (SELECT unnest(range(12)) AS j) WHERE n <= 12 OR i = round_even(j * (n - 1) / 11, 0)),
+m AS (SELECT s_suppkey AS code, s_suppkey // 4 AS g, s_suppkey % 2 AS p FROM supplier), c AS (SELECT a.code AS cap, m.code, a.g = m.g AND a.code % 6 > 0 AS exact FROM m a JOIN m ON a.p = m.p WHERE a.code % 7 > 0),
 k AS (SELECT cap, code, exact FROM c QUALIFY exact OR NOT bool_or(exact) OVER (PARTITION BY cap)),
-x AS (SELECT cap, k.code, exact, a.d, CASE WHEN cap % 5 = 0 THEN a.v + 1 ELSE a.v END = b.v AS same FROM k JOIN nav a ON a.code = cap AND day(a.d) = 1 JOIN nav b ON b.code = k.code AND b.d = a.d),
+x AS (SELECT cap, k.code, exact, a.d, CASE WHEN cap % 5 = 0 THEN a.v + 1 ELSE a.v END = b.v AS same FROM k JOIN sm a ON a.code = cap JOIN nav b ON b.code = k.code AND b.d = a.d),
 q AS (SELECT cap, code, count(*) FILTER (WHERE same) AS n FROM x GROUP BY cap, code, exact HAVING count(*) FILTER (WHERE NOT same) = 0 AND (exact AND count(*) FILTER (WHERE same) >= 1 OR count(*) FILTER (WHERE same) >= 3 AND date_diff('day', min(d) FILTER (WHERE same), max(d) FILTER (WHERE same)) >= 30)),
 s AS (SELECT cap, count(*) AS k, min(code) AS code, CAST(sum(n) AS BIGINT) AS matches FROM q GROUP BY cap)
 SELECT 'k' || m.code AS capture, CASE WHEN k = 1 THEN 'mapped' WHEN k > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN k = 1 THEN s.code END AS code, coalesce(matches, 0) AS matches FROM m LEFT JOIN s ON s.cap = m.code"""
 
 
+def third_party_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the captures would be mapped to by all of their values, and why: nothing is published."""
+    captures, metadata = third_party_names(spark, sf_dir)
+    nav = b.nav(spark, sf_dir)
+    told = captures.withColumns({"house": F.lit("One Mutual Fund"), "plan": F.when(F.col("code") % 2 == 0, "direct").otherwise("regular"), "source_frequency": F.when(F.col("code") % 7 == 0, "quarterly").otherwise("monthly"), "display_frequency": F.when(F.col("code") % 3 == 0, "unknown").otherwise("monthly")})
+    rows = third_party_points(nav).withColumn("positive", F.dayofmonth("d") > 3)
+    return publication.pilot_report(told.drop("code"), rows, metadata, nav)
+
+
+PILOT_SQL = f"""WITH {b.NAV_SQL}, m AS (SELECT s_suppkey AS code, s_suppkey // 4 AS g, s_suppkey % 2 AS p FROM supplier), c AS (SELECT a.code AS cap, m.code FROM m a JOIN m ON a.p = m.p AND a.g = m.g WHERE a.code % 6 > 0),
+x AS (SELECT cap, c.code, count(*) FILTER (WHERE CASE WHEN cap % 5 = 0 THEN a.v + 1 ELSE a.v END = b.v) AS hit, count(*) AS n, min(a.d) FILTER (WHERE CASE WHEN cap % 5 = 0 THEN a.v + 1 ELSE a.v END = b.v) AS lo, max(a.d) FILTER (WHERE CASE WHEN cap % 5 = 0 THEN a.v + 1 ELSE a.v END = b.v) AS hi
+  FROM c JOIN nav a ON a.code = cap JOIN nav b ON b.code = c.code AND b.d = a.d GROUP BY ALL),
+j AS (SELECT c.cap, c.code, coalesce(hit, 0) AS hit, coalesce(n, 0) - coalesce(hit, 0) AS miss, coalesce(hit >= 3 AND hit = n AND hi - lo >= 30, false) AS good FROM c LEFT JOIN x ON x.cap = c.cap AND x.code = c.code),
+s AS (SELECT cap, count(*) AS candidates, count(*) FILTER (WHERE good) AS qualified, min(code) FILTER (WHERE good) AS one, CAST(sum(hit) AS BIGINT) AS matches, CAST(sum(miss) AS BIGINT) AS conflicts FROM j GROUP BY cap),
+r AS (SELECT code, count(*) AS n, count(*) FILTER (WHERE day(d) > 3) AS pos FROM nav GROUP BY code),
+t AS (SELECT m.code, coalesce(r.n, 0) AS n, coalesce(pos, 0) AS pos, coalesce(candidates, 0) AS candidates, coalesce(qualified, 0) AS qualified, coalesce(matches, 0) AS matches, coalesce(conflicts, 0) AS conflicts, one, m.code % 7 = 0 AND m.code % 3 > 0 AS odds FROM m LEFT JOIN r ON r.code = m.code LEFT JOIN s ON s.cap = m.code)
+SELECT 'k' || code AS capture, n AS source_rows, pos AS positive_rows, n - pos AS zero_rows, candidates, qualified, matches, conflicts, candidates * n - matches - conflicts AS missing, CASE WHEN odds THEN 'unresolved' WHEN qualified = 1 THEN 'mapped' WHEN qualified > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state,
+  CASE WHEN NOT odds AND qualified = 1 THEN one END AS code, CASE WHEN odds THEN 'frequency_conflict' WHEN qualified = 1 THEN 'one_candidate_qualifies' WHEN qualified > 1 THEN 'several_candidates_qualify' WHEN candidates = 0 THEN 'no_name_and_plan_candidate' WHEN n < 3 THEN 'too_few_source_rows' ELSE 'no_candidate_qualifies' END AS reason FROM t"""
+
+
 def catalogue_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue after a snapshot: customers of two order years, those of the second active with its status."""
     o = b.table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderstatus")
@@ -106,6 +140,7 @@ def alias_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "identity_changes": (identity_changes, CHANGES_SQL),
     "third_party_mapping": (third_party_mapping, THIRD_MAPPING_SQL),
+    "third_party_pilot": (third_party_pilot, PILOT_SQL),
     "catalogue_snapshot": (catalogue_snapshot, SNAPSHOT_SQL),
     "metadata_versions": (metadata_versions, VERSIONS_SQL),
     "option_bounds": (option_bounds, BOUNDS_SQL),

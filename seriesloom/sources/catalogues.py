@@ -60,7 +60,8 @@ def market_watch(files: DataFrame) -> DataFrame:
     keys = {v: sorted([*WATCH_KEYS, k]) for k, v in WATCH_VARIANTS.items()}
     whole = F.json_object_keys("payload")
     items = F.from_json(F.get_json_object("payload", "$.Table"), "array<string>")
-    rows = files.select("source", F.posexplode_outer(items).alias("position", "raw"), (whole == F.array(F.lit("Table"))).alias("bare"))
+    told = files.select("source", items.alias("items"), (whole == F.array(F.lit("Table"))).alias("bare"))
+    rows = told.select("source", F.posexplode_outer("items").alias("position", "raw"), "bare")
     found = F.coalesce(F.sort_array(F.json_object_keys("raw")), F.array().cast("array<string>"))
     variant = F.lit(None).cast("string")
     for name, k in keys.items():

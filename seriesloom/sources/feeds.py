@@ -115,7 +115,8 @@ def json_rows(files: DataFrame, schema: str, keys: list[str], *, wrapper: str |
     array = F.get_json_object("payload", f"$.{wrapper}") if wrapper else F.col("payload")
     items = F.from_json(array, "array<string>")
     bare = F.coalesce(F.regexp_replace(array, "\\s", "") == "[]", F.lit(False))
-    rows = files.select("source", F.posexplode_outer(items).alias("position", "raw"), bare.alias("__empty"))
+    told = files.select("source", items.alias("items"), bare.alias("__empty"))  # once for a file, not for each of its rows
+    rows = told.select("source", F.posexplode_outer("items").alias("position", "raw"), "__empty")
     found = F.coalesce(F.sort_array(F.json_object_keys("raw")), F.array().cast("array<string>"))
     forms = [F.array(*map(F.lit, sorted(k))) for k in ([*keys], [*keys, *optional])[: 1 + bool(optional)]]
     parsed = rows.withColumn("__row", F.from_json("raw", schema))

@@ -226,15 +226,32 @@ def test_registrar_mapping(spark):
 def test_third_party_mapping(spark):
     meta = spark.createDataFrame(METADATA, "code long, name string, house string, plan string, option string")
     captures = spark.createDataFrame([("a", "Balanced Advtg Dir IDCW", "HDFC"), ("b", "Balanced Dir Mly Reinv", "HDFC Mutual Fund"), ("c", "Balanced Advtg Reg", "HDFC")], "capture string, name string, house string")
-    assert sorted(map(tuple, publication.third_party_candidates(captures, meta).collect())) == [("a", 4, True), ("a", 5, True), ("b", 4, False), ("b", 5, False)]
     days = [D(2020, 1, 1), D(2020, 1, 20), D(2020, 2, 20)]
     nav = spark.createDataFrame([(4, d, 10.0) for d in days] + [(5, d, 12.0) for d in days], "code long, d date, v double")
     sampled = lambda v, n: spark.createDataFrame([(c, d, v) for c in "ab" for d in days[:n]], "capture string, d date, value double")
+    assert sorted(map(tuple, publication.third_party_pairs(captures, sampled(10.0, 1), meta, nav).collect())) == [("a", 4, True), ("a", 5, True), ("b", 4, False)]
     state = lambda v, n: {r.capture: (r.state, r.code) for r in publication.map_third_party(captures, sampled(v, n), meta, nav).collect()}
     assert state(10.0, 3) == {"a": ("mapped", 4), "b": ("mapped", 4), "c": ("unresolved", None)}
     assert state(10.0, 1) == {"a": ("mapped", 4), "b": ("unresolved", None), "c": ("unresolved", None)} and state(99.0, 3)["a"] == ("unresolved", None)
 
 
+def test_pilot_report(spark):
+    meta = spark.createDataFrame(METADATA, "code long, name string, house string, plan string, option string")
+    h = "HDFC Mutual Fund"
+    captures = spark.createDataFrame(
+        [("a", "Balanced Advantage Dir IDCW", h, "direct", "monthly", "unknown"), ("b", "Balanced Advantage Dir", h, "direct", "monthly", "quarterly"), ("c", "Balanced Advantage Dir", h, "regular", "unknown", "unknown"), ("d", "Balanced Advantage", h, "unknown", "monthly", "monthly"), ("e", "Balanced Advantage", h, "direct", "x", "x")],
+        "capture string, name string, house string, plan string, source_frequency string, display_frequency string",
+    )
+    days = [D(2020, 1, 1), D(2020, 1, 20), D(2020, 2, 20), D(2020, 3, 20)]
+    nav = spark.createDataFrame([(4, d, 10.0) for d in days[:3]] + [(5, d, 12.0) for d in days], "code long, d date, v double")
+    rows = spark.createDataFrame([(c, d, 10.0, i > 0) for c in "abcd" for i, d in enumerate(days[:2] if c == "d" else days)], "capture string, d date, value double, positive boolean")
+    found = {r.capture: (r.source_rows, r.zero_rows, r.candidates, r.qualified, r.matches, r.conflicts, r.missing, r.state, r.code, r.reason) for r in publication.pilot_report(captures, rows, meta, nav).collect()}
+    assert found == {
+        "a": (4, 1, 2, 1, 3, 4, 1, "mapped", 4, "one_candidate_qualifies"), "b": (4, 1, 2, 1, 3, 4, 1, "unresolved", None, "frequency_conflict"), "c": (4, 1, 0, 0, 0, 0, 0, "unresolved", None, "no_name_and_plan_candidate"),
+        "d": (2, 1, 2, 0, 2, 2, 0, "unresolved", None, "too_few_source_rows"), "e": (0, 0, 2, 0, 0, 0, 0, "unresolved", None, "too_few_source_rows"),
+    }
+
+
 def test_coverage_and_blockers(spark):
     options = spark.createDataFrame([(1,), (2,), (3,)], "code long")
     sources = spark.createDataFrame([(1, DAY), (1, DAY), (2, DAY)], "code long, d date")
