@@ -347,7 +347,25 @@ def coverage(options: DataFrame, sources: DataFrame, links: DataFrame, events: D
     held = events.where("amount is not null").groupBy("code").agg(F.count("*").alias("events"))
     out = options.select("code").join(rows, "code", "left").join(tied, "code", "left").join(held, "code", "left").fillna(0, ["source_rows", "linked_rows", "events"])
     status = F.when(F.col("events") > 0, "events_present").when(F.col("source_rows") > 0, "blocked_source_rows").otherwise("unverified_empty")
-    return out.withColumn("blocked_rows", F.col("source_rows") - F.col("linked_rows")).withColumn("status", status)
+    wrong = F.when(F.col("linked_rows") > F.col("source_rows"), "links exceed source rows of").when(F.col("events") > F.col("linked_rows"), "events exceed links of")
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(" ", wrong, "code"))).otherwise(status)
+    return out.withColumn("blocked_rows", F.col("source_rows") - F.col("linked_rows")).withColumn("status", checked)
+
+
+def blocked_options(assessed: DataFrame, gated: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The options whose rows are all held back, the most rows first: their counts, the regulator's rows by gate, and rows of other sources.
+
+    metadata has (code, name); gated the regulator's rows (code, gate). gates is a map of the gates that hold any. More rows of the
+    regulator's than are known in all fail the job.
+    """
+    mine = assessed.where("status = 'blocked_source_rows'")
+    by = gated.join(mine.select("code"), "code", "left_semi").groupBy("code", "gate").agg(F.count("*").alias("n"))
+    gates = by.groupBy("code").agg(F.sum("n").alias("regulator_rows"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("gate", "n")))).alias("gates"))
+    out = mine.join(metadata.select("code", "name"), "code", "left").join(gates, "code", "left").fillna(0, ["regulator_rows"])
+    other = F.col("source_rows") - F.col("regulator_rows")
+    other = F.when(other < 0, F.raise_error(F.concat_ws(" ", F.lit("the regulator's rows exceed the accepted rows of"), "code")).cast("long")).otherwise(other)
+    none = F.create_map().cast("map<string,bigint>")
+    return out.select("code", "name", "source_rows", "blocked_rows", "regulator_rows", other.alias("other_rows"), "first_day", "last_day", F.coalesce("gates", none).alias("gates")).orderBy(F.desc("blocked_rows"), "code")
 
 
 def blockers(assessed: DataFrame, gated: DataFrame) -> DataFrame:
