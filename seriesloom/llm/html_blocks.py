@@ -7,8 +7,9 @@ the nearest decided block, one inside its own container before one outside it, t
 at equal distance.
 
 The names of classes and identifiers count in full inside an article: there a container is left out
-only if its whole name says so ("comments", "related-posts"), and a heading or paragraph never is.
-Elsewhere one part of a name is enough.
+only if its whole name says so ("comments", "article-footer"), and a heading or paragraph never is.
+A header or banner inside an article stays if it holds a heading, which is the article's own, unless
+it is named the site's; else it goes. Elsewhere one part of a name is enough.
 
 Scanning takes time in proportion to the page, however malformed: a quoted value ends at the next
 such quote, and a tag whose quotes never close ends at the next ">".
@@ -35,7 +36,7 @@ from ._arrays import fresh
 
 # HTML element names by their role.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "math", "xmp", "noembed", "noframes", "title"}
-NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "fieldset", "datalist", "label", "audio", "video", "map"}
+NEVER = {"nav", "footer", "aside", "form", "search", "head", "button", "select", "menu", "dialog", "fieldset", "datalist", "label", "audio", "video", "map"}
 MAIN = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
@@ -55,13 +56,15 @@ BESIDE = {
 }
 # Words that mark a container inside an article, and words that may stand beside these in its name.
 STRONG = {
-    "ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "form", "gdpr", "login",
-    "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "paywall", "popup", "promo", "promoted", "recommended", "related", "replies",
-    "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription",
+    "ad", "ads", "advert", "advertisement", "adverts", "alert", "alerts", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "feedback", "footer", "form", "gdpr", "login",
+    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "paywall", "popup", "promo", "promoted", "recommended", "related", "remark", "remarks", "replies",
+    "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "widget", "widgets",
 }
+TOP = {"header", "banner"}  # of an article if they hold a heading
+SITE = {"site", "global", "masthead"}
 FILLER = {
-    "area", "article", "articles", "banner", "bar", "block", "box", "button", "buttons", "container", "form", "group", "icons", "inner", "list", "links", "main", "message", "outer", "page",
-    "panel", "post", "posts", "reader", "section", "site", "slot", "stories", "thread", "unit", "user", "widget", "wrap", "wrapper",
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "col", "column", "container", "content", "entry", "form", "global", "group", "icons", "inner", "item", "left", "list", "links", "main",
+    "message", "outer", "page", "panel", "post", "posts", "reader", "right", "row", "section", "site", "slot", "sticky", "stories", "story", "thread", "top", "unit", "user", "wrap", "wrapper",
 }
 # Common function words of English, German, French and Spanish.
 STOP_WORDS = set(
@@ -86,6 +89,7 @@ class Block:
     beside: bool
     main: bool
     container: int
+    top: int = 0  # the header inside an article that it stands in, by number
     label: int = field(default=0)  # 1 main text, -1 not, 0 open
 
 
@@ -93,10 +97,26 @@ def says_beside(name: str, in_main: bool) -> bool:
     """Whether a class name, identifier or role marks a container beside the main text."""
     parts = [x.lower() for x in PARTS.findall(name)]
     if in_main:
-        return any(x in STRONG for x in parts) and all(x in STRONG or x in FILLER for x in parts)
+        told = any(x in STRONG for x in parts) or any(x in TOP for x in parts) and any(x in SITE for x in parts)
+        return told and all(x in STRONG or x in TOP or x in FILLER for x in parts)
     return any(x in BESIDE for x in parts)
 
 
+def is_top(tag: str, attributes: str) -> bool:
+    """Whether an element inside an article is a header of some kind."""
+    if tag == "header":
+        return True
+    if "=" not in attributes or tag in ("html", "body", *MAIN, *HEADINGS, "p"):
+        return False
+    for m in NAMED.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or "").strip("\"'").split():
+                parts = [x.lower() for x in PARTS.findall(name)]
+                if any(x in TOP for x in parts) and all(x in TOP or x in FILLER for x in parts):
+                    return True
+    return False
+
+
 def is_beside(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether the element holds no main text, by its name and attributes."""
     if tag in NEVER or tag == "header" and not in_main:
@@ -148,6 +168,7 @@ class Open:
     container: int
     depth: int  # of blocks
     block: tuple[str, bool, int]  # the nearest block's tag, whether main, container
+    top: int = 0  # the header inside an article, by number
 
 
 class Stack:
@@ -178,7 +199,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack, tags = Stack(), Tags(page)
     text: list[str] = []
-    links = containers = 0
+    links = containers = tops = 0
     in_link = False
 
     def finish() -> None:
@@ -186,7 +207,7 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             tag, main, container = stack.items[-1].block
-            out.append(Block(joined, tag, links, stack.items[-1].beside, main, container))
+            out.append(Block(joined, tag, links, stack.items[-1].beside, main, container, stack.items[-1].top))
         text.clear()
         links = 0
 
@@ -246,9 +267,15 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK and (tag in MAIN or beside and not above.beside or tag in ("section", "div", "ul", "ol", "table")):
             containers += 1
             container = containers
-        inside = tag in BLOCK
-        stack.push(Open(tag, beside, main, container, above.depth + inside, (tag, main, container) if inside else above.block))
+        inside, top = tag in BLOCK, above.top
+        if main and inside and not beside and not top and is_top(tag, attributes):
+            tops += 1
+            top = tops
+        stack.push(Open(tag, beside, main, container, above.depth + inside, (tag, main, container) if inside else above.block, top))
     finish()
+    headed = {b.top for b in out if b.tag in HEADINGS}
+    for b in out:
+        b.beside |= b.top > 0 and b.top not in headed
     return out
 
 

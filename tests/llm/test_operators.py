@@ -203,6 +203,23 @@ def test_html_names_inside_an_article():
     assert html_blocks.main_text(page).split("\n") == ["Headline", "By the editor of the town", "Yes.", "The discussion of the work was long, and it was good for all of them.", "Work that is related to the work of the town."]
 
 
+PARAGRAPH = "The man was in the house and it was good for all of them."
+
+
+@pytest.mark.parametrize("beside", [
+    '<div class="article-footer">Filed under news of the town and the people in it.</div>', '<div class="widget">Weather today</div>', '<div class="site-header"><h2>Hdr</h2></div>', '<div class="header">Hdr of the page</div>', "<header><p>By the site</p></header>",
+    '<div class="search-box">Look for it</div>', "<search>Find the words</search>", '<div class="alert">This is a notice to all of the readers of the town.</div>', '<div id="reader-remarks"><p>I like the man who was in the house, and so did all of the others.</p></div>',
+    '<div class="top-banner">Buy the best of it now</div>', '<section class="entry-footer"><p>More of the same.</p></section>', '<div role="banner">Site of the town</div>', '<div class="sponsored-content">The best of all of the goods that are in the shop.</div>', "<footer>&copy; me</footer>",
+])
+def test_html_beside_the_text_of_an_article(beside):
+    assert html_blocks.main_text(f"<article><h1>Title</h1><p>{PARAGRAPH}</p>{beside}<p>{PARAGRAPH}</p></article>") == f"Title\n{PARAGRAPH}\n{PARAGRAPH}"
+
+
+@pytest.mark.parametrize("top", ['<div class="article-header"><h1>Title</h1><p>By me</p></div>', '<header class="entry-header"><h1>Title</h1><div><p>By me</p></div></header>', '<div class="banner"><h1>Title</h1>By me</div>', '<div class="page-header"><div><h1>Title</h1></div><p>By me</p></div>'])
+def test_html_headers_with_the_headline_stay(top):
+    assert html_blocks.main_text(f"<article>{top}<p>{PARAGRAPH}</p></article>") == f"Title\nBy me\n{PARAGRAPH}"
+
+
 def test_html_malformed_tags():
     text = "The man was in the house and it was good for all of them."
     assert html_blocks.main_text(f'<article><p title="x>{text}</p></article>') == text
