@@ -71,8 +71,9 @@ def fund_tiles(nav: DataFrame, members: DataFrame, as_of: str, periods: list[str
     """
     trailing, rolling = split_periods(periods)
     parts = []
-    if trailing:
-        found = series.trailing_horizons(nav, as_of, trailing, tolerance, recent=True)
+    past = nav.where(F.col("d") <= calendar.date(as_of))
+    if trailing:  # with rolling periods all days are read anyway, and both share that pass
+        found = series.trailing_horizons(past if rolling else nav, as_of, trailing, tolerance, recent=not rolling)
         every = members.withColumn("period", each_of(trailing))
         own = found.select("code", F.col("horizon").alias("period"), "status", "return_pct", "start_day", "end_day", "stale_days")
         rows = every.join(own, ["code", "period"], "left")
@@ -82,8 +83,7 @@ def fund_tiles(nav: DataFrame, members: DataFrame, as_of: str, periods: list[str
         ))
     if rolling:
         day = calendar.date(as_of)
-        past = nav.where(F.col("d") <= day)
-        fresh = past.groupBy("code").agg((F.max("d") >= F.date_sub(day, tolerance)).alias("fresh"))
+        fresh = past.groupBy("code").agg(F.max(F.struct("d", "v")).alias("x")).select("code", (F.col("x.d") >= F.date_sub(day, tolerance)).alias("fresh"))  # of both columns, so that its exchange is the windows'
         each = series.rolling_years(past, tuple(rolling), month_ends=True).groupBy("years", "code").agg(
             F.median("r").alias("value"), F.count("*").alias("samples"), F.min(F.struct("end_day", "start_day")).alias("a"), F.max(F.struct("end_day", "start_day")).alias("b")
         )
@@ -125,7 +125,7 @@ def reference_tiles(values: DataFrame, instruments: DataFrame, universe: str, as
         parts.append(rows.select("period", "code", "label", "basis", "status", *shown, F.when(good, 1).otherwise(0).cast("long").alias("samples"), *days, F.col("stale_days").cast("long").alias("most_stale_days")))
     if rolling:
         day = calendar.date(as_of)
-        last = own.groupBy("code").agg(F.max("d").alias("last_day"))
+        last = own.groupBy("code").agg(F.max(F.struct("d", "v")).alias("x")).select("code", F.col("x.d").alias("last_day"))
         each = series.rolling_years(own, tuple(rolling)).groupBy("years", "code").agg(
             F.median("r").alias("value_pct"), F.min("r").alias("least_pct"), F.max("r").alias("most_pct"), F.count("*").alias("samples"),
             F.min(F.struct("end_day", "start_day")).alias("a"), F.max(F.struct("end_day", "start_day")).alias("b"),
