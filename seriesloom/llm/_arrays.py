@@ -52,25 +52,34 @@ def input_bytes(docs: DataFrame) -> int:
     return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-UNKNOWN = 1 << 50
+UNKNOWN = 1 << 50  # what the optimizer says of tables that it knows nothing of, or their joins
+
+
+def measured_bytes(docs: DataFrame) -> int:
+    """The size of what docs reads by the optimizer's estimate; where it has none, by one pass over docs itself."""
+    size = input_bytes(docs)
+    if size < UNKNOWN:
+        return size
+    wide = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in docs.dtypes if kind in ("string", "binary")]
+    return docs.agg(F.sum(sum(wide, F.lit(8 * len(docs.columns)).cast("long")))).first()[0] or 0
+
+
 MOST_PARTITIONS = 1 << 14  # of one exchange; more parts than that share partitions, where Spark's sort keeps them apart
 
 
 def part_count(docs: DataFrame, target: int = 4 << 20) -> int:
     """How many parts a packed exchange over docs has: one for each target bytes of input, at least two for each core.
 
-    An input whose size the optimizer cannot tell, or puts beyond a petabyte, gets as many as Spark's exchanges.
+    There are at most 2^20, so above four terabytes a part grows with the input: to 100 MB at 100 terabytes.
     """
-    spark, size = docs.sparkSession, input_bytes(docs)
-    parts = -(-size // target) if size < UNKNOWN else partitions(spark)
-    return int(min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, parts)))
+    parts = -(-measured_bytes(docs) // target)
+    return int(min(1 << 20, max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts)))
 
 
 def file_count(docs: DataFrame, target: int = 32 << 20) -> int:
     """How many files a result over docs is worth: one for each target bytes of input, at least one for each core."""
-    spark, size = docs.sparkSession, input_bytes(docs)
-    files = -(-size // target) if size < UNKNOWN else partitions(spark)
-    return int(min(1 << 20, max(spark.sparkContext.defaultParallelism, files)))
+    files = -(-measured_bytes(docs) // target)
+    return int(min(1 << 20, max(docs.sparkSession.sparkContext.defaultParallelism, files)))
 
 
 def checkpointed(df: DataFrame, last: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, types: str = "") -> DataFrame:

@@ -54,6 +54,17 @@ def test_query_equals_its_sql(spark, name):
     assert rows and rows == ordered(found.fetchall())
 
 
+def test_parts_of_tables_that_the_optimizer_cannot_size(spark):
+    import functools
+
+    from seriesloom.llm import _arrays
+
+    docs = spark.range(2000).select("id", F.repeat(F.lit("x"), 50_000).alias("text"))
+    mixed = functools.reduce(lambda a, _: a.join(docs.select("id"), "id"), range(12), docs)
+    assert _arrays.input_bytes(mixed) >= _arrays.UNKNOWN and _arrays.measured_bytes(mixed) == 2000 * (50_000 + 16)
+    assert _arrays.part_count(mixed) == 24 and _arrays.file_count(mixed) == 4
+
+
 # audit
 
 
