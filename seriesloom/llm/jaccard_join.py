@@ -387,17 +387,23 @@ def open_lists(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
 
 
 def distinct_lists(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
-    """Whole lists under a name made of their sets, one for each name: lists of the same sets ask the same."""
+    """Whole lists under a name made of their sets: of lists of the same sets, which ask the same, one.
+
+    Lists of one name are compared set by set; other sets that happen to have the name go along under it.
+    """
     key, sid, size, comp, many = list_blocks(rows)
     starts = run_starts(key)
     if not len(starts):
         return
     count = np.diff(np.append(starts, len(key)))
     name = mix(np.add.reduceat(mix(sid.view(U64)), starts) ^ count.astype(U64))
-    _, first = np.unique(name, return_index=True)
-    kept = np.zeros(len(starts), bool)
-    kept[first] = True
-    mine = np.repeat(kept, count)
+    _, first, group = np.unique(name, return_index=True, return_inverse=True)
+    model = first[group]  # the first list of each one's name
+    at = np.repeat(starts[model] - starts, count) + np.arange(len(key))
+    alike = sid == sid[np.minimum(at, len(key) - 1)]
+    copies = np.logical_and.reduceat(alike, starts) & (count == count[model])
+    copies[first] = False
+    mine = np.repeat(~copies, count)
     names = np.repeat(name, count)[mine]
     for p, block in by_part(low_part(names, n), n, names, *(x[mine] for x in (sid, size, comp, many))):
         yield p, LISTS, None, squeeze(pack(*block)), None

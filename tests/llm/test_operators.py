@@ -491,6 +491,17 @@ def test_rules_fit_and_compile(spark):
     assert ((scores > 0.5) == (y > 0.5)).mean() > 0.97
 
 
+def test_lists_of_one_name_are_not_taken_for_each_other(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "mix", lambda x: np.zeros_like(x))  # all lists have one name
+    key, sid = np.array([1, 1, 2, 2, 3, 3, 3, 4, 4], np.uint64), np.array([10, 11, 10, 11, 10, 11, 12, 10, 12])
+    block = jaccard_join.squeeze(jaccard_join.pack(key, sid, sid, sid, np.ones(9, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([0]), pa.array([block])], names=["part", "kind", "a", "b"])
+    out = [jaccard_join.unpack(jaccard_join.expand(r[3]), np.uint64, *[np.int64] * 4)[1] for r in jaccard_join.distinct_lists(iter([batch]), 1)]
+    assert np.concatenate(out).tolist() == [10, 11, 10, 11, 12, 10, 12]  # the second list repeats the first; the others are their own
+
+
 def test_quality_of_awkward_tables(spark, texts):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     twice = texts.union(texts).withColumns({"st_log_chars": F.lit(1), "score": F.lit("own"), "__statistics": F.lit(2)})
