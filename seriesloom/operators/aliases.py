@@ -75,7 +75,7 @@ def seeded(classifications: DataFrame, seeds: DataFrame, names: DataFrame) -> Da
     alone = F.concat(F.lit("single-"), F.col("classification"))
     rows = both.select("classification", F.coalesce("__alias", alone).alias("alias"), F.coalesce("__name", "__single").alias("name"), F.coalesce("__structure", "structure").alias("structure"), F.col("__alias").isNotNull().alias("__seed"))
     out = rows.groupBy("alias").agg(F.min("name").alias("name"), F.min("structure").alias("structure"), F.sort_array(F.collect_set("classification")).alias("members"), F.max("__seed").alias("__seed"))
-    reason = F.when(F.col("__seed"), "Default reviewed predecessor and successor mapping").otherwise("Automatic alias of one classification")
+    reason = F.when(F.col("__seed"), "From the table of seeds").otherwise("Made for one classification alone")
     return out.select(F.xxhash64("alias").alias("seq"), "alias", F.lit(0).alias("expected"), "name", "structure", F.lit("active").alias("status"), "members", reason.alias("reason"))
 
 

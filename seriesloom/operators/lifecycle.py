@@ -79,9 +79,9 @@ def reconciled(counters: DataFrame) -> DataFrame:
     """
     c = lambda *names: sum((F.col(n) for n in names), F.lit(0))
     tests: list[tuple[Column, str]] = [
-        (c("funds_completed", "funds_failed") > F.col("funds_total"), "fund counters exceed the selected universe"),
-        (c("families_completed", "families_skipped", "families_failed") > F.col("families_total"), "family counters exceed the families found"),
-        (F.col("details_received") != c("details_inserted", "details_unchanged", "details_rejected"), "detail counters do not add up"),
+        (c("funds_completed", "funds_failed") > F.col("funds_total"), "more funds are done than were chosen"),
+        (c("families_completed", "families_skipped", "families_failed") > F.col("families_total"), "more families are done than were found"),
+        (F.col("details_received") != c("details_inserted", "details_unchanged", "details_rejected"), "the details received are not those accounted for"),
     ]
     checked = F.col("funds_total")
     for wrong, what in tests:

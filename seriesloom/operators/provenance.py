@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What providers and kinds of sources are called in records.
+REGULATOR, REGULATOR_KIND, NOTICE_KIND = "amfi", "amfi_distribution_api", "amc_distribution_notice"
+REGISTRAR_KIND, THIRD_PARTY, THIRD_PARTY_KIND = "rta_distribution_history", "advisorkhoj", "third_party_distribution_history"
 FIELDS = {
     "provider": "string", "kind": "string", "seq": "long", "fund": "string", "scheme": "string", "option": "string", "scheme_name": "string", "shown_name": "string", "d": "date", "raw": "string", "unit": "string", "signature": "string",
     "batch": "string", "url": "string", "retrieved_at": "timestamp", "parser": "string", "sha256": "string", "identity_batch": "string", "identity_url": "string", "identity_sha256": "string", "identity_evidence": "string",
@@ -32,7 +35,7 @@ def from_regulator(links: DataFrame, rows: DataFrame, seen: DataFrame, batches:
     """Records of rows (seq, fund, scheme, option, scheme_name, shown_name, d, raw, unit, signature), one for each batch that they were seen in (seq, batch)."""
     both = of_kind(links, "regulator").join(rows, "seq").join(seen.select("seq", "batch"), "seq").join(batches, "batch")
     same = ("seq", "fund", "scheme", "option", "scheme_name", "shown_name", "d", "raw", "unit", "signature", "batch", "url", "retrieved_at", "parser", "sha256")
-    return record(both, provider=F.lit("amfi"), kind=F.lit("amfi_distribution_api"), **{c: c for c in same})
+    return record(both, provider=F.lit(REGULATOR), kind=F.lit(REGULATOR_KIND), **{c: c for c in same})
 
 
 def from_notices(links: DataFrame, rows: DataFrame, seen: DataFrame, batches: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def from_notices(links: DataFrame, rows: DataFrame, seen: DataFrame, batches: Da
     both = of_kind(links, "fund_house").join(rows, "seq").join(seen.select("seq", "batch"), "seq").join(batches, "batch").join(proof, "identity_batch", "left")
     name = F.concat("scheme_name", F.lit(" - "), F.initcap("plan"), F.lit(" Plan - "), "label")
     same = ("provider", "seq", "option", "scheme_name", "d", "raw", "unit", "signature", "batch", "url", "retrieved_at", "parser", "sha256", "identity_batch", "identity_url", "identity_sha256")
-    return record(both, kind=F.lit("amc_distribution_notice"), shown_name=name, **{c: c for c in same})
+    return record(both, kind=F.lit(NOTICE_KIND), shown_name=name, **{c: c for c in same})
 
 
 def from_registrars(links: DataFrame, rows: DataFrame, captures: DataFrame, reviews: DataFrame, batches: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def from_registrars(links: DataFrame, rows: DataFrame, captures: DataFrame, revi
     both = of_kind(links, "registrar").join(rows, "seq").join(captures, "capture").join(reviews.select("capture", "evidence"), "capture", "left").join(proof, "batch")
     name = F.concat_ws(" - ", "scheme_name", F.initcap("plan"), F.initcap("variant"))
     same = ("provider", "seq", "fund", "scheme", "scheme_name", "d", "raw", "signature", "batch", "url", "parser", "sha256")
-    return record(both, kind=F.lit("rta_distribution_history"), option="scheme", shown_name=name, unit=F.lit("inr_per_unit"), retrieved_at="captured_at", identity_batch="batch", identity_url="url", identity_sha256="sha256", identity_evidence="evidence", **{c: c for c in same if c != "option"})
+    return record(both, kind=F.lit(REGISTRAR_KIND), option="scheme", shown_name=name, unit=F.lit("inr_per_unit"), retrieved_at="captured_at", identity_batch="batch", identity_url="url", identity_sha256="sha256", identity_evidence="evidence", **{c: c for c in same if c != "option"})
 
 
 def from_third_party(links: DataFrame, rows: DataFrame, captures: DataFrame, catalogue: DataFrame, reviews: DataFrame, batches: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def from_third_party(links: DataFrame, rows: DataFrame, captures: DataFrame, cat
     both = of_kind(links, "third_party").join(rows, "seq").join(captures, "capture").join(catalogue.select("entry", "scheme_name"), "entry").join(reviews.select("capture", "evidence"), "capture", "left").join(proof, "batch")
     name = F.concat_ws(" - ", "scheme_name", F.initcap("plan"), F.initcap("variant"), F.initcap("frequency"))
     same = ("seq", "scheme_name", "d", "raw", "signature", "batch", "url", "parser", "sha256")
-    return record(both, provider=F.lit("advisorkhoj"), kind=F.lit("third_party_distribution_history"), option="entry", shown_name=name, unit=F.lit("inr_per_unit"), retrieved_at="captured_at", identity_batch="batch", identity_url="url", identity_sha256="sha256", identity_evidence="evidence", **{c: c for c in same})
+    return record(both, provider=F.lit(THIRD_PARTY), kind=F.lit(THIRD_PARTY_KIND), option="entry", shown_name=name, unit=F.lit("inr_per_unit"), retrieved_at="captured_at", identity_batch="batch", identity_url="url", identity_sha256="sha256", identity_evidence="evidence", **{c: c for c in same})
 
 
 def drill_down(revisions: DataFrame, records: list[DataFrame], coverage: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

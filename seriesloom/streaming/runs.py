@@ -104,7 +104,7 @@ class Ledger:
         for r in left:
             run = Run(self, r.kind)
             run.name = r.run
-            self.note(run, "failed", r.began, "Interrupted before completion; superseded by a later run")
+            self.note(run, "failed", r.began, "left running: a later run has taken its place")
         return len(left)
 
     @contextmanager
@@ -116,7 +116,7 @@ class Ledger:
         try:
             yield run
         except BaseException as e:
-            self.note(run, "failed", began, f"{type(e).__name__}: {str(e) or 'interrupted by user'}")
+            self.note(run, "failed", began, f"{type(e).__name__}: {str(e) or 'stopped'}")
             raise
         self.note(run, "completed_with_issues" if run.issues else "completed", began)
 

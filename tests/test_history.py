@@ -45,7 +45,7 @@ def test_counters_have_to_add_up(spark):
     names = "funds_total funds_completed funds_failed families_total families_completed families_skipped families_failed details_received details_inserted details_unchanged details_rejected".split()
     frame = lambda *v: spark.createDataFrame([v], ", ".join(f"{n} long" for n in names))
     assert lifecycle.reconciled(frame(2, 1, 1, 5, 3, 1, 1, 3, 1, 1, 1)).count() == 1
-    for bad, what in ((frame(1, 1, 1, 5, 3, 1, 1, 3, 1, 1, 1), "fund"), (frame(2, 1, 1, 4, 3, 1, 1, 3, 1, 1, 1), "family"), (frame(2, 1, 1, 5, 3, 1, 1, 3, 1, 1, 0), "add up")):
+    for bad, what in ((frame(1, 1, 1, 5, 3, 1, 1, 3, 1, 1, 1), "funds are done"), (frame(2, 1, 1, 4, 3, 1, 1, 3, 1, 1, 1), "families are done"), (frame(2, 1, 1, 5, 3, 1, 1, 3, 1, 1, 0), "accounted for")):
         with pytest.raises(Exception, match=what):
             lifecycle.reconciled(bad).collect()
 

@@ -63,7 +63,7 @@ def test_an_abandoned_run_is_failed_by_the_next(spark, tmp_path):
     with ledger.run("feed"):
         pass
     assert {r.run == dead.name: r.state for r in ledger.runs().collect()} == {True: "failed", False: "completed"}
-    assert ledger.runs().where(F.col("run") == dead.name).first().error.startswith("Interrupted")
+    assert ledger.runs().where(F.col("run") == dead.name).first().error.startswith("left running")
 
 
 def test_publication_with_a_ledger_twice(spark, tmp_path):
