@@ -11,7 +11,8 @@ Everything else covers all rows.
 Cases: a null text, or one without any letter, is ``und`` with score 0; a text shorter than a window
 is padded, a very long one cut to windows that cover it whole; without training rows every text is
 ``und``; equal texts have equal predictions, repeated rows are predicted each; labels that repeat count
-each; rows without a label are not learned from; an empty table gives no rows; other columns are kept by
+each; rows without a label are not learned from, those without an identifier
+are, being in no held-out fold; an empty table gives no rows; other columns are kept by
 ``predict``, one of the name lang_pred or score under a new name with an underscore before it.
 """
 

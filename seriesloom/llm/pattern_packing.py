@@ -13,7 +13,7 @@ best-fit: they cost sequences, never pieces.
 
 Cases: a null or empty text is one piece, the end id alone; only documents longer than the capacity
 are cut; rows that repeat a document or an identifier are packed each; a null identifier is kept; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored; a very long text is encoded whole and cut into as many pieces as it takes.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The statistics cover every row and whole texts.
 Cases: a null text is empty; an empty text has statistics of zero and is scored like others; labels
 that repeat are averaged and count as 1 from a half on; null labels are left out; without labels of
 both kinds the score is the labels' mean, or 0.5 without any; equal texts have equal scores, and repeated
-rows are scored each; a very long text is measured whole; an empty table gives no rows; other columns are
+rows are scored each; a row without an identifier has no label to learn from, and is scored like
+others; a very long text is measured whole; an empty table gives no rows; other columns are
 kept by ``keep_good``, whatever their names.
 """
 

@@ -11,7 +11,7 @@ Cases: a null text is empty; a text without words has no hashes, one of fewer th
 of all its words; a text of fewer hashes than a window has one choice; equal texts have equal
 fingerprints; two texts without hashes are alike (1.0), one without and one with are not (0.0); rows that
 repeat an identifier follow each other in descending order of their texts, a null identifier after all
-others; a table of one row is its own next; other columns are ignored; an empty table gives no rows.
+others; a table of one row is its own next; a very long text is fingerprinted whole, as one row; other columns are ignored; an empty table gives no rows.
 Positions have 30 bits, more than the words that a string can have; ties are judged by the hashes' upper 33.
 """
 
