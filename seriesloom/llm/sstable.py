@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _files
-from ._arrays import batches, checkpoint_dir, expand, mix, partitions, squeeze
+from ._arrays import batches, checkpoint_dir, expand, measured_bytes, mix, partitions, squeeze
 from ._tokens import encoder, id_count
 
 MAGIC = 0x5353_5442_4944_5331
 RESTART, BLOCK_BYTES, BITS_A_KEY, PROBES = 16, 1 << 16, 10, 7
+SHARD_BYTES = 256 << 20  # of input, at most, to a shard
 FOOTER = struct.Struct("<QQQQQQQBQ")  # index at, its length, filter at, its length, blocks, documents, ids, bytes an id, magic
 
 
@@ -232,7 +233,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, i
             yield from batches(iter([(path, seen["first_key"], seen["n_docs"], seen["n_tokens"], size)]), MANIFEST)
 
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = table.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    shards = max(partitions(spark), -(-measured_bytes(docs) // SHARD_BYTES))  # a writer holds the keys of one shard
+    ranged = table.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = ranged.mapInArrow(write, "path string, first_key binary, n_docs long, n_tokens long, n_bytes long").collect()  # a row for each shard
     return sorted((r.asDict() | {"first_key": bytes(r.first_key)} for r in rows), key=lambda r: r["first_key"])
 

@@ -209,3 +209,13 @@ def test_schedules_of_several_pieces(spark):
         assert abs(weight(r.t) - u) < 1e-9
     with pytest.raises(ValueError):
         curriculum.checked((((0.0, 1.0), (0.5, 1.0)),))
+
+
+def test_shards_number_by_bytes(spark, tmp_path, monkeypatch):
+    from seriesloom.llm import sstable
+
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 2000)
+    docs = spark.createDataFrame([(i, "some words of a text " * 20) for i in range(60)], "doc_id long, text string")
+    manifest = sstable.write_shards(docs, queries.tokenizer_path(), 2, str(tmp_path))
+    found = sstable.read_shards(spark, manifest).orderBy("start").collect()
+    assert len(manifest) > 8 and [r.doc_id for r in found] == list(range(60)) and found[-1].start + found[-1].n_tokens == sum(x["n_tokens"] for x in manifest)
