@@ -38,8 +38,7 @@ def screened(found: DataFrame, nav: DataFrame, events: DataFrame | None, as_of:
         raise ValueError("payout options are screened over the trailing year only")
     day, target = calendar.date(as_of), calendar.horizon_start(as_of, horizon)
     own = nav.join(found.select("code"), "code", "left_semi")
-    first = own.groupBy("code").agg(F.min("d").alias("first_day"))
-    rows = found.join(series.trailing(own, as_of, horizon, tolerance), "code", "left").join(first, "code", "left")
+    rows = found.join(series.trailing(own, as_of, horizon, tolerance, first=True), "code", "left")  # one pass over the values
     rows = rows.withColumn("status", F.coalesce("status", F.lit("stale_endpoint")))
     rows = rows.withColumn("total_pct", F.when(F.col("status") == "available", (F.col("end_value") / F.col("start_value") - 1) * 100))
     if events is not None:

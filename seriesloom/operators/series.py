@@ -20,16 +20,20 @@ def current(revisions: DataFrame, keys: list[str], order: list[str], values: lis
     return revisions.groupBy(*keys).agg(latest).select(*keys, "__latest.*")
 
 
-def horizon_points(nav: DataFrame, as_of: str, horizons: list[str], tolerance: int = 7, *, recent: bool = False) -> DataFrame:
+def horizon_points(nav: DataFrame, as_of: str, horizons: list[str], tolerance: int = 7, *, recent: bool = False, first: bool = False) -> DataFrame:
     """code, e (last d and v up to as_of), and for each horizon s_<horizon>: the first d and v within the tolerance from its start on.
 
     One aggregation finds all of them, over no day after as_of. With recent only days that can count
-    are read: a stale series then has no end at all.
+    are read: a stale series then has no end at all. With first all days are read, and first_day is the first of all.
     """
     if not 0 <= tolerance <= 31:
         raise ValueError("tolerance is 0 to 31 days")
     day, d = calendar.date(as_of), F.col("d")
     starts = {h: d.between(calendar.horizon_start(as_of, h), F.date_add(calendar.horizon_start(as_of, h), tolerance)) for h in horizons}
+    if first:
+        past = {h: c & (d <= day) for h, c in starts.items()}
+        points = [F.min(F.when(c, F.struct("d", "v"))).alias(f"s_{h}") for h, c in past.items()]
+        return nav.groupBy("code").agg(F.max(F.when(d <= day, F.struct("d", "v"))).alias("e"), F.min("d").alias("first_day"), *points)
     rows = nav.where(d <= day)
     if recent:
         rows = rows.where(reduce(lambda a, b: a | b, starts.values(), d >= F.date_sub(day, tolerance)))
@@ -49,14 +53,14 @@ def with_status(points: DataFrame, as_of: str, tolerance: int) -> DataFrame:
     )
 
 
-def endpoints(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, recent: bool = False) -> DataFrame:
+def endpoints(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, recent: bool = False, first: bool = False) -> DataFrame:
     """code, start and end day and value, days, staleness and status of each series that has any value.
 
     The end is the last value up to as_of, the start the first from the horizon's beginning on, within
-    the tolerance. recent is as for ``horizon_points``.
+    the tolerance. recent and first are as for ``horizon_points``.
     """
-    found = horizon_points(nav, as_of, [horizon], tolerance, recent=recent).withColumn("s", F.col(f"s_{horizon}"))
-    return with_status(found.select("code", F.col("s.d").alias("start_day"), F.col("s.v").alias("start_value"), F.col("e.d").alias("end_day"), F.col("e.v").alias("end_value")), as_of, tolerance)
+    found = horizon_points(nav, as_of, [horizon], tolerance, recent=recent, first=first).withColumn("s", F.col(f"s_{horizon}"))
+    return with_status(found.select("code", *["first_day"] * first, F.col("s.d").alias("start_day"), F.col("s.v").alias("start_value"), F.col("e.d").alias("end_day"), F.col("e.v").alias("end_value")), as_of, tolerance)
 
 
 def trailing_horizons(nav: DataFrame, as_of: str, horizons: list[str], tolerance: int = 7, *, recent: bool = False) -> DataFrame:
@@ -73,9 +77,9 @@ def trailing_horizons(nav: DataFrame, as_of: str, horizons: list[str], tolerance
     return rows.withColumn("return_pct", F.when(F.col("status") == "available", value))
 
 
-def trailing(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, recent: bool = False) -> DataFrame:
+def trailing(nav: DataFrame, as_of: str, horizon: str, tolerance: int = 7, *, recent: bool = False, first: bool = False) -> DataFrame:
     """endpoints with the trailing return, null unless available."""
-    found = endpoints(nav, as_of, horizon, tolerance, recent=recent)
+    found = endpoints(nav, as_of, horizon, tolerance, recent=recent, first=first)
     value = returns.trailing_return(F.col("start_value"), F.col("end_value"), F.col("days"), calendar.is_annualised(horizon))
     return found.withColumn("return_pct", F.when(F.col("status") == "available", value))
 

@@ -211,3 +211,27 @@ def test_text_rules(spark):
         returns.colour_scale(F.lit(-3.5)).alias("k"),
     ).first()
     assert row.c == "'=1+1" and row.d == "1.25" and row.e == 1234.5 and row.f is None and row.g and row.h is None and row.i is None and row.j == "Gross Total Return" and row.k == 3.5
+
+
+def test_rolling_windows_are_those_of_a_search_for_each_end(spark):
+    rng = random.Random(4)
+    days = sorted({D(2016, 1, 1) + dt.timedelta(days=rng.randint(0, 2200)) for _ in range(700)} | {D(2016, 2, 29), D(2020, 2, 29), D(2017, 2, 28)})
+    points = [(d, rng.uniform(5, 50)) for d in days]
+
+    def back(d, years):
+        return d.replace(year=d.year - years, day=28) if (d.month, d.day) == (2, 29) and (d.year - years) % 4 else d.replace(year=d.year - years)
+
+    def windows(years, ends):
+        out = []
+        for e, v in ends:
+            start = next(((d, x) for d, x in points if d >= back(e, years)), None)
+            if start and start[0] < e and (start[0] - back(e, years)).days <= 7:
+                out.append((years, start[0], e, round(((v / start[1]) ** (365 / (e - start[0]).days) - 1) * 100, 6)))
+        return out
+
+    last = [p for p, q in zip(points, [*points[1:], (D(2100, 1, 1), 0)], strict=True) if (p[0].year, p[0].month) != (q[0].year, q[0].month)]
+    for month_ends, ends in ((False, points), (True, last)):
+        df = series.rolling_years(nav(spark, points), (1, 3, 5), month_ends=month_ends)
+        assert sorted((r.years, r.start_day, r.end_day, round(r.r, 6)) for r in df.collect()) == sorted(w for y in (1, 3, 5) for w in windows(y, ends))
+        plan = df._jdf.queryExecution().toString()
+        assert "RangeFrame" not in plan and plan.count("Exchange hashpartitioning") <= 2
