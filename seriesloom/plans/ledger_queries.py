@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import classification, publication, revisions, series
 from ..sources import exchange
 from . import bindings as b
-from .catalog_queries import classification_labels
+from .catalog_queries import LABELLED_SQL, SHORT_SQL, classification_labels
 
 
 def identity_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +131,19 @@ BATCHES_SQL = "SELECT o_orderkey AS batch, CAST(o_orderdate AS DATE) AS started,
 
 
 def alias_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classifications with an alias of their own: names that no other of their structure has, nor one that is taken."""
+    """Each classification with the name of its own alias: one that no other of its structure has, nor one that is taken."""
     defined = classification.definitions(classification.labelled(classification_labels(spark, sf_dir)))
     taken = spark.createDataFrame([("other", "growth"), ("open_ended", "Gold ETF")], "structure string, name string")
-    return classification.alias_names(defined, taken).groupBy("structure").agg(F.count("*").alias("aliases"), F.count_distinct(classification.fold(F.col("name"))).alias("names"), F.max(F.length("name")).cast("long").alias("longest"))
+    return classification.alias_names(defined, taken)
+
+
+SHORTENED_SQL = """trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(lower(inn), '^(debt scheme|equity scheme|hybrid scheme|other scheme)') THEN CASE WHEN r <> inn THEN r ELSE regexp_replace(inn, '^[^-]+\\s+-\\s+', '') END ELSE inn END, '\\s*\\(\\s*', ' (', 'g'), '\\s*\\)\\s*', ')', 'g'), '\\s+', ' ', 'g'))"""
+ALIAS_LIST_SQL = f"""WITH {LABELLED_SQL}, df AS (SELECT classification, min(shown) AS shown, min(structure) AS structure FROM d GROUP BY classification), i AS (SELECT *, trim(regexp_replace({SHORT_SQL}, '\\s+', ' ', 'g')) AS inn FROM df), j AS (SELECT *, regexp_replace(inn, '^.*?\\)\\s*-\\s*', '') AS r FROM i),
+n AS (SELECT classification, structure, inn AS context, {SHORTENED_SQL} AS base FROM j), h AS (SELECT *, count(*) OVER (PARTITION BY structure, lower(base)) > 1 AS shared FROM n),
+o AS (SELECT classification, structure, context, rtrim(substr(CASE WHEN shared THEN context ELSE base END, 1, 100)) AS one, rtrim(substr(CASE WHEN shared THEN base ELSE context END, 1, 100)) AS two FROM h), g AS (SELECT * FROM (VALUES ('other', 'growth'), ('open_ended', 'gold etf')) AS t(structure, key)),
+f AS (SELECT *, row_number() OVER (PARTITION BY structure, lower(one) ORDER BY classification) = 1 AND NOT EXISTS (SELECT 1 FROM g WHERE g.structure = o.structure AND g.key = lower(one)) AS free FROM o),
+g2 AS (SELECT * FROM g UNION SELECT structure, lower(one) FROM f WHERE free), e AS (SELECT *, row_number() OVER (PARTITION BY structure, lower(two) ORDER BY classification) = 1 AND NOT EXISTS (SELECT 1 FROM g2 WHERE g2.structure = f.structure AND g2.key = lower(two)) AS free2 FROM f WHERE NOT free)
+SELECT classification, structure, one AS name FROM f WHERE free UNION ALL SELECT classification, structure, CASE WHEN free2 THEN two ELSE rtrim(substr(context, 1, 89)) || ' [' || right(classification, 8) || ']' END FROM e"""
 
 
 QUERIES = {
@@ -146,5 +155,5 @@ QUERIES = {
     "option_bounds": (option_bounds, BOUNDS_SQL),
     "lifecycle_report": (lifecycle_report, LIFECYCLE_SQL),
     "batches_page": (batches_page, BATCHES_SQL),
-    "alias_list": (alias_list, ""),
+    "alias_list": (alias_list, ALIAS_LIST_SQL),
 }
