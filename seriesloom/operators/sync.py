@@ -113,6 +113,27 @@ def family_requests(universe: DataFrame, checkpoints: DataFrame, open_issues: Da
     return rows.select(*key, "name", state.alias("state"))
 
 
+def contracted(requests: DataFrame, most: int = MOST_DAYS) -> DataFrame:
+    """requests, of which any that the source would refuse fails the job: by (source, start_day, end_day), or (fund, family, year).
+
+    Identifiers are digits, a window has 1 to most days, a year is All or four digits.
+    """
+    tests = []
+    for c in ("source", "fund", "family"):
+        if c in requests.columns:
+            tests.append((~F.coalesce(F.col(c).rlike("^[0-9]+$"), F.lit(False)), f"{c} is not a number"))
+    if "year" in requests.columns:
+        tests.append((~F.coalesce(F.col("year").rlike("^(All|[0-9]{4})$"), F.lit(False)), "year is neither All nor four digits"))
+    if "start_day" in requests.columns:
+        days = F.datediff("end_day", "start_day") + 1
+        tests.append((~F.coalesce(days.between(1, most), F.lit(False)), f"a window has 1 to {most} days"))
+    told = requests.columns[0]
+    checked = F.col(told)
+    for wrong, what in tests:
+        checked = F.when(wrong, F.raise_error(F.lit(what)).cast(requests.schema[told].dataType)).otherwise(checked)
+    return requests.withColumn(told, checked)
+
+
 def run_status(open_issues: Column) -> Column:
     """The status of a run that came to its end, by its number of open issues."""
     return F.when(open_issues > 0, "completed_with_issues").otherwise("completed")

@@ -83,6 +83,16 @@ def test_requests_from_gaps_and_checkpoints(spark):
             sync.requests(sources, coverage, none, *wrong)
 
 
+def test_requests_keep_the_sources_contract(spark):
+    windows = spark.createDataFrame([("12", D(2025, 1, 1), D(2025, 3, 31))], sync.COVERAGE)
+    assert sync.contracted(windows).count() == 1 and sync.contracted(windows).first().source == "12"
+    years = spark.createDataFrame([("1", "20", "All"), ("1", "21", "2024")], "fund string, family string, year string")
+    assert sync.contracted(years).count() == 2
+    for bad, what in ((windows.withColumn("source", F.lit("x1")), "source"), (windows.withColumn("end_day", F.lit(D(2025, 4, 1))), "window"), (windows.withColumn("end_day", F.lit(D(2024, 4, 1))), "window"), (years.withColumn("year", F.lit("24")), "year"), (years.withColumn("family", F.lit(None).cast("string")), "family")):
+        with pytest.raises(Exception, match=what):
+            sync.contracted(bad).collect()
+
+
 def test_indices_by_either_name(spark):
     mappings = spark.createDataFrame([("Nifty 50", "NIFTY"), ("NIFTY", "Other")], "display_name string, trading_name string")
     asked = spark.createDataFrame([(" nifty 50 ",), ("nifty",), ("OTHER",), ("",)], "name string")
