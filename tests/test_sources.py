@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from seriesloom.operators import identities
 from seriesloom.sources import exchange, feeds, markup, sinks
 from seriesloom.streaming import incremental
 
@@ -136,7 +137,7 @@ def test_index_feeds(spark):
     assert {(r.d.day, r.basis, r.value) for r in found if r.error is None} == {(2, "gross", 100.0), (3, "gross", 100.0), (3, "net", 99.0)} and sorted(r.error for r in found if r.error and r.basis == "gross") == ["bad_value", "repeated"]
     names = feeds.index_names(files(spark, json.dumps([{"Trading_Index_Name": "N", "Index_long_name": "Nifty"}, {"Trading_Index_Name": "N", "Index_long_name": "Other"}])))
     assert [(r.display_name, r.error) for r in names.orderBy("position").collect()] == [("Nifty", None), ("Other", "repeated")]
-    assert exchange.instruments(names.where("error is null")).count() == 3
+    assert identities.with_indices(spark.createDataFrame([], identities.INSTRUMENT), names.where("error is null")).count() == 3
 
 
 def test_yields(spark):
