@@ -170,15 +170,17 @@ def third_party_catalogue(files: DataFrame) -> DataFrame:
     c = c.join(listed, "source", "left")
     asked = F.sort_array(F.transform("queries", lambda q: q["amc_name"]))
     strings = lambda x: F.from_json(x, "array<string>")
+    said_once = lambda x: F.to_json(F.struct(x["amc_name"], x["scheme_name"]))  # texts are hashed, structs would be compared pair by pair
     sums = F.forall("queries", lambda q: (F.sha2(q["categories_payload"], 256) == q["categories_payload_sha256"]) & F.forall(q["scheme_queries"], lambda s: F.sha2(s["source_payload"], 256) == s["source_payload_sha256"]))
     complete = F.forall("queries", lambda q: F.sort_array(strings(q["categories_payload"])) == F.sort_array(F.transform(q["scheme_queries"], lambda s: s["category"])))
     derived = F.flatten(F.transform("queries", lambda q: F.flatten(F.transform(q["scheme_queries"], lambda s: F.transform(strings(s["source_payload"]), lambda n: F.struct(q["amc_name"].alias("amc_name"), s["category"].alias("category"), n.alias("scheme_name")))))))
+    c = c.withColumn("derived", derived)
     error = (
         F.when(~has_keys(F.col("raw"), CATALOGUE_KEYS), "keys").when(F.col("schema_version") != 2, "schema_version").when(F.col("provider") != THIRD_PARTY, "provider")
         .when(~F.coalesce(F.col("captured_at").rlike(AWARE), F.lit(False)), "naive_time").when(F.sha2("source_payload", 256) != F.col("source_payload_sha256"), "checksum")
         .when(F.col("houses").isNull() | F.col("odd") | (F.size(F.array_distinct("houses")) != F.size("houses")), "houses").when(asked != F.col("houses"), "queries")
-        .when(~F.coalesce(sums, F.lit(False)), "checksum").when(~F.coalesce(complete, F.lit(False)), "categories").when(derived != F.col("schemes"), "schemes")
-        .when(F.size(F.array_distinct(F.transform(derived, lambda x: F.struct(x["amc_name"], x["scheme_name"])))) != F.size(derived), "repeated")
+        .when(~F.coalesce(sums, F.lit(False)), "checksum").when(~F.coalesce(complete, F.lit(False)), "categories").when(F.col("derived") != F.col("schemes"), "schemes")
+        .when(F.size(F.array_distinct(F.transform("derived", said_once))) != F.size("derived"), "repeated")
     )
     told = c.withColumn("error", error)
     good = told.where("error is null").select("source", F.explode("schemes").alias("s")).select("source", F.col("s.amc_name").alias("house"), F.col("s.category").alias("category"), F.col("s.scheme_name").alias("scheme"), F.lit(None).cast("string").alias("error"))

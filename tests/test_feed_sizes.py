@@ -1,12 +1,13 @@
 """Feeds at size: files that stay small, lines that repeat, work that stays linear."""
 
 import datetime
+import re
 
 import duckdb
 import pandas as pd
 from test_whole_tables import lines
 
-from seriesloom.plans import source_queries
+from seriesloom.plans import reader_queries, source_queries
 from seriesloom.sources import feeds
 
 D = datetime.date
@@ -37,3 +38,12 @@ def test_registrar_pages_of_lines_that_repeat(spark, tmp_path):
     rows = lines(l_orderkey=[1, 1, 1, 2, 12], l_linenumber=[1, 1, 3, 5, 1], l_partkey=7)
     found, wanted = both(spark, tmp_path, source_queries.registrar_pages, source_queries.PAGES_SQL, lineitem=rows)
     assert found == wanted and len(found) == 4
+
+
+def test_catalogue_compares_names_by_hash(spark, tmp_path):
+    customers = pd.DataFrame({"c_custkey": range(60), "c_nationkey": [i % 6 for i in range(60)], "c_mktsegment": "A", "c_name": [f"n{i}" for i in range(60)]})
+    query = reader_queries.third_party_catalogue
+    found, wanted = both(spark, tmp_path, query, reader_queries.CATALOGUE_SQL, customer=customers)
+    assert found == wanted
+    plan = query(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"array_distinct\(transform\(derived#\d+, lambdafunction\(to_json", plan)
