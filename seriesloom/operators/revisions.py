@@ -83,10 +83,13 @@ def reconcile(rows: DataFrame) -> DataFrame:
     """
     event = Window.partitionBy("code", "d")
     sure = F.col("d") >= F.lit(OLDEST_DAY).cast("date")
-    told = rows.withColumns({"__n": F.count("*").over(event), "__top": F.min("tier").over(event.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))})
-    counts = told.where(F.col("tier") == F.col("__top"))
-    first = F.first_value("amount").over(Window.partitionBy("code", "d", "tier").orderBy("seq"))
-    steps = counts.withColumn("__first", first).groupBy("code", "d", "tier").agg(F.min("seq").alias("s"), F.min_by("amount", "seq").alias("a"), F.max(F.col("amount") != F.col("__first")).alias("clash"), F.max("__n").alias("n"))
+    so_far = event.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumn("__top", F.min("tier").over(so_far))
+    before = F.lag("__top").over(event.orderBy("seq"))
+    begins = before.isNull() | (before != F.col("__top"))
+    told = told.withColumn("__begins", begins).withColumn("__first", F.last(F.when(F.col("__begins"), F.struct("amount")), ignorenulls=True).over(so_far)["amount"])
+    told = told.withColumn("__n", F.count("*").over(event))  # last: the rows are sorted once, and this order serves it too
+    steps = told.where(F.col("tier") == F.col("__top")).groupBy("code", "d", "tier").agg(F.min("seq").alias("s"), F.min_by("amount", "seq").alias("a"), F.max(F.col("amount") != F.col("__first")).alias("clash"), F.max("__n").alias("n"))
     along = event.orderBy("s")
     new = F.lag("a").over(along).isNull() | F.lag("clash").over(along) | (F.lag("a").over(along) != F.col("a"))
     last = steps.withColumn("new", new).groupBy("code", "d").agg(F.max_by(F.struct("a", "tier", "clash"), "s").alias("x"), F.count_if("new").cast("int").alias("revision"), F.max("n").alias("events"))

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 from test_whole_tables import lines
 
+from seriesloom.operators import revisions
 from seriesloom.plans import reader_queries, source_queries
 from seriesloom.sources import feeds
 
@@ -47,3 +48,12 @@ def test_catalogue_compares_names_by_hash(spark, tmp_path):
     assert found == wanted
     plan = query(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert re.search(r"array_distinct\(transform\(derived#\d+, lambdafunction\(to_json", plan)
+
+
+def test_reconciled_rows_are_sorted_once(spark):
+    days = [D(2000, 1, 1), D(2000, 1, 2)]
+    rows = spark.createDataFrame([(1, days[i % 2], float(i // 4), 3 - i // 4, i) for i in range(12)], "code long, d date, amount double, tier int, seq long")
+    out = revisions.reconcile(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.d, r.amount, r.tier, r.revision, r.state, r.events) for r in out.collect()) == [(d, 2.0, 1, 3, "current", 6) for d in days]
+    assert len(re.findall(r"\bSort \[", plan)) == 2  # the rows, and the steps of the tiers
