@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,29 +39,42 @@ GATES = (
 KINDS = ("unknown", "bonus", "distribution", "bonus_or_distribution", "growth_or_cumulative", "conflicting", "conflicting", "conflicting")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once, however often then names it: a filter that the optimizer moves below repeats no pattern."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def with_option_kind(rows: DataFrame, scheme: str, label: str, kind: str = "kind") -> DataFrame:
     """rows with the kind of option that a label states, and its descriptor.
 
     The descriptor is what the label says after its scheme's whole name; null where the name does not
     stand before it, or ends inside a word. Words of the scheme's own name count only where no descriptor
     can be told apart, and then only in forms that no proper name has: at the label's end, as a pair, or
-    beside the word option. Each step is a projection of its own, so that no pattern is matched twice.
+    beside the word option. Each step is bound, so that no pattern is matched twice.
     """
-    name, whole, end, own = (F.col(f"__{x}") for x in ("name", "whole", "end", "own"))
-    rows = rows.withColumns({"__name": collapsed(F.col(scheme)), "__whole": collapsed(F.col(label))})
-    after = F.substring(whole, F.length(name) + 1, F.length(whole))
-    stands = (name != "") & (whole != "") & F.lower(whole).startswith(F.lower(name)) & ~after.rlike("^[\\p{L}\\p{N}]")
-    rows = rows.withColumns({"__own": F.when(stands, F.regexp_replace(F.regexp_replace(after, f"^{EDGE}", ""), f"{EDGE}$", "")), "__end": F.regexp_replace(whole, f"{EDGE}$", ""), "__pair": whole.rlike(PAIR)})
-    told = F.coalesce(own != "", F.lit(False))
-    payout = F.when(told, own.rlike(IDCW) | own.rlike(DIVIDEND)).otherwise(
-        whole.rlike(IDCW) | (whole.rlike(DIVIDEND) & ~name.rlike(DIVIDEND)) | end.rlike(ENDS_IN_DIVIDEND) | F.col("__pair") | whole.rlike(DIVIDEND_OPTION)
-    )
-    bonus = F.when(told, own.rlike(BONUS)).otherwise((whole.rlike(BONUS) & ~name.rlike(BONUS)) | end.rlike(ENDS_IN_BONUS) | F.col("__pair"))
-    growth = F.when(told, own.rlike(GROWTH)).otherwise((whole.rlike(GROWTH) & ~name.rlike(GROWTH)) | end.rlike(ENDS_IN_GROWTH))
-    bit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    place = bit(growth) * 4 + bit(payout) * 2 + bit(bonus) + 1
-    out = rows.withColumns({kind: F.element_at(F.array(*map(F.lit, KINDS)), place), "descriptor": F.when(own != "", own)})
-    return out.drop("__name", "__whole", "__own", "__end", "__pair")
+
+    def apart(x: Column) -> Column:
+        name, whole = x["name"], x["whole"]
+        after = F.substring(whole, F.length(name) + 1, F.length(whole))
+        stands = (name != "") & (whole != "") & F.lower(whole).startswith(F.lower(name)) & ~after.rlike("^[\\p{L}\\p{N}]")
+        own = F.when(stands, F.regexp_replace(F.regexp_replace(after, f"^{EDGE}", ""), f"{EDGE}$", ""))
+        return F.struct(name.alias("name"), whole.alias("whole"), own.alias("own"), F.regexp_replace(whole, f"{EDGE}$", "").alias("end"), whole.rlike(PAIR).alias("pair"))
+
+    def judged(x: Column) -> Column:
+        name, whole, own, end, pair = (x[k] for k in ("name", "whole", "own", "end", "pair"))
+        told = F.coalesce(own != "", F.lit(False))
+        payout = F.when(told, own.rlike(IDCW) | own.rlike(DIVIDEND)).otherwise(
+            whole.rlike(IDCW) | (whole.rlike(DIVIDEND) & ~name.rlike(DIVIDEND)) | end.rlike(ENDS_IN_DIVIDEND) | pair | whole.rlike(DIVIDEND_OPTION)
+        )
+        bonus = F.when(told, own.rlike(BONUS)).otherwise((whole.rlike(BONUS) & ~name.rlike(BONUS)) | end.rlike(ENDS_IN_BONUS) | pair)
+        growth = F.when(told, own.rlike(GROWTH)).otherwise((whole.rlike(GROWTH) & ~name.rlike(GROWTH)) | end.rlike(ENDS_IN_GROWTH))
+        bit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+        place = bit(growth) * 4 + bit(payout) * 2 + bit(bonus) + 1
+        return F.struct(F.element_at(F.array(*map(F.lit, KINDS)), place).alias("kind"), F.when(own != "", own).alias("descriptor"))
+
+    spelled = F.struct(collapsed(F.col(scheme)).alias("name"), collapsed(F.col(label)).alias("whole"))
+    said = rows.withColumn("__said", bound(bound(spelled, apart), judged))
+    return said.withColumns({kind: F.col("__said.kind"), "descriptor": F.col("__said.descriptor")}).drop("__said")
 
 
 def gate(known: Column, unit: Column, value: Column, kind: Column) -> Column:

@@ -7,7 +7,8 @@ import duckdb
 import pandas as pd
 from test_whole_tables import lines
 
-from seriesloom.operators import revisions
+from seriesloom.functions import labels
+from seriesloom.operators import publication, quality, revisions
 from seriesloom.plans import reader_queries, source_queries
 from seriesloom.sources import feeds
 
@@ -57,3 +58,12 @@ def test_reconciled_rows_are_sorted_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.d, r.amount, r.tier, r.revision, r.state, r.events) for r in out.collect()) == [(d, 2.0, 1, 3, "current", 6) for d in days]
     assert len(re.findall(r"\bSort \[", plan)) == 2  # the rows, and the steps of the tiers
+
+
+def test_filtered_gates_repeat_no_pattern(spark):
+    rows = spark.createDataFrame([(1, D(2000, 1, 3), 1, "amount", 0.5, "Fund", "Fund - Growth Option"), (1, D(2000, 1, 3), 2, "amount", 0.5, "Fund", "Fund - IDCW")], "code long, d date, seq long, unit string, value double, scheme string, label string")
+    gated = publication.normalise(rows, rows.select("code").distinct(), spark.createDataFrame([], publication.EVENT))
+    found = quality.label_review_items(gated)
+    assert [tuple(r) for r in found.collect()] == [("growth_or_cumulative", 1, 1, ["Fund"], ["Fund - Growth Option"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(labels.EDGE) <= 6  # thrice in the filter that is moved below, thrice in the row itself
