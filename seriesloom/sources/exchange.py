@@ -6,12 +6,13 @@ a layout is typed and checked as its form demands; the first thing that breaks i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions.labels import bound
 from .feeds import AMOUNT, blank
 
 UNIFIED_FROM, ISIN_FROM = "2024-07-08", "2011-06-22"
@@ -45,19 +46,37 @@ FIELDS["nse_compact"] = FIELDS["nse"]
 FIELDS["nse_old"] = {k: v for k, v in FIELDS["nse"].items() if k not in ("isin", "trades")}
 
 
+HEADER = "^\\uFEFF?( *\\r?\\n)*([^\\r\\n]*)"  # lines of blanks, and the first other line
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """files with line and raw, for each line of a payload below its header that is not blank; the header's place is told once for a file."""
+    above = F.size(F.split(F.regexp_extract("payload", HEADER, 0), "\\r?\\n")) - 1
+    rows = files.withColumn("__first", above).select("*", F.posexplode(F.split(F.regexp_replace("payload", "^\\uFEFF", ""), "\\r?\\n")).alias("line", "raw"))
+    return rows.drop("payload").where((F.col("line") > F.col("__first")) & ~blank(F.col("raw"))).drop("__first")
+
+
+def parsed(rows: DataFrame, cells: int) -> DataFrame:
+    """rows with row, a struct of the cells of raw as c0, c1 and so on, one more than asked for: the reader drops what is beyond, so that a row of another number of cells can be told."""
+    short = F.greatest(cells + 1 - F.size(F.split("raw", ",")), F.lit(0))
+    plain = (F.size(F.split("raw", '"')) % 2 == 1) & ~F.contains("raw", F.lit("\\"))  # no cell stays open at the end
+    full = F.when(plain, F.concat("raw", F.repeat(F.lit(","), short))).otherwise(F.col("raw"))  # empty cells are null; a row that lacks cells costs the reader an exception
+    return rows.withColumn("row", F.from_csv(full, ", ".join(f"c{i} string" for i in range(cells + 1)), {"mode": "PERMISSIVE"}))
+
+
+def has_header(columns: list[str]) -> Column:
+    """Whether a payload's header has exactly these columns, quoted or not."""
+    found = F.split(F.regexp_extract("payload", HEADER, 2), ",")
+    return F.transform(found, lambda c: F.regexp_replace(c, '^"|"$', "")) == F.array(*map(F.lit, columns))
+
+
 def csv_rows(files: DataFrame, columns: list[str]) -> DataFrame:
-    """files with line and row, a struct of the columns as c0, c1 and so on, of payloads under exactly this header."""
-    lines = files.select("*", F.posexplode(F.split(F.regexp_replace("payload", "^\\uFEFF", ""), "\\r?\\n")).alias("line", "raw")).drop("payload").where(~blank(F.col("raw")))
-    header = F.split(F.first_value("raw").over(Window.partitionBy("source").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)), ",")
-    own = lines.withColumn("fits", F.transform(header, lambda c: F.regexp_replace(c, '^"|"$', "")) == F.array(*map(F.lit, columns))).where("fits").drop("fits")
-    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
-    numbered = own.withColumn("first", F.min("line").over(Window.partitionBy("source")))
-    # the reader drops what is beyond the schema, so a row of another number of cells is told by a reader with one column more
-    return numbered.where("line > first").drop("first").withColumn("row", F.from_csv("raw", f"{schema}, more string", {"mode": "PERMISSIVE"}))
+    """files with line and row, the cells of payloads under exactly this header."""
+    return parsed(file_lines(files.where(has_header(columns))), len(columns))
 
 
-def cell(columns: list[str], name: str) -> Column:
-    return F.trim(F.coalesce(F.col(f"row.c{columns.index(name)}"), F.lit("")))
+def cell(columns: list[str], name: str, row: Column | None = None) -> Column:
+    return F.trim(F.coalesce((F.col("row") if row is None else row)[f"c{columns.index(name)}"], F.lit("")))
 
 
 def number(c: Column) -> Column:
@@ -74,33 +93,58 @@ def first_of(*tests: tuple[Column, str]) -> Column:
     return reduce(lambda c, t: c.when(F.coalesce(t[0], F.lit(True)), t[1]), tests[1:], F.when(F.coalesce(tests[0][0], F.lit(True)), tests[0][1]))
 
 
-def prices_of(files: DataFrame, layout: str) -> DataFrame:
-    """The common table of the files of one layout."""
-    columns, fields = LAYOUTS[layout], FIELDS[layout]
-    rows = csv_rows(files, columns)
-    get = lambda k: cell(columns, fields[k]) if k in fields else F.lit(None).cast("string")
-    unified, bse = layout == "unified", layout == "bse"
-    day = F.col("day") if bse else F.try_to_date(get("day"), "yyyy-MM-dd") if unified else F.coalesce(F.when(get("day").rlike("^\\d{2}-[A-Za-z]{3}-\\d{4}$"), F.try_to_date(F.initcap(get("day")), "dd-MMM-yyyy")), F.when(get("day").rlike("^\\d{2}-[A-Za-z]{3}-\\d{2}$"), F.try_to_date(F.initcap(get("day")), "dd-MMM-yy")))
-    isin = F.upper(get("isin"))
-    known = F.when(isin.isin("DUMMY", "INE"), None).otherwise(isin) if layout.startswith("nse") and "isin" in fields else isin
-    price = {k: number(get(k)) for k in ("open", "high", "low", "close", "last", "previous")}
-    optional = lambda k: (get(k) == "") | price[k].isNotNull()
-    tests = [
-        (F.col("row.more").isNotNull() | F.col(f"row.c{len(columns) - 1 - (columns[-1] == '')}").isNull() & (F.size(F.split("raw", ",")) < len(columns)), "columns"),
-        (F.upper(cell(columns, "Src")) != F.col("exchange") if unified else F.lit(False), "exchange"),
-        (day.isNull() | (day != F.col("day")) | (cell(columns, "BizDt") != F.date_format("day", "yyyy-MM-dd") if unified else F.lit(False)), "day"),
-        (blank(get("security_id")) | blank(get("series")) | (blank(get("symbol")) if not bse else F.lit(False)) | (blank(get("name")) if unified else F.lit(False)), "no_name"),
-        (F.lit("isin" in fields) & known.isNotNull() & ~known.rlike(ISIN), "isin"),
-        (reduce(lambda a, b: a | b, (price[k].isNull() for k in ("open", "high", "low", "close"))) | (~optional("last") if unified else price["last"].isNull()) | (~optional("previous") if bse else price["previous"].isNull()), "price"),
-        (F.lit(unified) & ((price["open"] <= 0) | (price["high"] <= 0) | (price["low"] <= 0) | (price["close"] <= 0)), "price"),
-        (whole(get("volume")).isNull() | number(get("traded")).isNull() | (whole(get("trades")).isNull() if "trades" in fields else F.lit(False)), "volume"),
-    ]
-    text_or_null = lambda c: F.when(c != "", c)
-    return rows.select(
-        "source", "line", F.lit(layout).alias("layout"), "exchange", day.alias("d"), get("security_id").alias("security_id"), text_or_null(get("symbol")).alias("symbol"), get("series").alias("series"),
-        text_or_null(get("name")).alias("name"), known.alias("isin"), *[price[k].alias(k) for k in price], whole(get("volume")).alias("volume"), number(get("traded")).alias("traded"),
-        whole(get("trades")).alias("trades"), first_of(*tests).alias("error"),
-    )
+def typed_prices(files: DataFrame) -> DataFrame:
+    """The common table of files whose layout is known, all layouts in one reading.
+
+    Steps are bound: written out as columns they are one generated method that is too long to be compiled.
+    """
+    none = F.lit(None).cast("string")
+    held = sorted({k for fields in FIELDS.values() for k in fields})
+    prices = ("open", "high", "low", "close", "last", "previous")
+
+    def by(layout: Column, value: Callable[[str], Column]) -> Column:
+        return reduce(lambda c, k: c.when(layout == k, value(k)), list(LAYOUTS)[1:], F.when(layout == next(iter(LAYOUTS)), value(next(iter(LAYOUTS)))))
+
+    def texts(x: Column) -> Column:
+        row, layout = x["row"], x["layout"]
+        each = by(layout, lambda name: F.struct(*[(cell(c := LAYOUTS[name], f[k], row) if k in (f := FIELDS[name]) else none).alias(k) for k in held], *[(cell(LAYOUTS[name], k, row) if name == "unified" else none).alias(k) for k in ("Src", "BizDt")]))
+        short = by(layout, lambda name: row[f"c{len(c := LAYOUTS[name]) - 1 - (c[-1] == '')}"].isNull() & (F.size(F.split(x["raw"], ",")) < len(LAYOUTS[name])))
+        return F.struct(x["exchange"].alias("exchange"), x["day"].alias("asked"), layout.alias("layout"), each.alias("t"), (by(layout, lambda name: row[f"c{len(LAYOUTS[name])}"].isNotNull()) | short).alias("columns"))
+
+    def values(x: Column) -> Column:
+        t, layout = x["t"], x["layout"]
+        day, isin = t["day"], F.upper(t["isin"])
+        own = F.coalesce(F.when(day.rlike("^\\d{2}-[A-Za-z]{3}-\\d{4}$"), F.try_to_date(day, "dd-MMM-yyyy")), F.when(day.rlike("^\\d{2}-[A-Za-z]{3}-\\d{2}$"), F.try_to_date(day, "dd-MMM-yy")))
+        d = F.when(layout == "bse", x["asked"]).when(layout == "unified", F.try_to_date(day, "yyyy-MM-dd")).otherwise(own)
+        known = F.when(layout.startswith("nse") & isin.isin("DUMMY", "INE"), None).otherwise(isin)
+        return F.struct(
+            x.alias("of"), d.alias("d"), known.alias("isin"), *[number(t[k]).alias(k) for k in prices], whole(t["volume"]).alias("volume"), number(t["traded"]).alias("traded"), whole(t["trades"]).alias("trades"),
+        )
+
+    def judged(v: Column) -> Column:
+        x, t = v["of"], v["of"]["t"]
+        unified, bse = x["layout"] == "unified", x["layout"] == "bse"
+        optional = lambda k: (t[k] == "") | v[k].isNotNull()
+        any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+        tests = [
+            (x["columns"], "columns"),
+            (unified & (F.upper(t["Src"]) != x["exchange"]), "exchange"),
+            (v["d"].isNull() | (v["d"] != x["asked"]) | (unified & (t["BizDt"] != F.date_format(x["asked"], "yyyy-MM-dd"))), "day"),
+            (blank(t["security_id"]) | blank(t["series"]) | (~bse & blank(t["symbol"])) | (unified & blank(t["name"])), "no_name"),
+            (v["isin"].isNotNull() & ~v["isin"].rlike(ISIN), "isin"),
+            (any_of(v[k].isNull() for k in ("open", "high", "low", "close")) | F.when(unified, ~optional("last")).otherwise(v["last"].isNull()) | F.when(bse, ~optional("previous")).otherwise(v["previous"].isNull()), "price"),
+            (unified & any_of(v[k] <= 0 for k in ("open", "high", "low", "close")), "price"),
+            (v["volume"].isNull() | v["traded"].isNull() | (by(x["layout"], lambda name: F.lit("trades" in FIELDS[name])) & v["trades"].isNull()), "volume"),
+        ]
+        text_or_null = lambda c: F.when(c != "", c)
+        return F.struct(
+            v["d"].alias("d"), t["security_id"].alias("security_id"), text_or_null(t["symbol"]).alias("symbol"), t["series"].alias("series"), text_or_null(t["name"]).alias("name"),
+            *[v[k].alias(k) for k in ("isin", *prices, "volume", "traded", "trades")], first_of(*tests).alias("error"),
+        )
+
+    rows = parsed(file_lines(files), max(map(len, LAYOUTS.values())))
+    read = bound(bound(bound(F.struct("exchange", "day", "layout", "raw", "row"), texts), values), judged)
+    return rows.select("source", "line", "layout", "exchange", read.alias("__x")).select("source", "line", "layout", "exchange", "__x.*")
 
 
 def prices(files: DataFrame) -> DataFrame:
@@ -109,18 +153,16 @@ def prices(files: DataFrame) -> DataFrame:
     A close of zero is no price: the row stays with its issue. Open, high and low that contradict each
     other or the close are left out. Of rows of one security the first stays.
     """
-    header = F.regexp_extract(F.regexp_replace("payload", "^\\uFEFF", ""), "^\\s*([^\\r\\n]*)", 1)
-    layout = F.lit(None).cast("string")
-    for name, columns in LAYOUTS.items():
-        layout = F.when(F.regexp_replace(header, '"', "") == ",".join(columns), name).otherwise(layout)
-    told = files.withColumn("layout", layout)
+    layout = F.regexp_replace(F.regexp_extract("payload", HEADER, 2), '"', "")
+    names = F.create_map(*[F.lit(x) for name, columns in LAYOUTS.items() for x in (",".join(columns), name)])
+    told = files.withColumn("layout", F.try_element_at(names, layout))
     since = lambda day: F.col("day") >= F.lit(day).cast("date")
     allowed = (
         F.when(F.col("layout") == "unified", since(UNIFIED_FROM)).when(F.col("layout") == "bse", (F.col("exchange") == "BSE") & ~since(UNIFIED_FROM))
         .when(F.col("layout") == "nse_old", (F.col("exchange") == "NSE") & ~since(ISIN_FROM)).otherwise((F.col("exchange") == "NSE") & ~since(UNIFIED_FROM))
     )
     told = told.withColumn("fits", F.col("layout").isNotNull() & F.coalesce(allowed, F.lit(False)))
-    rows = reduce(lambda a, b: a.unionByName(b), (prices_of(told.where("fits").where(F.col("layout") == name).drop("layout", "fits"), name) for name in LAYOUTS))
+    rows = typed_prices(told.where("fits").drop("fits"))
     wrong = told.where("not fits").select("source", "layout", "exchange", F.col("day").alias("d"), F.when(F.col("layout").isNull(), "unknown_layout").otherwise("layout_of_another_day").alias("error"))
     own = ["source", "security_id"] + ["series"]
     again = F.row_number().over(Window.partitionBy(*own, F.col("error").isNull()).orderBy("line")) > 1
@@ -138,7 +180,7 @@ def etf_master(files: DataFrame) -> DataFrame:
     get = lambda k: cell(MASTER, k)
     listed, isin = F.try_to_date(get("DateofListing"), "dd-MMM-yy"), F.upper(get("ISINNumber"))
     tests = [
-        (F.col("row.more").isNotNull(), "columns"), (~isin.rlike(ISIN), "isin"), (~F.coalesce(whole(get("MarketLot")) > 0, F.lit(False)), "lot"), (listed.isNull(), "day"),
+        (F.col(f"row.c{len(MASTER)}").isNotNull(), "columns"), (~isin.rlike(ISIN), "isin"), (~F.coalesce(whole(get("MarketLot")) > 0, F.lit(False)), "lot"), (listed.isNull(), "day"),
         (blank(get("Symbol")) | blank(get("Underlying Asset")) | blank(get("SecurityName")), "no_name"), (~F.coalesce(number(get("FaceValue")) > 0, F.lit(False)), "face"),
     ]
     out = rows.select("source", F.col("line").alias("position"), get("Symbol").alias("symbol"), get("Underlying Asset").alias("underlying"), get("SecurityName").alias("name"), listed.alias("listed"), whole(get("MarketLot")).alias("lot"), isin.alias("isin"), number(get("FaceValue")).alias("face"), first_of(*tests).alias("error"))
@@ -152,7 +194,7 @@ def etf_daily(files: DataFrame) -> DataFrame:
     get = lambda k: cell(DAILY, k)
     positive = [~F.coalesce(number(get(k)) > 0, F.lit(False)) for k in DAILY if k.endswith("PRICE") or k.startswith("52 ")]
     tests = [
-        (F.col("row.more").isNotNull(), "columns"), (get("MARKET") != "N", "market"), (blank(get("SYMBOL")) | blank(get("SERIES")) | blank(get("SECURITY")) | blank(get("UNDERLYING")), "no_name"),
+        (F.col(f"row.c{len(DAILY)}").isNotNull(), "columns"), (get("MARKET") != "N", "market"), (blank(get("SYMBOL")) | blank(get("SERIES")) | blank(get("SECURITY")) | blank(get("UNDERLYING")), "no_name"),
         (reduce(lambda a, b: a | b, positive), "price"), (number(get("NET TRADED VALUE")).isNull() | whole(get("NET TRADED QTY")).isNull() | whole(get("TRADES")).isNull(), "volume"),
     ]
     out = rows.select("source", F.col("line").alias("position"), get("SYMBOL").alias("symbol"), get("SERIES").alias("series"), get("SECURITY").alias("name"), get("UNDERLYING").alias("underlying"), first_of(*tests).alias("error"))

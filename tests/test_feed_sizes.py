@@ -10,7 +10,7 @@ from test_whole_tables import lines
 from seriesloom.functions import labels
 from seriesloom.operators import publication, quality, revisions
 from seriesloom.plans import reader_queries, source_queries
-from seriesloom.sources import feeds
+from seriesloom.sources import exchange, feeds
 
 D = datetime.date
 
@@ -67,3 +67,13 @@ def test_filtered_gates_repeat_no_pattern(spark):
     assert [tuple(r) for r in found.collect()] == [("growth_or_cumulative", 1, 1, ["Fund"], ["Fund - Growth Option"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count(labels.EDGE) <= 6  # thrice in the filter that is moved below, thrice in the row itself
+
+
+def test_prices_of_all_layouts_are_read_once(spark):
+    old = "\n".join(["  ", ",".join(exchange.LAYOUTS["nse_old"]), "", "S,EQ,1,2,1,1,1,1,10,1.5,02-JAN-2010,", "S,EQ,1,2,1,1,1,1,10,1.5,02-JAN-2010,"])
+    files = spark.createDataFrame([("a", "NSE", D(2010, 1, 2), old), ("b", "BSE", D(2010, 1, 2), old)], "source string, exchange string, day date, payload string")
+    found = exchange.prices(files)
+    assert sorted((r.source, r.line, r.layout, r.close, r.error) for r in found.where("line is not null").collect()) == [("a", 3, "nse_old", 1.0, None), ("a", 4, "nse_old", 1.0, "repeated")]
+    assert [(r.source, r.error) for r in found.where("line is null").collect()] == [("b", "layout_of_another_day")]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("Window") == 1
