@@ -114,7 +114,7 @@ def json_rows(files: DataFrame, schema: str, keys: list[str], *, wrapper: str |
     """
     array = F.get_json_object("payload", f"$.{wrapper}") if wrapper else F.col("payload")
     items = F.from_json(array, "array<string>")
-    bare = F.coalesce(F.regexp_replace(array, "\\s", "") == "[]", F.lit(False))
+    bare = F.coalesce(array.rlike("^\\s*\\[\\s*\\]\\s*$"), F.lit(False))
     told = files.select("source", items.alias("items"), bare.alias("__empty"))  # once for a file, not for each of its rows
     rows = told.select("source", F.posexplode_outer("items").alias("position", "raw"), "__empty")
     found = F.coalesce(F.sort_array(F.json_object_keys("raw")), F.array().cast("array<string>"))
@@ -170,7 +170,7 @@ def payout_feed(files: DataFrame) -> DataFrame:
     out = rows.withColumns({"day": day, "grammar": text.value_grammar(F.col("Rate_of_div")), "signature": signature()})
     out = out.withColumns({"unit": text.payout_unit(F.col("grammar"), F.col("day")), **{k: F.when(~blank(F.col(k)), F.trim(k)) for k in ("Plan", "Option")}})
     digits = [~F.coalesce(F.col(k).rlike("^[0-9]+$"), F.lit(False)) for k in ("MF_ID", "SD_ID", "scheme_id")]
-    stated = [F.coalesce(kind_of(k), F.lit("VOID")).isin("STRING", "VOID") for k in ("Plan", "Option")]
+    stated = [F.col(k).isNull() | F.coalesce(kind_of(k), F.lit("VOID")).isin("STRING", "VOID") for k in ("Plan", "Option")]  # a record is parsed for its kinds only where it has the key
     error = (
         F.when(digits[0] | digits[1] | digits[2], "bad_code").when(F.col("day").isNull(), "bad_date").when(F.col("year") != F.date_format("day", "yyyy"), "year")
         .when(~stated[0], "Plan").when(~stated[1], "Option").when(F.col("grammar.kind") == "invalid", "bad_value").when(blank(F.col("Scheme_Name")) | blank(F.col("Nav_name")), "no_name")

@@ -1,6 +1,7 @@
 """Feeds at size: files that stay small, lines that repeat, work that stays linear."""
 
 import datetime
+import json
 import re
 
 import duckdb
@@ -100,3 +101,12 @@ def test_lines_of_a_file_are_sorted_by_flat_keys(spark):
     files = source_queries.joined(rows, ["k"], F.col("x"), "place", "")
     assert [r.payload for r in files.collect()] == ["a\nb\nc"]
     assert re.search(r"o0, place#\d+\.a, o1, place#\d+\.b, x", files._jdf.queryExecution().analyzed().toString())  # no struct within a struct
+
+
+def test_payout_records_are_parsed_for_kinds_only_where_keyed(spark):
+    told = {k: "1" for k in feeds.PAYOUT_KEYS} | {"Div_year": "2020-01-02T00:00:00.000Z", "year": "2020"}
+    rows = [told | {"SD_ID": "1"}, told | {"SD_ID": "2", "Plan": 5, "Option": None}, told | {"SD_ID": "3", "Plan": " ", "Option": {"a": 1}}, told | {"SD_ID": "4", "Plan": None, "Option": "x"}]
+    found = feeds.payout_feed(spark.createDataFrame([("a", json.dumps({"data": rows})), ("b", '{"data": [ \n ]}')], "source string, payload string"))
+    assert sorted((r.source, r.SD_ID, r.error) for r in found.collect()) == [("a", "1", None), ("a", "2", "Plan"), ("a", "3", "Option"), ("a", "4", None)]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"isnull\(Plan#\d+\) OR coalesce\(schema_of_variant", plan) and "regexp_replace" not in plan
