@@ -65,18 +65,23 @@ def from_third_party(links: DataFrame, rows: DataFrame, captures: DataFrame, cat
     return record(both, provider=F.lit(THIRD_PARTY), kind=F.lit(THIRD_PARTY_KIND), option="entry", shown_name=name, unit=F.lit("inr_per_unit"), retrieved_at="captured_at", identity_batch="batch", identity_url="url", identity_sha256="sha256", identity_evidence="evidence", **{c: c for c in same})
 
 
+def page_of(revisions: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """code, d, place and total of a page of each series' events, the latest first."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("a page has 1 to 200 events, and its offset is not negative")
+    events = revisions.select("code", "d").distinct()
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("d")))
+    return events.withColumns({"place": place, "total": F.count("*").over(Window.partitionBy("code"))}).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+
+
 def drill_down(revisions: DataFrame, records: list[DataFrame], coverage: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """code, total, d, place and revisions of a page of each series' events, the latest first, with the series' coverage where it is given.
 
     revisions (code, d, revision, amount, current, at) become an array, the latest first, each with its sources in order of
     retrieval. The page is cut before the records join, so that only what is shown is gathered; an
-    array holds the rows of one event.
+    array holds the rows of one event. Chains of very many rows are made of the page's rows alone, by page_of.
     """
-    if not 1 <= limit <= 200 or offset < 0:
-        raise ValueError("a page has 1 to 200 events, and its offset is not negative")
-    events = revisions.select("code", "d").distinct()
-    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("d")))
-    page = events.withColumns({"place": place, "total": F.count("*").over(Window.partitionBy("code"))}).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    page = page_of(revisions, limit, offset)
     every = reduce(DataFrame.unionByName, records).withColumnRenamed("event_day", "d").join(page.select("code", "d"), ["code", "d"], "left_semi")
     order = F.struct(F.col("source.retrieved_at").alias("t"), F.col("source.batch").alias("b"), F.col("source.kind").alias("k"), F.col("source.seq").alias("s"), "source")
     sources = every.groupBy("code", "d", "revision").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["source"]).alias("sources"))

@@ -191,9 +191,10 @@ def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     kind = F.when(F.col("l_returnflag") == "R", "regulator").when(F.col("l_returnflag") == "A", "registrar").when(n <= 4, "third_party").otherwise("fund_house")
     rows = li.withColumns({"source": kind, "batch": F.concat(F.lit("b"), F.col("l_orderkey") % 50), "capture": F.concat(F.lit("k"), F.col("l_partkey") % 40), "raw": F.col("l_linenumber").cast("string"), "signature": F.sha2(F.col("seq").cast("string"), 256)})
-    links = rows.select("source", "seq", "code", "d", "revision")
     latest = F.max("revision").over(Window.partitionBy("code", "d"))
     revisions = rows.groupBy("code", "d", "revision").agg(F.max("l_discount").alias("amount"), F.max("l_shipdate").alias("at")).withColumn("current", F.col("revision") == latest)
+    rows = rows.join(provenance.page_of(revisions).select("code", "d"), ["code", "d"], "left_semi")  # what is not shown is not followed to its sources
+    links = rows.select("source", "seq", "code", "d", "revision")
     numbers = b.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("i")).distinct()
     batches = numbers.select(F.concat(F.lit("b"), "i").alias("batch"), F.concat(F.lit("https://x/"), "i").alias("url"), F.timestamp_seconds(F.lit(1577836800) + F.col("i") % 7 * 3600).alias("retrieved_at"), F.lit("v1").alias("parser"), F.sha2(F.concat(F.lit("artifact"), "i"), 256).alias("sha256"))
     mine = lambda k: rows.where(F.col("source") == k).drop("source")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from test_whole_tables import lines
 
 from seriesloom.functions import labels
-from seriesloom.operators import publication, quality, revisions
-from seriesloom.plans import reader_queries, source_queries
+from seriesloom.operators import provenance, publication, quality, revisions
+from seriesloom.plans import history_queries, reader_queries, source_queries
 from seriesloom.sources import exchange, feeds, markup
 
 D = datetime.date
@@ -110,3 +110,20 @@ def test_payout_records_are_parsed_for_kinds_only_where_keyed(spark):
     assert sorted((r.source, r.SD_ID, r.error) for r in found.collect()) == [("a", "1", None), ("a", "2", "Plan"), ("a", "3", "Option"), ("a", "4", None)]
     plan = found._jdf.queryExecution().analyzed().toString()
     assert re.search(r"isnull\(Plan#\d+\) OR coalesce\(schema_of_variant", plan) and "regexp_replace" not in plan
+
+
+def test_drill_down_follows_only_what_it_shows(spark, tmp_path):
+    days = [D(2000, 1, 3) + datetime.timedelta(7 * (i // 2)) for i in range(120)]
+    rows = lines(l_orderkey=range(120), l_linenumber=[i % 7 + 1 for i in range(120)], l_partkey=[i % 45 for i in range(120)], l_suppkey=1, l_shipdate=days, l_returnflag=["RAN"[i % 3] for i in range(120)]).astype({"l_linenumber": "int32"})
+    query, made = history_queries.drill_down, []
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    tables = {"lineitem": rows, "part": pd.DataFrame({"p_partkey": range(50)}), "supplier": pd.DataFrame({"s_suppkey": [1]})}
+    whole = provenance.drill_down
+    provenance.drill_down = lambda revisions, records, *more: made.append(records) or whole(revisions, records, *more)
+    try:
+        found, wanted = both(spark, folder, query, history_queries.DRILL_SQL, **tables)
+    finally:
+        provenance.drill_down = whole
+    assert found == wanted and len(found) == 50
+    assert {r.event_day for records in made[0] for r in records.collect()} == set(days[20:])
