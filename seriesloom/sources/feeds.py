@@ -85,8 +85,7 @@ def value_feed(files: DataFrame) -> DataFrame:
         F.when(field("value").rlike(VALUE), field("value").try_cast("decimal(18,8)")).alias("value"), field("value").alias("raw_value"), text.date_text(field("day"), ("dd-MMM-yyyy",)).alias("day"),
         size.alias("__n"), F.size("parts").alias("__have"), "lost",
     )
-    again = F.row_number().over(Window.partitionBy("source", "code", "day").orderBy("line")) > 1
-    error = (
+    early = (
         F.when(F.col("__n").isNull(), "unknown_header")
         .when(F.col("lost"), "lost_section")
         .when(F.col("class").isNull() | F.col("house").isNull(), "no_section")
@@ -94,10 +93,10 @@ def value_feed(files: DataFrame) -> DataFrame:
         .when(~F.col("code").rlike("^[0-9]+$"), "bad_code")
         .when(F.col("name") == "", "no_name")
         .when(F.col("day").isNull(), "bad_date")
-        .when(again, "repeated")
-        .when(F.col("value").isNull(), "bad_value")
     )
-    return out.withColumn("error", error).drop("__n", "__have", "lost")
+    out = out.withColumn("__early", early).drop("__n", "__have", "lost")  # told before rows are sorted again, so that columns that nobody asks for are not held for it
+    again = F.row_number().over(Window.partitionBy("source", "code", "day").orderBy("line")) > 1
+    return out.withColumn("error", F.coalesce("__early", F.when(again, "repeated").when(F.col("value").isNull(), "bad_value"))).drop("__early")
 
 
 def isin_warnings(rows: DataFrame) -> DataFrame:

@@ -127,3 +127,11 @@ def test_drill_down_follows_only_what_it_shows(spark, tmp_path):
         provenance.drill_down = whole
     assert found == wanted and len(found) == 50
     assert {r.event_day for records in made[0] for r in records.collect()} == set(days[20:])
+
+
+def test_values_are_sorted_again_without_columns_that_nobody_asks_for(spark):
+    text = next(iter(feeds.VALUE_HEADERS)) + "\n\nOpen Ended Schemes(Equity)\nOne\n1;-;-;F;2.5;02-Sep-2026\n1;-;-;F;2.5;02-Sep-2026;x\n1;-;-;;-1;03-Sep-2026\n2;-;-;F;-1;03-Sep-2026"
+    found = feeds.value_feed(spark.createDataFrame([("a", text)], "source string, payload string")).select("code", "value", "error")
+    assert [r.error for r in found.collect()] == [None, "field_count", "no_name", "bad_value"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("row_number()")[1].splitlines()[1]
+    assert "Project [source#" in plan and " AS __early#" in plan and " AS name#" not in plan and " AS raw_value#" not in plan
