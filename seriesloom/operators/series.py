@@ -186,13 +186,15 @@ def even_sample(rows: DataFrame, key: str, order: list[str], most: int = 12) ->
 def nearest(left: DataFrame, right: DataFrame, days: int) -> DataFrame:
     """For each row (id, code, t) of left, the point of right (code, d, v) nearest to t within so many days, the earlier of two.
 
-    Days fall into stretches of so many days; a row meets the points of its own stretch and its
+    The nearest point is sought once for each (code, t), however many rows name it, and rows meet it by equal keys.
+    Days fall into stretches of so many days; a day meets the points of its own stretch and its
     neighbours', so that a series which many rows name is dealt out by time.
     """
     stretch = lambda c: F.floor(F.unix_date(c) / days)
-    marks = left.select("id", F.col("code").alias("__c"), "t", F.explode(F.array(*[stretch("t") + i for i in (-1, 0, 1)])).alias("__k"))
+    goals = left.select(F.col("code").alias("__c"), "t").distinct().select("__c", "t", F.explode(F.array(*[stretch("t") + i for i in (-1, 0, 1)])).alias("__k"))
     points = right.select(F.col("code").alias("__c"), stretch("d").alias("__k"), "d", "v")
     off = F.abs(F.datediff("d", "t"))
-    both = marks.join(points, ["__c", "__k"]).where(off <= days)
     near = F.min(F.struct(off.alias("off"), "d", "v")).alias("n")
-    return both.groupBy("id", "t").agg(near).select("id", "t", F.col("n.off").alias("off_days"), F.col("n.d").alias("d"), F.col("n.v").alias("v"))
+    found = goals.join(points, ["__c", "__k"]).where(off <= days).groupBy("__c", "t").agg(near)
+    both = left.select("id", F.col("code").alias("__c"), "t").join(found, ["__c", "t"])
+    return both.select("id", "t", F.col("n.off").alias("off_days"), F.col("n.d").alias("d"), F.col("n.v").alias("v"))

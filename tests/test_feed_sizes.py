@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_whole_tables import lines
 
 from seriesloom.functions import labels
-from seriesloom.operators import provenance, publication, quality, revisions
+from seriesloom.operators import provenance, publication, quality, revisions, series
 from seriesloom.plans import history_queries, reader_queries, source_queries
 from seriesloom.sources import exchange, feeds, markup
 
@@ -135,3 +135,14 @@ def test_values_are_sorted_again_without_columns_that_nobody_asks_for(spark):
     assert [r.error for r in found.collect()] == [None, "field_count", "no_name", "bad_value"]
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("row_number()")[1].splitlines()[1]
     assert "Project [source#" in plan and " AS __early#" in plan and " AS name#" not in plan and " AS raw_value#" not in plan
+
+
+def test_nearest_points_are_sought_once_for_a_day(spark):
+    days = [D(2020, 1, 1) + datetime.timedelta(i) for i in range(20)]
+    marks = spark.createDataFrame([(f"{d}-{i}", "x", d) for d in days for i in range(50)], "id string, code string, t date")
+    points = spark.createDataFrame([("x", D(2020, 1, 3), 1.0), ("x", D(2020, 1, 3), 0.5), ("x", D(2020, 1, 7), 2.0)], "code string, d date, v double")
+    out = series.nearest(marks, points, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    near = {1: (2, 0.5), 2: (1, 0.5), 3: (0, 0.5), 4: (1, 0.5), 5: (2, 0.5), 6: (1, 2.0), 7: (0, 2.0), 8: (1, 2.0), 9: (2, 2.0)}
+    assert sorted((r.id, r.off_days, r.v) for r in out.collect()) == sorted((f"{d}-{i}", *near[d.day]) for d in days[:9] for i in range(50))
+    assert plan.count("Aggregate") == 2 and not re.search(r"Aggregate \[id#", plan)  # the days, and the nearest of each
