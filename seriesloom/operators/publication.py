@@ -267,20 +267,28 @@ def capture_keys(captures: DataFrame) -> DataFrame:
     )
 
 
-def third_party_pairs(captures: DataFrame, sampled: DataFrame, metadata: DataFrame, nav: DataFrame) -> DataFrame:
-    """capture, code and exact of the options that can be a capture's: same house, no contradiction of plan or stated qualifiers.
+def third_party_candidates(captures: DataFrame, sampled: DataFrame, metadata: DataFrame, nav: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The options that can be a capture's: those of exactly its name (capture, code), and others (capture, code, matches, span, points).
 
-    Options whose whole core agrees are a capture's only ones where there are any. For the other captures an
-    option counts that has one of their sampled values on its day, since none qualifies without; so both
-    joins are on equal keys, and the options of a house are never paired off with its captures.
+    An option can be one with the same house and no contradiction of plan or stated qualifiers. Options whose whole core
+    agrees are a capture's only ones where there are any. For the other captures an option counts that has one of their
+    sampled values on its day, since none qualifies without; so both joins are on equal keys, and the options of a house are
+    never paired off with its captures. matches and span are those of its values that agree, points is the number of the capture's.
     """
-    meta, own = option_keys(metadata), capture_keys(captures)
+    meta, own = option_keys(metadata).distinct(), capture_keys(captures).distinct()
     fits = names.plans_agree(F.col("plan"), F.col("their_plan")) & names.qualifiers_agree(F.col("variant"), F.col("frequency"), F.col("their_variant"), F.col("their_frequency"))
     exact = own.join(meta, ["house_core", "core"]).where(fits).select("capture", "code").distinct()
-    others = own.join(exact, "capture", "left_anti").join(sampled.select("capture", "d", "value").distinct(), "capture").drop("core")
+    others = own.join(exact, "capture", "left_anti").join(sampled.select("capture", "d", "value"), "capture").drop("core").where("d is not null and value is not null")
     valued = nav.select("code", "d", F.col("v").alias("value")).join(meta.drop("core"), "code")
-    broad = others.join(valued, ["house_core", "d", "value"]).where(fits).select("capture", "code").distinct()
-    return exact.withColumn("exact", F.lit(True)).unionByName(broad.withColumn("exact", F.lit(False)))
+    hits = others.withColumn("points", F.count("*").over(Window.partitionBy("capture"))).join(valued, ["value", "d", "house_core"]).where(fits)  # sorted by what tells most
+    broad = hits.groupBy("capture", "code").agg(F.count("*").alias("matches"), F.datediff(F.max("d"), F.min("d")).alias("span"), F.max("points").alias("points"))
+    return exact, broad
+
+
+def third_party_pairs(captures: DataFrame, sampled: DataFrame, metadata: DataFrame, nav: DataFrame) -> DataFrame:
+    """capture, code and exact of all options that can be a capture's."""
+    exact, broad = third_party_candidates(captures, sampled, metadata, nav)
+    return exact.withColumn("exact", F.lit(True)).unionByName(broad.select("capture", "code", F.lit(False).alias("exact")))
 
 
 def compared(pairs: DataFrame, points: DataFrame, nav: DataFrame) -> DataFrame:
@@ -296,11 +304,16 @@ def map_third_party(captures: DataFrame, sampled: DataFrame, metadata: DataFrame
     """capture, state, code and matches; sampled (capture, d, value) has the rows that are compared.
 
     A candidate qualifies without any conflict, and with enough matches over enough days, or one match
-    under exactly its name.
+    under exactly its name. captures has a row for each capture, metadata for each code, nav for each code and day. Others than
+    those of the name are compared once more only if they match enough, and only where a point is left that can conflict.
     """
-    found = compared(third_party_pairs(captures, sampled, metadata, nav), sampled, nav)
-    enough = ((F.col("matches") >= LEAST_MATCHES) & (F.col("span") >= LEAST_SPAN)) | (F.col("exact") & (F.col("matches") >= 1))
-    return states(captures, found.where((F.col("conflicts") == 0) & enough).select("capture", "code", "matches"))
+    exact, broad = third_party_candidates(captures, sampled, metadata, nav)
+    enough = (F.col("matches") >= LEAST_MATCHES) & (F.col("span") >= LEAST_SPAN)
+    broad = broad.where(enough)
+    whole = F.col("matches") == F.col("points")
+    pairs = exact.withColumn("exact", F.lit(True)).unionByName(broad.where(~whole).select("capture", "code", F.lit(False).alias("exact")))
+    found = compared(pairs, sampled, nav).where((F.col("conflicts") == 0) & (enough | (F.col("exact") & (F.col("matches") >= 1))))
+    return states(captures, found.select("capture", "code", "matches").unionByName(broad.where(whole).select("capture", "code", "matches")))
 
 
 def pilot_report(captures: DataFrame, rows: DataFrame, metadata: DataFrame, nav: DataFrame) -> DataFrame:

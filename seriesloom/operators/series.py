@@ -179,8 +179,9 @@ def even_sample(rows: DataFrame, key: str, order: list[str], most: int = 12) ->
     """At most so many rows of each key, evenly spaced from the first to the last; halves round to even."""
     own = Window.partitionBy(key)
     numbered = rows.withColumn("__i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(own))
-    picks = F.when(F.col("__n") <= most, F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / (most - 1)).cast("int")))
-    return numbered.where(F.array_contains(picks, F.col("__i"))).drop("__i", "__n")
+    i, last = F.col("__i"), F.col("__n") - 1
+    turn = F.round(i * (most - 1) / last)  # more than a row apart from turn to turn, so that i can be the row of this one only
+    return numbered.where(F.when(last < most, True).otherwise(F.bround(turn * last / (most - 1)) == i)).drop("__i", "__n")
 
 
 def nearest(left: DataFrame, right: DataFrame, days: int) -> DataFrame:

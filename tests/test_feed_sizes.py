@@ -146,3 +146,26 @@ def test_nearest_points_are_sought_once_for_a_day(spark):
     near = {1: (2, 0.5), 2: (1, 0.5), 3: (0, 0.5), 4: (1, 0.5), 5: (2, 0.5), 6: (1, 2.0), 7: (0, 2.0), 8: (1, 2.0), 9: (2, 2.0)}
     assert sorted((r.id, r.off_days, r.v) for r in out.collect()) == sorted((f"{d}-{i}", *near[d.day]) for d in days[:9] for i in range(50))
     assert plan.count("Aggregate") == 2 and not re.search(r"Aggregate \[id#", plan)  # the days, and the nearest of each
+
+
+def test_captures_are_compared_again_only_where_a_point_can_conflict(spark, monkeypatch):
+    days = [D(2020, 1, 1) + datetime.timedelta(10 * i) for i in range(5)]
+    name = "Balanced {} - IDCW - Direct Plan"
+    metadata = spark.createDataFrame([(i, name.format(i), "HDFC Mutual Fund", "direct", "idcw") for i in range(1, 6)], "code long, name string, house string, plan string, option string")
+    captures = spark.createDataFrame([(c, f"{n} Dir", "HDFC") for c, n in (("whole", "A"), ("missing", "B"), ("conflict", "C"), ("few", "D"), ("named", "Balanced 5"))], "capture string, name string, house string")
+    values = {1: [1.0] * 5, 2: [2.0] * 4, 3: [3.0] * 4 + [9.0], 4: [4.0] * 2, 5: [5.0] * 5}
+    nav = spark.createDataFrame([(c, d, v) for c, vs in values.items() for d, v in zip(days, vs)], "code long, d date, v double")
+    points = spark.createDataFrame([(c, d, float(i)) for i, c in enumerate(["whole", "missing", "conflict", "few", "named"], 1) for d in days], "capture string, d date, value double")
+    plain, pairs = publication.compared, []
+    monkeypatch.setattr(publication, "compared", lambda p, *more: pairs.append(p) or plain(p, *more))
+    found = publication.map_third_party(captures, points, metadata, nav)
+    assert {r.capture: (r.state, r.code, r.matches) for r in found.collect()} == {"whole": ("mapped", 1, 5), "missing": ("mapped", 2, 4), "conflict": ("unresolved", None, 0), "few": ("unresolved", None, 0), "named": ("mapped", 5, 5)}
+    assert sorted(map(tuple, pairs[0].collect())) == [("conflict", 3, False), ("missing", 2, False), ("named", 5, True)]
+
+
+def test_even_samples_search_no_array(spark):
+    rows = spark.range(13, 60).withColumnRenamed("id", "n").selectExpr("n", "explode(sequence(1, n)) as d")
+    out = series.even_sample(rows, "n", ["d"])
+    found = {r.n: sorted(r.ds) for r in out.groupBy("n").agg(F.collect_list("d").alias("ds")).collect()}
+    assert found == {n: sorted({round(j * (n - 1) / 11) + 1 for j in range(12)}) for n in range(13, 60)}
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
