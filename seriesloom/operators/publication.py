@@ -109,34 +109,34 @@ def publish_registrar(rows: DataFrame, events: DataFrame, links: DataFrame | Non
     """
     issue = F.when(F.col("tied").isNotNull(), None).when(too_old(F.col("d")), "implausible_record_date").when(F.col("state") == "mapped", None).when(F.col("state") == "ambiguous", "ambiguous_scheme").otherwise("unmapped_scheme")
     with_origin = lambda df: df.withColumn("origin", F.to_json(F.struct(*[c for c in ORIGIN if c in rows.columns])))
-    judged = with_origin(tied_rows(rows, links, REGISTRAR)).withColumn("issue", issue)
-    aside = judged.where("issue is not null or tied is not null")
-    met = against(judged.where("issue is null and tied is null"), events)
+    judged = tied_rows(with_origin(rows), links, REGISTRAR).withColumn("issue", issue).withColumn("acts", F.col("issue").isNull() & F.col("tied").isNull())
+    met = against(judged, events)  # rows that do not act go the same way, in windows of their own
+    in_turn = Window.partitionBy("code", "d", "acts").orderBy("seq")
+    until = in_turn.rowsBetween(Window.unboundedPreceding, 0)
     if links is None:
         met = met.withColumn("stands", F.lit(False))
     else:
-        behind = standing(judged, events, links, None if stored is None else with_origin(stored))
+        behind = standing(with_origin(rows), events, links, None if stored is None else with_origin(stored))
         met = met.join(behind.withColumn("stands", F.lit(True)), ["code", "d", "origin"], "left").withColumn("stands", F.coalesce("stands", F.lit(False)))
     own = F.coalesce(F.col("was_tier") == 2, F.lit(False)) & F.col("was").isNotNull()
-    first = F.row_number().over(in_order()) == 1
-    before = F.when(first, F.when(own, F.col("was"))).otherwise(F.lag("amount").over(in_order()))
+    first = F.row_number().over(in_turn) == 1
+    before = F.when(first, F.when(own, F.col("was"))).otherwise(F.lag("amount").over(in_turn))
     met = met.withColumns({"own": own, "first": first, "turns": F.coalesce(before != F.col("amount"), F.lit(False))})
-    met = met.withColumn("part", F.sum(F.col("turns").cast("int")).over(so_far()))
-    same = Window.partitionBy("code", "d", "origin").orderBy("seq")
+    met = met.withColumn("part", F.sum(F.col("turns").cast("int")).over(until))
+    same = Window.partitionBy("code", "d", "acts", "origin").orderBy("seq")
     again = F.col("turns") & (F.coalesce(F.lag("part").over(same) == F.col("part") - 1, F.lit(False)) | ((F.col("part") == 1) & F.col("own") & F.col("stands")))
     met = met.withColumn("again", again)
-    broken = F.max(F.col("turns") & ~F.col("again")).over(so_far())
+    broken = F.max(F.col("turns") & ~F.col("again")).over(until)
     primary = F.coalesce(F.col("was_tier") == 1, F.lit(False)) & F.col("was").isNotNull()
     settled = F.col("there") & F.col("was").isNull() & (F.col("was_tier") <= 2)  # a conflict of before stays one
     action = (
-        F.when(primary, F.when(F.col("was") == F.col("amount"), "linked").otherwise("conflict")).when(settled | broken, "conflict").when(F.col("again"), "revised")
+        F.when(~F.col("acts"), F.when(F.col("tied").isNull(), "blocked").otherwise("unchanged")).when(primary, F.when(F.col("was") == F.col("amount"), "linked").otherwise("conflict")).when(settled | broken, "conflict").when(F.col("again"), "revised")
         .when(F.col("first") & ~F.col("own"), F.when(~F.col("there"), "inserted").when(F.col("was") == F.col("amount"), "linked").otherwise("revised")).otherwise("linked")
     )
-    out = numbered(met.withColumn("action", action).withColumn("issue", F.when(F.col("action") == "conflict", "amount_conflict")))
-    kept = [*rows.columns, "issue", "action", "revision", "tied", "was_tier"]
-    idle = aside.withColumns({"action": F.when(F.col("tied").isNull(), "blocked").otherwise("unchanged"), "revision": F.col("tied"), "was_tier": F.lit(None).cast("int")})
-    out = out.select(*kept).unionByName(idle.select(*kept))
-    return out.withColumn("tier", F.lit(2)).withColumn("retires", (F.col("action") == "conflict") & (F.coalesce("was_tier", F.lit(2)) != 1)).drop("was_tier")
+    out = numbered(met.withColumn("action", action).withColumn("issue", F.when(F.col("action") == "conflict", "amount_conflict").otherwise(F.col("issue"))))
+    out = out.withColumn("revision", F.when(F.col("acts"), F.col("revision")).otherwise(F.col("tied")))
+    retires = (F.col("action") == "conflict") & (F.coalesce("was_tier", F.lit(2)) != 1)
+    return out.select(*rows.columns, "issue", "action", "revision", "tied", F.lit(2).alias("tier"), retires.alias("retires"))
 
 
 def publish_third_party(rows: DataFrame, events: DataFrame, links: DataFrame | None = None, issues: DataFrame | None = None, most_options: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import publication
+from ..sources.shared import written
 from . import publication_queries as p
 
 
@@ -21,10 +22,11 @@ def identity_sql(order: str) -> str:
 
 def two_runs(publish, rows: DataFrame, events: DataFrame, source: str) -> DataFrame:
     """seq, action and revision of the first run (null for rows of the second batch), and the second run's result."""
-    first = publish(rows.where("batch = 1"), events, None, None)
-    second = publish(rows, publication.after(events, first), publication.new_links(first, source), publication.new_issues(first, source))
-    told = first.select("seq", F.col("action").alias("first_action"), F.col("revision").cast("long").alias("first_revision"))
-    return second.withColumn("revision", F.col("revision").cast("long")).join(told, "seq", "left")
+    first = written(publish(rows.where("batch = 1"), events, None, None))  # the second run starts from what the first has left, not from its computation
+    told = first.select(*rows.columns, F.col("action").alias("first_action"), F.col("revision").cast("long").alias("first_revision"))
+    every = told.unionByName(rows.where("batch <> 1"), allowMissingColumns=True)
+    second = publish(every, publication.after(events, first), publication.new_links(first, source), publication.new_issues(first, source))
+    return second.withColumn("revision", F.col("revision").cast("long"))
 
 
 def registrar_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from test_whole_tables import lines
 
 from seriesloom.functions import labels
 from seriesloom.operators import provenance, publication, quality, revisions, series
-from seriesloom.plans import history_queries, reader_queries, source_queries
+from seriesloom.plans import history_queries, reader_queries, rerun_queries, source_queries
 from seriesloom.sources import exchange, feeds, markup
 
 D = datetime.date
@@ -169,3 +169,8 @@ def test_even_samples_search_no_array(spark):
     found = {r.n: sorted(r.ds) for r in out.groupBy("n").agg(F.collect_list("d").alias("ds")).collect()}
     assert found == {n: sorted({round(j * (n - 1) / 11) + 1 for j in range(12)}) for n in range(13, 60)}
     assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_second_run_starts_from_what_the_first_left(spark):
+    plan = rerun_queries.registrar_rerun(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"row_number\(\) windowspecdefinition", plan)) <= 4  # the first run is read, not worked out again for each use
