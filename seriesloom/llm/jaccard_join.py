@@ -14,9 +14,9 @@
 5. *Verification.* Each set goes to a few of its longest lists, which ones a hash of the lists' keys
    draws, and the sets of a list are compared as bit rows, in blocks of bounded size: a set that is
    linked is not looked for again. Components follow. Components that still share a list make groups: the sets of a
-   group of bounded size are compared by pairs of blocks, and in a larger group each set is compared
-   with the whole of each larger component that it shares a list with, again in blocks. One link joins
-   components. Sets inside one component are not compared.
+   group that is small, or most of which one list names, are compared by pairs of blocks, and in another group each
+   set is compared with the whole of each larger component that it shares a list with, again in blocks. One link
+   joins components. Sets inside one component are not compared.
 
 Cases: null and empty texts, and texts without words, have no shingles and stand alone; a text of
 fewer than k words has one, of all its words; repeated rows are all returned; a very long text is one
@@ -43,6 +43,8 @@ TYPES = "part int, kind int, sid long, a binary, b binary"
 TOKENS, VOTES, TEXT, SET, REPLY, LISTS, LABELS, QUERY, MEMBER, NESTED = range(10)
 NONE, MOST_DOCS, MOST_TOKENS = 65535, 60_000, 1_000_000
 SHARE, RARE, ROUNDS, BLOCK, NESTED_BLOCKS = 8, 16, 3, 512, 8
+WORTH = 16  # m sets go to m * m / BLOCK places by pairs of blocks; a list of w components asks w * w / 2 times: as much at m = w * WORTH
+MOST_TOLD = 500_000
 
 
 def need(n: np.ndarray | int, percent: int):
@@ -440,12 +442,21 @@ def pairs_told(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def hub_links(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
-    """(component, the list's largest, numbers of sets of both) of each list: what shares lists hangs together."""
+    """(component, the list's largest, numbers of sets of both) of each list: what shares lists hangs together.
+
+    (component, itself, w, 0) besides: of the lists whose largest it is, one has w components and none more.
+    """
     key, _, _, comp, many = list_blocks(rows)
     starts = run_starts(key)
     if len(starts):
         count = np.diff(np.append(starts, len(key)))
-        hub = np.repeat(starts + count - 1, count)
+        last = starts + count - 1
+        hub = np.repeat(last, count)
+        begins = np.concatenate([[True], (comp[1:] != comp[:-1]) | (key[1:] != key[:-1])])
+        width, largest = np.add.reduceat(begins.astype(np.int64), starts), comp[last]
+        order = np.lexsort((-width, largest))
+        widest = order[run_starts(largest[order])]
+        yield from told_once(np.stack([largest[widest], largest[widest], width[widest], np.zeros(len(widest), np.int64)], 1), n)
         yield from told_once(np.stack([comp, comp[hub], many, many[hub]], 1)[comp != comp[hub]], n)
 
 
@@ -462,9 +473,9 @@ def open_questions(rows: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
             if len(ok):
                 found.append(np.stack([np.full(len(ok), sid[x]), comp[ok], np.zeros(len(ok), np.int64), many[ok]], 1))
                 held += len(ok)
-        if held > 2_000_000:
-            yield from told_once(np.concatenate(found), n)
-            found, held = [], 0
+            if held > MOST_TOLD:  # within a list: it asks as often as the square of its components
+                yield from told_once(np.concatenate(found), n)
+                found, held = [], 0
     if found:
         yield from told_once(np.concatenate(found), n)
 
@@ -613,8 +624,8 @@ def requests(lists: DataFrame, members: DataFrame, n: int, percent: int) -> tupl
     """Which sets' tokens go where, for the sets' parts, and the stored tables that this reads.
 
     Components that share lists make groups. The sets of a group of up to NESTED_BLOCKS blocks are
-    compared by pairs of blocks; in larger groups each set asks the components that it shares a list
-    with.
+    compared by pairs of blocks, and so are those of a larger one where a single list would ask more
+    often than blocks send; in other groups each set asks the components that it shares a list with.
     """
 
     def still(labels: DataFrame) -> DataFrame:
@@ -623,11 +634,13 @@ def requests(lists: DataFrame, members: DataFrame, n: int, percent: int) -> tupl
 
     told = exchange(still(label_rows(members, n)), n, hub_links, n)
     hubs = checkpointed(exchange(told, n, pairs_told, types=PAIR_TYPES, schema=PAIR).distinct())
-    labels = components(hubs.select("u", "v"))
+    across, wide = hubs.where("u <> v"), hubs.where("u = v").groupBy("u").agg(F.max("mu").alias("width"))
+    labels = components(across.select("u", "v"))
     groups = labels.union(labels.select("root", "root").distinct()).toDF("comp", "grp")
-    sizes = hubs.select(F.col("u").alias("comp"), F.col("mu").alias("m")).union(hubs.select("v", "mv")).distinct().join(groups, "comp")
-    many = sizes.groupBy("grp").agg(F.sum("m").alias("many"))
-    comps = checkpointed(spread_join(sizes, many, "grp", "comp").withColumn("dense", F.col("many") <= BLOCK * NESTED_BLOCKS))
+    sizes = across.select(F.col("u").alias("comp"), F.col("mu").alias("m")).union(across.select("v", "mv")).distinct().join(groups, "comp")
+    many = sizes.join(wide.select(F.col("u").alias("comp"), "width"), "comp", "left").groupBy("grp").agg(F.sum("m").alias("many"), F.max("width").alias("width"))
+    dense = (F.col("many") <= BLOCK * NESTED_BLOCKS) | (F.col("many") <= F.col("width") * WORTH)
+    comps = checkpointed(spread_join(sizes, many, "grp", "comp").withColumn("dense", F.coalesce(dense, F.lit(False))).drop("width"))
     discard(hubs, labels)
     inside = comps.where("dense").join(members.select(F.col("root").alias("comp"), "node"), "comp", "left").select(F.coalesce("node", "comp").alias("sid"), "comp", "grp", "many")
     nested = nested_rows(inside, n)

@@ -368,6 +368,33 @@ def test_links_of_groups_too_large_to_nest(spark, texts, rows, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in jaccard_join.link(frame(spark, docs)).collect()} == linked(docs)
 
 
+def test_links_of_large_groups_that_ask(spark, texts, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "NESTED_BLOCKS", 0)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0)
+    assert {r.doc_id: tuple(r)[1:] for r in jaccard_join.link(texts).collect()} == linked(rows)
+
+
+def listed(key, comp):
+    """Record batches of one block of lists, whose sets are components of one set each."""
+    sid = np.array(comp, np.int64)
+    block = jaccard_join.squeeze(jaccard_join.pack(np.array(key, np.uint64), sid, np.full(len(sid), 100), sid, np.ones(len(sid), np.int64)))
+    return jaccard_join.batches(iter([(0, jaccard_join.LISTS, None, block, None)]), jaccard_join.ROW)
+
+
+def test_a_long_list_asks_in_bounded_blocks():
+    told = jaccard_join.open_questions(listed([7] * 2000, range(2000)), 1, 75)
+    blocks = [jaccard_join.unpack(jaccard_join.expand(r[3]), *[np.int64] * 4) for r in told]
+    assert max(len(b[0]) for b in blocks) < jaccard_join.MOST_TOLD + 2000
+    assert sum(len(b[0]) for b in blocks) == 2000 * 1999 // 2
+    assert len({pair for b in blocks for pair in zip(b[0].tolist(), b[1].tolist(), strict=True)}) == 2000 * 1999 // 2
+
+
+def test_hubs_know_their_widest_list():
+    told = jaccard_join.hub_links(listed([1, 1, 1, 2, 2, 3, 3], [4, 5, 9, 5, 9, 1, 4]), 1)
+    found = {x for r in told for x in zip(*(b.tolist() for b in jaccard_join.unpack(jaccard_join.expand(r[3]), *[np.int64] * 4)), strict=True)}
+    assert found == {(9, 9, 3, 0), (4, 4, 2, 0), (4, 9, 1, 1), (5, 9, 1, 1), (1, 4, 1, 1)}
+
+
 def test_links_where_sets_share_a_name(spark, texts, rows):
     assert {r.doc_id: tuple(r)[1:] for r in jaccard_join.link(texts, id_bits=5).collect()} == linked(rows)
 
